@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.functions.locations import with_distro_locs
@@ -37,21 +37,24 @@ def sized_cartons(
     return sized.withColumn("Total_locs", F.coalesce(F.col("Total_locs"), F.lit(1)).cast("bigint"))
 
 
-def carton_running(sized: DataFrame, hot: DataFrame | None = None, total: str | None = None) -> DataFrame:
+def carton_running(sized: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Running locations per zone and method; they depend on no aisle or cap."""
-    return running_total(sized, RUN, release_order(), "Total_locs", "wave_cum_locations", total, hot)
+    return running_total(sized, RUN, release_order(), "Total_locs", "wave_cum_locations", hot)
 
 
-def carton_waves(running: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Wave numbers for every scenario of the row's method.
+def wave_number(cumulative: str = "wave_cum_locations") -> Column:
+    """Wave of a running total: a row that crosses a boundary is in the later wave.
 
-    A row that crosses a wave boundary belongs to the later wave; rows of size zero
-    before the first sized row are in wave 0.
+    Rows of size zero before the first sized row are in wave 0.
     """
+    return F.ceil(F.col(cumulative) / F.col("carton_size"))
+
+
+def carton_waves(running: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Carton rows with their wave under every scenario of their method."""
     # ``capacity`` has one row per scenario passed in.
-    waved = running.join(F.broadcast(capacity), "Method")
-    number = F.ceil(F.col("wave_cum_locations") / F.col("carton_size"))
-    return waved.withColumn("wave_no", number).withColumn("wave_id", wave_label("W", F.col("wave_no")))
+    waved = running.join(F.broadcast(capacity), "Method").withColumn("wave_no", wave_number())
+    return waved.withColumn("wave_id", wave_label("W", F.col("wave_no")))
 
 
 def last_waves(waves: DataFrame) -> DataFrame:

@@ -94,3 +94,13 @@ def with_item_rank(
     one = non_pallet(drops).withColumn("_one", F.lit(1).cast("bigint"))
     order = [F.col("Distro").desc(), F.col("SSZ").asc()]
     return running_total(one, RANK_SCOPES[rank_scope], order, "_one", "rank", hot=hot).drop("_one")
+
+
+def first_distro_masked(
+    drops: DataFrame, rank_scope: str = "all_zones", hot: DataFrame | None = None
+) -> DataFrame:
+    """Item locations and rank on every non-pallet row, with locations kept on rank 1 only."""
+    ranked = with_item_rank(join_item_locations(drops), rank_scope, hot)
+    return ranked.withColumn(
+        "Total_locs", F.when(F.col("rank") > 1, F.lit(0)).otherwise(F.col("Total_locs")).cast("bigint")
+    )

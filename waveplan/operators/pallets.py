@@ -1,24 +1,18 @@
-"""Pallet waves and the policy for pallets left after the last carton wave."""
+"""Pallet items in release order and the running locations they need."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.functions.locations import with_distro_locs
 from waveplan.functions.text import wave_label
-from waveplan.operators.cartons import RUN
 from waveplan.operators.filters import pallet_rows
 from waveplan.operators.running import running_total
 from waveplan.schema import GROUP, ITEM
 
-# Policy limits.
+# Fixed value: pallets that share one pallet location.
 PALLETS_PER_LOCATION = 3
-OWN_WAVE_ABOVE = 50
-ROOM_LEFT_BELOW = 0.8
-SHARING_CENTRE = 3840
-
-SCENARIO = ["scenario_id", "UDC", "pallet_size", "carton_size"]
 
 
 def pallet_rollup(drops: DataFrame) -> DataFrame:
@@ -43,84 +37,27 @@ def pallet_running(rollup: DataFrame, hot: DataFrame | None = None) -> DataFrame
     """Running pallet locations per zone, items with most cartons first."""
     located = rollup.withColumn("pallet_loc", F.ceil(F.col("pallets") / PALLETS_PER_LOCATION))
     order = [F.col("vcp").desc(), F.col("VCPHt").desc(), F.col("DPCI").asc()]
-    return running_total(located, GROUP, order, "pallet_loc", "wave_cum_locations", hot=hot)
-
+    return running_total(located, GROUP, order, "pallet_loc", "pallet_cum_locations", hot)
 
-def pallet_waves(running: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Items with their pallet wave under every scenario."""
-    methods = F.array(*[F.lit(m) for m in ("Distro", "DPCI")])
-    wave = F.ceil(F.col("wave_cum_locations") / F.col("pallet_size"))
-    return (
-        running.withColumn("Method", F.explode(methods))
-        .join(F.broadcast(capacity.select("Method", *SCENARIO)), "Method")
-        .withColumn("wave_no", wave)
-        .withColumn("wave_id", wave_label("W", F.col("wave_no")))
-    )
 
+def pallet_wave_number() -> Column:
+    return F.ceil(F.col("pallet_cum_locations") / F.col("pallet_size"))
 
-def split_items(waves: DataFrame, last: DataFrame) -> DataFrame:
-    """Items kept beside a carton wave, and what happens to the trailing ones.
 
-    ``placement``: ``kept``, ``own`` (trailing pallets above the limit fill a wave of
-    their own), ``last`` (few, and the last carton wave has room) or ``extra``.
-    A zone without cartons has no last wave, so all its pallets trail.
-    """
-    keys = [*RUN, "scenario_id"]
-    known = waves.join(last, keys, "left").withColumn("last_wave", F.coalesce("last_wave", F.lit(0)))
-    trailing = F.col("wave_no") > F.col("last_wave")
-    left_over = known.groupBy(*keys).agg(
-        F.sum(F.when(trailing, F.col("pallets")).otherwise(0)).alias("trailing_pallets")
-    )
-    room = (F.col("last_fill") < F.col("carton_size") * F.lit(ROOM_LEFT_BELOW)) & (
-        F.col("UDC") == SHARING_CENTRE
-    )
-    placement = (
-        F.when(~trailing, "kept")
-        .when(F.col("trailing_pallets") > OWN_WAVE_ABOVE, "own")
-        .when(room, "last")
-        .otherwise("extra")
+def pallet_waves(running: DataFrame, capacity: DataFrame, methods: list[str]) -> DataFrame:
+    """Pallet items with their wave under every scenario."""
+    return (
+        running.withColumn("Method", F.explode(F.array(*[F.lit(m) for m in methods])))
+        .join(F.broadcast(capacity), "Method")
+        .withColumn("wave_no", pallet_wave_number())
+        .withColumn("wave_id", wave_label("W", F.col("wave_no")))
     )
-    return known.join(left_over, keys).withColumn("placement", placement)
-
 
-def place_rows(drops: DataFrame, items: DataFrame) -> DataFrame:
-    """Pallet rows with their final wave under every scenario.
 
-    Only few trailing pallets need a running sum over rows: at most ``OWN_WAVE_ABOVE``
-    rows per zone and scenario, since every one holds a pallet.
-    """
-    columns = drops.columns
-    rows = pallet_rows(drops)
-    chosen = items.select(
-        *ITEM, "scenario_id", "placement", "last_wave", "carton_size", F.col("wave_id").alias("_wave")
-    )
-    few = F.col("placement").isin("last", "extra")
-    direct = (
-        rows.join(chosen.filter(~few), ITEM)
-        .withColumns(
-            {
-                "Total_locs": F.lit(None).cast("bigint"),
-                "wave_id": F.when(F.col("placement") == "own", "Pallet_wave").otherwise(F.col("_wave")),
-            }
-        )
-        .select(*columns, "scenario_id", "Total_locs", "wave_id")
-    )
-    ordered = (
-        Window.partitionBy(*GROUP, "scenario_id")
-        .orderBy(F.col("Aisle").asc_nulls_last(), F.col("Distro"), F.col("DPCI"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    small = with_distro_locs(rows.join(chosen.filter(few), ITEM).drop("_wave"), "_locs")
-    extra = F.ceil(F.sum("Total_locs").over(ordered) / F.col("carton_size"))
-    shared = (
-        small.withColumn("Total_locs", F.coalesce(F.col("_locs"), F.lit(1)))
-        .withColumn("_extra", extra)
-        .withColumn(
-            "wave_id",
-            F.when(F.col("placement") == "last", wave_label("W", F.col("last_wave"))).otherwise(
-                wave_label("W_P", F.col("_extra"))
-            ),
-        )
-        .select(*columns, "scenario_id", "Total_locs", "wave_id")
+def join_pallet_running(drops: DataFrame, running: DataFrame) -> DataFrame:
+    """Pallet rows with their own locations and the running locations of their item."""
+    items = running.select(*ITEM, "pallet_cum_locations")
+    rows = with_distro_locs(pallet_rows(drops)).withColumn(
+        "Total_locs", F.coalesce(F.col("Total_locs"), F.lit(1))
     )
-    return direct.unionByName(shared)
+    return rows.join(items, ITEM)

@@ -1,24 +1,104 @@
-"""Exact running sums over ordered groups of any size.
+"""Exact running sums and totals over ordered groups of any size.
 
 A window with ``partitionBy`` sorts each group in one task, which is the right plan
 while groups are small. A group above ``HOT_ROWS`` is cut into ordered slices instead:
-a range shuffle on (keys, order), one total per slice, and a running sum inside the
-slice on top of the totals of the slices before it. The slice number comes from the
-sampled range bounds, so the sliced rows are written once and every later step reads
-the same assignment.
+a range shuffle on (keys, order), one sum per slice, and a running sum inside the slice
+on top of the slices before it. The slice number comes from sampled range bounds, so
+the sliced rows are written once and every later step reads the same assignment.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.session import materialize
 
+Aggregate = Callable[[Column | str], Column]
+
 HOT_ROWS = 1_000_000
 MAX_SLICES = 20_000
 
 
+@dataclass(frozen=True)
+class OrderedGroups:
+    """Rows with the keys that group them and the order inside a group."""
+
+    rows: DataFrame
+    keys: list[str]
+    order: list[Column]
+
+    def running(self, into: str, value: Column, how: Aggregate = F.sum) -> OrderedGroups:
+        """Add the sum (or maximum) of ``value`` from the group's first row to the current one."""
+        upto = _upto_row(self.keys, self.order)
+        return replace(self, rows=self.rows.withColumn(into, how(value).over(upto)))
+
+    def totals(self, **aggregates: Column) -> OrderedGroups:
+        """Add aggregates over the whole group to each of its rows.
+
+        Written with the order of the running frames, so both share one window operator.
+        """
+        group = (
+            Window.partitionBy(*self.keys)
+            .orderBy(*self.order)
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        )
+        return replace(
+            self, rows=self.rows.withColumns({k: agg.over(group) for k, agg in aggregates.items()})
+        )
+
+    def transform(
+        self, change: Callable[[DataFrame], DataFrame], keys: list[str] | None = None
+    ) -> OrderedGroups:
+        """Change the rows in place; ``keys`` may refine the groups."""
+        return replace(self, rows=change(self.rows), keys=keys or self.keys)
+
+
+@dataclass(frozen=True)
+class SlicedGroups(OrderedGroups):
+    """The same for groups too big for one task; rows carry their ``_slice``.
+
+    The broadcast tables hold at most one row per slice and group, or per group; both
+    numbers are bounded by ``MAX_SLICES`` and by rows / ``HOT_ROWS``.
+    """
+
+    def running(self, into: str, value: Column, how: Aggregate = F.sum) -> SlicedGroups:
+        slices = self.rows.groupBy(*self.keys, "_slice").agg(how(value).alias("_own"))
+        earlier = (
+            Window.partitionBy(*self.keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        offsets = slices.select(*self.keys, "_slice", how("_own").over(earlier).alias("_before"))
+        inside = how(value).over(_upto_row([*self.keys, "_slice"], self.order))
+        if how is F.max:
+            merged = F.greatest(inside, F.col("_before"))
+        else:
+            merged = F.coalesce(inside + F.col("_before"), inside, F.col("_before"))
+        rows = _join_same(self.rows, offsets, [*self.keys, "_slice"])
+        return replace(self, rows=rows.withColumn(into, merged).drop("_before"))
+
+    def totals(self, **aggregates: Column) -> SlicedGroups:
+        groups = self.rows.groupBy(*self.keys).agg(*[agg.alias(k) for k, agg in aggregates.items()])
+        return replace(self, rows=_join_same(self.rows, groups, self.keys))
+
+
+def _upto_row(keys: list[str], order: list[Column]):
+    return (
+        Window.partitionBy(*keys)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+
+
+def _join_same(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi join in which a null key meets itself."""
+    other = small.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return rows.join(F.broadcast(other), same).drop(*[f"_same_{k}" for k in keys])
+
+
 def hot_groups(rows: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame | None:
     """Keys of groups above ``limit`` rows with their row counts, or None.
 
@@ -31,85 +111,46 @@ def hot_groups(rows: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataF
     return materialize(big, "hot-groups")
 
 
-def running_total(
+def slices_for(rows: int) -> int:
+    return int(min(max(2, 2 * rows // HOT_ROWS + 1), MAX_SLICES))
+
+
+def cut(rows: DataFrame, keys: list[str], order: list[Column], slices: int) -> SlicedGroups:
+    """Write ``rows`` in ``slices`` consecutive ranges of (keys, order)."""
+    ranged = rows.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
+    stored = materialize(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+    return SlicedGroups(stored, keys, order)
+
+
+def over_groups(
     rows: DataFrame,
     keys: list[str],
     order: list[Column],
-    value: str,
-    into: str,
-    total: str | None = None,
+    steps: Callable[[OrderedGroups], OrderedGroups],
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """``rows`` with the running sum of ``value`` and, if named, the group's total.
+    """Apply ``steps`` to ordinary groups as they are and to hot groups in slices.
 
     ``hot`` is the result of :func:`hot_groups` on a subset of ``keys``. Without it the
     caller vouches that every group fits one sort.
     """
     if hot is None:
-        return _whole(rows, keys, order, value, into, total)
+        return steps(OrderedGroups(rows, keys, order)).rows
     hot_keys = [c for c in hot.columns if c != "group_rows"]
     listed = F.broadcast(hot.select(*hot_keys))
-    cold = rows.join(listed, hot_keys, "left_anti")
-    big = rows.join(listed, hot_keys, "left_semi")
+    cold = steps(OrderedGroups(rows.join(listed, hot_keys, "left_anti"), keys, order)).rows
     expected = hot.agg(F.sum("group_rows")).first()[0]
-    return _whole(cold, keys, order, value, into, total).unionByName(
-        sliced_total(big, keys, order, value, into, total, slices_for(expected))
-    )
-
-
-def slices_for(rows: int, limit: int = HOT_ROWS) -> int:
-    return int(min(max(2, 2 * rows // limit + 1), MAX_SLICES))
-
-
-def _whole(
-    rows: DataFrame, keys: list[str], order: list[Column], value: str, into: str, total: str | None
-) -> DataFrame:
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn(into, F.sum(value).over(upto))
-    if total:
-        out = out.withColumn(total, F.sum(value).over(group))
-    return out
+    big = cut(rows.join(listed, hot_keys, "left_semi"), keys, order, slices_for(expected))
+    return cold.unionByName(steps(big).rows.drop("_slice"))
 
 
-def sliced_total(
+def running_total(
     rows: DataFrame,
     keys: list[str],
     order: list[Column],
     value: str,
     into: str,
-    total: str | None = None,
-    slices: int = 64,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """The same result for groups too big for one task."""
-    cut = rows.repartitionByRange(slices, *[F.col(k) for k in keys], *order).withColumn(
-        "_slice", F.spark_partition_id()
-    )
-    stored = materialize(cut, "slices")
-    sums = stored.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
-    # At most one row per slice and group boundary, so this window and the broadcast
-    # are bounded by slices + groups, not by the data.
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *keys,
-        "_slice",
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
-        F.sum("_sum").over(group).alias("_total"),
-    )
-    inside = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    matched = offsets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k"), "_before", "_total")
-    same = F.col("_slice") == F.col("_k")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = stored.join(F.broadcast(matched), same).withColumn(
-        into, F.sum(value).over(inside) + F.col("_before")
-    )
-    columns = [F.col(c) for c in rows.columns] + [F.col(into)]
-    if total:
-        columns.append(F.col("_total").alias(total))
-    return out.select(*columns)
+    """``rows`` with the running sum of ``value``."""
+    return over_groups(rows, keys, order, lambda groups: groups.running(into, F.col(value)), hot)

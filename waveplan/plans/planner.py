@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.functions.text import charging_instructions
-from waveplan.operators import cartons, pallets, summary
+from waveplan.operators import assign, cartons, pallets, summary
 from waveplan.operators.capacity import Scenario, capacities
 from waveplan.operators.items import RANK_SCOPES, with_item_rank
 from waveplan.operators.quality import accepted
@@ -50,28 +51,37 @@ class WavePlan:
         # Pallet items of a zone are never more than its rows, so one check serves both.
         self.hot = hot_groups(self.drops, GROUP, self.rules.hot_rows)
 
+    @cached_property
     def sized_cartons(self) -> DataFrame:
         return cartons.sized_cartons(self.drops, self.methods, self.rules.rank_scope)
 
+    @cached_property
     def carton_waves(self) -> DataFrame:
-        return cartons.carton_waves(cartons.carton_running(self.sized_cartons(), self.hot), self.capacity)
+        return cartons.carton_waves(cartons.carton_running(self.sized_cartons, self.hot), self.capacity)
 
-    def last_waves(self) -> DataFrame:
-        return cartons.last_waves(self.carton_waves())
+    @cached_property
+    def pallet_running(self) -> DataFrame:
+        return pallets.pallet_running(pallets.pallet_rollup(self.drops), self.hot)
 
+    @cached_property
     def pallet_waves(self) -> DataFrame:
-        running = pallets.pallet_running(pallets.pallet_rollup(self.drops), self.hot)
-        return pallets.pallet_waves(running, self.capacity)
-
-    def pallet_items(self) -> DataFrame:
-        return pallets.split_items(self.pallet_waves(), self.last_waves())
+        return pallets.pallet_waves(self.pallet_running, self.capacity, self.methods)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return assign.place_rows(
+            self.sized_cartons,
+            pallets.join_pallet_running(self.drops, self.pallet_running),
+            self.capacity,
+            self.methods,
+            self.hot,
+            one_per_method=len(self.methods) == len(self.scenarios),
+        )
 
+    @cached_property
     def assigned(self) -> DataFrame:
         """Every row once per scenario with wave, locations and charging instructions."""
-        columns = [*self.drops.columns, "scenario_id", "Total_locs", "wave_id"]
-        from_cartons = self.carton_waves().select(*columns)
-        from_pallets = pallets.place_rows(self.drops, self.pallet_items()).select(*columns)
-        rows = from_cartons.unionByName(from_pallets).withColumn(
+        rows = assign.assigned(self.placed, self.drops.columns).withColumn(
             "Charging Instructions", charging_instructions(F.col("VCPHeight"))
         )
         return self._ranked(rows) if self.rules.with_rank else rows
@@ -83,8 +93,9 @@ class WavePlan:
         ranks = with_item_rank(self.drops, self.rules.rank_scope, hot).select(*key, "rank")
         return rows.join(ranks, key, "left")
 
+    @cached_property
     def wave_summary(self) -> DataFrame:
-        return summary.wave_utilisation(summary.wave_summary(self.assigned()), self.capacity)
+        return summary.wave_utilisation(summary.wave_summary(self.assigned), self.capacity)
 
 
 def plan_waves(

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waveplan.operators.capacity import METHODS, Scenario, capacities
-from waveplan.operators.cartons import RUN, carton_running, sized_cartons
-from waveplan.operators.running import HOT_ROWS, hot_groups
-from waveplan.schema import GROUP
+from waveplan.operators.cartons import RUN, sized_cartons
+from waveplan.operators.running import HOT_ROWS, hot_groups, over_groups
+from waveplan.schema import GROUP, release_order
 from waveplan.sources.aisles import aisle_rows
 
 CAPS = (0.8, 0.9, 1.0)
@@ -44,7 +44,15 @@ def scenario_sweep(
     capacity = capacities(spark, scenarios, aisles)
     hot = hot_groups(drops, GROUP, hot_rows)
     methods = sorted({s.method for s in scenarios})
-    running = carton_running(sized_cartons(drops, methods, rank_scope), hot, total="total_locs")
+    running = over_groups(
+        sized_cartons(drops, methods, rank_scope),
+        RUN,
+        release_order(),
+        lambda zone: zone.running("wave_cum_locations", F.col("Total_locs")).totals(
+            total_locs=F.max("wave_cum_locations")
+        ),
+        hot,
+    )
     sizes = capacity.select("carton_size").distinct().agg(
         F.collect_set("carton_size").alias("sizes"), F.max("carton_size").alias("largest")
     )

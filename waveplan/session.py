@@ -21,7 +21,11 @@ def build_session(master: str | None = None, cores: int = 8, **conf: str) -> Spa
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.sql.shuffle.partitions", str(cores))
+        builder = (
+            builder.master(master)
+            .config("spark.sql.shuffle.partitions", str(cores))
+            .config("spark.driver.memory", "12g")
+        )
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -49,6 +53,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for a scan that has fewer splits than there are cores.
+
+    Such a scan is small by its number of splits; a larger one is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A parameter table of known small size, planned as a local relation."""
     columns = list(zip(*rows)) if rows else [()] * len(schema)

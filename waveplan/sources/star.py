@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waveplan.session import spread
+
 _PACK = "(p_size % 12 + 1 + l_linenumber % 2)"
 
 # Column name -> SQL expression; the same text is valid in Spark SQL and ANSI engines.
@@ -58,7 +60,7 @@ def select_text(columns: dict[str, str] = DROP_COLUMNS) -> str:
 
 def drops(spark: SparkSession, sf_dir: str, columns: dict[str, str] = DROP_COLUMNS) -> DataFrame:
     """One allocation row per order line; Distro is unique by construction."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_linenumber")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     return lines.join(parts, lines.l_partkey == parts.p_partkey).selectExpr(
         *[f"{expr} AS {name}" for name, expr in columns.items()]
