@@ -173,7 +173,7 @@ def _to_plan(scenarios: list[Scenario]) -> list[str]:
     return [*_to_waves(scenarios), *PALLETS, *PLACED]
 
 
-def _domain(name: str, source: str, number: str) -> str:
+def _domain(name: str, source: str) -> str:
     return f"SELECT DISTINCT '{name}' AS domain, CAST({name} AS VARCHAR) AS value FROM {source}"
 
 
@@ -194,16 +194,16 @@ _REASONS = [
 _SWEEP = [
     *TO_RUNNING,
     *_scenarios(all_scenarios()),
-    f"""zones AS (SELECT Method, {KEYS}, max(wave_cum_locations) AS total_locs FROM running GROUP BY Method, {KEYS})""",
-    """sized_waves AS (SELECT z.*, c.carton_size, CAST(ceil(z.total_locs / c.carton_size) AS BIGINT) AS n_waves
+    f"""zones AS (SELECT Method, {KEYS}, max(wave_cum_locations) AS zone_locations FROM running GROUP BY Method, {KEYS})""",
+    """sized_waves AS (SELECT z.*, c.carton_size, CAST(ceil(z.zone_locations / c.carton_size) AS BIGINT) AS n_waves
       FROM zones z JOIN (SELECT DISTINCT Method, carton_size FROM capacity) c ON c.Method = z.Method)""",
-    f"""filled AS (SELECT s.Method, s.drop_id, s.UnitSortable, s.SSZ, s.total_locs, s.carton_size, s.n_waves,
+    f"""filled AS (SELECT s.Method, s.drop_id, s.UnitSortable, s.SSZ, s.zone_locations, s.carton_size, s.n_waves,
       CAST(coalesce(sum(r.Total_locs) FILTER (WHERE ceil(r.wave_cum_locations / s.carton_size) = s.n_waves), 0) AS BIGINT)
         AS last_wave_fill
       FROM sized_waves s JOIN running r ON r.Method = s.Method AND {_SAME_ZONE.format(a='r', b='s')}
       GROUP BY ALL)""",
     f"""sweep AS (SELECT f.drop_id, f.UnitSortable, f.SSZ, c.UDC, c.Aisle_No, c.Cap, c.Method, c.Level_A, f.carton_size,
-      f.total_locs, f.n_waves, f.last_wave_fill
+      f.zone_locations, f.n_waves, f.last_wave_fill
       FROM filled f JOIN capacity c ON c.Method = f.Method AND c.carton_size = f.carton_size)""",
 ]
 
@@ -234,7 +234,7 @@ ORACLES: dict[str, str] = {
     "domain_values": _query(
         [DROPS, *_scenarios([DEFAULT])],
         " UNION ALL ".join(
-            _domain(name, source, "")
+            _domain(name, source)
             for name, source in (("SSZ", "drops"), ("UnitSortable", "drops"), ("UDC", "aisles"), ("Aisle_No", "aisles"))
         ),
     ),

@@ -49,7 +49,7 @@ def scenario_sweep(
         RUN,
         release_order(),
         lambda zone: zone.running("wave_cum_locations", F.col("Total_locs")).totals(
-            total_locs=F.max("wave_cum_locations")
+            zone_locations=F.max("wave_cum_locations")
         ),
         hot,
     )
@@ -60,20 +60,20 @@ def scenario_sweep(
 
 
 def _sweep(running: DataFrame, capacity: DataFrame, sizes: DataFrame) -> DataFrame:
-    zones = running.groupBy(*RUN).agg(F.max("wave_cum_locations").alias("total_locs"))
+    zones = running.groupBy(*RUN).agg(F.max("wave_cum_locations").alias("zone_locations"))
     # One row of distinct sizes, no more than there are scenarios.
     listed, largest = sizes.first()
-    before = F.col("wave_cum_locations") - F.col("Total_locs_row")
-    total_waves = F.ceil(F.col("total_locs") / F.col("carton_size"))
+    before = F.col("wave_cum_locations") - F.col("row_locations")
+    total_waves = F.ceil(F.col("zone_locations") / F.col("carton_size"))
     starts = (
-        running.select(*RUN, "wave_cum_locations", F.col("Total_locs").alias("Total_locs_row"), "total_locs")
-        .filter((F.col("Total_locs_row") > 0) & (F.col("wave_cum_locations") > F.col("total_locs") - largest))
+        running.select(*RUN, "wave_cum_locations", F.col("Total_locs").alias("row_locations"), "zone_locations")
+        .filter((F.col("row_locations") > 0) & (F.col("wave_cum_locations") > F.col("zone_locations") - largest))
         .withColumn("carton_size", F.explode(F.array(*[F.lit(s) for s in sorted(listed)])))
         .filter(
             (F.ceil(F.col("wave_cum_locations") / F.col("carton_size")) == total_waves)
             & (F.ceil(before / F.col("carton_size")) < total_waves)
         )
-        .select(*RUN, "carton_size", (F.col("total_locs") - before).alias("last_wave_fill"))
+        .select(*RUN, "carton_size", (F.col("zone_locations") - before).alias("last_wave_fill"))
     )
     return (
         zones.join(F.broadcast(capacity), "Method")
@@ -86,7 +86,7 @@ def _sweep(running: DataFrame, capacity: DataFrame, sizes: DataFrame) -> DataFra
             "Method",
             "Level_A",
             "carton_size",
-            "total_locs",
+            "zone_locations",
             total_waves.alias("n_waves"),
             F.coalesce("last_wave_fill", F.lit(0)).cast("bigint").alias("last_wave_fill"),
         )
