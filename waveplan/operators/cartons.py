@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +20,21 @@ def sized_cartons(
 ) -> DataFrame:
     """Non-pallet rows with the ``Total_locs`` of each wanted method; unknown counts as 1.
 
-    One zone is sized at item grain whatever the method. Zones are disjoint filters on
-    the input, so only rows that need item sizes go through the item join.
+    One zone is sized at item grain whatever the method. Item sizes are computed once for
+    both methods, and only for that zone when the item method is not wanted.
     """
-    cartons = non_pallet(drops)
-    parts = []
-    if "Distro" in methods:
-        by_row = with_distro_locs(cartons.filter(F.col("SSZ") != ITEM_GRAIN_ZONE))
-        by_item = with_item_locs(drops, rank_scope, ITEM_GRAIN_ZONE)
-        parts += [part.withColumn("Method", F.lit("Distro")) for part in (by_row, by_item)]
+    forced = F.col("SSZ") == ITEM_GRAIN_ZONE
     if "DPCI" in methods:
-        parts.append(with_item_locs(drops, rank_scope).withColumn("Method", F.lit("DPCI")))
-    sized = reduce(DataFrame.unionByName, parts)
+        both = F.array(*[F.lit(m) for m in methods])
+        by_item = with_item_locs(drops, rank_scope).withColumn(
+            "Method", F.explode(F.when(forced, both).otherwise(F.array(F.lit("DPCI"))))
+        )
+    else:
+        by_item = with_item_locs(drops, rank_scope, ITEM_GRAIN_ZONE).withColumn("Method", F.lit("Distro"))
+    sized = by_item
+    if "Distro" in methods:
+        by_row = with_distro_locs(non_pallet(drops).filter(~forced)).withColumn("Method", F.lit("Distro"))
+        sized = by_row.unionByName(by_item)
     return sized.withColumn("Total_locs", F.coalesce(F.col("Total_locs"), F.lit(1)).cast("bigint"))
 
 

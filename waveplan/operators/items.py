@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.functions.locations import estimate
@@ -26,7 +26,6 @@ def item_rollup(drops: DataFrame) -> DataFrame:
             F.max("VCPHeight").alias("vend_cspk_ht_q"),
             F.max("VCPWidth").alias("vend_cspk_wth_q"),
             F.max("VCPLength").alias("vend_cspk_lgth_q"),
-            F.max("Distro").alias("first_distro"),
         )
     )
 
@@ -50,20 +49,33 @@ def join_item_locations(drops: DataFrame) -> DataFrame:
     return non_pallet(drops).join(sizes, ITEM, "left")
 
 
-def charged_rows(drops: DataFrame, rank_scope: str = "all_zones") -> DataFrame:
+def first_rows(drops: DataFrame, rank_scope: str = "all_zones") -> DataFrame:
+    """Key of the row with the highest Distro per item; equal Distros go to the lower zone.
+
+    Kept apart from the numeric rollup, which then stays a hash aggregate: a string
+    maximum makes Spark sort its input, so that is done on the key columns only.
+    """
+    scope = RANK_SCOPES[rank_scope]
+    first = F.max(F.struct(F.col("Distro"), (-F.col("SSZ")).alias("zone"))).alias("first")
+    found = non_pallet(drops).groupBy(*scope).agg(first)
+    columns = {"SSZ": (-F.col("first.zone")).alias("SSZ"), "Distro": F.col("first.Distro")}
+    return found.select(*[columns.get(c, F.col(c)) for c in [*ITEM, "Distro"]])
+
+
+def charged_rows(
+    drops: DataFrame, rank_scope: str = "all_zones", zone: int | None = None
+) -> DataFrame:
     """The one row per item that carries the item's locations.
 
-    That row has the highest Distro of the item. With ``all_zones`` an item kept in
-    several zones is charged in one of them only; equal Distros go to the lower zone.
-    Found on the rolled-up items, so a hot item never gathers its rows in one task.
+    With ``all_zones`` an item kept in several zones is charged in one of them only.
+    Both sides are aggregated per item, so a hot item never gathers its rows in one
+    task; a ``zone`` limits the sizes to the rows of that zone.
     """
-    items = item_locations(drops).select(*ITEM, "first_distro", "Total_locs")
-    if rank_scope != "zone":
-        place = Window.partitionBy(*RANK_SCOPES[rank_scope]).orderBy(
-            F.col("first_distro").desc(), F.col("SSZ").asc()
-        )
-        items = items.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") == 1)
-    return items.select(*ITEM, F.col("first_distro").alias("Distro"), F.col("Total_locs").alias("_locs"))
+    first, rows = first_rows(drops, rank_scope), drops
+    if zone is not None:
+        first, rows = (df.filter(F.col("SSZ") == zone) for df in (first, rows))
+    sizes = item_locations(rows).select(*ITEM, F.col("Total_locs").alias("_locs"))
+    return first.join(sizes, ITEM)
 
 
 def with_item_locs(
@@ -73,10 +85,10 @@ def with_item_locs(
 
     The join key contains the row's own Distro, which keeps it free of hot keys.
     """
-    rows, charged = non_pallet(drops), charged_rows(drops, rank_scope)
+    rows = non_pallet(drops)
     if zone is not None:
-        rows, charged = rows.filter(F.col("SSZ") == zone), charged.filter(F.col("SSZ") == zone)
-    charged = charged.withColumn("_charged", F.lit(True))
+        rows = rows.filter(F.col("SSZ") == zone)
+    charged = charged_rows(drops, rank_scope, zone).withColumn("_charged", F.lit(True))
     return (
         rows.join(charged, [*ITEM, "Distro"], "left")
         .withColumn("Total_locs", F.when(F.col("_charged"), F.col("_locs")).otherwise(F.lit(0)))

@@ -49,7 +49,7 @@ BY_ROW = [
 ROLLUP = f"""rollup_items AS (SELECT {KEYS}, DPCI, CAST(sum(TotalNumberofFullVCPs) AS BIGINT) AS vcp1,
   CAST(sum(TotalNumberofLooseSSP) AS BIGINT) AS ssp, CAST(sum(TotalNumberofPallets) AS BIGINT) AS pallet,
   max(SSPsinVCP) AS ssp_q, max(VCPHeight) AS vend_cspk_ht_q, max(VCPWidth) AS vend_cspk_wth_q,
-  max(VCPLength) AS vend_cspk_lgth_q, max(Distro) AS first_distro
+  max(VCPLength) AS vend_cspk_lgth_q
   FROM drops WHERE TotalNumberofPallets = 0 GROUP BY {KEYS}, DPCI)"""
 BY_ITEM = [
     ROLLUP,

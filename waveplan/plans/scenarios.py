@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.operators.capacity import METHODS, Scenario, capacities
@@ -33,16 +33,14 @@ def scenario_sweep(
     rank_scope: str = "all_zones",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Waves and last-wave fill per zone and scenario.
+    """Waves and last-wave fill per zone and scenario, in one pass over the rows.
 
     The number of waves follows from the zone total. The last wave starts at the one
     row whose locations cross its lower bound, and that bound lies within one wave of
-    the total: only rows that near the end, at most one wave's worth, meet the list of
-    distinct sizes, and each size keeps one row.
+    the total: only rows that near the end are compared with the distinct wave sizes.
+    A zone keeps at most one such row per size, so rows never multiply.
     """
-    spark: SparkSession = drops.sparkSession
-    capacity = capacities(spark, scenarios, aisles)
-    hot = hot_groups(drops, GROUP, hot_rows)
+    capacity = capacities(drops.sparkSession, scenarios, aisles)
     methods = sorted({s.method for s in scenarios})
     running = over_groups(
         sized_cartons(drops, methods, rank_scope),
@@ -51,48 +49,56 @@ def scenario_sweep(
         lambda zone: zone.running("wave_cum_locations", F.col("Total_locs")).totals(
             zone_locations=F.max("wave_cum_locations")
         ),
-        hot,
+        hot_groups(drops, GROUP, hot_rows),
     )
-    sizes = capacity.select("carton_size").distinct().agg(
-        F.collect_set("carton_size").alias("sizes"), F.max("carton_size").alias("largest")
-    )
-    return _sweep(running, capacity, sizes)
-
-
-def _sweep(running: DataFrame, capacity: DataFrame, sizes: DataFrame) -> DataFrame:
-    zones = running.groupBy(*RUN).agg(F.max("wave_cum_locations").alias("zone_locations"))
-    # One row of distinct sizes, no more than there are scenarios.
-    listed, largest = sizes.first()
-    before = F.col("wave_cum_locations") - F.col("row_locations")
-    total_waves = F.ceil(F.col("zone_locations") / F.col("carton_size"))
-    starts = (
-        running.select(*RUN, "wave_cum_locations", F.col("Total_locs").alias("row_locations"), "zone_locations")
-        .filter((F.col("row_locations") > 0) & (F.col("wave_cum_locations") > F.col("zone_locations") - largest))
-        .withColumn("carton_size", F.explode(F.array(*[F.lit(s) for s in sorted(listed)])))
-        .filter(
-            (F.ceil(F.col("wave_cum_locations") / F.col("carton_size")) == total_waves)
-            & (F.ceil(before / F.col("carton_size")) < total_waves)
-        )
-        .select(*RUN, "carton_size", (F.col("zone_locations") - before).alias("last_wave_fill"))
+    return _per_scenario(_last_wave_starts(running, _wave_sizes(capacity)), capacity)
+
+
+def _wave_sizes(capacity: DataFrame) -> list[float]:
+    """Distinct sizes, no more than there are scenarios."""
+    return [r.carton_size for r in capacity.select("carton_size").distinct().orderBy("carton_size").collect()]
+
+
+def _last_wave_starts(running: DataFrame, sizes: list[float]) -> DataFrame:
+    """Per zone and method: the total, and the last-wave fill of each size that has one."""
+    total, upto = F.col("zone_locations"), F.col("wave_cum_locations")
+    before = upto - F.col("Total_locs")
+    listed = F.array(*[F.lit(s) for s in sizes]).cast("array<double>")
+    near_end = (F.col("Total_locs") > 0) & (upto > total - F.lit(max(sizes, default=0.0)))
+    crossed = F.filter(
+        listed,
+        lambda size: (F.ceil(upto / size) == F.ceil(total / size)) & (F.ceil(before / size) < F.ceil(total / size)),
     )
+    start = F.struct((total - before).alias("fill"), F.col("_sizes").alias("sizes"))
     return (
-        zones.join(F.broadcast(capacity), "Method")
-        .join(starts, [*RUN, "carton_size"], "left")
-        .select(
-            *GROUP,
-            "UDC",
-            "Aisle_No",
-            "Cap",
-            "Method",
-            "Level_A",
-            "carton_size",
-            "zone_locations",
-            total_waves.alias("n_waves"),
-            F.coalesce("last_wave_fill", F.lit(0)).cast("bigint").alias("last_wave_fill"),
+        running.select(*RUN, "zone_locations", "wave_cum_locations", "Total_locs")
+        .withColumn("_sizes", F.when(near_end, crossed))
+        .groupBy(*RUN)
+        .agg(
+            F.max("zone_locations").alias("zone_locations"),
+            F.collect_list(F.when(F.size("_sizes") > 0, start)).alias("_starts"),
         )
     )
 
 
+def _per_scenario(zones: DataFrame, capacity: DataFrame) -> DataFrame:
+    size = F.col("carton_size")
+    matching = F.filter(F.col("_starts"), lambda start: F.array_contains(start["sizes"], size))
+    # ``capacity`` has one row per scenario passed in.
+    return zones.join(F.broadcast(capacity), "Method").select(
+        *GROUP,
+        "UDC",
+        "Aisle_No",
+        "Cap",
+        "Method",
+        "Level_A",
+        "carton_size",
+        "zone_locations",
+        F.ceil(F.col("zone_locations") / size).alias("n_waves"),
+        F.coalesce(F.get(matching, F.lit(0))["fill"], F.lit(0)).cast("bigint").alias("last_wave_fill"),
+    )
+
+
 def scenario_best(sweep: DataFrame) -> DataFrame:
     """Best aisle per zone and policy: fewest waves, fullest last wave, lowest number."""
     policy = [*GROUP, "UDC", "Cap", "Method", "Level_A"]
