@@ -74,7 +74,8 @@ def test_running_max_in_slices(spark):
     hot = hot_groups(rows, ["g"], 10)
 
     def steps(g):
-        return g.running("m", F.col("v"), F.max).running("s", F.col("v")).totals(t=F.sum("v"))
+        first = g.add({"m": (F.max, F.col("v")), "s": (F.sum, F.col("v"))}, {"t": (F.sum, F.col("v"))})
+        return first.add({"n": (F.sum, F.col("s") + F.col("t"))})
 
     assert rows_of(over_groups(rows, ["g"], order, steps, hot)) == rows_of(over_groups(rows, ["g"], order, steps))
 
@@ -83,7 +84,7 @@ def test_null_group_keys_survive_slicing(spark):
     rows = spark.range(100).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'x' END AS g", "1L AS v")
     order = [F.col("id").asc()]
     whole = running_total(rows, ["g"], order, "v", "s")
-    sliced = cut(rows, ["g"], order, 8).running("s", F.col("v")).rows.drop("_slice")
+    sliced = cut(rows, ["g"], order, 8).add({"s": (F.sum, F.col("v"))}).rows.drop("_slice")
     assert rows_of(sliced) == rows_of(whole)
 
 

@@ -76,20 +76,20 @@ def place_rows(
 
     def steps(zone: OrderedGroups) -> OrderedGroups:
         return (
-            zone.running("wave_cum_locations", locations)
+            zone.add({"wave_cum_locations": (F.sum, locations)})
             .transform(lambda rows: rows.join(F.broadcast(capacity), "Method"), keys)
             .transform(
                 lambda rows: rows.withColumns(
                     {"wave_no": wave_number(), "pallet_wave_no": pallet_wave_number()}
                 )
             )
-            .running(
-                "wave_start",
-                F.when(_is_carton(), F.when(opens_wave, before).otherwise(0)),
-                F.max,
+            .add(
+                running={
+                    "wave_start": (F.max, F.when(_is_carton(), F.when(opens_wave, before).otherwise(0))),
+                    "trailing_locations": (F.sum, F.when(trailing, F.col("Total_locs"))),
+                },
+                totals={"trailing_pallets": (F.sum, F.when(trailing, F.col("TotalNumberofPallets")))},
             )
-            .running("trailing_locations", F.when(trailing, F.col("Total_locs")))
-            .totals(trailing_pallets=F.sum(F.when(trailing, F.col("TotalNumberofPallets"))))
         )
 
     ordered = both.withColumns(

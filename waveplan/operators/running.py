@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from waveplan.session import materialize
 
+# Sums and maxima only: both merge from parts.
 Aggregate = Callable[[Column | str], Column]
+Facts = dict[str, tuple[Aggregate, Column]]
 
 HOT_ROWS = 1_000_000
 MAX_SLICES = 20_000
@@ -31,24 +33,17 @@ class OrderedGroups:
     keys: list[str]
     order: list[Column]
 
-    def running(self, into: str, value: Column, how: Aggregate = F.sum) -> OrderedGroups:
-        """Add the sum (or maximum) of ``value`` from the group's first row to the current one."""
-        upto = _upto_row(self.keys, self.order)
-        return replace(self, rows=self.rows.withColumn(into, how(value).over(upto)))
+    def add(self, running: Facts | None = None, totals: Facts | None = None) -> OrderedGroups:
+        """Add running values (first row to current one) and values of the whole group.
 
-    def totals(self, **aggregates: Column) -> OrderedGroups:
-        """Add aggregates over the whole group to each of its rows.
-
-        Written with the order of the running frames, so both share one window operator.
+        Both use one window definition, so one operator computes them all.
         """
-        group = (
-            Window.partitionBy(*self.keys)
-            .orderBy(*self.order)
-            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        )
-        return replace(
-            self, rows=self.rows.withColumns({k: agg.over(group) for k, agg in aggregates.items()})
-        )
+        group = Window.partitionBy(*self.keys).orderBy(*self.order)
+        upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        columns = {name: how(value).over(upto) for name, (how, value) in (running or {}).items()}
+        columns |= {name: how(value).over(whole) for name, (how, value) in (totals or {}).items()}
+        return replace(self, rows=self.rows.withColumns(columns))
 
     def transform(
         self, change: Callable[[DataFrame], DataFrame], keys: list[str] | None = None
@@ -59,37 +54,43 @@ class OrderedGroups:
 
 @dataclass(frozen=True)
 class SlicedGroups(OrderedGroups):
-    """The same for groups too big for one task; rows carry their ``_slice``.
+    """The same for groups too big for one task; rows carry their ``_slice``."""
 
-    The broadcast tables hold at most one row per slice and group, or per group; both
-    numbers are bounded by ``MAX_SLICES`` and by rows / ``HOT_ROWS``.
-    """
+    def add(self, running: Facts | None = None, totals: Facts | None = None) -> SlicedGroups:
+        """One aggregate per slice yields the values before each slice and of the group.
 
-    def running(self, into: str, value: Column, how: Aggregate = F.sum) -> SlicedGroups:
-        slices = self.rows.groupBy(*self.keys, "_slice").agg(how(value).alias("_own"))
-        earlier = (
-            Window.partitionBy(*self.keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        That table has at most one row per slice and group, which ``MAX_SLICES`` and
+        rows / ``HOT_ROWS`` bound, so it is windowed and broadcast.
+        """
+        running, totals = running or {}, totals or {}
+        slices = self.rows.groupBy(*self.keys, "_slice").agg(
+            *[how(value).alias(f"_own_{name}") for name, (how, value) in {**running, **totals}.items()]
         )
-        offsets = slices.select(*self.keys, "_slice", how("_own").over(earlier).alias("_before"))
-        inside = how(value).over(_upto_row([*self.keys, "_slice"], self.order))
-        if how is F.max:
-            merged = F.greatest(inside, F.col("_before"))
-        else:
-            merged = F.coalesce(inside + F.col("_before"), inside, F.col("_before"))
-        rows = _join_same(self.rows, offsets, [*self.keys, "_slice"])
-        return replace(self, rows=rows.withColumn(into, merged).drop("_before"))
-
-    def totals(self, **aggregates: Column) -> SlicedGroups:
-        groups = self.rows.groupBy(*self.keys).agg(*[agg.alias(k) for k, agg in aggregates.items()])
-        return replace(self, rows=_join_same(self.rows, groups, self.keys))
+        group = Window.partitionBy(*self.keys)
+        earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        outer = slices.select(
+            *self.keys,
+            "_slice",
+            *[how(f"_own_{name}").over(earlier).alias(f"_before_{name}") for name, (how, _) in running.items()],
+            *[how(f"_own_{name}").over(group).alias(name) for name, (how, _) in totals.items()],
+        )
+        inside = (
+            Window.partitionBy(*self.keys, "_slice")
+            .orderBy(*self.order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        columns = {
+            name: _merge(how, how(value).over(inside), F.col(f"_before_{name}"))
+            for name, (how, value) in running.items()
+        }
+        rows = _join_same(self.rows, outer, [*self.keys, "_slice"]).withColumns(columns)
+        return replace(self, rows=rows.drop(*[f"_before_{name}" for name in running]))
 
 
-def _upto_row(keys: list[str], order: list[Column]):
-    return (
-        Window.partitionBy(*keys)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+def _merge(how: Aggregate, inside: Column, before: Column) -> Column:
+    if how is F.max:
+        return F.greatest(inside, before)
+    return F.coalesce(inside + before, inside, before)
 
 
 def _join_same(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,4 +154,4 @@ def running_total(
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` with the running sum of ``value``."""
-    return over_groups(rows, keys, order, lambda groups: groups.running(into, F.col(value)), hot)
+    return over_groups(rows, keys, order, lambda groups: groups.add({into: (F.sum, F.col(value))}), hot)

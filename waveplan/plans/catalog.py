@@ -152,7 +152,7 @@ def carton_running_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sums with every zone cut into slices, as done for hot zones."""
     sized = cartons.sized_cartons(drops(spark, sf_dir), ["Distro"])
     sliced = cut(sized, cartons.RUN, release_order(), slices=32)
-    rows = sliced.running("wave_cum_locations", F.col("Total_locs")).rows
+    rows = sliced.add({"wave_cum_locations": (F.sum, F.col("Total_locs"))}).rows
     return rows.select("Distro", *GROUP, "Total_locs", "wave_cum_locations")
 
 

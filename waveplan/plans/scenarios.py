@@ -46,8 +46,9 @@ def scenario_sweep(
         sized_cartons(drops, methods, rank_scope),
         RUN,
         release_order(),
-        lambda zone: zone.running("wave_cum_locations", F.col("Total_locs")).totals(
-            zone_locations=F.max("wave_cum_locations")
+        lambda zone: zone.add(
+            running={"wave_cum_locations": (F.sum, F.col("Total_locs"))},
+            totals={"zone_locations": (F.sum, F.col("Total_locs"))},
         ),
         hot_groups(drops, GROUP, hot_rows),
     )
