@@ -173,6 +173,17 @@ def test_rejected_scenarios(spark):
         Scenario(3840, 2, method="Pallet")
 
 
+def test_unknown_columns_pass_through_whatever_their_name(spark):
+    source = table(spark, [sized_row("a", 5), row("p", TotalNumberofPallets=4)]).selectExpr(
+        "*", "'n' AS `Store Notes`", "7 AS UDC", "8 AS method", "9 AS vcp", "'old' AS wave_id", "1.5 AS Ht"
+    )
+    plan = plan_waves(source, Scenario(3840, 2))
+    found = plan.assigned.collect()
+    assert {(r["Store Notes"], r.UDC, r.method, r.vcp, float(r.Ht)) for r in found} == {("n", 7, 8, 9, 1.5)}
+    assert {r.wave_id for r in found} == {"W1"} and plan.assigned.columns.count("wave_id") == 1
+    assert plan.wave_summary.count() == 1
+
+
 def test_own_aisles(spark):
     own = aisles(spark).filter("UDC = 3842").withColumn("UDC", F.lit(7))
     assert [r.carton_locations for r in capacities(spark, [Scenario(7, 2)], own).collect()] == [492]

@@ -12,6 +12,7 @@ from waveplan.operators.running import cut, hot_groups, over_groups, running_tot
 from waveplan.plans.catalog import QUERIES, SCENARIOS
 from waveplan.plans.scenarios import scenario_sweep
 from waveplan.schema import GROUP, release_order
+from waveplan.session import shared_folder, size_shuffles
 from waveplan.sources.star import drops
 
 PLAN = Scenario(3840, 2)
@@ -160,6 +161,33 @@ def test_zone_is_shuffled_once_for_placement(spark, small):
     assert len(re.findall(r"Sort \[drop_id#\d+ ASC NULLS FIRST, UnitSortable#\d+ ASC NULLS FIRST, SSZ#\d+ ASC NULLS FIRST, Method", plan)) == 1
 
 
+def test_summary_adds_no_shuffle_of_rows(spark, small):
+    plan = WavePlan(drops(spark, small), [PLAN])
+    placed, summary = (text_plan(df).count("Exchange hashpartitioning") for df in (plan.placed, plan.wave_summary))
+    assert summary == placed
+
+
+def test_zone_filter_on_the_result_reaches_the_input(spark, small, tmp_path):
+    drops(spark, small).write.parquet(str(tmp_path / "drops"))
+    plan = WavePlan(spark.read.parquet(str(tmp_path / "drops")), [PLAN])
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    text = text_plan(plan.assigned.filter("SSZ = 9 AND drop_id = 1998"))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    # All scans but the one that looks for an item's highest Distro over all zones.
+    assert text.count("EqualTo(SSZ,9)") >= 3 and text.count("EqualTo(drop_id,1998)") == text.count("FileScan")
+
+
+def test_shuffles_are_sized_by_input(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert size_shuffles(spark, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert size_shuffles(spark, 100 * 2**40) == 819200 == int(spark.conf.get(key))
+    spark.conf.unset(key)
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 def test_empty_input(spark):
     empty = table(spark, [])
     assert WavePlan(empty, [PLAN]).wave_summary.isEmpty()

@@ -108,9 +108,11 @@ def prepare(drops: DataFrame) -> DataFrame:
     )
 
 
-def estimate(df: DataFrame, height: str, width: str, length: str) -> DataFrame:
-    """All location columns for a frame that has ``vcp``, ``ssp`` and ``Ratio``."""
-    return with_fit(with_geometry(with_axes(df, height, width, length)))
+def estimate(
+    df: DataFrame, height: str, width: str, length: str, vcp: str = "vcp", ssp: str = "ssp", ratio: str = "Ratio"
+) -> DataFrame:
+    """All location columns for a frame with cartons, loose pieces and their share of a pack."""
+    return with_fit(with_geometry(with_axes(df, height, width, length)), vcp, ssp, ratio)
 
 
 def distro_locations(drops: DataFrame) -> DataFrame:
@@ -124,12 +126,12 @@ def with_distro_locs(drops: DataFrame, into: str = "Total_locs") -> DataFrame:
 
     The estimate is a function of the row alone, so no join is needed to attach it.
     """
-    work = drops.withColumns(
-        {
-            "vcp": F.col("TotalNumberofFullVCPs"),
-            "ssp": F.col("TotalNumberofLooseSSP"),
-            "Ratio": F.try_divide(F.col("TotalNumberofLooseSSP"), F.col("SSPsinVCP")),
-        }
+    share = F.try_divide(F.col("TotalNumberofLooseSSP"), F.col("SSPsinVCP"))
+    sized = estimate(
+        drops.withColumn("_share", share),
+        *("VCPHeight", "VCPWidth", "VCPLength"),
+        vcp="TotalNumberofFullVCPs",
+        ssp="TotalNumberofLooseSSP",
+        ratio="_share",
     )
-    sized = estimate(work, "VCPHeight", "VCPWidth", "VCPLength")
     return sized.select(*[F.col(c) for c in drops.columns], F.col("Total_locs").alias(into))

@@ -110,7 +110,10 @@ def place_rows(
 
 
 def assigned(placed: DataFrame, columns: list[str]) -> DataFrame:
-    """The wave of every row; pallets outside the carton area occupy no locations."""
+    """The wave of every row; pallets outside the carton area occupy no locations.
+
+    ``Method`` stays next to the scenario, because rows are partitioned by it.
+    """
     place = F.col("placement")
     wave = (
         F.when(place == "carton", wave_label("W", F.col("wave_no")))
@@ -122,6 +125,7 @@ def assigned(placed: DataFrame, columns: list[str]) -> DataFrame:
     in_aisle = place.isin("carton", "last", "extra")
     return placed.select(
         *columns,
+        "Method",
         "scenario_id",
         F.when(in_aisle, F.col("Total_locs")).alias("Total_locs"),
         wave.alias("wave_id"),

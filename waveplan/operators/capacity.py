@@ -43,8 +43,7 @@ def scenario_table(spark: SparkSession, scenarios: list[Scenario]) -> DataFrame:
 
 def _lookup(spark: SparkSession, scenarios: list[Scenario], aisles: DataFrame | None) -> DataFrame:
     dim = aisle_table(spark) if aisles is None else aisles
-    # Both sides are parameter tables: the aisles of a few buildings, one row per scenario.
-    return scenario_table(spark, scenarios).join(F.broadcast(dim), ["UDC", "Aisle_No"], "left")
+    return scenario_table(spark, scenarios).join(dim, ["UDC", "Aisle_No"], "left")
 
 
 def capacities(

@@ -15,8 +15,10 @@ SPARE_LOCATIONS = 5
 def wave_summary(assigned: DataFrame) -> DataFrame:
     """Totals per wave; sums over nothing are 0.
 
-    The distinct item count makes Spark aggregate by (wave, item) first, so even one
-    huge wave is spread over the shuffle by item.
+    ``Method`` follows from the scenario, but as a key it lets Spark see that rows are
+    already partitioned by zone, so they are not shuffled again. Where they are not (a
+    plan with sliced zones), the distinct item count makes Spark aggregate by (wave,
+    item) first, so even one huge wave is spread over the shuffle by item.
     """
     on_pallets = F.when(F.col("TotalNumberofPallets") > 0, F.col("TotalNumberofFullVCPs"))
     totals = {
@@ -29,9 +31,10 @@ def wave_summary(assigned: DataFrame) -> DataFrame:
         "Total_dpci": F.countDistinct("DPCI"),
         "Total_CandB_locs": F.sum("Total_locs"),
     }
-    return assigned.groupBy(*GROUP, "scenario_id", "wave_id").agg(
+    summary = assigned.groupBy(*GROUP, "Method", "scenario_id", "wave_id").agg(
         *[F.coalesce(expr, F.lit(0)).alias(name) for name, expr in totals.items()]
     )
+    return summary.drop("Method")
 
 
 def wave_utilisation(summary: DataFrame, capacity: DataFrame) -> DataFrame:

@@ -14,7 +14,10 @@ from waveplan.operators.capacity import Scenario, capacities
 from waveplan.operators.items import RANK_SCOPES, with_item_rank
 from waveplan.operators.quality import accepted
 from waveplan.operators.running import HOT_ROWS, hot_groups
-from waveplan.schema import GROUP
+from waveplan.schema import DROPS, GROUP
+
+RESULTS = ["scenario_id", "Total_locs", "wave_id", "Charging Instructions", "rank"]
+EXTRAS = "_extras"
 
 
 @dataclass(frozen=True)
@@ -36,7 +39,9 @@ class Rules:
 class WavePlan:
     """The intermediate tables of a plan; every one is a lazy DataFrame.
 
-    ``drops`` must hold accepted rows (see ``operators.quality``).
+    ``drops`` must hold accepted rows (see ``operators.quality``). Columns the plan does
+    not know travel as one struct, so that no name of theirs can clash, and come out of
+    ``assigned`` as they were.
     """
 
     drops: DataFrame
@@ -46,6 +51,10 @@ class WavePlan:
 
     def __post_init__(self) -> None:
         spark = self.drops.sparkSession
+        known = {name.lower() for name in [*DROPS.fieldNames(), *RESULTS]}
+        self.extras = [c for c in self.drops.columns if c.lower() not in known]
+        packed = [F.struct(*[F.col(f"`{c}`") for c in self.extras]).alias(EXTRAS)] if self.extras else []
+        self.drops = self.drops.select(*DROPS.fieldNames(), *packed)
         self.capacity = capacities(spark, self.scenarios, self.aisles, self.rules.fix_level_a)
         self.methods = sorted({s.method for s in self.scenarios})
         # Pallet items of a zone are never more than its rows, so one check serves both.
@@ -78,13 +87,23 @@ class WavePlan:
             one_per_method=len(self.methods) == len(self.scenarios),
         )
 
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return assign.assigned(self.placed, self.drops.columns)
+
     @cached_property
     def assigned(self) -> DataFrame:
         """Every row once per scenario with wave, locations and charging instructions."""
-        rows = assign.assigned(self.placed, self.drops.columns).withColumn(
-            "Charging Instructions", charging_instructions(F.col("VCPHeight"))
+        rows = self._ranked(self._rows) if self.rules.with_rank else self._rows
+        return rows.select(
+            *DROPS.fieldNames(),
+            *[F.col(EXTRAS)[c].alias(c) for c in self.extras],
+            "scenario_id",
+            "Total_locs",
+            "wave_id",
+            *(["rank"] if self.rules.with_rank else []),
+            charging_instructions(F.col("VCPHeight")).alias("Charging Instructions"),
         )
-        return self._ranked(rows) if self.rules.with_rank else rows
 
     def _ranked(self, rows: DataFrame) -> DataFrame:
         keys = RANK_SCOPES[self.rules.rank_scope]
@@ -95,7 +114,7 @@ class WavePlan:
 
     @cached_property
     def wave_summary(self) -> DataFrame:
-        return summary.wave_utilisation(summary.wave_summary(self.assigned), self.capacity)
+        return summary.wave_utilisation(summary.wave_summary(self._rows), self.capacity)
 
 
 def plan_waves(

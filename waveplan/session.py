@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+SHUFFLE_BYTES = 128 * 1024 * 1024
+
+
 def build_session(master: str | None = None, cores: int = 8, **conf: str) -> SparkSession:
     """A session for local runs; on a cluster the submitter's settings apply."""
     builder = (
         SparkSession.builder.appName("waveplan")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     )
     if master:
         builder = (
@@ -26,11 +31,25 @@ def build_session(master: str | None = None, cores: int = 8, **conf: str) -> Spa
             .config("spark.sql.shuffle.partitions", str(cores))
             .config("spark.driver.memory", "12g")
         )
-    for key, value in conf.items():
+    for key, value in {**ADAPTIVE, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Start shuffles with enough partitions for an input of ``input_bytes``.
+
+    Adaptive execution merges partitions that turn out small but never splits one below
+    a window or aggregate, so the number has to be large enough from the start.
+    """
+    for key, value in ADAPTIVE.items():
+        spark.conf.set(key, value)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(usual, -(-input_bytes // SHUFFLE_BYTES))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", wanted)
+    return wanted
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
