@@ -180,7 +180,8 @@ def test_zone_filter_on_the_result_reaches_the_input(spark, small, tmp_path):
 def test_shuffles_are_sized_by_input(spark):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert size_shuffles(spark, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert size_shuffles(spark, 100 * 2**40) == 819200 == int(spark.conf.get(key))
+    assert size_shuffles(spark, 2**40) == 4096 == int(spark.conf.get(key))
+    assert size_shuffles(spark, 100 * 2**40) == 100_000
     spark.conf.unset(key)
 
 

@@ -63,29 +63,27 @@ def with_fit(df: DataFrame, vcp: str = "vcp", ssp: str = "ssp", ratio: str = "Ra
     """Locations for ``vcp`` full cartons plus a loose remainder of ``ratio`` cartons."""
     cartons = F.col(vcp) + flag(F.col(ratio) > LOOSE_BOX_RATIO)
     per_slot, width = F.col("Loc_tot"), F.col("Loc_wt")
-    spare = F.col("Loc_vcp_rmng")
+    spare, slots = F.col("Loc_vcp_rmng"), F.col("Loc_extra")
     more = F.ceil(F.abs(F.try_divide(spare, per_slot)))
+    no_more = F.lit(0).cast("bigint")
+    loose_only = F.col("Loose_ssp_flag") == 1
+    tray_slot = F.lit(1) - F.col("Loc_tray")
     return (
-        df.withColumn("Loc_vcp_rmng", per_slot - cartons)
-        .withColumn(
-            "Loc_extra",
-            width + F.when(spare <= 0, width * more).otherwise(F.lit(0).cast("bigint")),
-        )
-        .withColumn(
-            "Loc_tray",
-            flag((F.col("Loc_extra") * per_slot - cartons) * F.col("Lt") > TRAY_SPACE),
-        )
-        .withColumns(
+        df.withColumns(
             {
-                "Loc_extra_tray": F.lit(1) - F.col("Loc_tray"),
+                "Loc_vcp_rmng": per_slot - cartons,
                 "Loose_ssp_flag": flag((F.col(vcp) == 0) & (F.col(ssp) > 0)),
             }
         )
-        .withColumn(
-            "Total_locs",
-            F.when(
-                F.col("Loose_ssp_flag") == 0, F.col("Loc_extra") + F.col("Loc_extra_tray")
-            ).otherwise(flag(F.col(ratio) > 0).cast("bigint")),
+        .withColumn("Loc_extra", width + F.when(spare <= 0, width * more).otherwise(no_more))
+        .withColumn("Loc_tray", flag((slots * per_slot - cartons) * F.col("Lt") > TRAY_SPACE))
+        .withColumns(
+            {
+                "Loc_extra_tray": tray_slot,
+                "Total_locs": F.when(loose_only, flag(F.col(ratio) > 0).cast("bigint")).otherwise(
+                    slots + tray_slot
+                ),
+            }
         )
     )
 

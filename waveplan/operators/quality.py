@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.schema import DIMENSIONS, QUANTITIES
+from waveplan.session import materialize
 
 KEYS = ["drop_id", "Distro", "SSZ", "DPCI"]
 REASON = "reject_reason"
@@ -41,7 +42,8 @@ def tag(drops: DataFrame, check_duplicates: bool = True) -> DataFrame:
 
     Copies of one key are all set aside, since none can be trusted over the others.
     Repeated keys are counted with a partial aggregate, so a key that fills a third of
-    the table travels as one row per task; the join back carries no copies.
+    the table travels as one row per task. They are written first: Spark then knows
+    their size, and the usual short list is joined without shuffling the rows.
     """
     rows = nan_to_null(drops).withColumn(REASON, row_reason(drops.columns))
     if not check_duplicates:
@@ -52,7 +54,7 @@ def tag(drops: DataFrame, check_duplicates: bool = True) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_copies"))
         .filter(F.col("_copies") > 1)
     )
-    tagged = rows.join(repeated, KEYS, "left")
+    tagged = rows.join(materialize(repeated, "repeated-keys"), KEYS, "left")
     reason = F.coalesce(F.col(REASON), F.when(F.col("_copies").isNotNull(), "duplicate_key"))
     return tagged.select(*[F.col(c) for c in drops.columns], reason.alias(REASON))
 

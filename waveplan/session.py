@@ -15,7 +15,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
-SHUFFLE_BYTES = 128 * 1024 * 1024
+SHUFFLE_BYTES = 256 * 1024 * 1024
+MOST_PARTITIONS = 100_000
 
 
 def build_session(master: str | None = None, cores: int = 8, **conf: str) -> SparkSession:
@@ -45,7 +46,7 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(usual, -(-input_bytes // SHUFFLE_BYTES))
+    wanted = max(usual, min(-(-input_bytes // SHUFFLE_BYTES), MOST_PARTITIONS))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", wanted)
     return wanted
 
