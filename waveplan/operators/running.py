@@ -100,12 +100,17 @@ def _join_same(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(F.broadcast(other), same).drop(*[f"_same_{k}" for k in keys])
 
 
-def hot_groups(rows: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame | None:
+def hot_groups(
+    rows: DataFrame, keys: list[str], limit: int = HOT_ROWS, rows_at_most: int | None = None
+) -> DataFrame | None:
     """Keys of groups above ``limit`` rows with their row counts, or None.
 
     One aggregate with map-side combine and one collected row. The table has at most
-    rows / limit entries.
+    rows / limit entries. A caller that knows a bound on all rows (a stored table's
+    count comes from its file footers) can save the aggregate on small inputs.
     """
+    if rows_at_most is not None and rows_at_most <= limit:
+        return None
     big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")).filter(F.col("group_rows") > limit)
     if big.agg(F.count(F.lit(1))).first()[0] == 0:
         return None

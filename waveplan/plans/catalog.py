@@ -18,7 +18,7 @@ from waveplan.plans.scenarios import all_scenarios, scenario_best, scenario_swee
 from waveplan.schema import GROUP, ITEM, release_order
 from waveplan.sinks import export_columns
 from waveplan.sources.aisles import aisles
-from waveplan.sources.star import FAULTY_COLUMNS, drops
+from waveplan.sources.star import FAULTY_COLUMNS, drops, rows_at_most
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +41,7 @@ DATES = (datetime(1996, 3, 1), datetime(1998, 9, 30))
 
 
 def _plan(spark: SparkSession, sf_dir: str, scenarios: list[Scenario]) -> WavePlan:
-    return WavePlan(drops(spark, sf_dir), scenarios)
+    return WavePlan(drops(spark, sf_dir), scenarios, rows_at_most=rows_at_most(spark, sf_dir))
 
 
 def scan_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,13 +119,13 @@ def dpci_locs_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dpci_first_distro(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drops(spark, sf_dir)
-    hot = hot_groups(rows, items.RANK_SCOPES["all_zones"])
+    hot = hot_groups(rows, items.RANK_SCOPES["all_zones"], rows_at_most=rows_at_most(spark, sf_dir))
     return items.first_distro_masked(rows, hot=hot).select("Distro", *ITEM, "rank", "Total_locs")
 
 
 def dpci_first_distro_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drops(spark, sf_dir)
-    hot = hot_groups(rows, items.RANK_SCOPES["zone"])
+    hot = hot_groups(rows, items.RANK_SCOPES["zone"], rows_at_most=rows_at_most(spark, sf_dir))
     return items.first_distro_masked(rows, "zone", hot).select("Distro", *ITEM, "rank", "Total_locs")
 
 
@@ -144,7 +144,8 @@ def capacity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carton_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drops(spark, sf_dir)
     sized = cartons.sized_cartons(rows, ["Distro"])
-    running = cartons.carton_running(sized, hot_groups(rows, GROUP))
+    hot = hot_groups(rows, GROUP, rows_at_most=rows_at_most(spark, sf_dir))
+    running = cartons.carton_running(sized, hot)
     return running.select("Distro", *GROUP, "Total_locs", "wave_cum_locations")
 
 
@@ -242,7 +243,9 @@ def wave_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenario_sweep(drops(spark, sf_dir), all_scenarios())
+    return scenario_sweep(
+        drops(spark, sf_dir), all_scenarios(), rows_at_most=rows_at_most(spark, sf_dir)
+    )
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:

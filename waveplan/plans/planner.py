@@ -41,13 +41,14 @@ class WavePlan:
 
     ``drops`` must hold accepted rows (see ``operators.quality``). Columns the plan does
     not know travel as one struct, so that no name of theirs can clash, and come out of
-    ``assigned`` as they were.
+    ``assigned`` as they were. ``rows_at_most`` is an optional bound on the row count.
     """
 
     drops: DataFrame
     scenarios: list[Scenario]
     aisles: DataFrame | None = None
     rules: Rules = field(default_factory=Rules)
+    rows_at_most: int | None = None
 
     def __post_init__(self) -> None:
         spark = self.drops.sparkSession
@@ -58,7 +59,7 @@ class WavePlan:
         self.capacity = capacities(spark, self.scenarios, self.aisles, self.rules.fix_level_a)
         self.methods = sorted({s.method for s in self.scenarios})
         # Pallet items of a zone are never more than its rows, so one check serves both.
-        self.hot = hot_groups(self.drops, GROUP, self.rules.hot_rows)
+        self.hot = hot_groups(self.drops, GROUP, self.rules.hot_rows, self.rows_at_most)
 
     @cached_property
     def sized_cartons(self) -> DataFrame:
@@ -107,7 +108,7 @@ class WavePlan:
 
     def _ranked(self, rows: DataFrame) -> DataFrame:
         keys = RANK_SCOPES[self.rules.rank_scope]
-        hot = hot_groups(self.drops, keys, self.rules.hot_rows)
+        hot = hot_groups(self.drops, keys, self.rules.hot_rows, self.rows_at_most)
         key = [*GROUP, "DPCI", "Distro"]
         ranks = with_item_rank(self.drops, self.rules.rank_scope, hot).select(*key, "rank")
         return rows.join(ranks, key, "left")

@@ -32,6 +32,7 @@ def scenario_sweep(
     aisles: DataFrame | None = None,
     rank_scope: str = "all_zones",
     hot_rows: int = HOT_ROWS,
+    rows_at_most: int | None = None,
 ) -> DataFrame:
     """Waves and last-wave fill per zone and scenario, in one pass over the rows.
 
@@ -50,7 +51,7 @@ def scenario_sweep(
             running={"wave_cum_locations": (F.sum, F.col("Total_locs"))},
             totals={"zone_locations": (F.sum, F.col("Total_locs"))},
         ),
-        hot_groups(drops, GROUP, hot_rows),
+        hot_groups(drops, GROUP, hot_rows, rows_at_most),
     )
     return _per_scenario(_last_wave_starts(running, _wave_sizes(capacity)), capacity)
 

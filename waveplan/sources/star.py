@@ -65,3 +65,8 @@ def drops(spark: SparkSession, sf_dir: str, columns: dict[str, str] = DROP_COLUM
     return lines.join(parts, lines.l_partkey == parts.p_partkey).selectExpr(
         *[f"{expr} AS {name}" for name, expr in columns.items()]
     )
+
+
+def rows_at_most(spark: SparkSession, sf_dir: str) -> int:
+    """Order lines on file, read from the footers; every line meets at most one part."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
