@@ -22,7 +22,7 @@ Aggregate = Callable[[Column | str], Column]
 Facts = dict[str, tuple[Aggregate, Column]]
 
 HOT_ROWS = 1_000_000
-MAX_SLICES = 20_000
+MAX_SLICES = 10_000
 
 
 @dataclass(frozen=True)
