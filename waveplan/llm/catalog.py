@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waveplan.llm.language import op3_language
+from waveplan.llm.mixing import op7_mixing
+from waveplan.llm.packing import op6_packing
+from waveplan.llm.quality import op4_quality
+from waveplan.llm.scoring import op10_scoring
 from waveplan.llm.substring import OP1_SQL, op1_substring_dedup
+from waveplan.llm.topk import OP2_SQL, op2_topk
+from waveplan.llm.warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_topk": op2_topk,
+    "op3_language": op3_language,
+    "op4_quality": op4_quality,
+    "op6_packing": op6_packing,
+    "op7_mixing": op7_mixing,
+    "op9_warc": op9_warc,
+    "op10_scoring": op10_scoring,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_topk": OP2_SQL,
+    "op9_warc": OP9_SQL,
 }

@@ -15,7 +15,7 @@ import pyarrow as pa
 #: Bytes looked at together while splitting; bounds the temporary arrays.
 PIECE = 1 << 20
 #: Bytes of text worked on together; a longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -136,3 +136,9 @@ def split(texts: pa.Array, lower: bool = False, named: bool = True) -> Words:
     return Words(
         data, offsets, start, join(ends, np.int64), join(names, np.uint64), np.searchsorted(start, offsets)
     )
+
+
+def name_of(word: bytes) -> np.uint64:
+    """The name that split() gives this word."""
+    terms = _BYTE[np.frombuffer(word, np.uint8)] * power_table(len(word))[: len(word)]
+    return mix(np.array([terms.sum(dtype=np.uint64)]) + np.uint64(len(word)))[0]
