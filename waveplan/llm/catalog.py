@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waveplan.llm.language import op3_language
 from waveplan.llm.mixing import op7_mixing
+from waveplan.llm.neardup import op5_neardup
 from waveplan.llm.packing import op6_packing
 from waveplan.llm.quality import op4_quality
 from waveplan.llm.scoring import op10_scoring
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_language": op3_language,
     "op4_quality": op4_quality,
+    "op5_neardup": op5_neardup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op9_warc": op9_warc,

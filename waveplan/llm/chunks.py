@@ -7,6 +7,8 @@ in a third of all documents arrives once from each chunk, not once from each doc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,3 +85,31 @@ def heads(*columns: np.ndarray) -> np.ndarray:
     for x in columns:
         out[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(out)
+
+
+SLICED = "slice long, sums binary"
+_SLICES = 16
+
+
+def sliced(numbers: np.ndarray) -> pa.RecordBatch:
+    """An array of fixed size, cut up to be added to those of other tasks."""
+    parts = np.array_split(numbers.astype(np.float32).ravel(), _SLICES)
+    return pa.RecordBatch.from_pydict({"slice": list(range(_SLICES)), "sums": [p.tobytes() for p in parts]})
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the slices that came to this task, one sum held for each."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, part in zip(batch["slice"].to_pylist(), batch["sums"].to_pylist()):
+            own = np.frombuffer(part, np.float32)
+            sums[k] = sums[k] + own if k in sums else own
+    if sums:
+        yield pa.RecordBatch.from_pydict({"slice": list(sums), "sums": [x.tobytes() for x in sums.values()]})
+
+
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' arrays of ``size`` numbers (a fixed number, whatever the input)."""
+    rows = parts.repartition(_SLICES, "slice").mapInArrow(_total, SLICED).collect()
+    sums = {r["slice"]: np.frombuffer(r["sums"], np.float32) for r in rows}
+    return np.concatenate([sums[k] for k in range(_SLICES)]) if sums else np.zeros(size, np.float32)
