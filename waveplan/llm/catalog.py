@@ -10,6 +10,7 @@ from waveplan.llm.language import op3_language
 from waveplan.llm.mixing import op7_mixing
 from waveplan.llm.neardup import op5_neardup
 from waveplan.llm.packing import op6_packing
+from waveplan.llm.pii import op8_pii
 from waveplan.llm.quality import op4_quality
 from waveplan.llm.scoring import op10_scoring
 from waveplan.llm.substring import OP1_SQL, op1_substring_dedup
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_neardup": op5_neardup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_scoring": op10_scoring,
 }
