@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waveplan.llm.store import part_of, read
+from waveplan.llm.store import part_of, read, small_batches
 from waveplan.llm.words import raw, slices
 
 WINDOW = 256
@@ -37,7 +37,7 @@ SAMPLE_BYTES = 1 << 16
 EPOCHS = 8
 BATCH = 128
 UNKNOWN = "und"
-_AT_ONCE = 256
+_AT_ONCE = 64
 _RESULT = "id long, held_out boolean, lang_pred string, score double"
 
 
@@ -180,6 +180,7 @@ def _predict(net: Network | None):
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     own = docs.select(
         F.col("doc_id").cast("long").alias("id"),

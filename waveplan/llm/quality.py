@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waveplan.llm.store import read
+from waveplan.llm.store import read, small_batches
 from waveplan.llm.words import IS_WORD, Words, mix, slices, split
 
 BITS = 18
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 1 << 16
-STEPS = 150
+STEPS = 80
 THRESHOLD = 0.5
 LEAST_WORDS = 50
 SCALE = 20.0
@@ -158,17 +158,18 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 4) -> Model | None:
     y = np.asarray(labels, float)
     if len(y) < 6 or y.min() == y.max():
         return None
-    words = split(pa.array(texts, pa.string()))
     rows, slots, values = [], [], []
-    for slot, edges in grams(words):
-        n = np.diff(edges)
-        code = np.repeat(np.arange(len(y)), n).astype(np.int64) << BITS | slot
-        code, times = np.unique(code, return_counts=True)
-        row = code >> BITS
-        rows.append(row)
-        slots.append(code & ((1 << BITS) - 1))
-        values.append(SCALE * times / n[row])
-    row, slot, value = np.concatenate(rows), np.concatenate(slots), np.concatenate(values).astype(np.float32)
+    column = pa.array(texts, pa.string())
+    for i, j in slices(column):
+        for slot, edges in grams(split(column.slice(i, j - i))):
+            n = np.diff(edges)
+            code = np.repeat(np.arange(j - i), n).astype(np.int64) << BITS | slot
+            code, times = np.unique(code, return_counts=True)
+            row = code >> BITS
+            rows.append((row + i).astype(np.int32))
+            slots.append((code & ((1 << BITS) - 1)).astype(np.int32))
+            values.append((SCALE * times / n[row]).astype(np.float32))
+    row, slot, value = np.concatenate(rows), np.concatenate(slots), np.concatenate(values)
     held = np.arange(len(y)) % 3 == 2
     if min(y[held].sum(), (~held & (y > 0)).sum(), (held & (y == 0)).sum(), (~held & (y == 0)).sum()) == 0:
         held[:] = False
@@ -224,6 +225,7 @@ def judge_quality(
     docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the counts, p_good, base_failed and kept."""
+    small_batches(docs.sparkSession)
     model = train(*sample(docs, labels, rows, size))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     out = own.mapInArrow(_judge(model), _RESULT).withColumnRenamed("id", "doc_id")

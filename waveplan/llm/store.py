@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 from waveplan.session import shared_folder
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch, as texts are long; a value the user has set stays.
+_BATCH_ROWS = 1024
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, _BATCH_ROWS)
+
+
 class Run:
     """A folder of its own for the intermediate tables of one call.
 
@@ -20,6 +28,7 @@ class Run:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
