@@ -40,6 +40,7 @@ MOST_SHARDS = 1 << 16
 SAMPLE_IDS = 1 << 17
 ROLL_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
+_READ = 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard long, records long, bytes long, sha256 string"
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -210,10 +211,16 @@ def write_archive(
 
 def parse(body: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of every record of an archive file."""
-    while body:
-        member = zlib.decompressobj(31)
-        plain = member.decompress(body)
-        body = member.unused_data
+    view, at = memoryview(body), 0
+    while at < len(body):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(body):
+                raise ValueError("an archive file ends inside a record")
+            parts.append(member.decompress(view[at : at + _READ]))
+            at += _READ
+        at = min(at, len(body)) - len(member.unused_data)
+        plain = b"".join(parts)
         head, _, rest = plain.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = rest[: int(fields["Content-Length"])]
