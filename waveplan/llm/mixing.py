@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.llm.store import Run, read
@@ -106,16 +106,20 @@ def _settle(seed: int):
     return settle
 
 
+def words() -> Column:
+    """Words of the column text."""
+    return F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES, cell: int = CELL, seed: int = SEED
 ) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, copies."""
     spark = docs.sparkSession
     run = Run(spark, "mixing")
-    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     sized = run.keep(
         docs.select(
-            F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("size")
+            F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), words().alias("size")
         ),
         "sized",
     )
@@ -127,7 +131,7 @@ def mix_sources(
     settled, step = [], 0
     while True:
         cells = left.groupBy("number").agg(F.ceil(F.count("*") / cell).alias("cells"))
-        where = F.coalesce(F.pmod(F.xxhash64("id", F.lit(seed + step)), F.col("cells")), F.lit(0))
+        where = F.coalesce(F.pmod(F.xxhash64("id", "size", F.lit(seed + step)), F.col("cells")), F.lit(0))
         dealt = left.drop("cells", "cell").join(cells, "number").withColumn("cell", where).select(*_UNIT_COLUMNS)
         moved = run.keep(dealt.groupBy("number", "cells", "cell").applyInArrow(_settle(seed + step), _UNIT), f"units{step}")
         settled.append(moved.filter("done"))
@@ -143,6 +147,31 @@ def mix_sources(
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as often as the mix takes it.
+
+    Rows alike in id, source and size get the numbers of copies of that kind in order.
+    """
+    run = Run(docs.sparkSession, "mixed")
+    key = ["_id", "_source", "_size"]
+    taken = mix_sources(docs).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
+    )
+    taken = taken.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("_copies")))
+    taken = run.keep(taken.filter("_copies > 0"), "taken")
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), words().alias("_size"),
+        F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in ("text", "lang") if c in docs.columns]).alias("_order"),
+    )
+    own = own.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("_order")))
+    same = F.lit(True)
+    for c in (*key, "_place"):
+        same = same & own[c].eqNullSafe(taken[c])
+    met = own.join(taken, same).select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+    return met.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix_sources(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

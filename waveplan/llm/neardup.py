@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.llm import chunks
@@ -301,5 +301,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     )
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each class, that of its smallest id; rows with a null id all stay."""
+    order = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]
+    kept = near_duplicates(docs).filter("class_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
+    own = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    own = own.withColumn("_place", place).filter("_place = 1").drop("_place")
+    return own.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def op5_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

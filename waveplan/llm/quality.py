@@ -233,6 +233,28 @@ def judge_quality(
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
+def _keep(model: Model | None, threshold: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch["text"].cast(pa.string())
+            for i, j in slices(text):
+                part = text.slice(i, j - i)
+                words = split(part)
+                own = counts(part, words)
+                good = (own["n_words"] >= LEAST_WORDS) & (100 * own["n_repeat_words"] <= 50 * own["n_words"])
+                if model:
+                    good &= model.probabilities(words) >= threshold
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return keep
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that judge_quality() keeps."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_keep(train(*sample(docs, labels, SAMPLE_ROWS, SAMPLE_BYTES)), threshold), docs.schema)
+
+
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     out = judge_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select(
