@@ -6,8 +6,8 @@ are moved along the null space of the balancing equations (number of documents,
 words), so that both totals of a source stay as they are while one fraction after the other
 reaches 0 or 1. Documents of a source are dealt to cells by a hash; a cell settles all but
 two of its documents, and those left over meet in the next round's cells, until a source has
-one cell and two documents, which land one by one. Large documents are settled first, so the
-landing moves the total by a small document's words.
+one cell. There a dozen documents of all sizes wait for the landing: with the two that the
+flight leaves, they are rounded so that the words come nearest to the target.
 
 Defined results: a null text has size 0; a null source is a source of its own; rows of one
 id are documents of their own; a source of size 0 has target 0 and takes nothing; an empty
@@ -28,17 +28,22 @@ MOST_COPIES = 3.0
 CELL = 4096
 SEED = 7
 _EPS = 1e-9
+#: Documents of a source that are rounded together in the end.
+_WAIT = 12
 _UNIT = "number int, cells long, cell long, id long, size long, whole long, p double, done boolean"
 _UNIT_COLUMNS = [part.split()[0] for part in _UNIT.split(", ")]
 
 
-def flight(size: np.ndarray, p: np.ndarray, random: np.random.Generator, land: bool) -> np.ndarray:
-    """Move probabilities to 0 or 1; ``land`` settles the last two as well."""
-    p = p.copy()
-    size = size.astype(float)
+def flight(size: np.ndarray, p: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Move all probabilities but two to 0 or 1; their sum and the expected words stay."""
+    p, size = p.copy(), size.astype(float)
     held: list[int] = []
-
-    def move(step: tuple[float, ...]) -> None:
+    for k in np.flatnonzero((p > 0) & (p < 1)).tolist():
+        held.append(k)
+        if len(held) < 3:
+            continue
+        a, b, c = size[held]
+        step = (b - c, c - a, a - b) if not a == b == c else (1.0, -1.0, 0.0)
         up = min([(1 - p[k]) / u if u > 0 else p[k] / -u for k, u in zip(held, step) if u])
         down = min([p[k] / u if u > 0 else (1 - p[k]) / -u for k, u in zip(held, step) if u])
         by = up if random.random() * (up + down) < down else -down
@@ -46,22 +51,32 @@ def flight(size: np.ndarray, p: np.ndarray, random: np.random.Generator, land: b
             p[k] = min(1.0, max(0.0, p[k] + by * u))
             if p[k] < _EPS or p[k] > 1 - _EPS:
                 p[k] = round(p[k])
-        held[:] = [k for k in held if 0 < p[k] < 1]
-
-    for k in np.flatnonzero((p > 0) & (p < 1)).tolist():
-        held.append(k)
-        if len(held) == 3:
-            a, b, c = size[held]
-            move((b - c, c - a, a - b) if not a == b == c else (1.0, -1.0, 0.0))
-    while land and held:
-        if len(held) == 2:
-            a, b = size[held]
-            move((b, -a) if a and b else (1.0, 0.0) if b == 0 else (0.0, 1.0))
-        else:
-            move((1.0,))
+        held = [k for k in held if 0 < p[k] < 1]
     return p
 
 
+def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Round the few probabilities left so that the words, then the documents, come out best."""
+    left = np.flatnonzero((p > 0) & (p < 1))
+    out = p.copy()
+    if len(left):
+        ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        off = ways - p[left]
+        own = size[left].astype(float)
+        out[left] = ways[np.argmin(np.abs(off @ own) + 0.02 * max(own.mean(), 1) * np.abs(off.sum(1)))]
+    return out
+
+
+def settle(size: np.ndarray, p: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Flight, then landing: of the last documents of a source some of every size wait for it."""
+    moving = np.flatnonzero((p > 0) & (p < 1))
+    waits = np.unique(moving[np.linspace(0, len(moving) - 1, min(len(moving), _WAIT)).astype(int)]) if len(moving) else moving
+    flies = np.setdiff1d(moving, waits)
+    out = p.copy()
+    out[flies] = flight(size[flies], p[flies], random)
+    return land(size, out)
+
+
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """One row for each source: number (code point order, null last), documents, size, target.
 
@@ -90,7 +105,7 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIE
 
 
 def _settle(seed: int):
-    def settle(key: tuple, table: pa.Table) -> pa.Table:
+    def settled(key: tuple, table: pa.Table) -> pa.Table:
         number, cells, cell = (k.as_py() for k in key)
         size, ids = table["size"].to_numpy(), table["id"].fill_null(-1).to_numpy()
         spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
@@ -98,12 +113,12 @@ def _settle(seed: int):
         order = np.lexsort((p, ids, spread, -size))
         random = np.random.default_rng([seed, number, cells, cell])
         moved = np.empty(len(p))
-        moved[order] = flight(size[order], p[order], random, cells == 1)
+        moved[order] = (settle if cells == 1 else flight)(size[order], p[order], random)
         done = pa.array((moved == 0) | (moved == 1))
         place = table.schema.get_field_index
         return table.set_column(place("p"), "p", pa.array(moved)).set_column(place("done"), "done", done)
 
-    return settle
+    return settled
 
 
 def words() -> Column:

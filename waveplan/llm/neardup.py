@@ -303,12 +303,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each class, that of its smallest id; rows with a null id all stay."""
-    order = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]
-    kept = near_duplicates(docs).filter("class_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    own = own.withColumn("_place", place).filter("_place = 1").drop("_place")
-    return own.unionByName(docs.filter("doc_id IS NULL"))
+    kept = near_duplicates(docs).filter("class_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    order = [F.col("_row.text"), *[F.col(f"_row.`{c}`").cast("string") for c in docs.columns if c != "text"]]
+    place = F.row_number().over(Window.partitionBy("_id").orderBy(*order))
+    own = own.filter("_id IS NULL").unionByName(
+        own.join(kept, "_id", "left_semi").withColumn("_place", place).filter("_place = 1").drop("_place")
+    )
+    return own.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_neardup(spark, sf_dir: str) -> DataFrame:

@@ -59,21 +59,23 @@ THRESHOLD = 0.5
 LABELERS = ("shape", "words", "context", "mixing", "digits", "variety")
 FEATURES = (*LABELERS, "is_email", "is_phone", "is_id", "long", "cased")
 _BLOCK = 64
+_SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
-def _prefix(lengths: Column) -> Column:
-    """Sums before each element, by blocks, so that long arrays stay cheap."""
-    zero = F.lit(0).cast("long")
-    total = lambda part: F.aggregate(part, zero, lambda a, x: a + x)
-    last = F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))))
-    before = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(blocks, F.lit(1), b)))
+def bound(docs: DataFrame, **named: Column) -> DataFrame:
+    """Adds columns whose values are computed once, here.
+
+    Spark merges a projection into the next one, which would repeat an array's expression for
+    every element of a lambda that uses it, and a filter behind all steps would repeat all of
+    them. A generator of one row keeps the steps apart.
+    """
+    step = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in named.items()])))
+    own = [c for c in docs.columns if c not in named]
+    return docs.select(*own, step.alias("_step")).select(*own, *[F.col(f"_step.{n}").alias(n) for n in named])
 
-    def at(_: Column, i: Column) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        return F.get(before, block) + total(F.slice(lengths, block * _BLOCK + 1, i % _BLOCK))
 
-    return F.when(F.size(lengths) > 0, F.transform(lengths, at)).otherwise(F.array().cast("array<bigint>"))
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def matches(text: Column, pattern: str, needed: Column) -> tuple[Column, Column]:
@@ -83,11 +85,33 @@ def matches(text: Column, pattern: str, needed: Column) -> tuple[Column, Column]
     return F.coalesce(found, F.array().cast("array<string>")), F.coalesce(between, F.array(text))
 
 
-def starts(found: Column, between: Column) -> Column:
-    """Where each match starts, in code points."""
-    lengths = F.transform(found, lambda m, i: (F.length(m) + F.length(F.get(between, i))).cast("long"))
-    before = _prefix(lengths)
-    return F.transform(found, lambda _, i: F.get(before, i) + F.length(F.get(between, i)))
+def with_starts(docs: DataFrame, *names: str) -> DataFrame:
+    """Adds name_s, where each match of name_m starts in code points; name_b is between them.
+
+    Lengths are summed by blocks, so that long arrays stay cheap.
+    """
+    last = lambda n: F.floor((F.size(f"{n}_l") - 1) / _BLOCK).cast("int")
+    block_sum = lambda n: lambda b: _total(F.slice(F.col(f"{n}_l"), b * _BLOCK + 1, F.lit(_BLOCK)))
+    before = lambda n: lambda b: _total(F.slice(F.col(f"{n}_k"), F.lit(1), b))
+    none = F.array().cast("array<bigint>")
+
+    def place(n: str):
+        def at(x: Column, i: Column) -> Column:
+            block = F.floor(i / _BLOCK).cast("int")
+            inside = _total(F.slice(F.col(f"{n}_l"), block * _BLOCK + 1, i % _BLOCK))
+            return F.get(F.col(f"{n}_p"), block) + inside + F.length(x["b"])
+
+        return at
+
+    some = lambda n: F.size(f"{n}_m") > 0
+    pairs = lambda n: F.slice(F.arrays_zip(F.col(f"{n}_m").alias("m"), F.col(f"{n}_b").alias("b")), 1, F.size(f"{n}_m"))
+    long = lambda x: (F.length(x["m"]) + F.length(x["b"])).cast("long")
+    docs = bound(docs, **{f"{n}_z": F.when(some(n), pairs(n)) for n in names})
+    docs = bound(docs, **{f"{n}_l": F.when(some(n), F.transform(f"{n}_z", long)) for n in names})
+    docs = bound(docs, **{f"{n}_k": F.when(some(n), F.transform(F.sequence(F.lit(0), last(n)), block_sum(n))) for n in names})
+    docs = bound(docs, **{f"{n}_p": F.when(some(n), F.transform(F.sequence(F.lit(0), last(n)), before(n))) for n in names})
+    docs = bound(docs, **{f"{n}_s": F.when(some(n), F.transform(f"{n}_z", place(n))).otherwise(none) for n in names})
+    return docs.drop(*[f"{n}_{x}" for n in names for x in "zlkp"])
 
 
 def _digits(m: Column) -> Column:
@@ -127,43 +151,60 @@ def _needed(kind: str, text: Column) -> Column:
     return F.col("_digit") if kind in ("ip", "card") else F.lit(True)
 
 
+def _found(docs: DataFrame) -> DataFrame:
+    """Adds _spans (structs of start, rank, end, kind, valid), sorted."""
+    found = {}
+    for kind in KINDS:
+        found[f"_{kind}_m"], found[f"_{kind}_b"] = matches(F.col("_text"), PATTERNS[kind], _needed(kind, F.col("_text")))
+    out = with_starts(bound(bound(docs, _digit=F.col("_text").rlike("[0-9]")), **found), *[f"_{k}" for k in KINDS])
+    spans = []
+    for order, kind in enumerate(KINDS):
+        both = F.arrays_zip(F.col(f"_{kind}_m").alias("m"), F.col(f"_{kind}_s").alias("s"))
+        own = F.transform(F.filter(both, _right(kind)), _span(kind, order))
+        spans.append(F.when(F.size(f"_{kind}_m") > 0, own).otherwise(F.array().cast(_SPANS)))
+    out = bound(out, _spans=F.concat(*spans))
+    out = bound(out, _spans=F.when(F.size("_spans") > 0, F.array_sort("_spans")).otherwise(F.col("_spans")))
+    return out.drop(*[f"_{k}_{x}" for k in KINDS for x in "mbs"])
+
+
+def _right(kind: str):
+    return lambda x: valid(kind, x["m"])
+
+
 def _span(kind: str, order: int):
-    def span(m: Column, i: Column) -> Column:
-        start = F.get(F.col("_s"), i)
+    def span(x: Column) -> Column:
         return F.struct(
-            start.alias("start"), F.lit(order).alias("rank"), (start + F.length(m)).alias("end"),
-            F.lit(kind).alias("kind"), valid(kind, m).alias("valid"),
+            x["s"].alias("start"), F.lit(order).alias("rank"), (x["s"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind")
         )
 
     return span
 
 
-def _found(docs: DataFrame) -> DataFrame:
-    """Adds _spans (structs of start, order, end, kind), and _masked, the text with blanks there."""
-    out = docs.withColumn("_digit", F.col("_text").rlike("[0-9]")).withColumn("_masked", F.col("_text"))
-    spans = []
-    for order, kind in enumerate(KINDS):
-        found, between = matches(F.col("_text"), PATTERNS[kind], _needed(kind, F.col("_text")))
-        out = out.withColumn("_m", found).withColumn("_b", between)
-        out = out.withColumn("_s", F.when(F.size("_m") > 0, starts(F.col("_m"), F.col("_b"))))
-        own = F.transform(F.col("_m"), _span(kind, order))
-        out = out.withColumn(f"_{kind}", F.filter(own, lambda x: x["valid"])).drop("_m", "_b", "_s")
-        spans.append(f"_{kind}")
-    for kind in KINDS:  # blanks of the same length keep all places; earlier blanks are no matches
-        out = _replaced(out, kind, lambda m: F.repeat(F.lit(" "), F.length(m)))
-    return out.withColumn("_spans", F.array_sort(F.concat(*spans)))
-
-
-def _replaced(docs: DataFrame, kind: str, by) -> DataFrame:
-    """_masked with valid matches of one kind replaced."""
-    found, between = matches(F.col("_masked"), PATTERNS[kind], _needed(kind, F.col("_masked")))
-    out = docs.withColumn("_m", found).withColumn("_b", between)
-    parts = F.transform(
-        F.col("_b"),
-        lambda b, i: F.concat(b, F.coalesce(F.when(valid(kind, F.get(F.col("_m"), i)), by(F.get(F.col("_m"), i))).otherwise(F.get(F.col("_m"), i)), F.lit(""))),
-    )
-    whole = F.when(F.size("_m") > 0, F.array_join(parts, "")).otherwise(F.col("_masked"))
-    return out.withColumn("_masked", whole).drop("_m", "_b")
+def _replaced(docs: DataFrame, by) -> DataFrame:
+    """Adds _masked, the text with the valid matches of one kind after the other replaced."""
+    out = docs.withColumn("_masked", F.col("_text"))
+    for kind in KINDS:
+        found, between = matches(F.col("_masked"), PATTERNS[kind], _needed(kind, F.col("_masked")))
+        out = bound(out, _m=found, _b=between)
+        parts = F.transform(F.arrays_zip(F.col("_b").alias("b"), F.col("_m").alias("m")), _swap(kind, by))
+        out = bound(out, _masked=F.when(F.size("_m") > 0, F.array_join(parts, "")).otherwise(F.col("_masked")))
+    return out.drop("_m", "_b")
+
+
+def _swap(kind: str, by):
+    def swap(x: Column) -> Column:
+        other = F.when(valid(kind, x["m"]), by(kind, x["m"])).otherwise(x["m"])
+        return F.concat(x["b"], F.when(x["m"].isNull(), "").otherwise(other))
+
+    return swap
+
+
+def _blanks(kind: str, m: Column) -> Column:
+    return F.repeat(F.lit(" "), F.length(m))
+
+
+def _sign(kind: str, m: Column) -> Column:
+    return F.lit(f"[{kind.upper()}]")
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -189,16 +230,18 @@ def _features(m: Column, before: Column, after: Column) -> list[Column]:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """Adds _c, the candidates of _masked, _cb, what stands between them, and _f, their features."""
+    """Adds _c_m, the candidates of _masked, _c_b, what stands between, and _f, their features."""
     text = F.col("_masked")
     needed = F.col("_digit") | text.rlike(r"[\[(](?:at|AT)[\])]")
     found, between = matches(text, CANDIDATE, needed)
-    out = docs.withColumn("_c", found).withColumn("_cb", between)
+    out = bound(docs, _c_m=found, _c_b=between)
+    behind = F.slice(F.col("_c_b"), F.lit(2), F.size("_c_m"))
+    around = F.arrays_zip(F.col("_c_m").alias("m"), F.col("_c_b").alias("b"), behind.alias("a"))
     features = F.transform(
-        F.col("_c"),
-        lambda m, i: F.array(*[f.cast("int") for f in _features(m, F.right(F.get(F.col("_cb"), i), F.lit(24)), F.left(F.get(F.col("_cb"), i + 1), F.lit(8)))]),
+        F.slice(around, F.lit(1), F.size("_c_m")),
+        lambda x: F.array(*[f.cast("int") for f in _features(x["m"], F.right(x["b"], F.lit(24)), F.left(x["a"], F.lit(8)))]),
     )
-    return out.withColumn("_f", F.when(F.size("_c") > 0, features).otherwise(F.array().cast("array<array<int>>")))
+    return bound(out, _f=F.when(F.size("_c_m") > 0, features).otherwise(F.array().cast("array<array<int>>")))
 
 
 @dataclass
@@ -269,36 +312,33 @@ def _prepared(docs: DataFrame, text_col: str) -> DataFrame:
 
 def learn(docs: DataFrame, text_col: str = "text") -> Classifier | None:
     """Count feature patterns over all documents and train on them."""
-    own = _candidates(_found(_prepared(docs.select(F.col(text_col).alias("text")), "text")))
-    # explode() would add a filter on the array, which Spark copies into every step below
-    rows = own.select(F.explode_outer("_f").alias("f")).groupBy("f").count().orderBy("f").collect()
-    return fit([(tuple(r["f"]), r["count"]) for r in rows if r["f"] is not None])
+    own = _prepared(docs.select(F.col(text_col).alias("text")), "text")
+    own = _candidates(_replaced(bound(own, _digit=F.col("_text").rlike("[0-9]")), _blanks))
+    rows = own.select(F.explode("_f").alias("f")).groupBy("f").count().orderBy("f").collect()
+    return fit([(tuple(r["f"]), r["count"]) for r in rows])
 
 
 def find(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and spans (arrays of start, end and kind) of every row.
-
-    To filter on the spans, write the result first: a pushed-down filter repeats all steps.
-    """
+    """doc_id, base and spans (arrays of start, end and kind) of every row."""
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     own = _found(_prepared(own, "text"))
-    plain = lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["end"], x["kind"]))
-    base = plain(F.col("_spans"))
     if model is None:
-        return own.select(F.col("_id").alias("doc_id"), base.alias("base"), base.alias("spans"))
-    own = _candidates(own)
-    own = own.withColumn("_cs", F.when(F.size("_c") > 0, starts(F.col("_c"), F.col("_cb"))))
+        return own.select(F.col("_id").alias("doc_id"), _plain("_spans").alias("base"), _plain("_spans").alias("spans"))
+    own = with_starts(_candidates(_replaced(own, _blanks)), "_c")
+    both = F.arrays_zip(F.col("_c_m").alias("m"), F.col("_c_s").alias("s"), F.col("_f").alias("f"))
     added = F.transform(
-        F.col("_c"),
-        lambda m, i: F.struct(
-            F.get(F.col("_cs"), i).alias("start"), _rank(F.get(F.col("_f"), i)).alias("rank"),
-            (F.get(F.col("_cs"), i) + F.length(m)).alias("end"), _kind(F.get(F.col("_f"), i)).alias("kind"),
-            model.positive(F.get(F.col("_f"), i)).alias("valid"),
+        F.filter(both, lambda x: model.positive(x["f"])),
+        lambda x: F.struct(
+            x["s"].alias("start"), _rank(x["f"]).alias("rank"), (x["s"] + F.length(x["m"])).alias("end"), _kind(x["f"]).alias("kind")
         ),
-    )
-    own = own.withColumn("_added", F.when(F.size("_c") > 0, F.filter(added, lambda x: x["valid"])))
-    every = F.when(F.size("_added") > 0, F.array_sort(F.concat("_spans", "_added"))).otherwise(F.col("_spans"))
-    return own.select(F.col("_id").alias("doc_id"), base.alias("base"), plain(every).alias("spans"))
+    )
+    every = F.when(F.size("_c_m") > 0, F.array_sort(F.concat("_spans", added))).otherwise(F.col("_spans"))
+    own = bound(own, _all=every)
+    return own.select(F.col("_id").alias("doc_id"), _plain("_spans").alias("base"), _plain("_all").alias("spans"))
+
+
+def _plain(spans: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"], x["end"], x["kind"]))
 
 
 def _rank(f: Column) -> Column:
@@ -317,24 +357,17 @@ def redact(docs: DataFrame, model: Classifier | None, text_col: str = "text") ->
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
     own = _prepared(packed.withColumn("_raw", F.col(f"_row.`{text_col}`")), "_raw")
-    own = own.withColumn("_digit", F.col("_text").rlike("[0-9]")).withColumn("_masked", F.col("_text"))
-    for kind in KINDS:
-        sign = F.lit(f"[{kind.upper()}]")
-        own = _replaced(own, kind, lambda _, sign=sign: sign)
+    own = _replaced(bound(own, _digit=F.col("_text").rlike("[0-9]")), _sign)
     if model is not None:
         own = _candidates(own)
-        parts = F.transform(
-            F.col("_cb"),
-            lambda b, i: F.concat(
-                b,
-                F.coalesce(
-                    F.when(model.positive(F.get(F.col("_f"), i)), F.concat(F.lit("["), F.upper(_kind(F.get(F.col("_f"), i))), F.lit("]")))
-                    .otherwise(F.get(F.col("_c"), i)),
-                    F.lit(""),
-                ),
-            ),
-        )
-        own = own.withColumn("_masked", F.when(F.size("_c") > 0, F.array_join(parts, "")).otherwise(F.col("_masked")))
+        several = F.arrays_zip(F.col("_c_b").alias("b"), F.col("_c_m").alias("m"), F.col("_f").alias("f"))
+
+        def part(x: Column) -> Column:
+            sign = F.concat(F.lit("["), F.upper(_kind(x["f"])), F.lit("]"))
+            return F.concat(x["b"], F.when(x["m"].isNull(), "").when(model.positive(x["f"]), sign).otherwise(x["m"]))
+
+        whole = F.array_join(F.transform(several, part), "")
+        own = bound(own, _masked=F.when(F.size("_c_m") > 0, whole).otherwise(F.col("_masked")))
     text = F.when(F.col("_raw").isNotNull(), F.col("_masked"))
     return own.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in columns])
 
