@@ -46,7 +46,7 @@ def tf_idf(texts):
         for s in {names[w] for w in words(t)}:
             seen[s] = seen.get(s, 0) + 1
     n = sum(bool(words(t)) for t in texts)
-    idf = lambda w: math.log((n + 1) / (seen[names[w]] + 1)) + 1
+    idf = lambda w: 2 - math.log(seen[names[w]] + 1) / math.log(n + 1)
 
     def weight(shingle, text):
         own = words(text)

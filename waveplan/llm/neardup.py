@@ -10,11 +10,11 @@ Jaccard similarity of their shingles, sum of minima over sum of maxima, is 0.8 o
 2. Each node draws ``BANDS * ROWS`` consistent weighted samples; ROWS of them make a band's
    key, and nodes that share a band's key are candidates. At similarity 0.8, one in 1,200
    pairs shares none of the keys.
-3. In each bucket (band, key) one node, picked by a hash that differs by band, is the centre
-   that the others are compared with: as many comparisons as members, not pairs of members.
+3. In each bucket (band, key) the node that meets most others in all its buckets is the
+   centre that they are compared with: as many comparisons as members, not pairs of members.
    A node first meets the centre it shares most bands with; then it meets its other centres,
-   where links so far don't join them yet. Buckets whose members still are in several
-   classes get new centres, until a round finds no link.
+   where links so far don't join them yet. Nodes that share two buckets, each still with
+   members of several classes, are compared around new centres, until a round finds no link.
 4. Classes are the connected components of the links; a class is named by its smallest id.
 
 Defined results: texts without words (null, empty, blank) are classes of their own, as are
@@ -79,7 +79,13 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def inverse_frequencies(frequencies: np.ndarray) -> np.ndarray:
-    return (np.log((frequencies[-1] + 1) / (np.minimum(frequencies[:-1], frequencies[-1]) + 1)) + 1).astype(np.float32)
+    """1 for a word in every text to 2 for a word in none, by the logarithm of its frequency.
+
+    Scaled, as in a large group of copies shared words are frequent by the group itself and
+    a rare word put in would otherwise outweigh them.
+    """
+    n = frequencies[-1]
+    return (2 - np.log(np.minimum(frequencies[:-1], n) + 1) / np.log(max(n, 1) + 1)).astype(np.float32)
 
 
 def shingles(words: Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,25 +212,29 @@ def _verify(idf: np.ndarray, least: float):
 def components(run: Run, links: DataFrame, name: str) -> DataFrame:
     """id and label (smallest id of its component) of every node of the links (a, b).
 
-    Labels pass over links and then to their label's label; every round is written down, and
-    the rounds end when no label falls.
+    Each round a node takes the smallest label among its own, its neighbours' and its label's
+    label. Every round is written down; they end when no label falls.
     """
     both = run.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-links")
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label"))
     labels, step = run.keep(labels, f"{name}-0"), 0
     while True:
         step += 1
-        beside = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("low"))
-        low = labels.join(beside, labels["id"] == beside["a"]).select(
-            "id", F.col("label").alias("was"), F.least("label", "low").alias("label")
-        )
-        low = run.keep(low, f"{name}-low{step}")
-        up = low.select(F.col("id").alias("at"), F.col("label").alias("next"))
-        jumped = low.join(up, low["label"] == up["at"]).select("id", "was", F.least("label", "next").alias("label"))
-        after = run.keep(jumped, f"{name}-{step}")
-        if after.filter("label < was").isEmpty():
-            return after.select("id", "label")
+        of = labels.select(F.col("id").alias("b"), "label")
+        beside = both.join(of, "b").groupBy("a").agg(F.min("label").alias("low"))
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        after = labels.join(up, "label").join(beside, F.col("id") == F.col("a"))
+        after = after.select("id", F.col("label").alias("was"), F.least("next", "low").alias("label"))
+        after = run.keep(after, f"{name}-{step}")
         labels = after.select("id", "label")
+        if after.filter("label < was").isEmpty():
+            return labels
+
+
+def _central(members: DataFrame, name: str) -> DataFrame:
+    """The node of each bucket that meets most others: one near the middle of its copies."""
+    order = F.struct(F.col("weight"), F.xxhash64(name).alias("h"), F.col(name).alias(name))
+    return members.groupBy("band", "key").agg(F.max(order).getField(name).alias(name))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -239,56 +249,73 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = some.groupBy("mark1", "mark2").agg(F.min(F.struct("id", "bands")).alias("one"))
     nodes = run.keep(nodes.select("mark1", "mark2", F.col("one.id").alias("node"), F.col("one.bands").alias("bands")), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    spread = F.xxhash64("node", "band")
-    pick = F.min(F.struct(spread.alias("h"), F.col("node"))).getField("node")
-    # a bucket's members, its first centre; buckets of one are gone
-    centres = buckets.groupBy("band", "key").agg(pick.alias("centre"), F.min("node").alias("low"), F.max("node").alias("high"))
-    members = buckets.join(centres.filter("low < high").drop("low", "high"), ["band", "key"])
+    # members of buckets with two nodes or more; a node's weight: whom it meets in all its buckets
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = run.keep(buckets.join(sizes, ["band", "key"]), "met")
+    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = met.drop("size").join(weights, "node")
+    members = members.join(_central(members, "node").withColumnRenamed("node", "centre"), ["band", "key"])
     members = run.keep(members, "members")
-    texts = own.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    run.drop("met")
+    # texts are joined in one way at every size: shuffled, never with a broadcast side
+    texts = own.join(members.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
     texts = run.keep(texts, "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        met = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        met = met.select("a", "b", "text_a", "text_b")
         linked = met.mapInArrow(_verify(idf, least), "a long, b long, linked boolean")
         return run.keep(linked.filter("linked").select("a", "b").distinct(), name)
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs whose ends are not in one component yet."""
+        """Pairs whose ends are not in one class yet, as pairs with their labels la and lb."""
         a = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
         b = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        joined = pairs.join(a, "a", "left").join(b, "b", "left")
-        return joined.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        joined = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("la", F.coalesce("la", "a"))
+        return joined.withColumn("lb", F.coalesce("lb", "b")).filter("la != lb").select("a", "b", "la", "lb")
+
+    def joined(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Labels after the classes at the ends of the links have become one."""
+        classes = apart(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        merged = components(run, classes, name).select(F.col("id").alias("label"), F.col("label").alias("new"))
+        after = labels.join(merged, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+        return run.keep(after, f"{name}-labels")
 
     pairs = members.filter("node != centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).count()
     pairs = run.keep(pairs, "pairs")
     best = pairs.groupBy("a").agg(F.max(F.struct("count", "b")).alias("one")).select("a", F.col("one.b").alias("b"))
     links = verified(best, "links0")
-    labels = components(run, links, "parts0")
-    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), labels)
-    links = links.union(verified(run.keep(rest, "rest"), "links1"))
-    labels, step = components(run, links, "parts1"), 1
-    open_buckets = members.select("band", "key", F.col("node").alias("id"))
-    tried = members.select("band", "key", F.col("centre").alias("id")).distinct()
+    first = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), first)
+    links = links.union(verified(rest, "links1"))
+    alone = members.select(F.col("node").alias("id")).distinct().withColumn("label", F.col("id"))
+    labels = joined(run.keep(alone, "alone"), links, "classes1")
+    # what is left are buckets that hold several classes, by a passage that many texts share, say:
+    # nodes that share two such buckets are compared once more, around new centres
+    several = members.select("band", "key", "weight", F.col("node").alias("id")).join(labels, "id")
+    mixed = several.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    held = several.join(mixed.select("band", "key"), ["band", "key"]).groupBy("id", "weight")
+    held = held.agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("held"))  # at most BANDS of them
+    twos = F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.lit(BANDS)), lambda y: F.xxhash64(x["band"], x["key"], y["band"], y["key"])))
+    open_buckets = run.keep(held.select("id", "weight", F.explode(F.flatten(twos)).alias("key")).withColumn("band", F.lit(-1)), "twos")
+    tried, step = open_buckets.select("band", "key", "id").limit(0), 1
     while True:
-        # buckets in several classes: the next centre is of a class that has had none
+        # the next centre of a bucket is of a class that has had none
         step += 1
-        now = open_buckets.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
-        had = tried.join(labels, "id", "left").select("band", "key", F.coalesce("label", "id").alias("label")).distinct()
-        now = run.keep(now.join(had, ["band", "key", "label"], "left_anti"), f"open{step}")
-        pick = F.min(F.struct(F.xxhash64("id", "band").alias("h"), F.col("id"))).getField("id")
-        fresh = now.groupBy("band", "key").agg(pick.alias("id"))
+        had = tried.join(labels, "id").select("band", "key", "label").distinct()
+        now = open_buckets.join(labels, "id").join(had, ["band", "key", "label"], "left_anti")
+        now = run.keep(now, f"open{step}")
+        fresh = _central(now, "id")
         new = now.join(fresh.withColumnRenamed("id", "centre"), ["band", "key"]).filter("id != centre")
-        new = run.keep(apart(new.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), labels), f"new{step}")
-        found = verified(new, f"links{step}")
+        new = apart(new.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), labels)
+        found = verified(run.keep(new, f"new{step}"), f"links{step}")
         if found.isEmpty():
             break
-        links = links.union(found)
-        labels = components(run, links, f"parts{step}")
+        labels = joined(labels, found, f"classes{step}")
         tried = run.keep(tried.union(fresh.select("band", "key", "id")), f"tried{step}")
-        open_buckets = now.select("band", "key", "id")
+        open_buckets = now.drop("label")
     run.drop("texts", "members")
     known = nodes.select("mark1", "mark2", "node").join(labels, F.col("node") == F.col("id"), "left")
     known = known.select("mark1", "mark2", "node", F.coalesce("label", "node").alias("class"))
