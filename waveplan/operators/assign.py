@@ -1,20 +1,19 @@
-"""Final waves of carton and pallet rows in one pass over each zone.
+"""Final waves of carton and pallet rows.
 
-Pallet policy depends on where the zone's cartons end. Both kinds of row therefore
-share one ordered group, cartons first: the running carton locations reach the zone's
-total on every pallet row, and the remaining facts are totals of the same group. Rows
-are shuffled and sorted once, and nothing is joined back.
+A carton's wave is a projection of its running sum. Pallet policy depends on where the
+cartons of a zone end under a scenario, a table of zones and scenarios that the pallet rows
+are joined with; only pallets behind that end are summed up again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.functions.text import wave_label
 from waveplan.operators.cartons import RUN, wave_number
 from waveplan.operators.pallets import pallet_wave_number
-from waveplan.operators.running import OrderedGroups, over_groups
+from waveplan.operators.running import CELL_ROWS, Order, running_sum, same_join
 
 # Policy for pallets left after the last carton wave.
 OWN_WAVE_ABOVE = 50
@@ -22,91 +21,47 @@ ROOM_LEFT_BELOW = 0.8
 SHARING_CENTRE = 3840
 
 
-def _is_carton() -> Column:
-    return F.col("TotalNumberofPallets") == 0
-
-
-def zone_order() -> list[Column]:
-    """Cartons in release order, then pallets by storage aisle.
-
-    The leading two are real columns, added by ``place_rows``: an expression here would
-    make every window sort again.
-    """
-    return [
-        F.col("_on_pallet").asc(),
-        F.col("_released").asc_nulls_last(),
-        F.col("Aisle").asc_nulls_last(),
-        F.col("Distro").asc(),
-        F.col("DPCI").asc(),
-    ]
+STORAGE = Order("Aisle", None, "Distro", ("DPCI",))
 
 
 def place_rows(
-    cartons: DataFrame,
+    running: DataFrame,
     pallets: DataFrame,
+    ends: DataFrame,
     capacity: DataFrame,
     methods: list[str],
-    hot: DataFrame | None = None,
-    one_per_method: bool = False,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Every row with its placement facts under every scenario of its method.
 
-    ``cartons`` are sized rows, ``pallets`` rows with their item's running locations.
-    ``placement`` is ``carton``; ``kept`` (pallets beside a carton wave); ``own``
-    (trailing pallets above the limit fill a wave of their own); ``last`` (few, and the
-    last carton wave has room) or ``extra``. A zone without cartons has no last wave,
-    so all its pallets trail.
+    ``running`` are carton rows with their running locations, ``pallets`` rows with their
+    item's, ``ends`` the last waves of zones. ``placement`` is ``carton``; ``kept`` (pallets
+    beside a carton wave); ``own`` (trailing pallets above the limit fill a wave of their own);
+    ``last`` (few, and the last carton wave has room) or ``extra``. A zone without cartons
+    has no last wave, so all its pallets trail.
     """
-    both = cartons.withColumn("pallet_cum_locations", F.lit(None).cast("bigint")).unionByName(
-        pallets.withColumn("Method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    )
-    # With one scenario per method the groups stay as they are; otherwise each scenario
-    # refines them, which keeps the partitioning and costs a sort.
-    keys = RUN if one_per_method else [*RUN, "scenario_id"]
-    locations = F.when(_is_carton(), F.col("Total_locs")).otherwise(0)
-    before = F.col("wave_cum_locations") - F.col("Total_locs")
-    opens_wave = F.ceil(before / F.col("carton_size")) < F.col("wave_no")
-    # On pallet rows the running values stand at the end of the cartons.
-    trailing = ~_is_carton() & (F.col("pallet_wave_no") > F.col("wave_no"))
-    few = trailing & (F.col("trailing_pallets") <= OWN_WAVE_ABOVE)
-    last_fill = F.col("wave_cum_locations") - F.col("wave_start")
-    room = (last_fill < F.col("carton_size") * F.lit(ROOM_LEFT_BELOW)) & (
-        F.col("UDC") == SHARING_CENTRE
-    )
-
-    def steps(zone: OrderedGroups) -> OrderedGroups:
-        return (
-            zone.add({"wave_cum_locations": (F.sum, locations)})
-            .transform(lambda rows: rows.join(F.broadcast(capacity), "Method"), keys)
-            .transform(
-                lambda rows: rows.withColumns(
-                    {"wave_no": wave_number(), "pallet_wave_no": pallet_wave_number()}
-                )
-            )
-            .add(
-                running={
-                    "wave_start": (F.max, F.when(_is_carton(), F.when(opens_wave, before).otherwise(0))),
-                    "trailing_locations": (F.sum, F.when(trailing, F.col("Total_locs"))),
-                },
-                totals={"trailing_pallets": (F.sum, F.when(trailing, F.col("TotalNumberofPallets")))},
-            )
-        )
-
-    ordered = both.withColumns(
-        {
-            "_on_pallet": ~_is_carton(),
-            "_released": F.when(_is_carton(), F.col("AllocationRequestDate")),
-        }
-    )
-    placed = over_groups(ordered, RUN, zone_order(), steps, hot).drop("_on_pallet", "_released")
-    placement = (
-        F.when(_is_carton(), "carton")
-        .when(~trailing, "kept")
-        .when(~few, "own")
-        .when(room, "last")
-        .otherwise("extra")
+    keys = [*RUN, "scenario_id"]
+    # ``capacity`` has one row per scenario passed in.
+    cartons = running.drop("zone_locations").join(F.broadcast(capacity), "Method")
+    cartons = cartons.withColumns({"wave_no": wave_number(), "placement": F.lit("carton")})
+
+    rows = pallets.withColumn("Method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    rows = rows.join(F.broadcast(capacity), "Method").withColumn("pallet_wave_no", pallet_wave_number())
+    last = ends.select(*keys, F.col("n_waves").alias("wave_no"), F.col("last_wave_fill").alias("_fill"))
+    rows = same_join(rows, last, keys, "left").withColumns(
+        {"wave_no": F.coalesce("wave_no", F.lit(0)), "_fill": F.coalesce("_fill", F.lit(0))}
     )
-    return placed.withColumn("placement", placement)
+    trailing = F.col("pallet_wave_no") > F.col("wave_no")
+    kept = rows.filter(~F.coalesce(trailing, F.lit(False))).drop("_fill").withColumn("placement", F.lit("kept"))
+    left = rows.filter(trailing)
+    left = running_sum(left, keys, STORAGE, "Total_locs", "trailing_locations", cell_rows)
+    counts = rows.filter(trailing).groupBy(*keys).agg(F.sum("TotalNumberofPallets").alias("trailing_pallets"))
+    left = same_join(left, counts, keys)
+    room = (F.col("_fill") < F.col("carton_size") * F.lit(ROOM_LEFT_BELOW)) & (F.col("UDC") == SHARING_CENTRE)
+    placement = F.when(F.col("trailing_pallets") > OWN_WAVE_ABOVE, "own").when(room, "last").otherwise("extra")
+    left = left.withColumn("placement", placement).drop("_fill")
+    placed = cartons.unionByName(kept, allowMissingColumns=True).unionByName(left, allowMissingColumns=True)
+    return placed
 
 
 def assigned(placed: DataFrame, columns: list[str]) -> DataFrame:

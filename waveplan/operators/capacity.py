@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waveplan.schema import SCENARIOS
@@ -32,6 +32,8 @@ class Scenario:
     def __post_init__(self) -> None:
         if self.method not in METHODS:
             raise ValueError(f"method must be one of {METHODS}")
+        if not 0 < self.cap < float("inf"):
+            raise ValueError("cap must be above 0")
 
 
 def scenario_table(spark: SparkSession, scenarios: list[Scenario]) -> DataFrame:
@@ -42,10 +44,23 @@ def scenario_table(spark: SparkSession, scenarios: list[Scenario]) -> DataFrame:
 
 
 def _lookup(spark: SparkSession, scenarios: list[Scenario], aisles: DataFrame | None) -> DataFrame:
+    """Scenarios with their aisle; ``copies`` counts the aisle's rows, of which one is taken."""
     dim = aisle_table(spark) if aisles is None else aisles
+    values = [F.max(c).alias(c) for c in ("Pallet Locations", "Practically Usable Locations", "C+B locations")]
+    dim = dim.groupBy("UDC", "Aisle_No").agg(*values, F.count(F.lit(1)).alias("copies"))
     return scenario_table(spark, scenarios).join(dim, ["UDC", "Aisle_No"], "left")
 
 
+def _fault() -> Column:
+    """Why a scenario cannot be planned, else null."""
+    return (
+        F.when(F.col("copies").isNull(), "unknown_aisle")
+        .when(F.col("copies") > 1, "repeated_aisle")
+        .when(F.coalesce("C+B locations", F.lit(0)) <= 0, "no_carton_capacity")
+        .when(F.coalesce("Pallet Locations", F.lit(0)) <= 0, "no_pallet_locations")
+    )
+
+
 def capacities(
     spark: SparkSession,
     scenarios: list[Scenario],
@@ -66,7 +81,7 @@ def capacities(
     practical_uplift = uplift if fix_level_a else F.when(near, LEVEL_A_NEAR[2]).otherwise(0)
     return (
         _lookup(spark, scenarios, aisles)
-        .filter(F.col("C+B locations") > 0)
+        .filter(_fault().isNull())
         .select(
             *SCENARIOS.fieldNames(),
             F.col("Pallet Locations").alias("pallet_size"),
@@ -80,12 +95,9 @@ def capacities(
 def rejected_scenarios(
     spark: SparkSession, scenarios: list[Scenario], aisles: DataFrame | None = None
 ) -> DataFrame:
-    reason = F.when(F.col("C+B locations").isNull(), "unknown_aisle").when(
-        F.col("C+B locations") <= 0, "no_carton_capacity"
-    )
     return (
         _lookup(spark, scenarios, aisles)
-        .withColumn("reject_reason", reason)
+        .withColumn("reject_reason", _fault())
         .filter(F.col("reject_reason").isNotNull())
         .select(*SCENARIOS.fieldNames(), "reject_reason")
     )

@@ -8,39 +8,47 @@ from pyspark.sql import functions as F
 from waveplan.functions.locations import with_distro_locs
 from waveplan.functions.text import wave_label
 from waveplan.operators.filters import non_pallet
-from waveplan.operators.items import with_item_locs
-from waveplan.operators.running import running_total
-from waveplan.schema import GROUP, ITEM_GRAIN_ZONE, release_order
+from waveplan.operators.items import charged_locations, item_facts
+from waveplan.operators.running import CELL_ROWS, Order, running_sum, same_join
+from waveplan.schema import GROUP, ITEM, ITEM_GRAIN_ZONE
 
 RUN = [*GROUP, "Method"]
 
 
-def sized_cartons(
-    drops: DataFrame, methods: list[str], rank_scope: str = "all_zones"
-) -> DataFrame:
+def with_sizes(drops: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every row with ``_row_locs``, its locations at row grain, and ``_item_locs``, those it is
+    charged with at item grain, and the columns of its item in ``facts``.
+
+    The join is on the item; adaptive execution splits items with very many rows.
+    """
+    rows = with_distro_locs(drops).withColumnRenamed("Total_locs", "_row_locs")
+    joined = same_join(rows, facts, ITEM, "left")
+    return joined.withColumn("_item_locs", charged_locations()).drop("_locs", "_top")
+
+
+def by_method(sized: DataFrame, methods: list[str]) -> DataFrame:
     """Non-pallet rows with the ``Total_locs`` of each wanted method; unknown counts as 1.
 
-    One zone is sized at item grain whatever the method. Item sizes are computed once for
-    both methods, and only for that zone when the item method is not wanted.
+    One zone is sized at item grain whatever the method.
     """
-    forced = F.col("SSZ") == ITEM_GRAIN_ZONE
-    if "DPCI" in methods:
-        both = F.array(*[F.lit(m) for m in methods])
-        by_item = with_item_locs(drops, rank_scope).withColumn(
-            "Method", F.explode(F.when(forced, both).otherwise(F.array(F.lit("DPCI"))))
-        )
-    else:
-        by_item = with_item_locs(drops, rank_scope, ITEM_GRAIN_ZONE).withColumn("Method", F.lit("Distro"))
-    sized = by_item
-    if "Distro" in methods:
-        by_row = with_distro_locs(non_pallet(drops).filter(~forced)).withColumn("Method", F.lit("Distro"))
-        sized = by_row.unionByName(by_item)
-    return sized.withColumn("Total_locs", F.coalesce(F.col("Total_locs"), F.lit(1)).cast("bigint"))
+    at_item = (F.col("Method") == "DPCI") | (F.col("SSZ") == ITEM_GRAIN_ZONE)
+    locations = F.coalesce(F.when(at_item, F.col("_item_locs")).otherwise(F.col("_row_locs")), F.lit(1))
+    rows = non_pallet(sized).withColumn("Method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    return rows.withColumn("Total_locs", locations.cast("bigint")).drop("_row_locs", "_item_locs")
+
 
+def sized_cartons(drops: DataFrame, methods: list[str], rank_scope: str = "all_zones") -> DataFrame:
+    """The same from the rows alone: one pass for the items, one for the rows."""
+    facts = item_facts(drops, rank_scope).select(*ITEM, "_locs", "_top")
+    return by_method(with_sizes(non_pallet(drops), facts), methods)
 
-def carton_running(sized: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Running locations per zone and method; they depend on no aisle or cap."""
-    return running_total(sized, RUN, release_order(), "Total_locs", "wave_cum_locations", hot)
+
+RELEASE = Order("AllocationRequestDate", "Aisle", "Distro", ("DPCI",))
+
+
+def carton_running(sized: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Running locations per zone and method, and the zone's; they depend on no aisle or cap."""
+    return running_sum(sized, RUN, RELEASE, "Total_locs", "wave_cum_locations", cell_rows, total="zone_locations")
 
 
 def wave_number(cumulative: str = "wave_cum_locations") -> Column:
@@ -54,15 +62,12 @@ def wave_number(cumulative: str = "wave_cum_locations") -> Column:
 def carton_waves(running: DataFrame, capacity: DataFrame) -> DataFrame:
     """Carton rows with their wave under every scenario of their method."""
     # ``capacity`` has one row per scenario passed in.
-    waved = running.join(F.broadcast(capacity), "Method").withColumn("wave_no", wave_number())
+    waved = running.drop("zone_locations").join(F.broadcast(capacity), "Method").withColumn("wave_no", wave_number())
     return waved.withColumn("wave_id", wave_label("W", F.col("wave_no")))
 
 
 def last_waves(waves: DataFrame) -> DataFrame:
-    """Number and fill of the last carton wave per zone and scenario.
-
-    Both aggregates keep the partitioning of the running sum, so no rows move again.
-    """
+    """Number and fill of the last carton wave per zone and scenario, aggregated before moving."""
     keys = [*RUN, "scenario_id"]
     return (
         waves.groupBy(*keys, "wave_no")
@@ -70,3 +75,42 @@ def last_waves(waves: DataFrame) -> DataFrame:
         .groupBy(*keys)
         .agg(F.max("wave_no").alias("last_wave"), F.max_by("fill", "wave_no").alias("last_fill"))
     )
+
+
+def zone_ends(running: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Total, number of waves and last-wave fill per zone and scenario, in one pass over the rows.
+
+    The number of waves follows from the zone total. The last wave starts at the one row
+    whose locations cross its lower bound, and that bound lies within one wave of the
+    total: only rows that near the end are compared with the distinct wave sizes. A zone
+    keeps at most one such row per size, so rows never multiply by scenarios.
+    """
+    # at most one size a scenario
+    sizes = [r.carton_size for r in capacity.select("carton_size").distinct().orderBy("carton_size").collect()]
+    total, upto = F.col("zone_locations"), F.col("wave_cum_locations")
+    before = upto - F.col("Total_locs")
+    listed = F.array(*[F.lit(s) for s in sizes]).cast("array<double>")
+    near_end = (F.col("Total_locs") > 0) & (upto > total - F.lit(max(sizes, default=0.0)))
+    crossed = F.filter(
+        listed,
+        lambda size: (F.ceil(upto / size) == F.ceil(total / size)) & (F.ceil(before / size) < F.ceil(total / size)),
+    )
+    start = F.struct((total - before).alias("fill"), F.col("_sizes").alias("sizes"))
+    zones = (
+        running.select(*RUN, "zone_locations", "wave_cum_locations", "Total_locs")
+        .withColumn("_sizes", F.when(near_end, crossed))
+        .groupBy(*RUN)
+        .agg(
+            F.max("zone_locations").alias("zone_locations"),
+            F.collect_list(F.when(F.size("_sizes") > 0, start)).alias("_starts"),
+        )
+    )
+    size = F.col("carton_size")
+    matching = F.filter(F.col("_starts"), lambda start: F.array_contains(start["sizes"], size))
+    # ``capacity`` has one row per scenario passed in.
+    return (
+        zones.join(F.broadcast(capacity), "Method")
+        .withColumn("n_waves", F.ceil(total / size))
+        .withColumn("last_wave_fill", F.coalesce(F.get(matching, F.lit(0))["fill"], F.lit(0)).cast("bigint"))
+        .drop("_starts")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.schema import release_order
@@ -44,23 +44,21 @@ def preview(drops: DataFrame, rows: int = 5) -> DataFrame:
 def domain_values(drops: DataFrame, aisles: DataFrame) -> DataFrame:
     """The sorted choices of every parameter, as (domain, position, value) rows.
 
-    One distinct over both row columns is tiny before it is split into two lists.
+    One distinct over both columns of a table is tiny before it is split into two lists.
     """
-    pairs = drops.select("SSZ", "UnitSortable").distinct()
-    lists = (
-        pairs.select(
-            F.lit("SSZ").alias("domain"),
-            F.col("SSZ").cast("bigint").alias("number"),
-            F.col("SSZ").cast("string").alias("value"),
-        )
-        .union(pairs.select(F.lit("UnitSortable"), F.lit(None).cast("bigint"), F.col("UnitSortable")))
-        .union(aisles.select(F.lit("UDC"), F.col("UDC").cast("bigint"), F.col("UDC").cast("string")))
-        .union(
-            aisles.select(
-                F.lit("Aisle_No"), F.col("Aisle_No").cast("bigint"), F.col("Aisle_No").cast("string")
-            )
+
+    def choice(domain: str, number: Column) -> Column:
+        return F.struct(
+            F.lit(domain).alias("domain"), number.cast("bigint").alias("number"), F.col(domain).cast("string").alias("value")
         )
+
+    def lists(table: DataFrame, *choices: Column) -> DataFrame:
+        return table.select(F.explode(F.array(*choices)).alias("choice")).select("choice.*")
+
+    rows = drops.select("SSZ", "UnitSortable").distinct()
+    places = aisles.select("UDC", "Aisle_No")
+    found = lists(rows, choice("SSZ", F.col("SSZ")), choice("UnitSortable", F.lit(None))).union(
+        lists(places, choice("UDC", F.col("UDC")), choice("Aisle_No", F.col("Aisle_No")))
     )
-    return (
-        lists.filter(F.col("value").isNotNull()).distinct().orderBy("domain", "number", "value").drop("number")
-    )
+    found = found.filter(F.col("value").isNotNull()).distinct()
+    return found.orderBy("domain", "number", "value").drop("number")

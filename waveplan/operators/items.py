@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.functions.locations import estimate
 from waveplan.operators.filters import non_pallet
-from waveplan.operators.running import running_total
+from waveplan.operators.running import CELL_ROWS, Order, running_sum
 from waveplan.schema import ITEM
 
 RANK_SCOPES = {"all_zones": ["drop_id", "UnitSortable", "DPCI"], "zone": ITEM}
@@ -49,70 +49,54 @@ def join_item_locations(drops: DataFrame) -> DataFrame:
     return non_pallet(drops).join(sizes, ITEM, "left")
 
 
-def first_rows(drops: DataFrame, rank_scope: str = "all_zones") -> DataFrame:
-    """Key of the row with the highest Distro per item; equal Distros go to the lower zone.
+def item_facts(drops: DataFrame, rank_scope: str = "all_zones") -> DataFrame:
+    """One row per item and zone with all that its rows need, from one pass over them.
 
-    Kept apart from the numeric rollup, which then stays a hash aggregate: a string
-    maximum makes Spark sort its input, so that is done on the key columns only.
+    ``_locs`` and ``_top``: size of the item, and the Distro of the row charged with it (null
+    where another zone's row is). ``pallets``, ``vcp``, ``VCPHt``: totals of its pallet rows,
+    null if it has none. The height is summed as a decimal: the mean orders items, so it must
+    not depend on the order in which tasks finish.
     """
-    scope = RANK_SCOPES[rank_scope]
-    first = F.max(F.struct(F.col("Distro"), (-F.col("SSZ")).alias("zone"))).alias("first")
-    found = non_pallet(drops).groupBy(*scope).agg(first)
-    columns = {"SSZ": (-F.col("first.zone")).alias("SSZ"), "Distro": F.col("first.Distro")}
-    return found.select(*[columns.get(c, F.col(c)) for c in [*ITEM, "Distro"]])
-
-
-def charged_rows(
-    drops: DataFrame, rank_scope: str = "all_zones", zone: int | None = None
-) -> DataFrame:
-    """The one row per item that carries the item's locations.
-
-    With ``all_zones`` an item kept in several zones is charged in one of them only.
-    Both sides are aggregated per item, so a hot item never gathers its rows in one
-    task; a ``zone`` limits the sizes to the rows of that zone.
-    """
-    first, rows = first_rows(drops, rank_scope), drops
-    if zone is not None:
-        first, rows = (df.filter(F.col("SSZ") == zone) for df in (first, rows))
-    sizes = item_locations(rows).select(*ITEM, F.col("Total_locs").alias("_locs"))
-    return first.join(sizes, ITEM)
-
-
-def with_item_locs(
-    drops: DataFrame, rank_scope: str = "all_zones", zone: int | None = None
-) -> DataFrame:
-    """Non-pallet rows with item-grain ``Total_locs``: the item's on its charged row, else 0.
-
-    The join key contains the row's own Distro, which keeps it free of hot keys.
-    """
-    rows = non_pallet(drops)
-    if zone is not None:
-        rows = rows.filter(F.col("SSZ") == zone)
-    charged = charged_rows(drops, rank_scope, zone).withColumn("_charged", F.lit(True))
-    return (
-        rows.join(charged, [*ITEM, "Distro"], "left")
-        .withColumn("Total_locs", F.when(F.col("_charged"), F.col("_locs")).otherwise(F.lit(0)))
-        .select(*drops.columns, "Total_locs")
+    carton, pallet = F.col("TotalNumberofPallets") == 0, F.col("TotalNumberofPallets") > 0
+    height = F.sum(F.when(pallet, F.col("VCPHeight").cast("decimal(20,8)"))).cast("double")
+    facts = drops.groupBy(*ITEM).agg(
+        F.sum(F.when(carton, F.col("TotalNumberofFullVCPs"))).alias("vcp1"),
+        F.sum(F.when(carton, F.col("TotalNumberofLooseSSP"))).alias("ssp"),
+        F.lit(0).cast("bigint").alias("pallet"),
+        F.max(F.when(carton, F.col("SSPsinVCP"))).alias("ssp_q"),
+        F.max(F.when(carton, F.col("VCPHeight"))).alias("vend_cspk_ht_q"),
+        F.max(F.when(carton, F.col("VCPWidth"))).alias("vend_cspk_wth_q"),
+        F.max(F.when(carton, F.col("VCPLength"))).alias("vend_cspk_lgth_q"),
+        F.max(F.when(carton, F.col("Distro"))).alias("_first"),
+        F.sum(F.when(pallet, F.col("TotalNumberofPallets"))).alias("pallets"),
+        F.sum(F.when(pallet, F.col("TotalNumberofFullVCPs"))).alias("pallet_vcp"),
+        (height / F.nullif(F.count(F.when(pallet, F.col("VCPHeight"))), F.lit(0))).alias("VCPHt"),
     )
+    sized = size_items(facts).select(
+        *ITEM, F.col("Total_locs").alias("_locs"), "_first", "pallets", F.col("pallet_vcp").alias("vcp"), "VCPHt"
+    )
+    # highest Distro of the item over the zones of the scope; equal ones go to the lower zone
+    order = Window.partitionBy(*RANK_SCOPES[rank_scope]).orderBy(F.col("_first").desc_nulls_last(), F.col("SSZ").asc())
+    top = F.when(F.row_number().over(order) == 1, F.col("_first")).alias("_top")
+    return sized.select(*ITEM, "_locs", top, "pallets", "vcp", "VCPHt")
 
 
-def with_item_rank(
-    drops: DataFrame, rank_scope: str = "all_zones", hot: DataFrame | None = None
-) -> DataFrame:
-    """Non-pallet rows with their position in the item, highest Distro first.
+def charged_locations() -> Column:
+    """The item's locations on its charged row, 0 on its others."""
+    return F.when(F.col("Distro") == F.col("_top"), F.col("_locs")).otherwise(F.lit(0))
 
-    A position is a running count, so hot items are sliced like any running sum.
-    """
-    one = non_pallet(drops).withColumn("_one", F.lit(1).cast("bigint"))
-    order = [F.col("Distro").desc(), F.col("SSZ").asc()]
-    return running_total(one, RANK_SCOPES[rank_scope], order, "_one", "rank", hot=hot).drop("_one")
+
+def with_item_rank(drops: DataFrame, rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Non-pallet rows with their position in the item, highest Distro first."""
+    one = non_pallet(drops).withColumns({"_one": F.lit(1).cast("bigint"), "_head": F.left("Distro", F.lit(4))})
+    order = Order("_head", None, "Distro", ("SSZ",), descending=("_head", "Distro"))
+    ranked = running_sum(one, RANK_SCOPES[rank_scope], order, "_one", "rank", cell_rows)
+    return ranked.drop("_one", "_head")
 
 
-def first_distro_masked(
-    drops: DataFrame, rank_scope: str = "all_zones", hot: DataFrame | None = None
-) -> DataFrame:
+def first_distro_masked(drops: DataFrame, rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Item locations and rank on every non-pallet row, with locations kept on rank 1 only."""
-    ranked = with_item_rank(join_item_locations(drops), rank_scope, hot)
+    ranked = with_item_rank(join_item_locations(drops), rank_scope, cell_rows)
     return ranked.withColumn(
         "Total_locs", F.when(F.col("rank") > 1, F.lit(0)).otherwise(F.col("Total_locs")).cast("bigint")
     )

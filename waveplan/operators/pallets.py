@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waveplan.functions.locations import with_distro_locs
 from waveplan.functions.text import wave_label
 from waveplan.operators.filters import pallet_rows
-from waveplan.operators.running import running_total
+from waveplan.operators.running import CELL_ROWS, Order, running_sum
 from waveplan.schema import GROUP, ITEM
 
 # Fixed value: pallets that share one pallet location.
@@ -33,11 +32,11 @@ def pallet_rollup(drops: DataFrame) -> DataFrame:
     )
 
 
-def pallet_running(rollup: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def pallet_running(rollup: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Running pallet locations per zone, items with most cartons first."""
     located = rollup.withColumn("pallet_loc", F.ceil(F.col("pallets") / PALLETS_PER_LOCATION))
-    order = [F.col("vcp").desc(), F.col("VCPHt").desc(), F.col("DPCI").asc()]
-    return running_total(located, GROUP, order, "pallet_loc", "pallet_cum_locations", hot)
+    order = Order("vcp", "VCPHt", "DPCI", descending=("vcp", "VCPHt"))
+    return running_sum(located, GROUP, order, "pallet_loc", "pallet_cum_locations", cell_rows)
 
 
 def pallet_wave_number() -> Column:
@@ -52,12 +51,3 @@ def pallet_waves(running: DataFrame, capacity: DataFrame, methods: list[str]) ->
         .withColumn("wave_no", pallet_wave_number())
         .withColumn("wave_id", wave_label("W", F.col("wave_no")))
     )
-
-
-def join_pallet_running(drops: DataFrame, running: DataFrame) -> DataFrame:
-    """Pallet rows with their own locations and the running locations of their item."""
-    items = running.select(*ITEM, "pallet_cum_locations")
-    rows = with_distro_locs(pallet_rows(drops)).withColumn(
-        "Total_locs", F.coalesce(F.col("Total_locs"), F.lit(1))
-    )
-    return rows.join(items, ITEM)

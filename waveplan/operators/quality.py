@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.schema import DIMENSIONS, QUANTITIES
-from waveplan.session import materialize
 
 KEYS = ["drop_id", "Distro", "SSZ", "DPCI"]
 REASON = "reject_reason"
+# Set by file scans.
+MARKS = ["bad_line", "bad_date"]
 REQUIRED = [*KEYS, "UnitSortable"]
 
 
@@ -32,6 +33,8 @@ def row_reason(columns: list[str]) -> Column:
     for name in DIMENSIONS:
         size = size | F.col(name).isNull() | (F.col(name) <= 0)
     reason = F.when(missing, "missing_key")
+    if "bad_line" in columns:
+        reason = F.when(F.col("bad_line"), "bad_line").when(missing, "missing_key")
     if "bad_date" in columns:
         reason = reason.when(F.col("bad_date"), "bad_date")
     return reason.when(quantity, "bad_quantity").when(size, "bad_dimension")
@@ -42,8 +45,8 @@ def tag(drops: DataFrame, check_duplicates: bool = True) -> DataFrame:
 
     Copies of one key are all set aside, since none can be trusted over the others.
     Repeated keys are counted with a partial aggregate, so a key that fills a third of
-    the table travels as one row per task. They are written first: Spark then knows
-    their size, and the usual short list is joined without shuffling the rows.
+    the table travels as one row per task; adaptive execution joins the usual short list
+    without shuffling the rows.
     """
     rows = nan_to_null(drops).withColumn(REASON, row_reason(drops.columns))
     if not check_duplicates:
@@ -54,15 +57,20 @@ def tag(drops: DataFrame, check_duplicates: bool = True) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_copies"))
         .filter(F.col("_copies") > 1)
     )
-    tagged = rows.join(materialize(repeated, "repeated-keys"), KEYS, "left")
+    tagged = rows.join(repeated, KEYS, "left")
     reason = F.coalesce(F.col(REASON), F.when(F.col("_copies").isNotNull(), "duplicate_key"))
     return tagged.select(*[F.col(c) for c in drops.columns], reason.alias(REASON))
 
 
+def split(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be planned, without the marks of the checks, and the rejects."""
+    good = tagged.filter(F.col(REASON).isNull()).drop(REASON, *MARKS)
+    return good, tagged.filter(F.col(REASON).isNotNull())
+
+
 def accepted(drops: DataFrame, check_duplicates: bool = True) -> DataFrame:
-    tagged = tag(drops, check_duplicates)
-    return tagged.filter(F.col(REASON).isNull()).drop(REASON, "bad_date")
+    return split(tag(drops, check_duplicates))[0]
 
 
 def rejects(drops: DataFrame, check_duplicates: bool = True) -> DataFrame:
-    return tag(drops, check_duplicates).filter(F.col(REASON).isNotNull())
+    return split(tag(drops, check_duplicates))[1]

@@ -1,162 +1,104 @@
-"""Exact running sums and totals over ordered groups of any size.
+"""Exact running sums over ordered groups of any size, in one way for all sizes.
 
-A window with ``partitionBy`` sorts each group in one task, which is the right plan
-while groups are small. A group above ``HOT_ROWS`` is cut into ordered slices instead:
-a range shuffle on (keys, order), one sum per slice, and a running sum inside the slice
-on top of the slices before it. The slice number comes from sampled range bounds, so
-the sliced rows are written once and every later step reads the same assignment.
+A group's rows fall into cells by the first column of the order, and cells with more than
+``CELL_ROWS`` rows into parts by the second column and leading characters of the row key; how
+many characters follows from the cell's own rows, keys and lengths of what they share. Cell
+and part are functions of the row, so nothing is sampled or written. A row's running sum is
+the sum of the cells before its own, of the parts before its own, and of the rows before it in
+its part. A task sorts one part, never a group. Where no cell is that large, adaptive
+execution finds the tables of parts empty and leaves them out.
+
+Sums are of integers, so the result does not depend on the cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waveplan.session import materialize
-
-# Sums and maxima only: both merge from parts.
-Aggregate = Callable[[Column | str], Column]
-Facts = dict[str, tuple[Aggregate, Column]]
-
-HOT_ROWS = 1_000_000
-MAX_SLICES = 10_000
+#: Rows that one task sorts without being cut further. It sets the fineness of the cells,
+#: not the plan.
+CELL_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
-class OrderedGroups:
-    """Rows with the keys that group them and the order inside a group."""
-
-    rows: DataFrame
-    keys: list[str]
-    order: list[Column]
-
-    def add(self, running: Facts | None = None, totals: Facts | None = None) -> OrderedGroups:
-        """Add running values (first row to current one) and values of the whole group.
-
-        Both use one window definition, so one operator computes them all.
-        """
-        group = Window.partitionBy(*self.keys).orderBy(*self.order)
-        upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        columns = {name: how(value).over(upto) for name, (how, value) in (running or {}).items()}
-        columns |= {name: how(value).over(whole) for name, (how, value) in (totals or {}).items()}
-        return replace(self, rows=self.rows.withColumns(columns))
+class Order:
+    """The order inside a group: ``cell``, then ``within``, then ``key``, then ``ties``.
 
-    def transform(
-        self, change: Callable[[DataFrame], DataFrame], keys: list[str] | None = None
-    ) -> OrderedGroups:
-        """Change the rows in place; ``keys`` may refine the groups."""
-        return replace(self, rows=change(self.rows), keys=keys or self.keys)
+    ``cell`` and ``within`` are columns with their direction; ``key`` is a string column,
+    which with ``ties`` makes the order total.
+    """
 
+    cell: str
+    within: str | None
+    key: str
+    ties: tuple[str, ...] = ()
+    descending: tuple[str, ...] = ()
+    nulls_first: tuple[str, ...] = ()
 
-@dataclass(frozen=True)
-class SlicedGroups(OrderedGroups):
-    """The same for groups too big for one task; rows carry their ``_slice``."""
-
-    def add(self, running: Facts | None = None, totals: Facts | None = None) -> SlicedGroups:
-        """One aggregate per slice yields the values before each slice and of the group.
-
-        That table has at most one row per slice and group, which ``MAX_SLICES`` and
-        rows / ``HOT_ROWS`` bound, so it is windowed and broadcast.
-        """
-        running, totals = running or {}, totals or {}
-        slices = self.rows.groupBy(*self.keys, "_slice").agg(
-            *[how(value).alias(f"_own_{name}") for name, (how, value) in {**running, **totals}.items()]
-        )
-        group = Window.partitionBy(*self.keys)
-        earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        outer = slices.select(
-            *self.keys,
-            "_slice",
-            *[how(f"_own_{name}").over(earlier).alias(f"_before_{name}") for name, (how, _) in running.items()],
-            *[how(f"_own_{name}").over(group).alias(name) for name, (how, _) in totals.items()],
-        )
-        inside = (
-            Window.partitionBy(*self.keys, "_slice")
-            .orderBy(*self.order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        columns = {
-            name: _merge(how, how(value).over(inside), F.col(f"_before_{name}"))
-            for name, (how, value) in running.items()
-        }
-        rows = _join_same(self.rows, outer, [*self.keys, "_slice"]).withColumns(columns)
-        return replace(self, rows=rows.drop(*[f"_before_{name}" for name in running]))
-
-
-def _merge(how: Aggregate, inside: Column, before: Column) -> Column:
-    if how is F.max:
-        return F.greatest(inside, before)
-    return F.coalesce(inside + before, inside, before)
-
-
-def _join_same(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi join in which a null key meets itself."""
-    other = small.withColumnsRenamed({k: f"_same_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
-    return rows.join(F.broadcast(other), same).drop(*[f"_same_{k}" for k in keys])
-
-
-def hot_groups(
-    rows: DataFrame, keys: list[str], limit: int = HOT_ROWS, rows_at_most: int | None = None
-) -> DataFrame | None:
-    """Keys of groups above ``limit`` rows with their row counts, or None.
-
-    One aggregate with map-side combine and one collected row. The table has at most
-    rows / limit entries. A caller that knows a bound on all rows (a stored table's
-    count comes from its file footers) can save the aggregate on small inputs.
-    """
-    if rows_at_most is not None and rows_at_most <= limit:
-        return None
-    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")).filter(F.col("group_rows") > limit)
-    if big.agg(F.count(F.lit(1))).first()[0] == 0:
-        return None
-    return materialize(big, "hot-groups")
+    def by(self, name: str) -> Column:
+        column = F.col(name)
+        if name in self.descending:
+            return column.desc_nulls_last()
+        return column.asc_nulls_first() if name in self.nulls_first else column.asc_nulls_last()
 
+    def columns(self) -> list[Column]:
+        names = [self.cell, *([self.within] if self.within else []), self.key, *self.ties]
+        return [self.by(n) for n in names]
 
-def slices_for(rows: int) -> int:
-    return int(min(max(2, 2 * rows // HOT_ROWS + 1), MAX_SLICES))
 
+def same_join(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which a null key meets itself; the keys come from ``rows``."""
+    renamed = other.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return rows.join(renamed, same, how).drop(*[f"_same_{k}" for k in keys])
 
-def cut(rows: DataFrame, keys: list[str], order: list[Column], slices: int) -> SlicedGroups:
-    """Write ``rows`` in ``slices`` consecutive ranges of (keys, order)."""
-    ranged = rows.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
-    stored = materialize(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
-    return SlicedGroups(stored, keys, order)
 
+def shared_length(a: Column, b: Column) -> Column:
+    """How many leading characters two strings share."""
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))
+    return F.size(F.filter(places, lambda n: (F.left(a, n) == F.left(b, n)) & (n <= F.length(a)) & (n <= F.length(b))))
 
-def over_groups(
-    rows: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    steps: Callable[[OrderedGroups], OrderedGroups],
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Apply ``steps`` to ordinary groups as they are and to hot groups in slices.
 
-    ``hot`` is the result of :func:`hot_groups` on a subset of ``keys``. Without it the
-    caller vouches that every group fits one sort.
-    """
-    if hot is None:
-        return steps(OrderedGroups(rows, keys, order)).rows
-    hot_keys = [c for c in hot.columns if c != "group_rows"]
-    listed = F.broadcast(hot.select(*hot_keys))
-    cold = steps(OrderedGroups(rows.join(listed, hot_keys, "left_anti"), keys, order)).rows
-    expected = hot.agg(F.sum("group_rows")).first()[0]
-    big = cut(rows.join(listed, hot_keys, "left_semi"), keys, order, slices_for(expected))
-    return cold.unionByName(steps(big).rows.drop("_slice"))
-
-
-def running_total(
-    rows: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    value: str,
-    into: str,
-    hot: DataFrame | None = None,
+def running_sum(
+    rows: DataFrame, keys: list[str], order: Order, value: str, into: str, cell_rows: int = CELL_ROWS, total: str | None = None
 ) -> DataFrame:
-    """``rows`` with the running sum of ``value``."""
-    return over_groups(rows, keys, order, lambda groups: groups.add({into: (F.sum, F.col(value))}), hot)
+    """``rows`` with the running sum of ``value``, and with the group's sum if ``total`` is named."""
+    cell = [*keys, order.cell]
+    within = F.col(order.within) if order.within else F.lit(0)
+    cells = rows.groupBy(*cell).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    group = Window.partitionBy(*keys).orderBy(order.by(order.cell))
+    before = F.sum("_sum").over(group.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cells.select(*cell, "_rows", F.coalesce(before, F.lit(0)).alias("_before"), *([F.sum("_sum").over(Window.partitionBy(*keys)).alias(total)] if total else []))
+
+    large = cells.filter(F.col("_rows") > cell_rows).select(*cell, "_rows")
+    key = F.col(order.key)
+    ends = same_join(rows.select(*cell, order.key), large, cell).groupBy(*cell).agg(
+        F.min(key).alias("_low"), F.max(key).alias("_high"), F.max("_rows").alias("_rows")
+    )
+    digits = F.ceil(F.log10(F.col("_rows") / cell_rows)).cast("int")
+    ends = ends.select(*cell, (shared_length(F.col("_low"), F.col("_high")) + digits).alias("_length"))
+    located = same_join(same_join(rows, offsets, cell), ends, cell, "left")
+    # in a cell that is not large all rows are in one part
+    located = located.withColumn("_aisle", F.when(F.col("_length").isNotNull(), within))
+    located = located.withColumn("_part", F.when(F.col("_length").isNotNull(), F.left(key, F.col("_length"))))
+
+    part = [*cell, "_aisle", "_part"]
+    cut = same_join(rows, ends, cell).withColumn("_aisle", within).withColumn("_part", F.left(key, F.col("_length")))
+    parts = cut.groupBy(*part).agg(F.sum(value).alias("_sum"))
+    rise = Order("_aisle", None, "_part", descending=tuple(
+        n for n, o in (("_aisle", order.within), ("_part", order.key)) if o in order.descending
+    ), nulls_first=("_aisle",) if order.within in order.nulls_first else ())
+    inner = Window.partitionBy(*cell).orderBy(rise.by("_aisle"), rise.by("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*part, F.coalesce(F.sum("_sum").over(inner), F.lit(0)).alias("_earlier"))
+    located = same_join(located, parts, part, "left")
+
+    # dealt by part, also where a join has gathered whole cells
+    dealt = located.repartition(*[F.col(c) for c in part])
+    own = Window.partitionBy(*part).orderBy(*order.columns()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.col("_before") + F.coalesce(F.col("_earlier"), F.lit(0)) + F.coalesce(F.sum(value).over(own), F.lit(0))
+    return dealt.withColumn(into, running).drop("_rows", "_before", "_length", "_aisle", "_part", "_earlier")

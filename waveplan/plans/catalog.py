@@ -12,13 +12,11 @@ from waveplan.functions import locations
 from waveplan.functions.text import charging_instructions
 from waveplan.operators import cartons, filters, items, pallets, quality
 from waveplan.operators.capacity import METHODS, Scenario, capacities
-from waveplan.operators.running import cut, hot_groups
 from waveplan.plans.planner import WavePlan
 from waveplan.plans.scenarios import all_scenarios, scenario_best, scenario_sweep
-from waveplan.schema import GROUP, ITEM, release_order
-from waveplan.sinks import export_columns
+from waveplan.schema import GROUP, ITEM
 from waveplan.sources.aisles import aisles
-from waveplan.sources.star import FAULTY_COLUMNS, drops, rows_at_most
+from waveplan.sources.star import FAULTY_COLUMNS, drops
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +39,7 @@ DATES = (datetime(1996, 3, 1), datetime(1998, 9, 30))
 
 
 def _plan(spark: SparkSession, sf_dir: str, scenarios: list[Scenario]) -> WavePlan:
-    return WavePlan(drops(spark, sf_dir), scenarios, rows_at_most=rows_at_most(spark, sf_dir))
+    return WavePlan(drops(spark, sf_dir), scenarios)
 
 
 def scan_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +116,11 @@ def dpci_locs_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dpci_first_distro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drops(spark, sf_dir)
-    hot = hot_groups(rows, items.RANK_SCOPES["all_zones"], rows_at_most=rows_at_most(spark, sf_dir))
-    return items.first_distro_masked(rows, hot=hot).select("Distro", *ITEM, "rank", "Total_locs")
+    return items.first_distro_masked(drops(spark, sf_dir)).select("Distro", *ITEM, "rank", "Total_locs")
 
 
 def dpci_first_distro_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drops(spark, sf_dir)
-    hot = hot_groups(rows, items.RANK_SCOPES["zone"], rows_at_most=rows_at_most(spark, sf_dir))
-    return items.first_distro_masked(rows, "zone", hot).select("Distro", *ITEM, "rank", "Total_locs")
+    return items.first_distro_masked(drops(spark, sf_dir), "zone").select("Distro", *ITEM, "rank", "Total_locs")
 
 
 def method_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,19 +136,15 @@ def capacity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carton_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drops(spark, sf_dir)
-    sized = cartons.sized_cartons(rows, ["Distro"])
-    hot = hot_groups(rows, GROUP, rows_at_most=rows_at_most(spark, sf_dir))
-    running = cartons.carton_running(sized, hot)
+    running = cartons.carton_running(cartons.sized_cartons(drops(spark, sf_dir), ["Distro"]))
     return running.select("Distro", *GROUP, "Total_locs", "wave_cum_locations")
 
 
 def carton_running_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sums with every zone cut into slices, as done for hot zones."""
+    """The same sums with cells of a few rows, which all are cut into parts."""
     sized = cartons.sized_cartons(drops(spark, sf_dir), ["Distro"])
-    sliced = cut(sized, cartons.RUN, release_order(), slices=32)
-    rows = sliced.add({"wave_cum_locations": (F.sum, F.col("Total_locs"))}).rows
-    return rows.select("Distro", *GROUP, "Total_locs", "wave_cum_locations")
+    running = cartons.carton_running(sized, cell_rows=4)
+    return running.select("Distro", *GROUP, "Total_locs", "wave_cum_locations")
 
 
 def carton_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +214,7 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export_columns(_plan(spark, sf_dir, [DEFAULT]).assigned).drop("scenario_id")
+    return _plan(spark, sf_dir, [DEFAULT]).assigned.drop("scenario_id")
 
 
 def wave_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,9 +233,7 @@ def wave_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenario_sweep(
-        drops(spark, sf_dir), all_scenarios(), rows_at_most=rows_at_most(spark, sf_dir)
-    )
+    return scenario_sweep(drops(spark, sf_dir), all_scenarios())
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:

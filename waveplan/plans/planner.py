@@ -1,4 +1,4 @@
-"""One lazy job from accepted rows to waves, for all zones and scenarios at once."""
+"""From accepted rows to waves, for all zones and scenarios at once."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.functions.text import charging_instructions
-from waveplan.operators import assign, cartons, pallets, summary
-from waveplan.operators.capacity import Scenario, capacities
-from waveplan.operators.items import RANK_SCOPES, with_item_rank
-from waveplan.operators.quality import accepted
-from waveplan.operators.running import HOT_ROWS, hot_groups
-from waveplan.schema import DROPS, GROUP
+from waveplan.operators import assign, cartons, pallets, quality, summary
+from waveplan.operators.capacity import Scenario, capacities, rejected_scenarios
+from waveplan.operators.filters import pallet_rows
+from waveplan.operators.items import item_facts, with_item_rank
+from waveplan.operators.running import CELL_ROWS, same_join
+from waveplan.schema import DROPS, GROUP, ITEM
+from waveplan.session import materialize
 
 RESULTS = ["scenario_id", "Total_locs", "wave_id", "Charging Instructions", "rank"]
 EXTRAS = "_extras"
@@ -26,29 +27,30 @@ class Rules:
 
     ``rank_scope``: ``all_zones`` charges an item kept in several zones once;
     ``zone`` charges it in each. ``fix_level_a``: see ``capacities``.
-    ``with_rank`` adds the row's position in its item.
+    ``with_rank`` adds the row's position in its item. ``cell_rows``: rows sorted in one task.
     """
 
     rank_scope: str = "all_zones"
     fix_level_a: bool = False
     with_rank: bool = False
-    hot_rows: int = HOT_ROWS
+    cell_rows: int = CELL_ROWS
 
 
 @dataclass
 class WavePlan:
-    """The intermediate tables of a plan; every one is a lazy DataFrame.
+    """The tables of a plan. All are lazy but ``sized`` and ``running``, which are written once
+    to the shared folder when first used and read from there (see ``session.materialize``).
 
     ``drops`` must hold accepted rows (see ``operators.quality``). Columns the plan does
     not know travel as one struct, so that no name of theirs can clash, and come out of
-    ``assigned`` as they were. ``rows_at_most`` is an optional bound on the row count.
+    ``assigned`` as they were. ``rejects`` are the rows that :func:`plan_waves` set aside.
     """
 
     drops: DataFrame
     scenarios: list[Scenario]
     aisles: DataFrame | None = None
     rules: Rules = field(default_factory=Rules)
-    rows_at_most: int | None = None
+    rejects: DataFrame | None = None
 
     def __post_init__(self) -> None:
         spark = self.drops.sparkSession
@@ -58,20 +60,40 @@ class WavePlan:
         self.drops = self.drops.select(*DROPS.fieldNames(), *packed)
         self.capacity = capacities(spark, self.scenarios, self.aisles, self.rules.fix_level_a)
         self.methods = sorted({s.method for s in self.scenarios})
-        # Pallet items of a zone are never more than its rows, so one check serves both.
-        self.hot = hot_groups(self.drops, GROUP, self.rules.hot_rows, self.rows_at_most)
 
     @cached_property
-    def sized_cartons(self) -> DataFrame:
-        return cartons.sized_cartons(self.drops, self.methods, self.rules.rank_scope)
+    def rejected_scenarios(self) -> DataFrame:
+        """Scenarios that yield no rows, with the reason."""
+        return rejected_scenarios(self.drops.sparkSession, self.scenarios, self.aisles)
 
     @cached_property
-    def carton_waves(self) -> DataFrame:
-        return cartons.carton_waves(cartons.carton_running(self.sized_cartons, self.hot), self.capacity)
+    def facts(self) -> DataFrame:
+        """What rows need to know of their item: the first of two reads of the input."""
+        return item_facts(self.drops, self.rules.rank_scope)
 
     @cached_property
     def pallet_running(self) -> DataFrame:
-        return pallets.pallet_running(pallets.pallet_rollup(self.drops), self.hot)
+        items = self.facts.filter(F.col("pallets").isNotNull()).select(*ITEM, "pallets", "vcp", "VCPHt")
+        return pallets.pallet_running(items, self.rules.cell_rows)
+
+    @cached_property
+    def sized(self) -> DataFrame:
+        """Every row with its sizes and its item's running pallet locations: the second read."""
+        upto = self.pallet_running.select(*ITEM, "pallet_cum_locations")
+        facts = same_join(self.facts.select(*ITEM, "_locs", "_top"), upto, ITEM, "left")
+        return materialize(cartons.with_sizes(self.drops, facts), "sized")
+
+    @cached_property
+    def sized_cartons(self) -> DataFrame:
+        return cartons.by_method(self.sized.drop("pallet_cum_locations"), self.methods)
+
+    @cached_property
+    def running(self) -> DataFrame:
+        return materialize(cartons.carton_running(self.sized_cartons, self.rules.cell_rows), "running")
+
+    @cached_property
+    def carton_waves(self) -> DataFrame:
+        return cartons.carton_waves(self.running, self.capacity)
 
     @cached_property
     def pallet_waves(self) -> DataFrame:
@@ -79,13 +101,14 @@ class WavePlan:
 
     @cached_property
     def placed(self) -> DataFrame:
+        rows = pallet_rows(self.sized).withColumn("Total_locs", F.coalesce(F.col("_row_locs"), F.lit(1)).cast("bigint"))
         return assign.place_rows(
-            self.sized_cartons,
-            pallets.join_pallet_running(self.drops, self.pallet_running),
+            self.running,
+            rows.drop("_row_locs", "_item_locs"),
+            cartons.zone_ends(self.running, self.capacity),
             self.capacity,
             self.methods,
-            self.hot,
-            one_per_method=len(self.methods) == len(self.scenarios),
+            self.rules.cell_rows,
         )
 
     @cached_property
@@ -107,10 +130,8 @@ class WavePlan:
         )
 
     def _ranked(self, rows: DataFrame) -> DataFrame:
-        keys = RANK_SCOPES[self.rules.rank_scope]
-        hot = hot_groups(self.drops, keys, self.rules.hot_rows, self.rows_at_most)
         key = [*GROUP, "DPCI", "Distro"]
-        ranks = with_item_rank(self.drops, self.rules.rank_scope, hot).select(*key, "rank")
+        ranks = with_item_rank(self.drops, self.rules.rank_scope, self.rules.cell_rows).select(*key, "rank")
         return rows.join(ranks, key, "left")
 
     @cached_property
@@ -125,6 +146,7 @@ def plan_waves(
     rules: Rules | None = None,
     check_duplicates: bool = True,
 ) -> WavePlan:
-    """Plan raw rows: set faulty ones aside, then build the tables on the rest."""
+    """Plan raw rows: set faulty ones aside (``rejects``), then build the tables on the rest."""
     chosen = [scenarios] if isinstance(scenarios, Scenario) else list(scenarios)
-    return WavePlan(accepted(drops, check_duplicates), chosen, aisles, rules or Rules())
+    good, bad = quality.split(quality.tag(drops, check_duplicates))
+    return WavePlan(good, chosen, aisles, rules or Rules(), rejects=bad)

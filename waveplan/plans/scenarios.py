@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.operators.capacity import METHODS, Scenario, capacities
-from waveplan.operators.cartons import RUN, sized_cartons
-from waveplan.operators.running import HOT_ROWS, hot_groups, over_groups
-from waveplan.schema import GROUP, release_order
+from waveplan.operators.cartons import carton_running, sized_cartons, zone_ends
+from waveplan.operators.running import CELL_ROWS
+from waveplan.schema import GROUP
 from waveplan.sources.aisles import aisle_rows
 
 CAPS = (0.8, 0.9, 1.0)
@@ -31,73 +31,14 @@ def scenario_sweep(
     scenarios: list[Scenario],
     aisles: DataFrame | None = None,
     rank_scope: str = "all_zones",
-    hot_rows: int = HOT_ROWS,
-    rows_at_most: int | None = None,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Waves and last-wave fill per zone and scenario, in one pass over the rows.
-
-    The number of waves follows from the zone total. The last wave starts at the one
-    row whose locations cross its lower bound, and that bound lies within one wave of
-    the total: only rows that near the end are compared with the distinct wave sizes.
-    A zone keeps at most one such row per size, so rows never multiply.
-    """
+    """Waves and last-wave fill per zone and scenario; zones, not rows, meet the scenarios."""
     capacity = capacities(drops.sparkSession, scenarios, aisles)
     methods = sorted({s.method for s in scenarios})
-    running = over_groups(
-        sized_cartons(drops, methods, rank_scope),
-        RUN,
-        release_order(),
-        lambda zone: zone.add(
-            running={"wave_cum_locations": (F.sum, F.col("Total_locs"))},
-            totals={"zone_locations": (F.sum, F.col("Total_locs"))},
-        ),
-        hot_groups(drops, GROUP, hot_rows, rows_at_most),
-    )
-    return _per_scenario(_last_wave_starts(running, _wave_sizes(capacity)), capacity)
-
-
-def _wave_sizes(capacity: DataFrame) -> list[float]:
-    """Distinct sizes, no more than there are scenarios."""
-    return [r.carton_size for r in capacity.select("carton_size").distinct().orderBy("carton_size").collect()]
-
-
-def _last_wave_starts(running: DataFrame, sizes: list[float]) -> DataFrame:
-    """Per zone and method: the total, and the last-wave fill of each size that has one."""
-    total, upto = F.col("zone_locations"), F.col("wave_cum_locations")
-    before = upto - F.col("Total_locs")
-    listed = F.array(*[F.lit(s) for s in sizes]).cast("array<double>")
-    near_end = (F.col("Total_locs") > 0) & (upto > total - F.lit(max(sizes, default=0.0)))
-    crossed = F.filter(
-        listed,
-        lambda size: (F.ceil(upto / size) == F.ceil(total / size)) & (F.ceil(before / size) < F.ceil(total / size)),
-    )
-    start = F.struct((total - before).alias("fill"), F.col("_sizes").alias("sizes"))
-    return (
-        running.select(*RUN, "zone_locations", "wave_cum_locations", "Total_locs")
-        .withColumn("_sizes", F.when(near_end, crossed))
-        .groupBy(*RUN)
-        .agg(
-            F.max("zone_locations").alias("zone_locations"),
-            F.collect_list(F.when(F.size("_sizes") > 0, start)).alias("_starts"),
-        )
-    )
-
-
-def _per_scenario(zones: DataFrame, capacity: DataFrame) -> DataFrame:
-    size = F.col("carton_size")
-    matching = F.filter(F.col("_starts"), lambda start: F.array_contains(start["sizes"], size))
-    # ``capacity`` has one row per scenario passed in.
-    return zones.join(F.broadcast(capacity), "Method").select(
-        *GROUP,
-        "UDC",
-        "Aisle_No",
-        "Cap",
-        "Method",
-        "Level_A",
-        "carton_size",
-        "zone_locations",
-        F.ceil(F.col("zone_locations") / size).alias("n_waves"),
-        F.coalesce(F.get(matching, F.lit(0))["fill"], F.lit(0)).cast("bigint").alias("last_wave_fill"),
+    ends = zone_ends(carton_running(sized_cartons(drops, methods, rank_scope), cell_rows), capacity)
+    return ends.select(
+        *GROUP, "UDC", "Aisle_No", "Cap", "Method", "Level_A", "carton_size", "zone_locations", "n_waves", "last_wave_fill"
     )
 
 

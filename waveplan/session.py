@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,6 @@ ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 SHUFFLE_BYTES = 256 * 1024 * 1024
-MOST_PARTITIONS = 100_000
 
 
 def build_session(master: str | None = None, cores: int = 8, **conf: str) -> SparkSession:
@@ -46,40 +46,51 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(usual, min(-(-input_bytes // SHUFFLE_BYTES), MOST_PARTITIONS))
+    wanted = max(usual, -(-input_bytes // SHUFFLE_BYTES))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", wanted)
     return wanted
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+
+    Where it is unset, in local runs only, a folder beside the warehouse tables is used.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waveplan-"))
-    return spark.sparkContext.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+
+
+_WRITTEN: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Later stages restart from the files when an executor is lost, so a column that
-    must not change between runs (a partition number) is fixed here.
+    Later steps restart from the files when an executor is lost, and read the columns they
+    need instead of the input. The files go with :func:`release`, at the latest at exit.
     """
-    path = f"{shared_folder(df.sparkSession)}/waveplan/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/waveplan/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for a scan that has fewer splits than there are cores.
-
-    Such a scan is small by its number of splits; a larger one is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that :func:`materialize` has written; plans must not be used after it."""
+    while _WRITTEN:
+        path = _WRITTEN.pop()
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception as gone:  # the session may have ended before
+            warnings.warn(f"{path} could not be deleted: {gone}", stacklevel=2)
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:

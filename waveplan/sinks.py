@@ -4,15 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Columns that explain a placement but are not part of the exported sheet.
-HELPERS = ["pallets", "vcp", "VCPHt", "pallet_loc", "wave_cum_locations", "wave_no"]
-
-
-def export_columns(assigned: DataFrame) -> DataFrame:
-    """The rows as handed out; helper columns go if they are there."""
-    return assigned.drop(*HELPERS)
-
-
 def write_assigned(
     assigned: DataFrame,
     path: str,
@@ -20,12 +11,12 @@ def write_assigned(
     partition_by: tuple[str, ...] = ("drop_id", "SSZ"),
     mode: str = "errorifexists",
 ) -> None:
-    """Write one folder per drop and zone.
+    """Write one folder per drop and zone, with all columns of ``assigned``.
 
     The rebalance hint lets adaptive execution gather small folders into few files and
     split a big zone over several tasks.
     """
-    rows = export_columns(assigned).hint("rebalance", *partition_by)
+    rows = assigned.hint("rebalance", *partition_by)
     writer = rows.write.mode(mode).partitionBy(*partition_by)
     if file_format == "csv":
         writer = writer.option("header", True)

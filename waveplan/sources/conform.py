@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from waveplan.schema import DROPS
 
+# Holds a line with too few or too many fields.
+CORRUPT = "_corrupt_record"
 # Tried in turn after ISO dates.
 DATE_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yy", "yyyyMMdd")
 
@@ -24,7 +26,8 @@ def to_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
 
 
 def conform(raw: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
-    """All columns of ``DROPS`` in their types; a date that cannot be read sets ``bad_date``.
+    """All columns of ``DROPS`` in their types; a date that cannot be read sets ``bad_date``,
+    a line with too few or too many fields ``bad_line``.
 
     Values that cannot be read become null, so the quality checks set their rows aside.
     """
@@ -45,5 +48,8 @@ def conform(raw: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFram
         columns.append(value.alias(field.name))
     given = F.trim(F.col("AllocationRequestDate").cast("string"))
     bad_date = (F.length(given) > 0) & to_date(given, formats).isNull()
-    extras = [F.col(f"`{c}`") for c in raw.columns if c not in DROPS.fieldNames()]
-    return raw.select(*columns, *extras, F.coalesce(bad_date, F.lit(False)).alias("bad_date"))
+    extras = [F.col(f"`{c}`") for c in raw.columns if c not in (*DROPS.fieldNames(), CORRUPT)]
+    marks = [F.coalesce(bad_date, F.lit(False)).alias("bad_date")]
+    if CORRUPT in raw.columns:
+        marks.append(F.col(CORRUPT).isNotNull().alias("bad_line"))
+    return raw.select(*columns, *extras, *marks)
