@@ -12,9 +12,9 @@ Jaccard similarity of their shingles, sum of minima over sum of maxima, is 0.8 o
    pairs shares none of the keys.
 3. In each bucket (band, key) the node that meets most others in all its buckets is the
    centre that they are compared with: as many comparisons as members, not pairs of members.
-   A node first meets the centre it shares most bands with; then it meets its other centres,
-   where links so far don't join them yet. Nodes that share two buckets, each still with
-   members of several classes, are compared around new centres, until a round finds no link.
+   Nodes that share two buckets, each still with members of several classes, are compared
+   around new centres of other classes, until a round finds no link.
+   Pairs whose samples hardly agree are not compared.
 4. Classes are the connected components of the links; a class is named by its smallest id.
 
 Defined results: texts without words (null, empty, blank) are classes of their own, as are
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.llm import chunks
@@ -42,8 +42,12 @@ SIMILARITY = 0.8
 BANDS = 10
 ROWS = 3
 IDF_BITS = 18
+#: Centres that a bucket of several classes gets in a round.
+CENTRES = 8
+#: Samples, of BANDS * ROWS, that have to be equal before texts are compared.
+AGREE = 17
 _BLOCK = 1 << 14
-_SIGNED = "id long, words long, mark1 long, mark2 long, bands array<long>"
+_SIGNED = "id long, words long, mark1 long, mark2 long, total double, bands array<long>, samples array<int>"
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -109,8 +113,8 @@ def shingles(words: Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return name[at], (times * mean).astype(np.float32), np.searchsorted(text[at], np.arange(len(n) + 1))
 
 
-def sample_bands(name: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of all bands of every text that has shingles.
+def sample_bands(name: np.ndarray, weight: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all bands, and 32 bits of each sample, of every text that has shingles.
 
     Sample k of a text is its shingle with the least ln(a) = ln(c) - r * (t - beta) - r where
     t = floor(ln(weight) / r + beta), together with t; r and c are Gamma(2, 1), beta is
@@ -118,9 +122,9 @@ def sample_bands(name: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.
     """
     full = np.flatnonzero(np.diff(first) > 0)
     starts = first[full]
-    keys = np.zeros((len(full), BANDS), np.uint64)
+    keys, samples = np.zeros((len(full), BANDS), np.uint64), np.zeros((len(full), BANDS * ROWS), np.uint32)
     if not len(full):
-        return keys
+        return keys, samples
     counts = np.diff(np.append(starts, len(name)))
     log_weight = np.log(weight)
     cost, step = np.empty(len(name), np.float32), np.empty(len(name), np.float32)
@@ -141,7 +145,8 @@ def sample_bands(name: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.
         drawn = mix(name[best] + step[best].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         band = k // ROWS
         keys[:, band] = mix(keys[:, band] * np.uint64(31) + drawn + np.uint64(band))
-    return keys
+        samples[:, k] = (drawn >> np.uint64(32)).astype(np.uint32)
+    return keys, samples
 
 
 def _sign(idf: np.ndarray):
@@ -154,7 +159,7 @@ def _sign(idf: np.ndarray):
                 n = np.diff(words.first)
                 full = np.flatnonzero(n > 0)
                 name, weight, first = shingles(words, idf)
-                keys = sample_bands(name, weight, first)
+                keys, samples = sample_bands(name, weight, first)
                 low, high = words.first[:-1][full], words.first[1:][full] - 1
                 marks = [
                     stretch_names(names, 1)(low, high).view(np.int64) if len(full) else np.zeros(0, np.int64)
@@ -163,16 +168,19 @@ def _sign(idf: np.ndarray):
                 wide = [np.zeros(j - i, np.int64) for _ in marks]
                 for x, own in zip(wide, marks):
                     x[full] = own
-                lists: list = [None] * (j - i)
+                bands: list = [None] * (j - i)
+                drawn: list = [None] * (j - i)
                 for row, d in enumerate(full.tolist()):
-                    lists[d] = keys[row].view(np.int64)
+                    bands[d], drawn[d] = keys[row].view(np.int64), samples[row].view(np.int32)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "id": part["id"],
                         "words": pa.array(n),
                         "mark1": pa.array(wide[0]),
                         "mark2": pa.array(wide[1]),
-                        "bands": pa.array(lists, pa.list_(pa.int64())),
+                        "total": pa.array(np.diff(np.concatenate([[0.0], np.cumsum(weight, dtype=float)])[first])),
+                        "bands": pa.array(bands, pa.list_(pa.int64())),
+                        "samples": pa.array(drawn, pa.list_(pa.int32())),
                     }
                 )
 
@@ -231,10 +239,15 @@ def components(run: Run, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def _central(members: DataFrame, name: str) -> DataFrame:
-    """The node of each bucket that meets most others: one near the middle of its copies."""
-    order = F.struct(F.col("weight"), F.xxhash64(name).alias("h"), F.col(name).alias(name))
-    return members.groupBy("band", "key").agg(F.max(order).getField(name).alias(name))
+def _likely(own: Column, other: Column, least: float) -> Column:
+    """False where two nodes (total, samples) can't, or all but can't, reach the similarity.
+
+    It is at most the smaller total weight over the larger, and samples are equal as often as
+    nodes are similar: at 0.8 fewer than AGREE of 30 are in one of 300 pairs.
+    """
+    low, high = F.least(own["total"], other["total"]), F.greatest(own["total"], other["total"])
+    equal = F.size(F.filter(F.zip_with(own["samples"], other["samples"], lambda x, y: x == y), lambda x: x))
+    return (low >= (least - 1e-6) * high) & (equal >= AGREE)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -246,15 +259,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     idf = inverse_frequencies(chunks.summed(counted, (1 << IDF_BITS) + 1))
     signed = run.keep(own.mapInArrow(_sign(idf), _SIGNED), "signed")
     some = signed.filter("id IS NOT NULL AND words > 0")
-    nodes = some.groupBy("mark1", "mark2").agg(F.min(F.struct("id", "bands")).alias("one"))
-    nodes = run.keep(nodes.select("mark1", "mark2", F.col("one.id").alias("node"), F.col("one.bands").alias("bands")), "nodes")
+    nodes = some.groupBy("mark1", "mark2").agg(F.min(F.struct("id", "total", "bands", "samples")).alias("one"))
+    nodes = nodes.select("mark1", "mark2", F.col("one.id").alias("node"), "one.total", "one.bands", "one.samples")
+    nodes = run.keep(nodes, "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    drawn = nodes.select(F.col("node").alias("id"), "total", "samples")
     # members of buckets with two nodes or more; a node's weight: whom it meets in all its buckets
     sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     met = run.keep(buckets.join(sizes, ["band", "key"]), "met")
     weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
     members = met.drop("size").join(weights, "node")
-    members = members.join(_central(members, "node").withColumnRenamed("node", "centre"), ["band", "key"])
+    pick = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node"))
+    centres = members.groupBy("band", "key").agg(pick.getField("node").alias("centre"))
+    members = members.join(centres, ["band", "key"])
     members = run.keep(members, "members")
     run.drop("met")
     # texts are joined in one way at every size: shuffled, never with a broadcast side
@@ -284,12 +301,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         return run.keep(after, f"{name}-labels")
 
     pairs = members.filter("node != centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).count()
+    mine = drawn.select(F.col("id").alias("a"), F.struct("total", "samples").alias("own"))
+    theirs = drawn.select(F.col("id").alias("b"), F.struct("total", "samples").alias("other"))
+    pairs = pairs.join(mine, "a").join(theirs, "b").filter(_likely(F.col("own"), F.col("other"), least)).drop("own", "other")
     pairs = run.keep(pairs, "pairs")
-    best = pairs.groupBy("a").agg(F.max(F.struct("count", "b")).alias("one")).select("a", F.col("one.b").alias("b"))
-    links = verified(best, "links0")
-    first = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), first)
-    links = links.union(verified(rest, "links1"))
+    links = verified(pairs, "links1")
     alone = members.select(F.col("node").alias("id")).distinct().withColumn("label", F.col("id"))
     labels = joined(run.keep(alone, "alone"), links, "classes1")
     # what is left are buckets that hold several classes, by a passage that many texts share, say:
@@ -299,22 +315,27 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     held = several.join(mixed.select("band", "key"), ["band", "key"]).groupBy("id", "weight")
     held = held.agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("held"))  # at most BANDS of them
     twos = F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.lit(BANDS)), lambda y: F.xxhash64(x["band"], x["key"], y["band"], y["key"])))
-    open_buckets = run.keep(held.select("id", "weight", F.explode(F.flatten(twos)).alias("key")).withColumn("band", F.lit(-1)), "twos")
-    tried, step = open_buckets.select("band", "key", "id").limit(0), 1
+    twos = held.select("id", "weight", F.explode(F.flatten(twos)).alias("key"))
+    own = F.struct("total", "samples").alias("own")
+    open_buckets = run.keep(twos.join(drawn.select("id", own), "id"), "twos")
+    tried, step = open_buckets.select("key", "id").limit(0), 1
     while True:
-        # the next centre of a bucket is of a class that has had none
+        # the next centres of a bucket are of classes that have had none
         step += 1
-        had = tried.join(labels, "id").select("band", "key", "label").distinct()
-        now = open_buckets.join(labels, "id").join(had, ["band", "key", "label"], "left_anti")
-        now = run.keep(now, f"open{step}")
-        fresh = _central(now, "id")
-        new = now.join(fresh.withColumnRenamed("id", "centre"), ["band", "key"]).filter("id != centre")
-        new = apart(new.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), labels)
+        had = tried.join(labels, "id").select("key", "label").distinct()
+        now = run.keep(open_buckets.join(labels, "id").join(had, ["key", "label"], "left_anti"), f"open{step}")
+        pick = F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id", "own"))
+        fresh = now.groupBy("key", "label").agg(pick.alias("c"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c.weight"), "c.h", "c.id"))
+        fresh = fresh.withColumn("place", place).filter(F.col("place") <= CENTRES)
+        fresh = fresh.select("key", F.col("label").alias("la"), F.col("c.id").alias("centre"), F.col("c.own").alias("other"))
+        new = now.join(fresh, "key").filter("label != la").filter(_likely(F.col("own"), F.col("other"), least))
+        new = new.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
         found = verified(run.keep(new, f"new{step}"), f"links{step}")
         if found.isEmpty():
             break
         labels = joined(labels, found, f"classes{step}")
-        tried = run.keep(tried.union(fresh.select("band", "key", "id")), f"tried{step}")
+        tried = run.keep(tried.union(fresh.select("key", F.col("centre").alias("id"))), f"tried{step}")
         open_buckets = now.drop("label")
     run.drop("texts", "members")
     known = nodes.select("mark1", "mark2", "node").join(labels, F.col("node") == F.col("id"), "left")
