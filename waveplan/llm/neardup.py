@@ -234,8 +234,10 @@ def components(run: Run, links: DataFrame, name: str) -> DataFrame:
         after = labels.join(up, "label").join(beside, F.col("id") == F.col("a"))
         after = after.select("id", F.col("label").alias("was"), F.least("next", "low").alias("label"))
         after = run.keep(after, f"{name}-{step}")
+        run.drop(f"{name}-{step - 1}")
         labels = after.select("id", "label")
         if after.filter("label < was").isEmpty():
+            run.drop(f"{name}-links")
             return labels
 
 
@@ -298,7 +300,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         classes = apart(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b"))
         merged = components(run, classes, name).select(F.col("id").alias("label"), F.col("label").alias("new"))
         after = labels.join(merged, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
-        return run.keep(after, f"{name}-labels")
+        after = run.keep(after, f"labels-{name}")
+        run.drop(*[f"{name}-{k}" for k in range(100)])
+        return after
 
     pairs = members.filter("node != centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).count()
     mine = drawn.select(F.col("id").alias("a"), F.struct("total", "samples").alias("own"))
@@ -308,6 +312,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = verified(pairs, "links1")
     alone = members.select(F.col("node").alias("id")).distinct().withColumn("label", F.col("id"))
     labels = joined(run.keep(alone, "alone"), links, "classes1")
+    run.drop("alone", "pairs", "links1")
     # what is left are buckets that hold several classes, by a passage that many texts share, say:
     # nodes that share two such buckets are compared once more, around new centres
     several = members.select("band", "key", "weight", F.col("node").alias("id")).join(labels, "id")
@@ -332,12 +337,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         new = now.join(fresh, "key").filter("label != la").filter(_likely(F.col("own"), F.col("other"), least))
         new = new.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
         found = verified(run.keep(new, f"new{step}"), f"links{step}")
+        run.drop(f"new{step}", f"open{step - 1}", "twos")
         if found.isEmpty():
             break
-        labels = joined(labels, found, f"classes{step}")
         tried = run.keep(tried.union(fresh.select("key", F.col("centre").alias("id"))), f"tried{step}")
+        labels = joined(labels, found, f"classes{step}")
+        run.drop(f"links{step}", f"tried{step - 1}", f"labels-classes{step - 1}")
         open_buckets = now.drop("label")
-    run.drop("texts", "members")
+    run.drop("texts", "members", f"links{step}", f"open{step}", f"tried{step - 1}")
     known = nodes.select("mark1", "mark2", "node").join(labels, F.col("node") == F.col("id"), "left")
     known = known.select("mark1", "mark2", "node", F.coalesce("label", "node").alias("class"))
     out = signed.join(known, ["mark1", "mark2"], "left")
