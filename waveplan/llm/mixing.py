@@ -127,11 +127,15 @@ def words() -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES, cell: int = CELL, seed: int = SEED
+    docs: DataFrame,
+    weights: tuple = WEIGHTS,
+    most: float = MOST_COPIES,
+    cell: int = CELL,
+    seed: int = SEED,
+    run: Run | None = None,
 ) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, copies."""
-    spark = docs.sparkSession
-    run = Run(spark, "mixing")
+    run = run or Run(docs.sparkSession, "mixing")
     sized = run.keep(
         docs.select(
             F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), words().alias("size")
@@ -169,11 +173,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     run = Run(docs.sparkSession, "mixed")
     key = ["_id", "_source", "_size"]
-    taken = mix_sources(docs).select(
+    taken = mix_sources(docs, run=run).select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
     )
     taken = taken.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("_copies")))
     taken = run.keep(taken.filter("_copies > 0"), "taken")
+    run.drop("sized", "sources", *[f"units{k}" for k in range(100)])
     own = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), words().alias("_size"),
@@ -183,7 +188,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in (*key, "_place"):
         same = same & own[c].eqNullSafe(taken[c])
-    met = own.join(taken, same).select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+    # texts are joined in one way at every size
+    met = own.join(taken.hint("merge"), same).select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
     return met.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
