@@ -33,9 +33,8 @@ def test_csv_keys_stay_text_and_drop_is_the_file(spark, tmp_path):
     write_csv(tmp_path / "drop 1.csv", [LINE])
     write_csv(tmp_path / "drop 2.csv", [LINE, LINE.replace("007", "008")])
     found = scan_csv(spark, str(tmp_path)).orderBy("drop_id", "Distro").collect()
-    assert [(r.drop_id, r.Distro, r.DPCI) for r in found] == [
-        ("drop 1", "007", "012"), ("drop 2", "007", "012"), ("drop 2", "008", "012"),
-    ]
+    one, two = (f"file:{tmp_path}/drop {n}.csv" for n in (1, 2))
+    assert [(r.drop_id, r.Distro, r.DPCI) for r in found] == [(one, "007", "012"), (two, "007", "012"), (two, "008", "012")]
     assert found[0].AllocationRequestDate == datetime(2022, 7, 22)
     assert (found[0].TotalNumberofFullVCPs, found[0].VCPWidth, found[0].bad_date) == (3, 12.5, False)
     assert [f.dataType for f in scan_csv(spark, str(tmp_path)).schema][: len(DROPS)] == [f.dataType for f in DROPS]
@@ -52,14 +51,36 @@ def test_csv_faulty_lines_are_kept_for_the_rejects(spark, tmp_path):
     lines = [LINE, "009,012,5", LINE.replace("007", "010").replace("7/22/2022", "soon"), LINE.replace("007", "011").replace("3.0", "2.5")]
     write_csv(tmp_path / "a.csv", lines)
     found = {r.Distro: r.reject_reason for r in quality.rejects(scan_csv(spark, str(tmp_path))).collect()}
-    assert found == {"009": "missing_key", "010": "bad_date", "011": "bad_quantity"}
+    assert found == {"009": "bad_line", "010": "bad_date", "011": "bad_quantity"}
+
+
+def test_a_comma_too_many_shifts_no_fields(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", [LINE, LINE.replace("007", "012").replace(",18,", ",1,800,")])
+    scanned = scan_csv(spark, str(tmp_path))
+    plan = plan_waves(scanned, Scenario(3840, 2))
+    assert [r.Distro for r in plan.assigned.collect()] == ["007"]
+    assert [r.reject_reason for r in plan.rejects.collect()] == ["bad_line"]
+    assert not {"_corrupt_record", "bad_line", "bad_date"} & set(plan.assigned.columns)
+    plan.close()
 
 
-def test_csv_with_other_column_order_fails_loudly(spark, tmp_path):
-    write_csv(tmp_path / "a.csv", [LINE])
-    write_csv(tmp_path / "b.csv", [LINE], HEADER[::-1])
-    with pytest.raises(Exception, match="(?i)header"):
-        scan_csv(spark, str(tmp_path)).collect()
+def test_files_of_one_name_are_drops_of_their_own(spark, tmp_path):
+    for name in ("a/drop.csv", "b/drop.csv", "c/x.csv", "c/x.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        write_csv(tmp_path / name, [LINE])
+    scanned = scan_csv(spark, [str(tmp_path / n) for n in "abc"])
+    plan = plan_waves(scanned, Scenario(3840, 2))
+    assert plan.rejects.isEmpty() and plan.assigned.select("drop_id").distinct().count() == 4
+    plan.close()
+
+
+def test_columns_are_found_by_name_in_each_file(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", [LINE + ",note"], [*HEADER, "Store Notes"])
+    write_csv(tmp_path / "b.csv", [",".join(LINE.split(",")[::-1])], HEADER[::-1])
+    write_csv(tmp_path / "c.csv", ["1,2"], ["Distro", "SSZ"])
+    with pytest.warns(UserWarning, match="c.csv lacks the columns DPCI"):
+        found = scan_csv(spark, str(tmp_path)).orderBy("drop_id").collect()
+    assert [(r.Distro, r.VCPWidth, r.StoreNotes, r.bad_line) for r in found] == [("007", 12.5, "note", False), ("007", 12.5, None, False)]
 
 
 def test_missing_column_is_named(spark, tmp_path):
@@ -88,7 +109,7 @@ def test_workbooks(spark, tmp_path):
         return pd.read_csv(io.BytesIO(content), dtype={"Distro": str, "DPCI": str})
 
     found = scan_workbooks(spark, str(tmp_path), decoder, extra_columns=("StoreNotes",)).first()
-    assert (found.drop_id, found.Distro, found.DPCI, found.SSZ) == ("b 1", "007", "012", 5)
+    assert (found.drop_id, found.Distro, found.DPCI, found.SSZ) == (f"file:{tmp_path}/b 1.xlsx", "007", "012", 5)
     assert (found.VCPHeight, found.VCPWidth, found.StoreNotes) == (10.0, None, "n")
     assert found.AllocationRequestDate == datetime(2022, 7, 22)
 
@@ -133,15 +154,26 @@ def test_reject_reasons(spark):
         "free": None, "late": None, "twice": "duplicate_key", "two zones": None,
     }
     assert tagged.count() == len(rows)
-    assert plan_waves(table(spark, rows), Scenario(3840, 2)).assigned.count() == 5
+    plan = plan_waves(table(spark, rows), Scenario(3840, 2))
+    assert (plan.assigned.count(), plan.rejects.count()) == (5, len(rows) - 5)
+    plan.close()
 
 
 def test_aisles(spark):
-    rows = {(r.UDC, r.Aisle_No): tuple(r)[2:] for r in aisles(spark).collect()}
-    assert len(rows) == 43
-    assert rows[3840, 2] == (8, 862, 854) and rows[3842, 12] == (8, 386, 378) and rows[3841, 14] == (46, 46, 0)
-    assert {k for k, v in rows.items() if v[2] == 0} == {(3840, 1), (3840, 14), (3842, 1), (3842, 16), (3841, 14)}
-    assert all(p + c == u for p, u, c in rows.values())
+    """The table once more, in the order of the aisles: usable locations of each centre."""
+    usable = {
+        (3840, 1): [54, 862, 880, 862, 878, 864, 920, 862, 796, 812, 876, 888, 618, 99],
+        (3841, 2): [778, 778, 778, 778, 778, 778, 778, 778, 778, 778, 778, 778, 46],
+        (3842, 1): [58, 500, 509, 500, 509, 500, 509, 446, 500, 500, 386, 386, 386, 386, 386, 56],
+    }
+    only_pallets = {(3840, 1), (3840, 14), (3842, 1), (3842, 16), (3841, 14)}
+    expected = set()
+    for (udc, first), locations in usable.items():
+        for aisle, n in enumerate(locations, first):
+            pallet = n if (udc, aisle) in only_pallets else 8
+            expected.add((udc, aisle, pallet, n, n - pallet))
+    rows = [tuple(r) for r in aisles(spark).collect()]
+    assert len(rows) == 43 and set(rows) == expected
 
 
 @pytest.mark.parametrize("fix", [False, True])
@@ -169,8 +201,26 @@ def test_rejected_scenarios(spark):
     assert found == [(2, "no_carton_capacity"), (3, "unknown_aisle"), (4, "unknown_aisle")]
     plan = WavePlan(table(spark, [sized_row("a", 5)]), scenarios)
     assert [r.scenario_id for r in plan.assigned.collect()] == [1]
+    assert plan.rejected_scenarios.count() == 3
+    plan.close()
     with pytest.raises(ValueError):
         Scenario(3840, 2, method="Pallet")
+    for cap in (0, -0.5, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="cap"):
+            Scenario(3840, 2, cap)
+
+
+def test_faulty_aisles_are_rejected(spark):
+    own = aisles(spark).filter("UDC = 3842 AND Aisle_No IN (2, 3, 4)")
+    own = own.union(own.filter("Aisle_No = 3")).withColumn(
+        "Pallet Locations", F.when(F.col("Aisle_No") == 4, 0).otherwise(F.col("Pallet Locations"))
+    )
+    scenarios = [Scenario(3842, 2), Scenario(3842, 3), Scenario(3842, 4)]
+    found = rejected_scenarios(spark, scenarios, own).orderBy("scenario_id").collect()
+    assert [(r.scenario_id, r.reject_reason) for r in found] == [(2, "repeated_aisle"), (3, "no_pallet_locations")]
+    plan = WavePlan(table(spark, [sized_row("a", 5), row("p", TotalNumberofPallets=4)]), scenarios, own)
+    assert sorted((r.Distro, r.scenario_id) for r in plan.assigned.collect()) == [("a", 1), ("p", 1)]
+    plan.close()
 
 
 def test_unknown_columns_pass_through_whatever_their_name(spark):
@@ -182,6 +232,17 @@ def test_unknown_columns_pass_through_whatever_their_name(spark):
     assert {(r["Store Notes"], r.UDC, r.method, r.vcp, float(r.Ht)) for r in found} == {("n", 7, 8, 9, 1.5)}
     assert {r.wave_id for r in found} == {"W1"} and plan.assigned.columns.count("wave_id") == 1
     assert plan.wave_summary.count() == 1
+    plan.close()
+
+
+def test_export_keeps_the_users_columns(spark, tmp_path):
+    names = ["pallets", "vcp", "VCPHt", "pallet_loc", "wave_cum_locations", "wave_no"]
+    source = table(spark, [sized_row("a", 5)]).selectExpr("*", *[f"'mine' AS {n}" for n in names])
+    plan = WavePlan(source, [Scenario(3840, 2)])
+    write_assigned(plan.assigned, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).first()
+    assert [back[n] for n in names] == ["mine"] * 6
+    plan.close()
 
 
 def test_own_aisles(spark):
@@ -215,12 +276,15 @@ def test_uploads_are_planned_as_they_arrive(spark, tmp_path):
     write_csv(inbox / "mon.csv", [LINE, LINE.replace("007", "008"), "bad,,,,,,,,,,,,,"])
 
     def go():
-        plan_uploads(spark, str(inbox), str(outbox), str(mark), HEADER, [Scenario(3840, 2)]).awaitTermination()
+        plan_uploads(spark, str(inbox), str(outbox), str(mark), [Scenario(3840, 2)]).awaitTermination()
 
     go()
-    write_csv(inbox / "tue.csv", [LINE])
+    write_csv(inbox / "tue.csv", [",".join(LINE.split(",")[::-1])], HEADER[::-1])
+    write_csv(inbox / "odd.csv", ["1"], ["Distro"])
     go()
     found = spark.read.parquet(str(outbox / "assigned")).select("drop_id", "Distro", "wave_id", "batch").collect()
-    assert sorted(tuple(r) for r in found) == [("mon", "007", "W1", 0), ("mon", "008", "W1", 0), ("tue", "007", "W1", 1)]
+    found = sorted((r.drop_id.split("/")[-1], *r[1:]) for r in found)
+    assert found == [("mon.csv", "007", "W1", 0), ("mon.csv", "008", "W1", 0), ("tue.csv", "007", "W1", 1)]
+    assert spark.read.parquet(str(outbox / "bad_files")).first()["file"].endswith("/odd.csv")
     assert spark.read.parquet(str(outbox / "rejects")).select("reject_reason").collect() == [("missing_key",)]
     assert spark.read.parquet(str(outbox / "summary")).agg(F.sum("Total_distro")).first()[0] == 3

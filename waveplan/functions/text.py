@@ -20,9 +20,13 @@ def wave_label(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
+def clean_name(name: str) -> str:
+    return name.replace(" ", "").replace("\n", "").replace("\r", "")
+
+
 def clean_headers(df: DataFrame) -> DataFrame:
     """Column names without spaces and line breaks."""
-    return df.toDF(*[name.replace(" ", "").replace("\n", "").replace("\r", "") for name in df.columns])
+    return df.toDF(*[clean_name(name) for name in df.columns])
 
 
 def percent_text(share: Column) -> Column:

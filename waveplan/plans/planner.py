@@ -15,7 +15,7 @@ from waveplan.operators.filters import pallet_rows
 from waveplan.operators.items import item_facts, with_item_rank
 from waveplan.operators.running import CELL_ROWS, same_join
 from waveplan.schema import DROPS, GROUP, ITEM
-from waveplan.session import materialize
+from waveplan.session import materialize, release
 
 RESULTS = ["scenario_id", "Total_locs", "wave_id", "Charging Instructions", "rank"]
 EXTRAS = "_extras"
@@ -54,6 +54,7 @@ class WavePlan:
 
     def __post_init__(self) -> None:
         spark = self.drops.sparkSession
+        self._written: list[str] = []
         known = {name.lower() for name in [*DROPS.fieldNames(), *RESULTS]}
         self.extras = [c for c in self.drops.columns if c.lower() not in known]
         packed = [F.struct(*[F.col(f"`{c}`") for c in self.extras]).alias(EXTRAS)] if self.extras else []
@@ -61,6 +62,10 @@ class WavePlan:
         self.capacity = capacities(spark, self.scenarios, self.aisles, self.rules.fix_level_a)
         self.methods = sorted({s.method for s in self.scenarios})
 
+    def close(self) -> None:
+        """Delete the written tables, once all results have been used."""
+        release(self.drops.sparkSession, self._written)
+
     @cached_property
     def rejected_scenarios(self) -> DataFrame:
         """Scenarios that yield no rows, with the reason."""
@@ -81,7 +86,7 @@ class WavePlan:
         """Every row with its sizes and its item's running pallet locations: the second read."""
         upto = self.pallet_running.select(*ITEM, "pallet_cum_locations")
         facts = same_join(self.facts.select(*ITEM, "_locs", "_top"), upto, ITEM, "left")
-        return materialize(cartons.with_sizes(self.drops, facts), "sized")
+        return materialize(cartons.with_sizes(self.drops, facts), "sized", self._written)
 
     @cached_property
     def sized_cartons(self) -> DataFrame:
@@ -89,7 +94,7 @@ class WavePlan:
 
     @cached_property
     def running(self) -> DataFrame:
-        return materialize(cartons.carton_running(self.sized_cartons, self.rules.cell_rows), "running")
+        return materialize(cartons.carton_running(self.sized_cartons, self.rules.cell_rows), "running", self._written)
 
     @cached_property
     def carton_waves(self) -> DataFrame:

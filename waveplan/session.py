@@ -67,8 +67,8 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; its path is added to ``paths``.
 
     Later steps restart from the files when an executor is lost, and read the columns they
     need instead of the input. The files go with :func:`release`, at the latest at exit.
@@ -78,19 +78,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _WRITTEN:
         atexit.register(release, spark)
     _WRITTEN.append(path)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that :func:`materialize` has written; plans must not be used after it."""
-    while _WRITTEN:
-        path = _WRITTEN.pop()
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete what :func:`materialize` has written, all of it or the named tables."""
+    for path in list(_WRITTEN if paths is None else paths):
+        _WRITTEN.remove(path)
         try:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         except Exception as gone:  # the session may have ended before
             warnings.warn(f"{path} could not be deleted: {gone}", stacklevel=2)
+    if paths:
+        paths.clear()
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:

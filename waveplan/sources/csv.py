@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waveplan.functions.text import clean_headers
-from waveplan.sources.conform import DATE_FORMATS, conform
-
-CORRUPT = "_corrupt_record"
+from waveplan.functions.text import clean_headers, clean_name
+from waveplan.schema import DROPS
+from waveplan.sources.conform import CORRUPT, DATE_FORMATS, conform
 
-
-def drop_name(file_name: Column) -> Column:
-    """A drop is named after its file, without the extension."""
-    return F.regexp_replace(file_name, r"\.[^.]*$", "")
+# The first record of a file whose quoted fields may hold line breaks.
+FIRST_RECORD = r'^((?:"(?:[^"]|"")*"|[^"\r\n])*)'
 
 
 def source_file() -> Column:
-    """Name of the row's file; the metadata column holds it percent-encoded."""
-    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    """Whole path of the row's file, which names its drop; the metadata column is percent-encoded."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     return F.url_decode(encoded)
 
 
@@ -29,32 +30,74 @@ def text_schema(header: list[str]) -> T.StructType:
 
 
 def csv_options(multi_line: bool) -> dict[str, str]:
-    """Files whose header differs from the schema fail instead of shifting columns."""
     return {
         "header": "true",
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
-        "enforceSchema": "false",
         "multiLine": str(multi_line).lower(),
     }
 
 
 def typed_drops(raw: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
-    """Rows with clean headers, ``drop_id`` from the file name, and typed columns."""
-    named = raw.withColumn("drop_id", drop_name(source_file()))
-    return conform(clean_headers(named), formats)
+    """Rows with clean headers, ``drop_id`` from the file's path, and typed columns."""
+    return conform(clean_headers(raw.withColumn("drop_id", source_file())), formats)
 
 
-def scan_csv(
+def file_headers(spark: SparkSession, path: str | list[str], multi_line: bool) -> dict[str, list[str]]:
+    """The files under ``path`` by their first record.
+
+    One pass over the text, which keeps one line of each file; the list of files is as long
+    as the listing that Spark itself holds on the driver.
+    """
+    lines = spark.read.text(path, wholetext=multi_line).select(
+        source_file().alias("file"),
+        "value",
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("value"))
+    record = F.regexp_extract("value", FIRST_RECORD, 1) if multi_line else F.col("value")
+    rows = first.select("file", record.alias("record")).groupBy("record").agg(F.collect_list("file").alias("files"))
+    return {r["record"]: sorted(r["files"]) for r in rows.collect()}
+
+
+def scan_files(
     spark: SparkSession,
     path: str | list[str],
     formats: tuple[str, ...] = DATE_FORMATS,
     multi_line: bool = False,
-) -> DataFrame:
-    """All files under ``path`` at once; only the first header line is read ahead.
+) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of all files under ``path``, and the files that lack columns (file, missing).
 
+    Columns are found by their name in each file, whatever their order; further columns of
+    one file are null for the others. There are no rows if no file has all columns.
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
     """
-    options = csv_options(multi_line)
-    header = spark.read.options(header="true", multiLine=options["multiLine"]).csv(path).columns
-    return typed_drops(spark.read.options(**options).schema(text_schema(header)).csv(path), formats)
+    drops, bad = None, []
+    needed = [f.name for f in DROPS if f.name != "drop_id"]
+    for record, files in sorted(file_headers(spark, path, multi_line).items()):
+        header = next(csv.reader(io.StringIO(record.lstrip("\ufeff"))), [])
+        missing = [c for c in needed if c not in [clean_name(h) for h in header]]
+        if missing:
+            bad += [(file, ", ".join(missing)) for file in files]
+            continue
+        raw = spark.read.options(**csv_options(multi_line)).schema(text_schema(header)).csv(files)
+        rows = typed_drops(raw, formats)
+        drops = rows if drops is None else drops.unionByName(rows, allowMissingColumns=True)
+    return drops, spark.createDataFrame(bad, "file string, missing string")
+
+
+def scan_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    formats: tuple[str, ...] = DATE_FORMATS,
+    multi_line: bool = False,
+) -> DataFrame:
+    """The rows of :func:`scan_files`, with a warning for each file that cannot be used."""
+    drops, bad = scan_files(spark, path, formats, multi_line)
+    faults = [f"{r['file']} lacks the columns {r['missing']}" for r in bad.collect()]
+    if drops is None:
+        raise ValueError("; ".join(faults) or f"no files under {path}")
+    for fault in faults:
+        warnings.warn(fault, stacklevel=2)
+    return drops

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from waveplan.schema import DROPS
 from waveplan.sources.conform import DATE_FORMATS, conform
-from waveplan.sources.csv import drop_name
 
 # Where a workbook keeps its rows.
 SHEET = "DistroData"
@@ -59,8 +58,8 @@ def scan_workbooks(
                     yield text
 
     files = spark.read.format("binaryFile").load(path)
-    raw = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content").mapInPandas(
+    raw = files.select(F.col("path").alias("file_name"), "content").mapInPandas(
         decode, schema
     )
-    named = raw.withColumn("drop_id", drop_name(F.col("file_name"))).drop("file_name")
+    named = raw.withColumnRenamed("file_name", "drop_id")
     return conform(named, formats)

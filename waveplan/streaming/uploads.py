@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from waveplan.operators import quality
 from waveplan.operators.capacity import Scenario
-from waveplan.plans.planner import Rules, WavePlan
-from waveplan.session import materialize
-from waveplan.sinks import export_columns
-from waveplan.sources.csv import csv_options, text_schema, typed_drops
+from waveplan.plans.planner import Rules, plan_waves
+from waveplan.sources.csv import scan_files, source_file
 
 
 def plan_uploads(
@@ -22,34 +19,35 @@ def plan_uploads(
     inbox: str,
     outbox: str,
     checkpoint: str,
-    header: list[str],
     scenarios: list[Scenario],
     rules: Rules | None = None,
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Plan every new CSV under ``inbox``; stops when all present files are done.
 
-    A batch is written to folders named after its number, so a batch that is run again
-    after a failure replaces its own output.
+    The stream tells which files are new; a batch of at most ``files_per_batch`` files is
+    read by header like any scan, so a file that lacks columns is listed in ``bad_files``
+    and holds up no other. A batch is written to folders named after its number, so a batch
+    that is run again after a failure replaces its own output.
     """
-    raw = (
-        spark.readStream.schema(text_schema(header))
-        .options(**csv_options(multi_line=False))
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(inbox)
-    )
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(inbox)
 
     def plan(batch: DataFrame, number: int) -> None:
-        tagged = materialize(quality.tag(batch), "upload")
-        good = tagged.filter(tagged[quality.REASON].isNull()).drop(quality.REASON, "bad_date")
-        bad = tagged.filter(tagged[quality.REASON].isNotNull())
-        waves = WavePlan(good, scenarios, rules=rules or Rules())
-        tables = {"assigned": export_columns(waves.assigned), "summary": waves.wave_summary, "rejects": bad}
+        files = sorted(r["file"] for r in batch.distinct().collect())  # at most files_per_batch
+        if not files:
+            return
+        drops, bad = scan_files(spark, files)
+        tables = {"bad_files": bad}
+        if drops is not None:
+            waves = plan_waves(drops, scenarios, rules=rules)
+            tables |= {"assigned": waves.assigned, "summary": waves.wave_summary, "rejects": waves.rejects}
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{outbox}/{name}/batch={number}")
+        if drops is not None:
+            waves.close()
 
     return (
-        typed_drops(raw)
+        lines.select(source_file().alias("file"))
         .writeStream.foreachBatch(plan)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
