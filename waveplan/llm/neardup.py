@@ -43,7 +43,7 @@ BANDS = 10
 ROWS = 3
 IDF_BITS = 18
 #: Centres that a bucket of several classes gets in a round.
-CENTRES = 8
+CENTRES = 2
 #: Samples, of BANDS * ROWS, that have to be equal before texts are compared.
 AGREE = 17
 _BLOCK = 1 << 14
