@@ -31,6 +31,7 @@ def place_rows(
     capacity: DataFrame,
     methods: list[str],
     cell_rows: int = CELL_ROWS,
+    paths: list[str] | None = None,
 ) -> DataFrame:
     """Every row with its placement facts under every scenario of its method.
 
@@ -54,7 +55,7 @@ def place_rows(
     trailing = F.col("pallet_wave_no") > F.col("wave_no")
     kept = rows.filter(~F.coalesce(trailing, F.lit(False))).drop("_fill").withColumn("placement", F.lit("kept"))
     left = rows.filter(trailing)
-    left = running_sum(left, keys, STORAGE, "Total_locs", "trailing_locations", cell_rows)
+    left = running_sum(left, keys, STORAGE, "Total_locs", "trailing_locations", cell_rows, paths=paths)
     counts = rows.filter(trailing).groupBy(*keys).agg(F.sum("TotalNumberofPallets").alias("trailing_pallets"))
     left = same_join(left, counts, keys)
     room = (F.col("_fill") < F.col("carton_size") * F.lit(ROOM_LEFT_BELOW)) & (F.col("UDC") == SHARING_CENTRE)

@@ -9,7 +9,7 @@ from waveplan.functions.locations import with_distro_locs
 from waveplan.functions.text import wave_label
 from waveplan.operators.filters import non_pallet
 from waveplan.operators.items import charged_locations, item_facts
-from waveplan.operators.running import CELL_ROWS, Order, running_sum, same_join
+from waveplan.operators.running import CELL_ROWS, Order, running_sum
 from waveplan.schema import GROUP, ITEM, ITEM_GRAIN_ZONE
 
 RUN = [*GROUP, "Method"]
@@ -22,7 +22,7 @@ def with_sizes(drops: DataFrame, facts: DataFrame) -> DataFrame:
     The join is on the item; adaptive execution splits items with very many rows.
     """
     rows = with_distro_locs(drops).withColumnRenamed("Total_locs", "_row_locs")
-    joined = same_join(rows, facts, ITEM, "left")
+    joined = rows.join(facts, ITEM, "left")
     return joined.withColumn("_item_locs", charged_locations()).drop("_locs", "_top")
 
 
@@ -46,9 +46,9 @@ def sized_cartons(drops: DataFrame, methods: list[str], rank_scope: str = "all_z
 RELEASE = Order("AllocationRequestDate", "Aisle", "Distro", ("DPCI",))
 
 
-def carton_running(sized: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+def carton_running(sized: DataFrame, cell_rows: int = CELL_ROWS, paths: list[str] | None = None) -> DataFrame:
     """Running locations per zone and method, and the zone's; they depend on no aisle or cap."""
-    return running_sum(sized, RUN, RELEASE, "Total_locs", "wave_cum_locations", cell_rows, total="zone_locations")
+    return running_sum(sized, RUN, RELEASE, "Total_locs", "wave_cum_locations", cell_rows, "zone_locations", paths)
 
 
 def wave_number(cumulative: str = "wave_cum_locations") -> Column:

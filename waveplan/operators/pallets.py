@@ -32,11 +32,11 @@ def pallet_rollup(drops: DataFrame) -> DataFrame:
     )
 
 
-def pallet_running(rollup: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+def pallet_running(rollup: DataFrame, cell_rows: int = CELL_ROWS, paths: list[str] | None = None) -> DataFrame:
     """Running pallet locations per zone, items with most cartons first."""
     located = rollup.withColumn("pallet_loc", F.ceil(F.col("pallets") / PALLETS_PER_LOCATION))
     order = Order("vcp", "VCPHt", "DPCI", descending=("vcp", "VCPHt"))
-    return running_sum(located, GROUP, order, "pallet_loc", "pallet_cum_locations", cell_rows)
+    return running_sum(located, GROUP, order, "pallet_loc", "pallet_cum_locations", cell_rows, paths=paths)
 
 
 def pallet_wave_number() -> Column:

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waveplan.session import materialize
+
 #: Rows that one task sorts without being cut further. It sets the fineness of the cells,
 #: not the plan.
 CELL_ROWS = 1_000_000
@@ -65,37 +67,51 @@ def shared_length(a: Column, b: Column) -> Column:
 
 
 def running_sum(
-    rows: DataFrame, keys: list[str], order: Order, value: str, into: str, cell_rows: int = CELL_ROWS, total: str | None = None
+    rows: DataFrame,
+    keys: list[str],
+    order: Order,
+    value: str,
+    into: str,
+    cell_rows: int = CELL_ROWS,
+    total: str | None = None,
+    paths: list[str] | None = None,
 ) -> DataFrame:
-    """``rows`` with the running sum of ``value``, and with the group's sum if ``total`` is named."""
+    """``rows`` with the running sum of ``value``, and with the group's sum if ``total`` is named.
+
+    The cells' sums are written at once (see ``session.materialize`` for ``paths``).
+    """
     cell = [*keys, order.cell]
     within = F.col(order.within) if order.within else F.lit(0)
     cells = rows.groupBy(*cell).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    cells = materialize(cells, "cells", paths)
     group = Window.partitionBy(*keys).orderBy(order.by(order.cell))
     before = F.sum("_sum").over(group.rowsBetween(Window.unboundedPreceding, -1))
     offsets = cells.select(*cell, "_rows", F.coalesce(before, F.lit(0)).alias("_before"), *([F.sum("_sum").over(Window.partitionBy(*keys)).alias(total)] if total else []))
 
     large = cells.filter(F.col("_rows") > cell_rows).select(*cell, "_rows")
-    key = F.col(order.key)
-    ends = same_join(rows.select(*cell, order.key), large, cell).groupBy(*cell).agg(
-        F.min(key).alias("_low"), F.max(key).alias("_high"), F.max("_rows").alias("_rows")
-    )
-    digits = F.ceil(F.log10(F.col("_rows") / cell_rows)).cast("int")
-    ends = ends.select(*cell, (shared_length(F.col("_low"), F.col("_high")) + digits).alias("_length"))
-    located = same_join(same_join(rows, offsets, cell), ends, cell, "left")
-    # in a cell that is not large all rows are in one part
-    located = located.withColumn("_aisle", F.when(F.col("_length").isNotNull(), within))
-    located = located.withColumn("_part", F.when(F.col("_length").isNotNull(), F.left(key, F.col("_length"))))
-
-    part = [*cell, "_aisle", "_part"]
-    cut = same_join(rows, ends, cell).withColumn("_aisle", within).withColumn("_part", F.left(key, F.col("_length")))
-    parts = cut.groupBy(*part).agg(F.sum(value).alias("_sum"))
-    rise = Order("_aisle", None, "_part", descending=tuple(
-        n for n, o in (("_aisle", order.within), ("_part", order.key)) if o in order.descending
-    ), nulls_first=("_aisle",) if order.within in order.nulls_first else ())
-    inner = Window.partitionBy(*cell).orderBy(rise.by("_aisle"), rise.by("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*part, F.coalesce(F.sum("_sum").over(inner), F.lit(0)).alias("_earlier"))
-    located = same_join(located, parts, part, "left")
+    located = same_join(rows, offsets, cell)
+    part = list(cell)
+    if not large.isEmpty():
+        key = F.col(order.key)
+        ends = same_join(rows.select(*cell, order.key), large, cell).groupBy(*cell).agg(
+            F.min(key).alias("_low"), F.max(key).alias("_high"), F.max("_rows").alias("_rows")
+        )
+        digits = F.ceil(F.log10(F.col("_rows") / cell_rows)).cast("int")
+        ends = ends.select(*cell, (shared_length(F.col("_low"), F.col("_high")) + digits).alias("_length"))
+        located = same_join(located, ends, cell, "left")
+        # in a cell that is not large all rows are in one part
+        located = located.withColumn("_aisle", F.when(F.col("_length").isNotNull(), within))
+        located = located.withColumn("_part", F.when(F.col("_length").isNotNull(), F.left(key, F.col("_length"))))
+        part = [*cell, "_aisle", "_part"]
+        cut = same_join(rows, ends, cell).withColumn("_aisle", within).withColumn("_part", F.left(key, F.col("_length")))
+        parts = cut.groupBy(*part).agg(F.sum(value).alias("_sum"))
+        falls = tuple(n for n, o in (("_aisle", order.within), ("_part", order.key)) if o in order.descending)
+        rise = Order("_aisle", None, "_part", descending=falls, nulls_first=("_aisle",) if order.within in order.nulls_first else ())
+        inner = Window.partitionBy(*cell).orderBy(rise.by("_aisle"), rise.by("_part")).rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select(*part, F.coalesce(F.sum("_sum").over(inner), F.lit(0)).alias("_earlier"))
+        located = same_join(located, parts, part, "left")
+    else:
+        located = located.withColumn("_earlier", F.lit(0).cast("bigint"))
 
     # dealt by part, also where a join has gathered whole cells
     dealt = located.repartition(*[F.col(c) for c in part])

@@ -16,6 +16,7 @@ from waveplan.plans.planner import WavePlan
 from waveplan.plans.scenarios import all_scenarios, scenario_best, scenario_sweep
 from waveplan.schema import GROUP, ITEM
 from waveplan.sources.aisles import aisles
+from waveplan.sources.conform import conform
 from waveplan.sources.star import FAULTY_COLUMNS, drops
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,7 @@ SCENARIOS = [
 ]
 # The last three cannot be planned: two pallet-only aisles, one unknown.
 LOOKUPS = [*SCENARIOS, Scenario(3840, 1), Scenario(3841, 14), Scenario(3841, 1)]
+WRITTEN = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyyMMdd")
 DATES = (datetime(1996, 3, 1), datetime(1998, 9, 30))
 
 # The derived view has one row per Distro and no faults, so these queries plan it as it
@@ -208,6 +210,16 @@ def charging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drops(spark, sf_dir).select("Distro", "VCPHeight", label)
 
 
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request dates written as text, in a form that changes by row, and read back."""
+    form = F.pmod(F.col("Aisle"), F.lit(len(WRITTEN) + 2))
+    text = F.when(form == len(WRITTEN), F.lit("soon")).when(form == len(WRITTEN) + 1, F.lit(" "))
+    for k, pattern in enumerate(WRITTEN):
+        text = text.when(form == k, F.date_format("AllocationRequestDate", pattern))
+    rows = drops(spark, sf_dir).withColumn("AllocationRequestDate", text.cast("string"))
+    return conform(rows).select("Distro", "AllocationRequestDate", "bad_date")
+
+
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _plan(spark, sf_dir, SCENARIOS).assigned
     return rows.select("scenario_id", "Distro", *ITEM, "Total_locs", "wave_id", "Charging Instructions")
@@ -273,6 +285,7 @@ QUERIES: dict[str, Query] = {
     "pallet_trailing_policy": pallet_trailing_policy,
     "pallet_trailing_small": pallet_trailing_small,
     "charging_instructions": charging,
+    "date_texts": date_texts,
     "assigned": assigned,
     "export_assigned": export_assigned,
     "wave_summary": wave_summary,

@@ -317,6 +317,11 @@ ORACLES: dict[str, str] = {
         """SELECT Distro, VCPHeight, CASE WHEN VCPHeight > 15 THEN 'Charge to Top Level' ELSE 'Level A & B' END
         AS "Charging Instructions" FROM drops""",
     ),
+    "date_texts": _query(
+        [DROPS],
+        """SELECT Distro, CASE WHEN Aisle % 8 < 6 THEN CAST(AllocationRequestDate AS TIMESTAMP) END AS AllocationRequestDate,
+        Aisle % 8 = 6 AS bad_date FROM drops""",
+    ),
     "assigned": _query(
         _to_plan(SCENARIOS),
         f"""SELECT scenario_id, Distro, {_ITEM_COLUMNS}, Total_locs, wave_id, "Charging Instructions" FROM rows_planned""",

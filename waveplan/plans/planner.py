@@ -13,7 +13,7 @@ from waveplan.operators import assign, cartons, pallets, quality, summary
 from waveplan.operators.capacity import Scenario, capacities, rejected_scenarios
 from waveplan.operators.filters import pallet_rows
 from waveplan.operators.items import item_facts, with_item_rank
-from waveplan.operators.running import CELL_ROWS, same_join
+from waveplan.operators.running import CELL_ROWS
 from waveplan.schema import DROPS, GROUP, ITEM
 from waveplan.session import materialize, release
 
@@ -38,8 +38,8 @@ class Rules:
 
 @dataclass
 class WavePlan:
-    """The tables of a plan. All are lazy but ``sized`` and ``running``, which are written once
-    to the shared folder when first used and read from there (see ``session.materialize``).
+    """The tables of a plan. All are lazy but ``facts``, ``sized``, ``running`` and ``ends``, which
+    are written once to the shared folder when first used and read from there (see ``session.materialize``).
 
     ``drops`` must hold accepted rows (see ``operators.quality``). Columns the plan does
     not know travel as one struct, so that no name of theirs can clash, and come out of
@@ -74,18 +74,18 @@ class WavePlan:
     @cached_property
     def facts(self) -> DataFrame:
         """What rows need to know of their item: the first of two reads of the input."""
-        return item_facts(self.drops, self.rules.rank_scope)
+        return materialize(item_facts(self.drops, self.rules.rank_scope), "facts", self._written)
 
     @cached_property
     def pallet_running(self) -> DataFrame:
         items = self.facts.filter(F.col("pallets").isNotNull()).select(*ITEM, "pallets", "vcp", "VCPHt")
-        return pallets.pallet_running(items, self.rules.cell_rows)
+        return pallets.pallet_running(items, self.rules.cell_rows, self._written)
 
     @cached_property
     def sized(self) -> DataFrame:
         """Every row with its sizes and its item's running pallet locations: the second read."""
         upto = self.pallet_running.select(*ITEM, "pallet_cum_locations")
-        facts = same_join(self.facts.select(*ITEM, "_locs", "_top"), upto, ITEM, "left")
+        facts = self.facts.select(*ITEM, "_locs", "_top").join(upto, ITEM, "left")
         return materialize(cartons.with_sizes(self.drops, facts), "sized", self._written)
 
     @cached_property
@@ -94,7 +94,7 @@ class WavePlan:
 
     @cached_property
     def running(self) -> DataFrame:
-        return materialize(cartons.carton_running(self.sized_cartons, self.rules.cell_rows), "running", self._written)
+        return materialize(cartons.carton_running(self.sized_cartons, self.rules.cell_rows, self._written), "running", self._written)
 
     @cached_property
     def carton_waves(self) -> DataFrame:
@@ -104,16 +104,22 @@ class WavePlan:
     def pallet_waves(self) -> DataFrame:
         return pallets.pallet_waves(self.pallet_running, self.capacity, self.methods)
 
+    @cached_property
+    def ends(self) -> DataFrame:
+        """Where the cartons of each zone end under each scenario."""
+        return materialize(cartons.zone_ends(self.running, self.capacity), "ends", self._written)
+
     @cached_property
     def placed(self) -> DataFrame:
         rows = pallet_rows(self.sized).withColumn("Total_locs", F.coalesce(F.col("_row_locs"), F.lit(1)).cast("bigint"))
         return assign.place_rows(
             self.running,
             rows.drop("_row_locs", "_item_locs"),
-            cartons.zone_ends(self.running, self.capacity),
+            self.ends,
             self.capacity,
             self.methods,
             self.rules.cell_rows,
+            self._written,
         )
 
     @cached_property
