@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waveplan.llm.store import cleaned
+
 #: Bytes of text in a chunk, on average.
 CHUNK_BYTES = 8 << 20
 #: Keys in a bucket, on average.
@@ -110,6 +112,7 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def summed(parts: DataFrame, size: int) -> np.ndarray:
     """The sum of all tasks' arrays of ``size`` numbers (a fixed number, whatever the input)."""
-    rows = parts.repartition(_SLICES, "slice").mapInArrow(_total, SLICED).collect()
+    with cleaned(parts.sparkSession):
+        rows = parts.repartition(_SLICES, "slice").mapInArrow(_total, SLICED).collect()
     sums = {r["slice"]: np.frombuffer(r["sums"], np.float32) for r in rows}
     return np.concatenate([sums[k] for k in range(_SLICES)]) if sums else np.zeros(size, np.float32)

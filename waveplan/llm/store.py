@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, _BATCH_ROWS)
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it has ended."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 class Run:
     """A folder of its own for the intermediate tables of one call.
 
@@ -33,12 +46,8 @@ class Run:
         self.path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(_CLEAN, "false")
-        self.spark.conf.set(_CLEAN, "true")
-        try:
+        with cleaned(self.spark):
             df.write.parquet(f"{self.path}/{name}")
-        finally:
-            self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
