@@ -126,6 +126,23 @@ def test_samples_agree_as_often_as_texts_are_similar():
         assert abs((keys[0] == keys[i]).mean() - neardup.similarity(one(0), one(i))) < 0.12
 
 
+def templates():
+    """Many classes that share most of a text, and pairs of copies whose buckets all are full of them."""
+    passage = prose(120, 777, 3000)
+    texts = [f"{prose(12, 4000 + i, 3000)} {passage}" for i in range(60)]
+    for i in range(30):
+        text = f"{prose(12, 5000 + i, 3000)} {passage}"
+        texts += [text, changed(text, 2, 6000 + i)]
+    return texts
+
+
+def test_large_buckets_of_many_classes_agree_with_all_pairs(spark):
+    texts = templates()
+    got = neardup.near_duplicates(documents(spark, list(enumerate(texts)))).collect()
+    mine = {r["doc_id"]: r["class_id"] for r in got}
+    assert [mine[i] for i in range(len(texts))] == classes(texts, tf_idf(texts))
+
+
 def test_planted_copies_in_the_tables(spark, medium):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{medium}/documents.parquet").collect()}
     got = neardup.op5_neardup(spark, medium).collect()

@@ -13,9 +13,13 @@ Jaccard similarity of their shingles, sum of minima over sum of maxima, is 0.8 o
 3. In each bucket (band, key) the node that meets most others in all its buckets is the
    centre that they are compared with: as many comparisons as members, not pairs of members.
    Nodes that share two buckets, each still with members of several classes, are compared
-   around new centres of other classes, until a round finds no link.
-   Pairs whose samples hardly agree are not compared.
-4. Classes are the connected components of the links; a class is named by its smallest id.
+   around new centres of other classes, until a round finds no link. Pairs whose samples
+   hardly agree are left to the next step.
+4. Pairs of a bucket that are in two classes still are compared, all of them, but for those
+   that exact bounds exclude: texts this similar share one of their heads, the rarest
+   shingles with more than a fifth of the text's weight, and at the first one that they
+   share, both have enough weight left.
+5. Classes are the connected components of the links; a class is named by its smallest id.
 
 Defined results: texts without words (null, empty, blank) are classes of their own, as are
 rows with a null id (class null); rows of one id count as one document for links, each row
@@ -44,8 +48,10 @@ ROWS = 3
 IDF_BITS = 18
 #: Centres that a bucket of several classes gets in a round.
 CENTRES = 2
-#: Samples, of BANDS * ROWS, that have to be equal before texts are compared.
+#: Samples, of BANDS * ROWS, that are equal where texts are compared around centres.
 AGREE = 17
+#: Hashed table of how many texts a shingle stands in, which orders shingles from rare to frequent.
+RARE_BITS = 18
 _BLOCK = 1 << 14
 _SIGNED = "id long, words long, mark1 long, mark2 long, total double, bands array<long>, samples array<int>"
 
@@ -217,6 +223,49 @@ def _verify(idf: np.ndarray, least: float):
     return verify
 
 
+def _shingle_frequencies(idf: np.ndarray):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many texts a slot's shingles stand."""
+        total = np.zeros(1 << RARE_BITS)
+        for batch in batches:
+            for i, j in slices(batch["text"]):
+                name, _, _ = shingles(split(batch["text"].slice(i, j - i)), idf)
+                total += np.bincount((name >> np.uint64(64 - RARE_BITS)).astype(np.int64), minlength=1 << RARE_BITS)
+        yield chunks.sliced(total)
+
+    return count
+
+
+def heads(
+    name: np.ndarray, weight: np.ndarray, first: np.ndarray, frequency: np.ndarray, least: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The head of each text: text, name, and the weight of the shingle and all that follow it.
+
+    Shingles are ordered by frequency, then name. What follows a head weighs less than
+    ``least`` of the text, so two texts that reach ``least`` share a shingle of both heads.
+    """
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((name, frequency[(name >> np.uint64(64 - RARE_BITS)).astype(np.int64)], text))
+    behind = np.concatenate([[0.0], np.cumsum(weight[order], dtype=float)])
+    rest = behind[first[1:]][text] - behind[:-1]
+    total = (behind[first[1:]] - behind[first[:-1]])[text]
+    at = np.flatnonzero(rest >= (least - 1e-6) * total)
+    return text[at], name[order][at], rest[at]
+
+
+def _heads(idf: np.ndarray, frequency: np.ndarray, least: float):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch["text"]):
+                part = batch.slice(i, j - i)
+                text, name, rest = heads(*shingles(split(part["text"]), idf), frequency, least)
+                yield pa.RecordBatch.from_pydict(
+                    {"id": part["id"].take(pa.array(text, pa.int64())), "shingle": name.view(np.int64), "rest": rest}
+                )
+
+    return cut
+
+
 def components(run: Run, links: DataFrame, name: str) -> DataFrame:
     """id and label (smallest id of its component) of every node of the links (a, b).
 
@@ -241,15 +290,23 @@ def components(run: Run, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def _equal(own: Column, other: Column) -> Column:
+    """How many places of two arrays are equal."""
+    return F.size(F.filter(F.zip_with(own, other, lambda x, y: x == y), lambda x: x))
+
+
+def _possible(own: Column, other: Column, least: float) -> Column:
+    """Similarity is at most the smaller total weight over the larger."""
+    return F.least(own, other) >= (least - 1e-6) * F.greatest(own, other)
+
+
 def _likely(own: Column, other: Column, least: float) -> Column:
     """False where two nodes (total, samples) can't, or all but can't, reach the similarity.
 
-    It is at most the smaller total weight over the larger, and samples are equal as often as
-    nodes are similar: at 0.8 fewer than AGREE of 30 are in one of 300 pairs.
+    Samples are equal as often as nodes are similar: at 0.8 fewer than AGREE of 30 are in one
+    of 1,100 pairs.
     """
-    low, high = F.least(own["total"], other["total"]), F.greatest(own["total"], other["total"])
-    equal = F.size(F.filter(F.zip_with(own["samples"], other["samples"], lambda x, y: x == y), lambda x: x))
-    return (low >= (least - 1e-6) * high) & (equal >= AGREE)
+    return _possible(own["total"], other["total"], least) & (_equal(own["samples"], other["samples"]) >= AGREE)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -344,7 +401,34 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         labels = joined(labels, found, f"classes{step}")
         run.drop(f"links{step}", f"tried{step - 1}", f"labels-classes{step - 1}")
         open_buckets = now.drop("label")
-    run.drop("texts", "members", f"links{step}", f"open{step}", f"tried{step - 1}")
+    run.drop(f"links{step}", f"open{step}", f"tried{step - 1}")
+    # all pairs of a bucket that are in two classes still, without those that can't be similar:
+    # they share a shingle of their heads, with enough weight from there on in both
+    several = members.select("band", "key", F.col("node").alias("id")).join(labels, "id")
+    mixed = several.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    left = several.join(mixed.select("band", "key"), ["band", "key"]).select("id", "label").distinct()
+    left = run.keep(left.join(nodes.select(F.col("node").alias("id"), "total", "bands", "samples"), "id"), "left")
+    rest = run.keep(texts.join(left.select("id").hint("merge"), "id", "left_semi"), "rest")
+    counted = rest.select("text").mapInArrow(_shingle_frequencies(idf), chunks.SLICED)
+    frequency = chunks.summed(counted, 1 << RARE_BITS)
+    cut = rest.mapInArrow(_heads(idf, frequency, least), "id long, shingle long, rest double")
+    cut = run.keep(cut.join(left.select("id", "label", "total").hint("merge"), "id"), "cut")
+    shared = cut.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    cut = run.keep(cut.join(shared.select("shingle").hint("merge"), "shingle"), "heads")
+    run.drop("rest", "cut")
+    side = lambda n: cut.select("shingle", *[F.col(x).alias(f"{x}_{n}") for x in ("id", "label", "total", "rest")])
+    enough = F.least("rest_a", "rest_b") * (1 + least) >= (least - 1e-6) * (F.col("total_a") + F.col("total_b"))
+    meet = (F.col("label_a") < F.col("label_b")) & _possible(F.col("total_a"), F.col("total_b"), least) & enough
+    new = side("a").join(side("b").hint("merge"), "shingle").filter(meet)
+    new = run.keep(new.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "sharing")
+    own = F.struct("total", "samples", "bands")
+    one, two = (left.select(F.col("id").alias(n), own.alias(f"own_{n}")).hint("merge") for n in "ab")
+    met = _equal(F.col("own_a.bands"), F.col("own_b.bands")) >= 1
+    new = new.join(one, "a").join(two, "b").filter(met & _likely(F.col("own_a"), F.col("own_b"), least))
+    new = run.keep(new.select("a", "b"), "new-rest")
+    found = verified(new, "links-rest")
+    labels = joined(labels, found, "classes-rest")
+    run.drop("texts", "members", "left", "heads", "sharing", "new-rest", "links-rest")
     known = nodes.select("mark1", "mark2", "node").join(labels, F.col("node") == F.col("id"), "left")
     known = known.select("mark1", "mark2", "node", F.coalesce("label", "node").alias("class"))
     out = signed.join(known, ["mark1", "mark2"], "left")
