@@ -143,6 +143,17 @@ def test_large_buckets_of_many_classes_agree_with_all_pairs(spark):
     assert [mine[i] for i in range(len(texts))] == classes(texts, tf_idf(texts))
 
 
+def test_pairs_that_share_one_bucket_away_from_its_centre(spark):
+    """b reaches 0.8 with a only, shares one bucket with it, and c is that bucket's centre."""
+    for seed in (240, 586, 944):
+        a = prose(100, seed, 3000)
+        texts = [a, changed(a, 2, seed), changed(a, 2, seed + 10**6)]
+        assert classes(texts, tf_idf(texts)) == [0, 0, 0]
+        for ids in ((0, 1, 2), (2, 1, 0)):  # either a or c is the centre
+            got = neardup.near_duplicates(documents(spark, list(zip(ids, texts)))).collect()
+            assert {r["class_id"] for r in got} == {0}
+
+
 def test_planted_copies_in_the_tables(spark, medium):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{medium}/documents.parquet").collect()}
     got = neardup.op5_neardup(spark, medium).collect()
