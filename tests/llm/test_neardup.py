@@ -154,6 +154,16 @@ def test_pairs_that_share_one_bucket_away_from_its_centre(spark):
             assert {r["class_id"] for r in got} == {0}
 
 
+def test_pairs_whose_samples_hardly_agree_are_compared(spark):
+    """They share a bucket, but fewer than AGREE samples."""
+    for seed in (1560, 4690):
+        text = prose(60, seed, 3000)
+        texts = [text, changed(text, 1 + seed % 2, seed)]
+        assert classes(texts, tf_idf(texts)) == [0, 0]
+        got = neardup.near_duplicates(documents(spark, list(enumerate(texts)))).collect()
+        assert {r["class_id"] for r in got} == {0}
+
+
 def test_planted_copies_in_the_tables(spark, medium):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{medium}/documents.parquet").collect()}
     got = neardup.op5_neardup(spark, medium).collect()

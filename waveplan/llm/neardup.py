@@ -407,7 +407,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     several = members.select("band", "key", F.col("node").alias("id")).join(labels, "id")
     mixed = several.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     left = several.join(mixed.select("band", "key"), ["band", "key"]).select("id", "label").distinct()
-    left = run.keep(left.join(nodes.select(F.col("node").alias("id"), "total", "bands", "samples"), "id"), "left")
+    left = run.keep(left.join(nodes.select(F.col("node").alias("id"), "total", "bands"), "id"), "left")
     rest = run.keep(texts.join(left.select("id").hint("merge"), "id", "left_semi"), "rest")
     counted = rest.select("text").mapInArrow(_shingle_frequencies(idf), chunks.SLICED)
     frequency = chunks.summed(counted, 1 << RARE_BITS)
@@ -421,10 +421,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     meet = (F.col("label_a") < F.col("label_b")) & _possible(F.col("total_a"), F.col("total_b"), least) & enough
     new = side("a").join(side("b").hint("merge"), "shingle").filter(meet)
     new = run.keep(new.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "sharing")
-    own = F.struct("total", "samples", "bands")
-    one, two = (left.select(F.col("id").alias(n), own.alias(f"own_{n}")).hint("merge") for n in "ab")
-    met = _equal(F.col("own_a.bands"), F.col("own_b.bands")) >= 1
-    new = new.join(one, "a").join(two, "b").filter(met & _likely(F.col("own_a"), F.col("own_b"), least))
+    one, two = (left.select(F.col("id").alias(n), F.col("bands").alias(f"bands_{n}")).hint("merge") for n in "ab")
+    new = new.join(one, "a").join(two, "b").filter(_equal(F.col("bands_a"), F.col("bands_b")) > 0)
     new = run.keep(new.select("a", "b"), "new-rest")
     found = verified(new, "links-rest")
     labels = joined(labels, found, "classes-rest")
