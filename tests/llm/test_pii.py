@@ -86,6 +86,17 @@ def test_method_adds_spans_and_base_ones_stay(spark):
     assert "covid-2019" not in found[10]
 
 
+def test_long_tokens_are_judged_by_all_their_characters(spark):
+    tokens = ["k" * 70 + "25a0bc4376e17c80", "7" * 65 + "f8304hj19", "a" * 64 + "1b2c3d4e5f6g7h8"]
+    docs = documents(spark, [(i, f"secret = {t} end") for i, t in enumerate(tokens)])
+    for r in pii._candidates(docs.withColumn("_masked", F.col("text")).withColumn("_digit", F.lit(True))).collect():
+        assert r["_c_m"] == [tokens[r["doc_id"]]]
+        assert r["_f"][0][pii.FEATURES.index("variety")] == 1
+    plain_runs = documents(spark, [(0, "a" * 200000 + " " + "7" * 200000)])
+    row = pii._candidates(plain_runs.withColumn("_masked", F.col("text")).withColumn("_digit", F.lit(True))).first()
+    assert row["_c_m"] == []
+
+
 def rows_text(rows, doc_id):
     return next(t for i, t in rows if i == doc_id) or ""
 

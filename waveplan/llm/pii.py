@@ -45,7 +45,7 @@ OBFUSCATED = (
 )
 TELEPHONE = r"(?<![A-Za-z0-9.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9-])"
 IDENTITY = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
-MIXED = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}+[0-9])(?=[0-9_-]{0,64}+[A-Za-z])[A-Za-z0-9_-]{8,}+"
+MIXED = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{8,}+"
 CANDIDATE = f"{OBFUSCATED}|{TELEPHONE}|{IDENTITY}|{MIXED}"
 SECRET_SHAPE = r"^(?:AKIA|ASIA)[A-Z0-9]{12,}$|^[0-9a-f]{16,}$|^(?:ghp|gho|sk|pk|xoxb|xoxp)[_-]|^eyJ"
 PLAIN_SHAPE = r"^[A-Za-z]+[_-]?[0-9]{1,4}$|^[0-9]{1,4}[_-]?[A-Za-z]+$|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -215,7 +215,7 @@ def _features(m: Column, before: Column, after: Column) -> list[Column]:
     """Votes of the labelers, then shape features, of a candidate and what stands around it."""
     email, phone, identity = m.rlike(r"[\[(](?:at|AT)[\])]"), m.rlike(TELEPHONE), m.rlike(IDENTITY)
     switches = F.regexp_count(m, F.lit("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]"))
-    numbers, kinds = F.length(_digits(m)), F.size(F.array_distinct(F.split(F.substring(m, 1, 64), "")))
+    numbers, kinds = F.length(_digits(m)), F.size(F.array_distinct(F.split(m, "")))
     near = F.lower(before)
     flag = lambda c: c.cast("int")
     return [
