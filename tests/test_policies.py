@@ -213,12 +213,34 @@ def test_summary_of_a_zone(spark):
 
 
 def test_last_waves_agree_with_the_plan(spark, small):
+    from waveplan.operators.summary import carton_ends
     from waveplan.sources.star import drops
 
     plan = WavePlan(drops(spark, small), [PLAN])
     limits = {(r.drop_id, r.UnitSortable, r.SSZ): (r.last_wave, r.last_fill) for r in last_waves(plan.carton_waves).collect()}
-    placed = plan.placed.filter("placement <> 'carton'").collect()
+    for ends in (plan.ends, carton_ends(plan.carton_totals)):
+        assert {(r.drop_id, r.UnitSortable, r.SSZ): (r.n_waves, r.last_wave_fill) for r in ends.collect()} == limits
+    placed = plan.placed_pallets.collect()
     assert placed
     for r in placed:
-        key = (r.drop_id, r.UnitSortable, r.SSZ)
-        assert limits[key] == (r.wave_no, r.wave_cum_locations - r.wave_start)
+        assert r.wave_no == limits[r.drop_id, r.UnitSortable, r.SSZ][0]
+    plan.close()
+
+
+def test_few_pallets_of_a_zone_without_cartons_beside_other_zones(spark):
+    """One zone with cartons and room, one without: only the first has a wave to share."""
+    rows = [sized_row("a", 10), pallet("p", 24, TotalNumberofFullVCPs=100), pallet("q", 20, TotalNumberofFullVCPs=50)]
+    rows += [pallet("r", 24, SSZ=7, TotalNumberofFullVCPs=100), pallet("s", 20, SSZ=7, TotalNumberofFullVCPs=50)]
+    found = waves(spark, rows)
+    assert (found["q"][0], found["r"][0], found["s"][0]) == ("W1", "W_P1", "W_P1")
+
+
+def test_an_item_in_cartons_and_on_pallets_is_counted_once(spark):
+    rows = [sized_row("a", 10, DPCI="x"), sized_row("b", 10, DPCI="y"), sized_row("c", 10, DPCI="x")]
+    rows += [pallet("p", 3, DPCI="x"), pallet("q", 3, DPCI="z")]
+    for cell_rows in (1, 10**6):
+        plan = WavePlan(table(spark, rows), [PLAN, Scenario(3840, 2, method="DPCI")], rules=Rules(cell_rows=cell_rows))
+        # by item, rows without a charge before the first charged one are in wave 0
+        counted = {(r.scenario_id, r.wave_id): r.Total_dpci for r in plan.wave_summary.collect()}
+        assert counted == {(1, "W1"): 3, (2, "W1"): 3, (2, "W0"): 1}
+        plan.close()

@@ -1,7 +1,9 @@
 """Hot groups, plan shapes and invariants."""
 
+import json
 import re
-
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -10,8 +12,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waveplan import Rules, Scenario, WavePlan
-from waveplan.operators import cartons, items
-from waveplan.operators.running import Order, running_sum
+from waveplan.operators import cartons, items, summary
+from waveplan.operators.running import Order, running_sum, split
 from waveplan.plans.catalog import QUERIES, SCENARIOS
 from waveplan.plans.scenarios import scenario_sweep
 from waveplan.schema import GROUP, release_order
@@ -55,17 +57,52 @@ def test_one_zone_with_one_release_date(spark, small):
     assert rows_of(scenario_sweep(source, SCENARIOS, cell_rows=100)) == rows_of(scenario_sweep(source, SCENARIOS))
 
 
+def tasks(spark, rows) -> list[int]:
+    """Rows by task, without merging of small partitions."""
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.unset(merging)
+    return counts
+
+
 def test_a_hot_zone_is_spread_over_tasks(spark, small):
     """One date and aisle: rows are dealt by parts of the key, about as many rows in each."""
-    sized = cartons.sized_cartons(drops(spark, small), ["Distro"]).withColumns(
+    source = drops(spark, small).withColumns(
         {"drop_id": F.lit(1), "UnitSortable": F.lit("Y"), "SSZ": F.lit(3), "Aisle": F.lit(1), "AllocationRequestDate": F.lit("2022-07-01").cast("timestamp_ntz")}
     )
-    merging = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(merging, "false")
-    rows = cartons.carton_running(sized, cell_rows=200).withColumn("task", F.spark_partition_id())
-    counts = [r["count"] for r in rows.groupBy("task").count().collect()]
-    spark.conf.unset(merging)
-    assert len(counts) > 1 and max(counts) < 0.5 * sum(counts)
+    counts = tasks(spark, cartons.running_cartons(source, ["Distro"], cell_rows=200))
+    assert len(counts) > 1 and max(counts) <= 400
+
+
+def test_an_outlier_among_uneven_keys_does_not_fill_a_part(spark):
+    """Keys that share all but the last characters, and one that shares nothing with them."""
+    keys = [f"aaaaaaaaaa-{'7' * (i % 3)}{i % 7}{i:06d}" for i in range(20_000)] + ["zz"]
+    rows = spark.createDataFrame([(1, 1, k, 1) for k in keys], "g int, d int, k string, v long")
+    order = Order("d", None, "k")
+    parts = split(rows, ["g"], order, 200)
+    sizes = [r["count"] for r in parts.label(rows).groupBy("_part").count().collect()]
+    assert max(sizes) <= 200 and sum(sizes) == len(keys)
+    assert max(tasks(spark, running_sum(rows, ["g"], order, "v", "s", parts=parts))) <= 400
+    got = sorted((r.k, r.s) for r in running_sum(rows, ["g"], order, "v", "s", parts=parts).collect())
+    assert [s for _, s in got] == list(range(1, len(keys) + 1))
+
+
+def test_rows_that_cannot_be_told_apart_stay_in_one_part(spark):
+    rows = spark.createDataFrame([(1, 1, "same", i) for i in range(300)] + [(1, None, None, 7)] * 3, "g int, d int, k string, v long")
+    got = running_sum(rows, ["g"], Order("d", None, "k", ("v",)), "v", "s", 50).orderBy("s").collect()
+    assert [r.s for r in got][-1] == sum(range(300)) + 21 and len(got) == 303
+
+
+def test_refined_nodes_are_bounded(spark, monkeypatch):
+    from waveplan.operators import running
+
+    monkeypatch.setattr(running, "MOST_NODES", 10)
+    rows = spark.range(3000).selectExpr("id % 3 AS g", "id % 11 AS d", "CAST(id AS STRING) AS k", "id AS v")
+    parts = split(rows, ["g"], Order("d", None, "k"), 1)
+    assert all(level.count() <= 10 for level in parts.levels)
 
 
 def test_hot_item_rank(spark, small):
@@ -96,22 +133,108 @@ def test_running_sums_equal_a_window(spark, descending):
 def test_written_tables_go(spark, small, tmp_path):
     source = drops(spark, small)
     plan, other = WavePlan(source, [PLAN]), WavePlan(source, [PLAN])
-    plan.wave_summary.collect(), other.running.count()
-    paths = list(plan._written)
-    assert len(paths) == 7 and all(Path(p.removeprefix("file:")).exists() for p in paths)
+    plan.wave_summary.collect(), other.pallet_running.count()
+    paths = list(plan.written)
+    assert len(paths) == 2 and all(Path(p.removeprefix("file:")).exists() for p in paths)
     plan.close()
     assert not any(Path(p.removeprefix("file:")).exists() for p in paths)
-    assert other.running.count() > 0
+    assert other.pallet_running.count() > 0
     release(spark)
     assert _WRITTEN == [] and not list(Path(shared_folder(spark)).glob("waveplan/*"))
 
 
-def test_the_input_is_read_twice(spark, small, tmp_path):
-    drops(spark, small).write.parquet(str(tmp_path / "drops"))
-    plan = WavePlan(spark.read.parquet(str(tmp_path / "drops")), [PLAN])
-    count = lambda df: len(re.findall(r"Location: [^\n]*drops", text_plan(df)))
-    assert (count(items.item_facts(plan.drops)), count(cartons.with_sizes(plan.drops, plan.facts))) == (1, 1)
-    assert count(plan.wave_summary) == 0
+def test_rows_are_shuffled_once_for_their_order(spark, small):
+    """One exchange takes rows to their place in the zone; sums and totals are made there."""
+    plan = WavePlan(drops(spark, small), [PLAN], rules=Rules(rank_scope="zone"))
+    released = cartons.release_rows(plan.drops, ["Distro"], "zone")
+    ran = cartons.carton_running(released, ["Distro"], plan._release_parts, bounds=True).withColumn("on_pallets", F.lit(False))
+    waved = cartons.carton_waves(cartons.by_method(ran, ["Distro"]), plan.capacity)
+    shuffles = lambda df: text_plan(df).count("Exchange hashpartitioning")
+    beside = shuffles(items.item_charges(plan.drops, "zone", 2)) + shuffles(plan.capacity)
+    assert shuffles(waved) == beside + 1 == shuffles(summary.carton_totals(waved))
+
+
+SHUFFLED = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import functions as F
+from waveplan import Scenario, WavePlan, plan_waves
+from waveplan.plans.catalog import SCENARIOS
+from waveplan.session import build_session
+spark = build_session("local[4]", 4, **{{"spark.eventLog.enabled": "true", "spark.eventLog.compress": "false", "spark.eventLog.dir": {log!r}, "spark.checkpoint.dir": {shared!r}}})
+source = spark.read.parquet({drops!r})
+{body}
+spark.stop()
+"""
+
+
+def event_log(tmp_path, source, body) -> tuple[int, int]:
+    """Rows shuffled and rows read from ``source`` by a script, from Spark's event log."""
+    log = tmp_path / "log"
+    log.mkdir()
+    script = SHUFFLED.format(root=str(Path(__file__).resolve().parents[1]), log=str(log), shared=str(tmp_path / "shared"), drops=str(source), body=body)
+    subprocess.run([sys.executable, "-c", script], check=True, capture_output=True, timeout=300)
+    shuffled, read = 0, {}
+    (file,) = [f for f in log.rglob("*") if f.is_file() and "appstatus" not in f.name and not f.name.endswith(".crc")]
+    scans = {}
+
+    def nodes(info):
+        if info["nodeName"].startswith("Scan parquet") and f"{source}" in json.dumps(info.get("metadata", {})):
+            for metric in info["metrics"]:
+                if metric["name"] == "number of output rows":
+                    scans[metric["accumulatorId"]] = 0
+        for child in info["children"]:
+            nodes(child)
+
+    for line in file.open():
+        event = json.loads(line)
+        if "sparkPlanInfo" in event:
+            nodes(event["sparkPlanInfo"])
+        if event["Event"] == "SparkListenerTaskEnd":
+            shuffled += event["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Records Written"]
+            for update in event["Task Info"]["Accumulables"]:
+                read[update["ID"]] = read.get(update["ID"], 0) + int(update["Update"]) if str(update.get("Update", "")).isdigit() else read.get(update["ID"], 0)
+    return shuffled, sum(read.get(k, 0) for k in scans)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, medium, tmp_path_factory):
+    path = tmp_path_factory.mktemp("stored") / "drops"
+    drops(spark, medium).write.parquet(str(path))
+    return path, spark.read.parquet(str(path)).count()
+
+
+def test_a_summary_moves_each_row_about_twice(stored, tmp_path):
+    """Once to its item, to find what is charged, and once to its place in the zone."""
+    path, rows = stored
+    shuffled, _ = event_log(tmp_path, path, "WavePlan(source, [Scenario(3840, 2)]).wave_summary.collect()")
+    assert shuffled <= 2.4 * rows
+
+
+def test_scenarios_of_a_method_do_not_multiply_what_moves(stored, tmp_path):
+    path, _ = stored
+    chosen = "[Scenario(3842, a, c) for a, c in [(2, 0.9), (3, 0.9), (4, 0.9), (5, 0.8), (6, 0.9), (7, 1.0), (8, 0.9)]]"
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    one, _ = event_log(tmp_path / "a", path, "s = [Scenario(3842, 2)]; p = WavePlan(source, s); p.carton_totals.count()")
+    seven, _ = event_log(tmp_path / "b", path, f"s = {chosen}; p = WavePlan(source, s); p.carton_totals.count()")
+    assert seven <= 1.1 * one
+
+
+def test_raw_input_is_read_twice_and_split_without_loss(stored, tmp_path):
+    path, rows = stored
+    body = (
+        "raw = source.withColumn('SSPsinVCP', F.expr('CASE WHEN DPCI LIKE \'%7\' THEN 0 ELSE SSPsinVCP END'))\n"
+        "p = plan_waves(raw, Scenario(3840, 2)); n = p.assigned.count(); m = p.rejects.count(); p.wave_summary.collect()\n"
+        "assert n + m == p.counts['rows'] and m == p.counts['rejects'] > 0, (n, m, p.counts)\n"
+    )
+    _, read = event_log(tmp_path, path, body)
+    assert rows <= read <= 2 * rows
+
+
+def test_export_writes_nothing_but_its_output(spark, small, tmp_path):
+    plan = WavePlan(drops(spark, small), [PLAN])
+    plan.assigned.write.parquet(str(tmp_path / "out"))
+    assert [Path(p).name.split("-")[0] for p in plan.written] == ["pallets"]  # a row per pallet item
     plan.close()
 
 
@@ -179,8 +302,9 @@ def test_filter_is_pushed_to_a_stored_table(spark, small, tmp_path):
     assert "ReadSchema: struct<Distro:string,SSZ:int,UnitSortable:string,TotalNumberofPallets:bigint>" in plan
 
 
-def test_zone_filter_on_the_result_reaches_the_written_tables(spark, small):
-    plan = WavePlan(drops(spark, small), [PLAN])
+def test_zone_filter_on_the_result_reaches_the_input(spark, stored):
+    path, _ = stored
+    plan = WavePlan(spark.read.parquet(str(path)), [PLAN])
     spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     text = text_plan(plan.assigned.filter("SSZ = 9 AND drop_id = 1998"))
     spark.conf.unset("spark.sql.maxMetadataStringLength")

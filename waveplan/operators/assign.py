@@ -2,7 +2,7 @@
 
 A carton's wave is a projection of its running sum. Pallet policy depends on where the
 cartons of a zone end under a scenario, a table of zones and scenarios that the pallet rows
-are joined with; only pallets behind that end are summed up again.
+are joined with; pallets behind that end are summed up again.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from waveplan.functions.text import wave_label
 from waveplan.operators.cartons import RUN, wave_number
 from waveplan.operators.pallets import pallet_wave_number
-from waveplan.operators.running import CELL_ROWS, Order, running_sum, same_join
+from waveplan.operators.running import Order, Parts, running_sum, same_join
 
 # Policy for pallets left after the last carton wave.
 OWN_WAVE_ABOVE = 50
@@ -24,45 +24,41 @@ SHARING_CENTRE = 3840
 STORAGE = Order("Aisle", None, "Distro", ("DPCI",))
 
 
-def place_rows(
-    running: DataFrame,
-    pallets: DataFrame,
-    ends: DataFrame,
-    capacity: DataFrame,
-    methods: list[str],
-    cell_rows: int = CELL_ROWS,
-    paths: list[str] | None = None,
+def place_cartons(waves: DataFrame) -> DataFrame:
+    return waves.withColumn("placement", F.lit("carton"))
+
+
+def place_pallets(
+    pallets: DataFrame, ends: DataFrame, capacity: DataFrame, methods: list[str], parts: Parts
 ) -> DataFrame:
-    """Every row with its placement facts under every scenario of its method.
+    """Every pallet row with its placement facts under every scenario of its method.
 
-    ``running`` are carton rows with their running locations, ``pallets`` rows with their
-    item's, ``ends`` the last waves of zones. ``placement`` is ``carton``; ``kept`` (pallets
-    beside a carton wave); ``own`` (trailing pallets above the limit fill a wave of their own);
-    ``last`` (few, and the last carton wave has room) or ``extra``. A zone without cartons
-    has no last wave, so all its pallets trail.
+    ``pallets`` are rows with their item's running locations, ``ends`` the last carton waves of zones.
+    ``placement`` is ``kept`` (beside a carton wave); ``own`` (trailing pallets above the limit fill a
+    wave of their own); ``last`` (few, and the last carton wave has room) or ``extra``. A zone without
+    cartons has no last wave: all its pallets trail, and there is no wave with room. ``parts`` is the
+    tree of pallet rows by zone in storage order; what trails under a scenario is summed up in it.
     """
     keys = [*RUN, "scenario_id"]
-    # ``capacity`` has one row per scenario passed in.
-    cartons = running.drop("zone_locations").join(F.broadcast(capacity), "Method")
-    cartons = cartons.withColumns({"wave_no": wave_number(), "placement": F.lit("carton")})
-
     rows = pallets.withColumn("Method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    # ``capacity`` has one row per scenario passed in.
     rows = rows.join(F.broadcast(capacity), "Method").withColumn("pallet_wave_no", pallet_wave_number())
     last = ends.select(*keys, F.col("n_waves").alias("wave_no"), F.col("last_wave_fill").alias("_fill"))
-    rows = same_join(rows, last, keys, "left").withColumns(
-        {"wave_no": F.coalesce("wave_no", F.lit(0)), "_fill": F.coalesce("_fill", F.lit(0))}
+    rows = same_join(rows, last, keys, "left").withColumn("wave_no", F.coalesce("wave_no", F.lit(0)))
+    trailing = F.coalesce(F.col("pallet_wave_no") > F.col("wave_no"), F.lit(False))
+    rows = rows.withColumns(
+        {"_trails": trailing, "_left": F.when(trailing, F.col("Total_locs")), "_pallets": F.when(trailing, F.col("TotalNumberofPallets"))}
     )
-    trailing = F.col("pallet_wave_no") > F.col("wave_no")
-    kept = rows.filter(~F.coalesce(trailing, F.lit(False))).drop("_fill").withColumn("placement", F.lit("kept"))
-    left = rows.filter(trailing)
-    left = running_sum(left, keys, STORAGE, "Total_locs", "trailing_locations", cell_rows, paths=paths)
-    counts = rows.filter(trailing).groupBy(*keys).agg(F.sum("TotalNumberofPallets").alias("trailing_pallets"))
-    left = same_join(left, counts, keys)
+    rows = running_sum(rows, keys, STORAGE, "_left", "trailing_locations", total={"_pallets": "trailing_pallets"}, parts=parts)
     room = (F.col("_fill") < F.col("carton_size") * F.lit(ROOM_LEFT_BELOW)) & (F.col("UDC") == SHARING_CENTRE)
-    placement = F.when(F.col("trailing_pallets") > OWN_WAVE_ABOVE, "own").when(room, "last").otherwise("extra")
-    left = left.withColumn("placement", placement).drop("_fill")
-    placed = cartons.unionByName(kept, allowMissingColumns=True).unionByName(left, allowMissingColumns=True)
-    return placed
+    placement = (
+        F.when(~F.col("_trails"), "kept")
+        .when(F.col("trailing_pallets") > OWN_WAVE_ABOVE, "own")
+        .when(room, "last")
+        .otherwise("extra")
+    )
+    behind = {c: F.when(F.col("_trails"), F.col(c)) for c in ("trailing_locations", "trailing_pallets")}
+    return rows.withColumns({"placement": placement, **behind}).drop("_fill", "_trails", "_left", "_pallets")
 
 
 def assigned(placed: DataFrame, columns: list[str]) -> DataFrame:

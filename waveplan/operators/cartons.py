@@ -8,47 +8,83 @@ from pyspark.sql import functions as F
 from waveplan.functions.locations import with_distro_locs
 from waveplan.functions.text import wave_label
 from waveplan.operators.filters import non_pallet
-from waveplan.operators.items import charged_locations, item_facts
-from waveplan.operators.running import CELL_ROWS, Order, running_sum
+from waveplan.operators.items import MARK, item_charges, with_charges
+from waveplan.operators.running import BEFORE, CELL_ROWS, UPTO, Order, Parts, running_sum, split
 from waveplan.schema import GROUP, ITEM, ITEM_GRAIN_ZONE
 
 RUN = [*GROUP, "Method"]
+RELEASE = Order("AllocationRequestDate", "Aisle", "Distro", ("DPCI", MARK))
 
 
-def with_sizes(drops: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every row with ``_row_locs``, its locations at row grain, and ``_item_locs``, those it is
-    charged with at item grain, and the columns of its item in ``facts``.
+def item_zone(methods: list[str]) -> int | None:
+    """The zone whose rows are sized by item, or None for all of them."""
+    return None if "DPCI" in methods else ITEM_GRAIN_ZONE
 
-    The join is on the item; adaptive execution splits items with very many rows.
-    """
-    rows = with_distro_locs(drops).withColumnRenamed("Total_locs", "_row_locs")
-    joined = rows.join(facts, ITEM, "left")
-    return joined.withColumn("_item_locs", charged_locations()).drop("_locs", "_top")
 
+def release_rows(drops: DataFrame, methods: list[str], rank_scope: str = "all_zones") -> DataFrame:
+    """Non-pallet rows with ``_row_locs``, their locations at row grain, and before its row the charge of each item."""
+    rows = with_distro_locs(non_pallet(drops), "_row_locs")
+    return with_charges(rows, item_charges(drops, rank_scope, item_zone(methods)))
 
-def by_method(sized: DataFrame, methods: list[str]) -> DataFrame:
-    """Non-pallet rows with the ``Total_locs`` of each wanted method; unknown counts as 1.
 
-    One zone is sized at item grain whatever the method.
-    """
-    at_item = (F.col("Method") == "DPCI") | (F.col("SSZ") == ITEM_GRAIN_ZONE)
-    locations = F.coalesce(F.when(at_item, F.col("_item_locs")).otherwise(F.col("_row_locs")), F.lit(1))
-    rows = non_pallet(sized).withColumn("Method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    return rows.withColumn("Total_locs", locations.cast("bigint")).drop("_row_locs", "_item_locs")
+def _by_item(method: str) -> Column:
+    """One zone is sized at item grain whatever the method."""
+    return F.lit(True) if method == "DPCI" else F.coalesce(F.col("SSZ") == ITEM_GRAIN_ZONE, F.lit(False))
 
 
-def sized_cartons(drops: DataFrame, methods: list[str], rank_scope: str = "all_zones") -> DataFrame:
-    """The same from the rows alone: one pass for the items, one for the rows."""
-    facts = item_facts(drops, rank_scope).select(*ITEM, "_locs", "_top")
-    return by_method(with_sizes(non_pallet(drops), facts), methods)
+def carton_running(
+    released: DataFrame, methods: list[str], parts: Parts, bounds: bool = False
+) -> DataFrame:
+    """Every row with its locations by each method, their running sum in the zone and the zone's; they depend
+    on no aisle or cap. One order serves all methods. An unknown size counts as 1.
+
+    Columns: ``_locs_``, ``_cum_`` and ``_zone_`` + method (see :func:`by_method`), and the bounds of ``running_sum``.
+    """
+    # what a row adds: its own size, or that of the item it is charged with, which stands in the row before
+    amount = F.coalesce(F.when(F.col(MARK) == 0, F.col("_charge")).otherwise(F.col("_row_locs")), F.lit(1)).cast("bigint")
+    sized = released.withColumns(
+        {f"_size_{m}": F.when((F.col(MARK) == 0) == _by_item(m), amount).otherwise(F.lit(0).cast("bigint")) for m in methods}
+        | {"_charged": F.when(F.col(MARK) == 0, F.coalesce("_charge", F.lit(1)))}
+    )
+    ran = running_sum(
+        sized, GROUP, RELEASE, [f"_size_{m}" for m in methods], [f"_cum_{m}" for m in methods], parts=parts,
+        total={f"_size_{m}": f"_zone_{m}" for m in methods}, before=("_charged",), bounds=bounds,
+    ).filter(F.col(MARK) == 1)
+    charged = F.coalesce(F.col("_last__charged"), F.lit(0)).cast("bigint")
+    locations = {f"_locs_{m}": F.when(_by_item(m), charged).otherwise(F.col(f"_size_{m}")) for m in methods}
+    return ran.withColumns(locations).drop("_row_locs", "_charge", "_charged", "_last__charged", MARK, *[f"_size_{m}" for m in methods])
+
+
+def by_method(running: DataFrame, methods: list[str], bounds: bool = False) -> DataFrame:
+    """Rows once for each method, with ``Total_locs``, ``wave_cum_locations`` and ``zone_locations``."""
+    named = {"Total_locs": "_locs_", "wave_cum_locations": "_cum_", "zone_locations": "_zone_"}
+    if bounds:
+        named |= {BEFORE: f"{BEFORE}_size_", UPTO: f"{UPTO}_size_"}
+    used = [column + m for m in methods for column in named.values()]
+    kinds = [F.struct(F.lit(m).alias("Method"), *[F.col(c + m).alias(name) for name, c in named.items()]) for m in methods]
+    return running.withColumn("_by", F.explode(F.array(*kinds))).select(
+        *[F.col(c) for c in running.columns if c not in used], "_by.*"
+    )
 
 
-RELEASE = Order("AllocationRequestDate", "Aisle", "Distro", ("DPCI",))
+def sized_cartons(drops: DataFrame, methods: list[str], rank_scope: str = "all_zones") -> DataFrame:
+    """Non-pallet rows once for each method with the ``Total_locs`` they need, without any order."""
+    rows = with_distro_locs(non_pallet(drops), "_row_locs")
+    charges = item_charges(drops, rank_scope, item_zone(methods)).select(*ITEM, "Distro", "_charge", F.lit(True).alias("_is"))
+    rows = rows.join(charges, [*ITEM, "Distro"], "left")
+    charged = F.when(F.col("_is"), F.coalesce("_charge", F.lit(1))).otherwise(F.lit(0))
+    at_item = (F.col("Method") == "DPCI") | (F.col("SSZ") == ITEM_GRAIN_ZONE)
+    rows = rows.withColumn("Method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    locations = F.when(at_item, charged).otherwise(F.coalesce("_row_locs", F.lit(1))).cast("bigint")
+    return rows.withColumn("Total_locs", locations).drop("_row_locs", "_charge", "_is")
 
 
-def carton_running(sized: DataFrame, cell_rows: int = CELL_ROWS, paths: list[str] | None = None) -> DataFrame:
-    """Running locations per zone and method, and the zone's; they depend on no aisle or cap."""
-    return running_sum(sized, RUN, RELEASE, "Total_locs", "wave_cum_locations", cell_rows, "zone_locations", paths)
+def running_cartons(
+    drops: DataFrame, methods: list[str], rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS, paths: list[str] | None = None
+) -> DataFrame:
+    """Rows once for each method with their running locations, from the input alone."""
+    parts = split(non_pallet(drops), GROUP, RELEASE, cell_rows, paths)
+    return by_method(carton_running(release_rows(drops, methods, rank_scope), methods, parts), methods)
 
 
 def wave_number(cumulative: str = "wave_cum_locations") -> Column:

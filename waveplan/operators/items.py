@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.functions.locations import estimate
 from waveplan.operators.filters import non_pallet
-from waveplan.operators.running import CELL_ROWS, Order, running_sum
+from waveplan.operators.running import CELL_ROWS, Order, running_sum, split
 from waveplan.schema import ITEM
 
 RANK_SCOPES = {"all_zones": ["drop_id", "UnitSortable", "DPCI"], "zone": ITEM}
@@ -49,54 +49,76 @@ def join_item_locations(drops: DataFrame) -> DataFrame:
     return non_pallet(drops).join(sizes, ITEM, "left")
 
 
-def item_facts(drops: DataFrame, rank_scope: str = "all_zones") -> DataFrame:
-    """One row per item and zone with all that its rows need, from one pass over them.
+def item_charges(drops: DataFrame, rank_scope: str = "all_zones", zone: int | None = None) -> DataFrame:
+    """The one row of each item that its locations are charged to: where it stands in every order, and ``_charge``.
 
-    ``_locs`` and ``_top``: size of the item, and the Distro of the row charged with it (null
-    where another zone's row is). ``pallets``, ``vcp``, ``VCPHt``: totals of its pallet rows,
-    null if it has none. The height is summed as a decimal: the mean orders items, so it must
-    not depend on the order in which tasks finish.
+    That is the row with the highest Distro over the zones of the scope; equal ones go to the
+    lower zone. Items are aggregated before they move, so a hot item travels as one row a task. ``zone``
+    keeps what is charged in one zone.
     """
-    carton, pallet = F.col("TotalNumberofPallets") == 0, F.col("TotalNumberofPallets") > 0
-    height = F.sum(F.when(pallet, F.col("VCPHeight").cast("decimal(20,8)"))).cast("double")
-    facts = drops.groupBy(*ITEM).agg(
-        F.sum(F.when(carton, F.col("TotalNumberofFullVCPs"))).alias("vcp1"),
-        F.sum(F.when(carton, F.col("TotalNumberofLooseSSP"))).alias("ssp"),
-        F.lit(0).cast("bigint").alias("pallet"),
-        F.max(F.when(carton, F.col("SSPsinVCP"))).alias("ssp_q"),
-        F.max(F.when(carton, F.col("VCPHeight"))).alias("vend_cspk_ht_q"),
-        F.max(F.when(carton, F.col("VCPWidth"))).alias("vend_cspk_wth_q"),
-        F.max(F.when(carton, F.col("VCPLength"))).alias("vend_cspk_lgth_q"),
-        F.max(F.when(carton, F.col("Distro"))).alias("_first"),
-        F.sum(F.when(pallet, F.col("TotalNumberofPallets"))).alias("pallets"),
-        F.sum(F.when(pallet, F.col("TotalNumberofFullVCPs"))).alias("pallet_vcp"),
-        (height / F.nullif(F.count(F.when(pallet, F.col("VCPHeight"))), F.lit(0))).alias("VCPHt"),
+    rows = non_pallet(drops)
+    row = F.struct("Distro", (-F.col("SSZ")).alias("_low"), "AllocationRequestDate", "Aisle")
+    scope = RANK_SCOPES[rank_scope]
+    if zone is not None and rank_scope == "zone":
+        rows = rows.filter(F.col("SSZ") == zone)
+    one_pass = zone is not None or rank_scope == "zone"
+    # one pass by scope does where a single zone of it has sizes
+    own = (lambda c: F.when(F.col("SSZ") == zone, F.col(c))) if zone is not None else F.col
+    keys = scope if one_pass else ITEM
+    items = rows.groupBy(*keys).agg(
+        F.sum(own("TotalNumberofFullVCPs")).alias("vcp1"),
+        F.sum(own("TotalNumberofLooseSSP")).alias("ssp"),
+        F.max(own("SSPsinVCP")).alias("ssp_q"),
+        F.max(own("VCPHeight")).alias("vend_cspk_ht_q"),
+        F.max(own("VCPWidth")).alias("vend_cspk_wth_q"),
+        F.max(own("VCPLength")).alias("vend_cspk_lgth_q"),
+        F.max(row).alias("_top"),
     )
-    sized = size_items(facts).select(
-        *ITEM, F.col("Total_locs").alias("_locs"), "_first", "pallets", F.col("pallet_vcp").alias("vcp"), "VCPHt"
+    if not one_pass:
+        highest = F.max("_top").over(Window.partitionBy(*scope))
+        items = items.withColumn("_highest", highest).filter(F.col("_top").eqNullSafe(F.col("_highest")))
+    charged_zone = -F.col("_top")["_low"]
+    if zone is not None:
+        items = items.filter(charged_zone == zone)
+    sized = size_items(items)
+    return sized.select(
+        "drop_id",
+        "UnitSortable",
+        charged_zone.alias("SSZ"),
+        "DPCI",
+        *[F.col("_top")[c].alias(c) for c in ("Distro", "AllocationRequestDate", "Aisle")],
+        F.col("Total_locs").alias("_charge"),
     )
-    # highest Distro of the item over the zones of the scope; equal ones go to the lower zone
-    order = Window.partitionBy(*RANK_SCOPES[rank_scope]).orderBy(F.col("_first").desc_nulls_last(), F.col("SSZ").asc())
-    top = F.when(F.row_number().over(order) == 1, F.col("_first")).alias("_top")
-    return sized.select(*ITEM, "_locs", top, "pallets", "vcp", "VCPHt")
 
 
-def charged_locations() -> Column:
-    """The item's locations on its charged row, 0 on its others."""
-    return F.when(F.col("Distro") == F.col("_top"), F.col("_locs")).otherwise(F.lit(0))
+MARK = "_mark"
+
+
+def with_charges(rows: DataFrame, charges: DataFrame) -> DataFrame:
+    """Rows and, directly before its row in any order that ends with ``MARK``, each charge.
+
+    A charge is one row an item, so it moves beside the rows instead of being joined with all rows of
+    the item.
+    """
+    marked = rows.withColumns({"_charge": F.lit(None).cast("bigint"), MARK: F.lit(1)})
+    return marked.unionByName(charges.withColumn(MARK, F.lit(0)), allowMissingColumns=True)
+
+
+RANK = Order(None, None, "Distro", ("SSZ", MARK), descending=("Distro",))
 
 
 def with_item_rank(drops: DataFrame, rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Non-pallet rows with their position in the item, highest Distro first."""
-    one = non_pallet(drops).withColumns({"_one": F.lit(1).cast("bigint"), "_head": F.left("Distro", F.lit(4))})
-    order = Order("_head", None, "Distro", ("SSZ",), descending=("_head", "Distro"))
-    ranked = running_sum(one, RANK_SCOPES[rank_scope], order, "_one", "rank", cell_rows)
-    return ranked.drop("_one", "_head")
+    one = non_pallet(drops).withColumns({"_one": F.lit(1).cast("bigint"), MARK: F.lit(1)})
+    return running_sum(one, RANK_SCOPES[rank_scope], RANK, "_one", "rank", cell_rows).drop("_one", MARK)
 
 
 def first_distro_masked(drops: DataFrame, rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Item locations and rank on every non-pallet row, with locations kept on rank 1 only."""
-    ranked = with_item_rank(join_item_locations(drops), rank_scope, cell_rows)
-    return ranked.withColumn(
-        "Total_locs", F.when(F.col("rank") > 1, F.lit(0)).otherwise(F.col("Total_locs")).cast("bigint")
-    )
+    """Rank on every non-pallet row, and the item's locations on rank 1, 0 on its others."""
+    rows = non_pallet(drops)
+    marked = with_charges(rows, item_charges(drops, rank_scope)).withColumn("_one", F.col(MARK).cast("bigint"))
+    scope = RANK_SCOPES[rank_scope]
+    parts = split(rows, scope, RANK, cell_rows)
+    ranked = running_sum(marked, scope, RANK, "_one", "rank", parts=parts, before=("_charge",)).filter(F.col(MARK) == 1)
+    charged = F.when(F.col("rank") > 1, F.lit(0)).otherwise(F.col("_last__charge"))
+    return ranked.withColumn("Total_locs", charged.cast("bigint")).drop("_one", "_charge", "_last__charge", MARK)

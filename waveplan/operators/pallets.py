@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waveplan.functions.text import wave_label
 from waveplan.operators.filters import pallet_rows
-from waveplan.operators.running import CELL_ROWS, Order, running_sum
+from waveplan.operators.running import CELL_ROWS, Order, running_sum, split
 from waveplan.schema import GROUP, ITEM
 
 # Fixed value: pallets that share one pallet location.
@@ -32,11 +32,16 @@ def pallet_rollup(drops: DataFrame) -> DataFrame:
     )
 
 
-def pallet_running(rollup: DataFrame, cell_rows: int = CELL_ROWS, paths: list[str] | None = None) -> DataFrame:
-    """Running pallet locations per zone, items with most cartons first."""
+MOST_CARTONS = Order("vcp", "VCPHt", "DPCI", descending=("vcp", "VCPHt"))
+
+
+def pallet_running(
+    rollup: DataFrame, cell_rows: int = CELL_ROWS, paths: list[str] | None = None, total: int | None = None
+) -> DataFrame:
+    """Running pallet locations per zone, items with most cartons first; ``total`` is the number of items or more."""
     located = rollup.withColumn("pallet_loc", F.ceil(F.col("pallets") / PALLETS_PER_LOCATION))
-    order = Order("vcp", "VCPHt", "DPCI", descending=("vcp", "VCPHt"))
-    return running_sum(located, GROUP, order, "pallet_loc", "pallet_cum_locations", cell_rows, paths=paths)
+    parts = split(rollup, GROUP, MOST_CARTONS, cell_rows, paths, total)
+    return running_sum(located, GROUP, MOST_CARTONS, "pallet_loc", "pallet_cum_locations", parts=parts)
 
 
 def pallet_wave_number() -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from waveplan.schema import DIMENSIONS, QUANTITIES
+from waveplan.session import materialize
 
 KEYS = ["drop_id", "Distro", "SSZ", "DPCI"]
 REASON = "reject_reason"
@@ -68,6 +69,23 @@ def split(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, tagged.filter(F.col(REASON).isNotNull())
 
 
+def checked(drops: DataFrame, check_duplicates: bool = True, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """The same two parts, tagged once: the verdict is a partition of one written table, so each
+    part reads its own files. Also the number of rows and of rejects, counted while writing.
+
+    The input is read twice: for repeated keys, and to be written. Columns are written by their place, so names may be
+    any that a table can hold.
+    """
+    tagged = tag(drops, check_duplicates)
+    names = tagged.columns
+    seen = Observation()
+    rows = tagged.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("planned", F.col(f"c{len(names) - 1}").isNull())
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("planned")).alias("rejects"))
+    written = materialize(rows, "checked", paths, partition_by="planned")
+    good, bad = (written.filter(c).drop("planned").toDF(*names) for c in (F.col("planned"), ~F.col("planned")))
+    return good.drop(REASON, *MARKS), bad, {name: int(value or 0) for name, value in seen.get.items()}
+
+
 def accepted(drops: DataFrame, check_duplicates: bool = True) -> DataFrame:
     return split(tag(drops, check_duplicates))[0]
 

@@ -1,39 +1,50 @@
-"""Exact running sums over ordered groups of any size, in one way for all sizes.
-
-A group's rows fall into cells by the first column of the order, and cells with more than
-``CELL_ROWS`` rows into parts by the second column and leading characters of the row key; how
-many characters follows from the cell's own rows, keys and lengths of what they share. Cell
-and part are functions of the row, so nothing is sampled or written. A row's running sum is
-the sum of the cells before its own, of the parts before its own, and of the rows before it in
-its part. A task sorts one part, never a group. Where no cell is that large, adaptive
-execution finds the tables of parts empty and leaves them out.
-
-Sums are of integers, so the result does not depend on the cells.
+"""Exact running sums over ordered groups of any size.
+
+One task sorts at most ``cell_rows`` rows. A tree says where larger groups are cut: its root is
+the whole table, below it are the groups, then the values of the order's first and second
+column, then prefixes of the row key, each one character or more beyond what the keys of its
+node share. A node with more than ``cell_rows`` rows is refined, whatever its rows look
+like, so an outlier or an uneven key only makes the tree deeper. Its leaves are the *parts*.
+Which part a row belongs to is a function of the row, looked up in the list of refined nodes; these are
+at most ``MOST_NODES``, as each holds more than its share of the rows, so they can be broadcast.
+
+A row's running sum is the sum of the parts before its own and of the rows before it in its
+part. Sums of parts are placed by the same key as the rows, so that the rows are shuffled
+once, for the join with them and for the order inside the part. A tree without refined nodes needs no
+sums of parts: each group is one part.
+
+Sums are of integers, so the result does not depend on the parts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.session import materialize
 
-#: Rows that one task sorts without being cut further. It sets the fineness of the cells,
-#: not the plan.
+#: Rows that one task sorts without being cut further.
 CELL_ROWS = 1_000_000
+#: Refined nodes of a tree at most; ``cell_rows`` grows with the table beyond that.
+MOST_NODES = 100_000
+
+#: Part of a row inside its group, and inside the table.
+PART, SLOT = "_part", "_slot"
+#: What comes before a part, and up to its end.
+BEFORE, UPTO = "_before", "_upto"
 
 
 @dataclass(frozen=True)
 class Order:
     """The order inside a group: ``cell``, then ``within``, then ``key``, then ``ties``.
 
-    ``cell`` and ``within`` are columns with their direction; ``key`` is a string column,
-    which with ``ties`` makes the order total.
+    ``cell`` and ``within`` are columns that are told apart by value; ``key`` is a string
+    column, which with ``ties`` makes the order total.
     """
 
-    cell: str
+    cell: str | None
     within: str | None
     key: str
     ties: tuple[str, ...] = ()
@@ -46,9 +57,12 @@ class Order:
             return column.desc_nulls_last()
         return column.asc_nulls_first() if name in self.nulls_first else column.asc_nulls_last()
 
+    @property
+    def values(self) -> list[str]:
+        return [n for n in (self.cell, self.within) if n]
+
     def columns(self) -> list[Column]:
-        names = [self.cell, *([self.within] if self.within else []), self.key, *self.ties]
-        return [self.by(n) for n in names]
+        return [self.by(n) for n in [*self.values, self.key, *self.ties]]
 
 
 def same_join(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -66,55 +80,116 @@ def shared_length(a: Column, b: Column) -> Column:
     return F.size(F.filter(places, lambda n: (F.left(a, n) == F.left(b, n)) & (n <= F.length(a)) & (n <= F.length(b))))
 
 
+def _named(value: Column) -> Column:
+    """Text that no other value and no null has."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("!"))
+
+
+@dataclass
+class Parts:
+    """The refined nodes of a tree, level by level; see the module."""
+
+    keys: list[str]
+    order: Order
+    levels: list[DataFrame] = field(default_factory=list)
+
+    def label(self, rows: DataFrame, inside: bool = False) -> DataFrame:
+        """``rows`` with their part; ``inside`` keeps those of the last level's nodes only."""
+        out = rows.withColumn(PART, F.lit(""))
+        values = self.order.values
+        for depth, nodes in enumerate(self.levels):
+            last = inside and depth == len(self.levels) - 1
+            # at most MOST_NODES of them
+            out = same_join(out, F.broadcast(nodes), [*self.keys, PART], "inner" if last else "left")
+            step = F.col(values[depth]) if depth < len(values) else F.left(F.col(self.order.key), F.col("_length"))
+            deeper = F.concat(F.col(PART), F.lit("/"), _named(step))
+            out = out.withColumn(PART, F.when(F.col("_length").isNotNull(), deeper).otherwise(F.col(PART))).drop("_length")
+        return out
+
+
+def split(
+    rows: DataFrame, keys: list[str], order: Order, cell_rows: int = CELL_ROWS, paths: list[str] | None = None, total: int | None = None
+) -> Parts:
+    """The tree of ``rows``; ``total`` is their number or more, counted if not given.
+
+    Runs a job per level that counts the rows of the nodes above it, and none below a root that is
+    small enough.
+    """
+    parts = Parts(keys, order)
+    narrow = rows.select(*keys, *order.values, order.key)
+    most = narrow.count() if total is None else total
+    limit = max(cell_rows, most // MOST_NODES)
+    while most > limit:
+        labelled = parts.label(narrow, inside=True)
+        key, depth = F.col(order.key), len(parts.levels)
+        counted = labelled.groupBy(*keys, PART).agg(
+            F.count(F.lit(1)).alias("_rows"), F.min(key).alias("_low"), F.max(key).alias("_high")
+        )
+        large = counted.filter(F.col("_rows") > limit)
+        length = F.lit(0)
+        if depth >= len(order.values):
+            # a node of one key cannot be cut
+            large = large.filter(F.col("_low") != F.col("_high"))
+            digits = F.greatest(F.ceil(F.log10(F.col("_rows") / limit)), F.lit(1)).cast("int")
+            length = shared_length(F.col("_low"), F.col("_high")) + digits
+        nodes = materialize(large.select(*keys, PART, length.alias("_length"), "_rows"), "nodes", paths)
+        most = nodes.agg(F.max("_rows")).first()[0] or 0
+        if most:
+            parts.levels.append(nodes.drop("_rows"))
+    return parts
+
+
 def running_sum(
     rows: DataFrame,
     keys: list[str],
     order: Order,
-    value: str,
-    into: str,
+    value: str | list[str],
+    into: str | list[str],
     cell_rows: int = CELL_ROWS,
-    total: str | None = None,
+    total: str | dict[str, str] | None = None,
     paths: list[str] | None = None,
+    parts: Parts | None = None,
+    before: tuple[str, ...] = (),
+    bounds: bool = False,
 ) -> DataFrame:
-    """``rows`` with the running sum of ``value``, and with the group's sum if ``total`` is named.
+    """``rows`` with the running sum of each ``value``.
 
-    The cells' sums are written at once (see ``session.materialize`` for ``paths``).
+    ``total`` names the group's sum: of ``value``, or of any column as a dict. ``parts`` is a tree of rows that
+    include these, for keys that are among these; without it, one is built. ``before``: columns whose value in the
+    row before is added as ``_last_<column>`` (null in the first row of a part). ``bounds`` adds, where groups are
+    cut, the part's place (``SLOT``) and for each value its sum before the part and up to its end (``BEFORE`` and ``UPTO`` + value).
     """
-    cell = [*keys, order.cell]
-    within = F.col(order.within) if order.within else F.lit(0)
-    cells = rows.groupBy(*cell).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    cells = materialize(cells, "cells", paths)
-    group = Window.partitionBy(*keys).orderBy(order.by(order.cell))
-    before = F.sum("_sum").over(group.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cells.select(*cell, "_rows", F.coalesce(before, F.lit(0)).alias("_before"), *([F.sum("_sum").over(Window.partitionBy(*keys)).alias(total)] if total else []))
-
-    large = cells.filter(F.col("_rows") > cell_rows).select(*cell, "_rows")
-    located = same_join(rows, offsets, cell)
-    part = list(cell)
-    if not large.isEmpty():
-        key = F.col(order.key)
-        ends = same_join(rows.select(*cell, order.key), large, cell).groupBy(*cell).agg(
-            F.min(key).alias("_low"), F.max(key).alias("_high"), F.max("_rows").alias("_rows")
+    values, names = ([value], [into]) if isinstance(value, str) else (value, into)
+    totals = {values[0]: total} if isinstance(total, str) else total or {}
+    parts = split(rows, keys, order, cell_rows, paths) if parts is None else parts
+    sums = list(dict.fromkeys([*values, *totals]))
+    place = keys
+    if parts.levels:
+        place = [SLOT]
+        rows = parts.label(rows).withColumn(SLOT, F.concat_ws("\x01", *[_named(F.col(k)) for k in keys], PART)).drop(PART)
+        ends = {n: F.min(n).alias(f"_at_{n}") for n in [*order.values, order.key]}
+        held = rows.groupBy(SLOT, *keys).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(f"_sum_{v}") for v in sums], *ends.values())
+        at = Order(*[f"_at_{n}" if n else None for n in (order.cell, order.within, order.key)],
+                   descending=tuple(f"_at_{n}" for n in order.descending), nulls_first=tuple(f"_at_{n}" for n in order.nulls_first))
+        group = Window.partitionBy(*keys)
+        upto = group.orderBy(*at.columns()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        offsets = held.select(
+            SLOT,
+            *[(F.sum(f"_sum_{v}").over(upto) - F.col(f"_sum_{v}")).alias(BEFORE + v) for v in values],
+            *[F.sum(f"_sum_{v}").over(upto).alias(UPTO + v) for v in values],
+            *[F.sum(f"_sum_{v}").over(group).alias(name) for v, name in totals.items()],
         )
-        digits = F.ceil(F.log10(F.col("_rows") / cell_rows)).cast("int")
-        ends = ends.select(*cell, (shared_length(F.col("_low"), F.col("_high")) + digits).alias("_length"))
-        located = same_join(located, ends, cell, "left")
-        # in a cell that is not large all rows are in one part
-        located = located.withColumn("_aisle", F.when(F.col("_length").isNotNull(), within))
-        located = located.withColumn("_part", F.when(F.col("_length").isNotNull(), F.left(key, F.col("_length"))))
-        part = [*cell, "_aisle", "_part"]
-        cut = same_join(rows, ends, cell).withColumn("_aisle", within).withColumn("_part", F.left(key, F.col("_length")))
-        parts = cut.groupBy(*part).agg(F.sum(value).alias("_sum"))
-        falls = tuple(n for n, o in (("_aisle", order.within), ("_part", order.key)) if o in order.descending)
-        rise = Order("_aisle", None, "_part", descending=falls, nulls_first=("_aisle",) if order.within in order.nulls_first else ())
-        inner = Window.partitionBy(*cell).orderBy(rise.by("_aisle"), rise.by("_part")).rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.select(*part, F.coalesce(F.sum("_sum").over(inner), F.lit(0)).alias("_earlier"))
-        located = same_join(located, parts, part, "left")
-    else:
-        located = located.withColumn("_earlier", F.lit(0).cast("bigint"))
-
-    # dealt by part, also where a join has gathered whole cells
-    dealt = located.repartition(*[F.col(c) for c in part])
-    own = Window.partitionBy(*part).orderBy(*order.columns()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.col("_before") + F.coalesce(F.col("_earlier"), F.lit(0)) + F.coalesce(F.sum(value).over(own), F.lit(0))
-    return dealt.withColumn(into, running).drop("_rows", "_before", "_length", "_aisle", "_part", "_earlier")
+        rows = rows.join(offsets, SLOT)
+    own = Window.partitionBy(*place).orderBy(*order.columns())
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = {}
+    for v, name in zip(values, names):
+        new[name] = F.coalesce(F.sum(v).over(upto), F.lit(0))
+        if parts.levels:
+            new[name] = F.col(BEFORE + v) + new[name]
+    new |= {f"_last_{c}": F.lag(c).over(own) for c in before}
+    if not parts.levels:
+        new |= {name: F.sum(v).over(Window.partitionBy(*keys)) for v, name in totals.items()}
+    out = rows.withColumns(new)
+    spare = [SLOT, *[side + v for v in values for side in (BEFORE, UPTO)]]
+    return out if bounds else out.drop(*spare)

@@ -2,39 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waveplan.functions.text import percent_text
+from waveplan.functions.text import percent_text, wave_label
+from waveplan.operators.running import BEFORE, SLOT, UPTO
 from waveplan.schema import GROUP
 
 # Fixed value: locations added to the practical ones in the utilisation.
 SPARE_LOCATIONS = 5
 
 
-def wave_summary(assigned: DataFrame) -> DataFrame:
-    """Totals per wave; sums over nothing are 0.
+WAVE = [*GROUP, "Method", "scenario_id"]
+SUMS = ["Total_plts", "Total_plts_ssps", "Total_vcp", "Total_loose_ssp", "Total_ssp", "Total_distro", "Total_CandB_locs"]
+#: An item that is counted for itself; null in totals of items that stand in one place only.
+SHARED = "_item"
 
-    ``Method`` follows from the scenario, but as a key it lets Spark see that rows are
-    already partitioned by zone, so they are not shuffled again. Where they are not (a
-    plan with sliced zones), the distinct item count makes Spark aggregate by (wave,
-    item) first, so even one huge wave is spread over the shuffle by item.
-    """
+
+def _sums() -> list[Column]:
     on_pallets = F.when(F.col("TotalNumberofPallets") > 0, F.col("TotalNumberofFullVCPs"))
-    totals = {
-        "Total_plts": F.sum("TotalNumberofPallets"),
-        "Total_plts_ssps": F.sum(on_pallets),
-        "Total_vcp": F.sum("TotalNumberofFullVCPs"),
-        "Total_loose_ssp": F.sum("TotalNumberofLooseSSP"),
-        "Total_ssp": F.sum("TotalNumberofSSPsintheDistro"),
-        "Total_distro": F.count("Distro"),
-        "Total_dpci": F.countDistinct("DPCI"),
-        "Total_CandB_locs": F.sum("Total_locs"),
-    }
-    summary = assigned.groupBy(*GROUP, "Method", "scenario_id", "wave_id").agg(
-        *[F.coalesce(expr, F.lit(0)).alias(name) for name, expr in totals.items()]
+    totals = [
+        F.sum("TotalNumberofPallets"),
+        F.sum(on_pallets),
+        F.sum("TotalNumberofFullVCPs"),
+        F.sum("TotalNumberofLooseSSP"),
+        F.sum("TotalNumberofSSPsintheDistro"),
+        F.count("Distro"),
+        F.sum("Total_locs"),
+    ]
+    return [F.coalesce(total, F.lit(0)).cast("bigint").alias(name) for name, total in zip(SUMS, totals)]
+
+
+def _again() -> list[Column]:
+    return [F.sum(name).alias(name) for name in SUMS]
+
+
+def carton_totals(waved: DataFrame) -> DataFrame:
+    """Totals per carton wave, aggregated where the rows of a zone or part of it already are.
+
+    An item is counted in place if all its rows of the wave must be there: the wave does not reach
+    beyond the part (its number is above that of what comes before, and below that of the part's
+    end), and the item has no pallets (``on_pallets``), which could join the wave later. For the
+    others a row per wave and item (``SHARED``) is kept, so that each is counted once.
+    """
+    place = []
+    alone = ~F.coalesce(F.col("on_pallets"), F.lit(False))
+    if SLOT in waved.columns:
+        place = [SLOT]
+        size = F.col("carton_size")
+        alone = alone & (F.col("wave_no") > F.ceil(F.col(BEFORE) / size)) & (F.col("wave_no") < F.ceil(F.col(UPTO) / size))
+    wave = [*WAVE, "wave_no"]
+    items = waved.withColumn("_alone", alone).groupBy(*place, *wave, "_alone", "DPCI").agg(*_sums())
+    items = items.withColumn(SHARED, F.when(~F.col("_alone"), F.col("DPCI")))
+    waves = items.groupBy(*place, *wave, SHARED).agg(*_again(), F.count("DPCI").alias("_items"))
+    return waves.groupBy(*wave, SHARED).agg(*_again(), F.sum("_items").alias("_items"))
+
+
+def carton_ends(totals: DataFrame) -> DataFrame:
+    """Number and fill of the last carton wave of each zone and scenario, from the totals of its waves."""
+    waves = totals.groupBy(*WAVE, "wave_no").agg(F.sum("Total_CandB_locs").alias("fill"))
+    return waves.groupBy(*WAVE).agg(
+        F.max("wave_no").alias("n_waves"), F.max_by("fill", "wave_no").alias("last_wave_fill")
     )
-    return summary.drop("Method")
+
+
+def wave_summary(cartons: DataFrame, pallets: DataFrame) -> DataFrame:
+    """Totals per wave from :func:`carton_totals` and assigned pallet rows; sums over nothing are 0."""
+    wave = [*WAVE, "wave_id"]
+    boxes = cartons.withColumn("wave_id", wave_label("W", F.col("wave_no"))).drop("wave_no")
+    rows = pallets.groupBy(*wave, F.col("DPCI").alias(SHARED)).agg(*_sums(), F.count("DPCI").alias("_items"))
+    items = boxes.unionByName(rows).groupBy(*wave, SHARED).agg(*_again(), F.sum("_items").alias("_items"))
+    number = F.when(F.col(SHARED).isNull(), F.col("_items")).otherwise(F.lit(1))
+    return items.groupBy(*wave).agg(*_again(), F.sum(number).alias("Total_dpci")).drop("Method")
 
 
 def wave_utilisation(summary: DataFrame, capacity: DataFrame) -> DataFrame:

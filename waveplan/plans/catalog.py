@@ -138,14 +138,13 @@ def capacity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carton_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    running = cartons.carton_running(cartons.sized_cartons(drops(spark, sf_dir), ["Distro"]))
+    running = cartons.running_cartons(drops(spark, sf_dir), ["Distro"])
     return running.select("Distro", *GROUP, "Total_locs", "wave_cum_locations")
 
 
 def carton_running_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sums with cells of a few rows, which all are cut into parts."""
-    sized = cartons.sized_cartons(drops(spark, sf_dir), ["Distro"])
-    running = cartons.carton_running(sized, cell_rows=4)
+    """The same sums with few rows a task, so that zones, days and aisles are cut into parts."""
+    running = cartons.running_cartons(drops(spark, sf_dir), ["Distro"], cell_rows=4)
     return running.select("Distro", *GROUP, "Total_locs", "wave_cum_locations")
 
 
@@ -179,8 +178,7 @@ def wave_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pallet_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = _plan(spark, sf_dir, SCENARIOS).placed.filter(F.col("placement") != "carton")
-    return placed.select(
+    return _plan(spark, sf_dir, SCENARIOS).placed_pallets.select(
         "scenario_id",
         "Distro",
         *GROUP,
@@ -192,7 +190,7 @@ def pallet_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pallet_trailing_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What happens to the trailing pallets of each zone."""
-    placed = _plan(spark, sf_dir, SCENARIOS).placed
+    placed = _plan(spark, sf_dir, SCENARIOS).placed_pallets
     trailing = placed.filter(F.col("placement").isin("own", "last", "extra"))
     return trailing.groupBy("scenario_id", *GROUP, "placement").agg(
         F.max("trailing_pallets").alias("trailing_pallets"), F.count("Distro").alias("rows")

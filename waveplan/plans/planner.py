@@ -8,12 +8,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waveplan.functions.locations import with_distro_locs
 from waveplan.functions.text import charging_instructions
 from waveplan.operators import assign, cartons, pallets, quality, summary
 from waveplan.operators.capacity import Scenario, capacities, rejected_scenarios
-from waveplan.operators.filters import pallet_rows
-from waveplan.operators.items import item_facts, with_item_rank
-from waveplan.operators.running import CELL_ROWS
+from waveplan.operators.filters import non_pallet, pallet_rows
+from waveplan.operators.items import with_item_rank
+from waveplan.operators.running import CELL_ROWS, Order, Parts, split
 from waveplan.schema import DROPS, GROUP, ITEM
 from waveplan.session import materialize, release
 
@@ -38,12 +39,16 @@ class Rules:
 
 @dataclass
 class WavePlan:
-    """The tables of a plan. All are lazy but ``facts``, ``sized``, ``running`` and ``ends``, which
-    are written once to the shared folder when first used and read from there (see ``session.materialize``).
+    """The tables of a plan, all lazy but two that are written once to the shared folder when first used:
+    ``pallet_running``, a row per pallet item, and ``carton_totals``, a row per carton wave.
 
     ``drops`` must hold accepted rows (see ``operators.quality``). Columns the plan does
     not know travel as one struct, so that no name of theirs can clash, and come out of
     ``assigned`` as they were. ``rejects`` are the rows that :func:`plan_waves` set aside.
+
+    The first use counts the rows once: only groups that could outgrow a task are looked at
+    further (see ``operators.running``). A result reads the columns it needs of the input: narrow ones
+    for waves and totals, all of them only for ``assigned``, where each row moves once, to its place in its zone.
     """
 
     drops: DataFrame
@@ -51,10 +56,11 @@ class WavePlan:
     aisles: DataFrame | None = None
     rules: Rules = field(default_factory=Rules)
     rejects: DataFrame | None = None
+    counts: dict[str, int] | None = None
+    written: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         spark = self.drops.sparkSession
-        self._written: list[str] = []
         known = {name.lower() for name in [*DROPS.fieldNames(), *RESULTS]}
         self.extras = [c for c in self.drops.columns if c.lower() not in known]
         packed = [F.struct(*[F.col(f"`{c}`") for c in self.extras]).alias(EXTRAS)] if self.extras else []
@@ -64,7 +70,7 @@ class WavePlan:
 
     def close(self) -> None:
         """Delete the written tables, once all results have been used."""
-        release(self.drops.sparkSession, self._written)
+        release(self.drops.sparkSession, self.written)
 
     @cached_property
     def rejected_scenarios(self) -> DataFrame:
@@ -72,29 +78,35 @@ class WavePlan:
         return rejected_scenarios(self.drops.sparkSession, self.scenarios, self.aisles)
 
     @cached_property
-    def facts(self) -> DataFrame:
-        """What rows need to know of their item: the first of two reads of the input."""
-        return materialize(item_facts(self.drops, self.rules.rank_scope), "facts", self._written)
+    def _rows_in_all(self) -> int:
+        return self.counts["rows"] - self.counts["rejects"] if self.counts else self.drops.count()
+
+    def _split(self, rows: DataFrame, order: Order) -> Parts:
+        return split(rows, GROUP, order, self.rules.cell_rows, self.written, self._rows_in_all)
 
     @cached_property
-    def pallet_running(self) -> DataFrame:
-        items = self.facts.filter(F.col("pallets").isNotNull()).select(*ITEM, "pallets", "vcp", "VCPHt")
-        return pallets.pallet_running(items, self.rules.cell_rows, self._written)
+    def _release_parts(self) -> Parts:
+        return self._split(non_pallet(self.drops), cartons.RELEASE)
 
     @cached_property
-    def sized(self) -> DataFrame:
-        """Every row with its sizes and its item's running pallet locations: the second read."""
-        upto = self.pallet_running.select(*ITEM, "pallet_cum_locations")
-        facts = self.facts.select(*ITEM, "_locs", "_top").join(upto, ITEM, "left")
-        return materialize(cartons.with_sizes(self.drops, facts), "sized", self._written)
+    def _storage_parts(self) -> Parts:
+        return self._split(pallet_rows(self.drops), assign.STORAGE)
 
     @cached_property
-    def sized_cartons(self) -> DataFrame:
-        return cartons.by_method(self.sized.drop("pallet_cum_locations"), self.methods)
+    def pallet_running(self) -> DataFrame:
+        rollup = pallets.pallet_rollup(self.drops)
+        running = pallets.pallet_running(rollup, self.rules.cell_rows, self.written, self._rows_in_all)
+        return materialize(running, "pallets", self.written)
 
     @cached_property
     def running(self) -> DataFrame:
-        return materialize(cartons.carton_running(self.sized_cartons, self.rules.cell_rows, self._written), "running", self._written)
+        """Carton rows once for each method with their running locations."""
+        return self._running(self.drops)
+
+    def _running(self, rows: DataFrame, bounds: bool = False) -> DataFrame:
+        released = cartons.release_rows(rows, self.methods, self.rules.rank_scope)
+        ran = cartons.carton_running(released, self.methods, self._release_parts, bounds)
+        return cartons.by_method(ran, self.methods, bounds and bool(self._release_parts.levels))
 
     @cached_property
     def carton_waves(self) -> DataFrame:
@@ -107,29 +119,37 @@ class WavePlan:
     @cached_property
     def ends(self) -> DataFrame:
         """Where the cartons of each zone end under each scenario."""
-        return materialize(cartons.zone_ends(self.running, self.capacity), "ends", self._written)
+        return cartons.zone_ends(self.running, self.capacity)
 
     @cached_property
-    def placed(self) -> DataFrame:
-        rows = pallet_rows(self.sized).withColumn("Total_locs", F.coalesce(F.col("_row_locs"), F.lit(1)).cast("bigint"))
-        return assign.place_rows(
-            self.running,
-            rows.drop("_row_locs", "_item_locs"),
-            self.ends,
-            self.capacity,
-            self.methods,
-            self.rules.cell_rows,
-            self._written,
-        )
+    def carton_totals(self) -> DataFrame:
+        """Totals of each carton wave (see ``summary.carton_totals``)."""
+        stacked = self.pallet_running.select(*ITEM, F.lit(True).alias("on_pallets"))
+        rows = self.drops.join(stacked, ITEM, "left")
+        waved = cartons.carton_waves(self._running(rows, bounds=True), self.capacity)
+        return materialize(summary.carton_totals(waved), "totals", self.written)
+
+    def _placed_pallets(self, ends: DataFrame) -> DataFrame:
+        rows = with_distro_locs(pallet_rows(self.drops))
+        rows = rows.withColumn("Total_locs", F.coalesce("Total_locs", F.lit(1)).cast("bigint"))
+        rows = rows.join(self.pallet_running.select(*ITEM, "pallet_cum_locations"), ITEM, "left")
+        return assign.place_pallets(rows, ends, self.capacity, self.methods, self._storage_parts)
+
+    @cached_property
+    def placed_pallets(self) -> DataFrame:
+        """Pallet rows with their placement under every scenario."""
+        return self._placed_pallets(self.ends)
 
     @cached_property
-    def _rows(self) -> DataFrame:
-        return assign.assigned(self.placed, self.drops.columns)
+    def placed(self) -> DataFrame:
+        placed = assign.place_cartons(self.carton_waves).drop("zone_locations", "wave_id")
+        return placed.unionByName(self.placed_pallets, allowMissingColumns=True)
 
     @cached_property
     def assigned(self) -> DataFrame:
         """Every row once per scenario with wave, locations and charging instructions."""
-        rows = self._ranked(self._rows) if self.rules.with_rank else self._rows
+        rows = assign.assigned(self.placed, self.drops.columns)
+        rows = self._ranked(rows) if self.rules.with_rank else rows
         return rows.select(
             *DROPS.fieldNames(),
             *[F.col(EXTRAS)[c].alias(c) for c in self.extras],
@@ -147,7 +167,9 @@ class WavePlan:
 
     @cached_property
     def wave_summary(self) -> DataFrame:
-        return summary.wave_utilisation(summary.wave_summary(self._rows), self.capacity)
+        placed = self._placed_pallets(summary.carton_ends(self.carton_totals))
+        rows = assign.assigned(placed, self.drops.columns)
+        return summary.wave_utilisation(summary.wave_summary(self.carton_totals, rows), self.capacity)
 
 
 def plan_waves(
@@ -157,7 +179,12 @@ def plan_waves(
     rules: Rules | None = None,
     check_duplicates: bool = True,
 ) -> WavePlan:
-    """Plan raw rows: set faulty ones aside (``rejects``), then build the tables on the rest."""
+    """Plan raw rows: set faulty ones aside (``rejects``), then build the tables on the rest.
+
+    The checked rows are written at once, as every result and the rejects read them; ``counts`` says
+    how many there were and how many are rejects.
+    """
     chosen = [scenarios] if isinstance(scenarios, Scenario) else list(scenarios)
-    good, bad = quality.split(quality.tag(drops, check_duplicates))
-    return WavePlan(good, chosen, aisles, rules or Rules(), rejects=bad)
+    written: list[str] = []
+    good, bad, counts = quality.checked(drops, check_duplicates, written)
+    return WavePlan(good, chosen, aisles, rules or Rules(), rejects=bad, counts=counts, written=written)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.operators.capacity import METHODS, Scenario, capacities
-from waveplan.operators.cartons import carton_running, sized_cartons, zone_ends
+from waveplan.operators.cartons import running_cartons, zone_ends
 from waveplan.operators.running import CELL_ROWS
 from waveplan.schema import GROUP
 from waveplan.sources.aisles import aisle_rows
@@ -36,7 +36,7 @@ def scenario_sweep(
     """Waves and last-wave fill per zone and scenario; zones, not rows, meet the scenarios."""
     capacity = capacities(drops.sparkSession, scenarios, aisles)
     methods = sorted({s.method for s in scenarios})
-    ends = zone_ends(carton_running(sized_cartons(drops, methods, rank_scope), cell_rows), capacity)
+    ends = zone_ends(running_cartons(drops, methods, rank_scope, cell_rows), capacity)
     return ends.select(
         *GROUP, "UDC", "Aisle_No", "Cap", "Method", "Level_A", "carton_size", "zone_locations", "n_waves", "last_wave_fill"
     )

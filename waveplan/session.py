@@ -67,7 +67,7 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, paths: list[str] | None = None, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; its path is added to ``paths``.
 
     Later steps restart from the files when an executor is lost, and read the columns they
@@ -80,7 +80,7 @@ def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> Dat
     _WRITTEN.append(path)
     if paths is not None:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

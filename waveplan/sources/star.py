@@ -59,11 +59,10 @@ def select_text(columns: dict[str, str] = DROP_COLUMNS) -> str:
 def drops(spark: SparkSession, sf_dir: str, columns: dict[str, str] = DROP_COLUMNS) -> DataFrame:
     """One allocation row per order line; Distro is unique by construction.
 
-    Parts grow with the lines, so both are shuffled by part at every size.
+    Parts grow with the lines; the engine broadcasts them only below its size limit.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").hint("shuffle_hash")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     return lines.join(parts, lines.l_partkey == parts.p_partkey).selectExpr(
         *[f"{expr} AS {name}" for name, expr in columns.items()]
     )
-
