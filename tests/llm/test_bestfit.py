@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm.cases import ODD_TEXTS, documents, prose
 
-from waveplan.llm.bestfit import _Instance, _place, op12_bestfit, pack, plan, reduce, vocabulary
+from waveplan.llm.bestfit import Encoder, _Instance, _place, op12_bestfit, pack, plan, reduce, vocabulary
 
 
 def bins_of(placements):
@@ -139,6 +139,31 @@ def test_empty_table(spark):
     check(spark, [], 64)
 
 
+def test_stretches_have_the_ids_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    tokenizer, own = Tokenizer.from_file(vocabulary()), Encoder(vocabulary())
+    make = random.Random(7)
+    signs = [chr(c) for c in range(0x250)]
+    fast = ["".join(make.choice(signs) for _ in range(60)) for _ in range(3000)] + [f"{a}{b}{a} {b}" for a in signs for b in " \n\x85\u00a0\u00e9"]
+    signs = [" ", " ", "  ", "\n", "\t", "\u00a0", "\x85", "\u2003", "\x1c", "a", "b", "Z", "é", "漢", "1", "23", "'s", "'", "!", "<|endoftext|>", "<|", "_", "\r\n ", "\x00", "😀", "\u0301"]
+    texts = ["".join(make.choice(signs if make.random() < 0.9 else ["word", " and"]) for _ in range(make.randrange(1, 40))) for _ in range(4000)]
+    for text in [*texts, *fast, *[t or "" for t in ODD_TEXTS], "x" * 100_000, " " * 5000 + "a"]:
+        expected = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert own.encode(text) == expected, text
+
+
+def test_other_tokenizers_are_asked_for_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Encoder(path)
+    assert own.fast is None and Encoder(vocabulary()).fast is not None
+    ids = Tokenizer.from_file(path).encode("Two words, é", add_special_tokens=False).ids
+    assert own.encode("Two words, é") == np.array(ids, "<u4").tobytes()
+
+
 def test_lookup_of_ranks():
     import pyarrow as pa
 
