@@ -43,7 +43,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that one task numbers.
-CELL = 100_000
+CELL = 2_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
