@@ -21,10 +21,10 @@ def item_zone(methods: list[str]) -> int | None:
     return None if "DPCI" in methods else ITEM_GRAIN_ZONE
 
 
-def release_rows(drops: DataFrame, methods: list[str], rank_scope: str = "all_zones") -> DataFrame:
+def release_rows(drops: DataFrame, charges: DataFrame, parts: Parts) -> DataFrame:
     """Non-pallet rows with ``_row_locs``, their locations at row grain, and before its row the charge of each item."""
     rows = with_distro_locs(non_pallet(drops), "_row_locs")
-    return with_charges(rows, item_charges(drops, rank_scope, item_zone(methods)))
+    return with_charges(rows, charges, [] if parts.levels else GROUP)
 
 
 def _by_item(method: str) -> Column:
@@ -83,8 +83,9 @@ def running_cartons(
     drops: DataFrame, methods: list[str], rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS, paths: list[str] | None = None
 ) -> DataFrame:
     """Rows once for each method with their running locations, from the input alone."""
-    parts = split(non_pallet(drops), GROUP, RELEASE, cell_rows, paths)
-    return by_method(carton_running(release_rows(drops, methods, rank_scope), methods, parts), methods)
+    parts = split(non_pallet(drops), GROUP, RELEASE, cell_rows, paths, drops.count())
+    charges = item_charges(drops, rank_scope, item_zone(methods))
+    return by_method(carton_running(release_rows(drops, charges, parts), methods, parts), methods)
 
 
 def wave_number(cumulative: str = "wave_cum_locations") -> Column:

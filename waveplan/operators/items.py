@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from waveplan.functions.locations import estimate
 from waveplan.operators.filters import non_pallet
 from waveplan.operators.running import CELL_ROWS, Order, running_sum, split
-from waveplan.schema import ITEM
+from waveplan.schema import GROUP, ITEM
 
-RANK_SCOPES = {"all_zones": ["drop_id", "UnitSortable", "DPCI"], "zone": ITEM}
+# The item comes first: rows are sorted by these columns, and it tells most of them apart.
+RANK_SCOPES = {"all_zones": ["DPCI", "drop_id", "UnitSortable"], "zone": ["DPCI", *GROUP]}
 
 
 def item_rollup(drops: DataFrame) -> DataFrame:
@@ -49,76 +50,60 @@ def join_item_locations(drops: DataFrame) -> DataFrame:
     return non_pallet(drops).join(sizes, ITEM, "left")
 
 
-def item_charges(drops: DataFrame, rank_scope: str = "all_zones", zone: int | None = None) -> DataFrame:
-    """The one row of each item that its locations are charged to: where it stands in every order, and ``_charge``.
+MARK = "_mark"
+RANK = Order(None, None, "Distro", ("SSZ",), descending=("Distro",))
+
 
-    That is the row with the highest Distro over the zones of the scope; equal ones go to the
-    lower zone. Items are aggregated before they move, so a hot item travels as one row a task. ``zone``
-    keeps what is charged in one zone.
+def with_item_rank(
+    drops: DataFrame, rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS, paths: list[str] | None = None, total: int | None = None
+) -> DataFrame:
+    """Non-pallet rows with their position in the item, highest Distro first; equal ones go by zone.
+
+    A position is a running count, so a hot item is cut like any large group.
     """
-    rows = non_pallet(drops)
-    row = F.struct("Distro", (-F.col("SSZ")).alias("_low"), "AllocationRequestDate", "Aisle")
+    one = non_pallet(drops).withColumn("_one", F.lit(1).cast("bigint"))
     scope = RANK_SCOPES[rank_scope]
-    if zone is not None and rank_scope == "zone":
-        rows = rows.filter(F.col("SSZ") == zone)
-    one_pass = zone is not None or rank_scope == "zone"
-    # one pass by scope does where a single zone of it has sizes
-    own = (lambda c: F.when(F.col("SSZ") == zone, F.col(c))) if zone is not None else F.col
-    keys = scope if one_pass else ITEM
-    items = rows.groupBy(*keys).agg(
-        F.sum(own("TotalNumberofFullVCPs")).alias("vcp1"),
-        F.sum(own("TotalNumberofLooseSSP")).alias("ssp"),
-        F.max(own("SSPsinVCP")).alias("ssp_q"),
-        F.max(own("VCPHeight")).alias("vend_cspk_ht_q"),
-        F.max(own("VCPWidth")).alias("vend_cspk_wth_q"),
-        F.max(own("VCPLength")).alias("vend_cspk_lgth_q"),
-        F.max(row).alias("_top"),
-    )
-    if not one_pass:
-        highest = F.max("_top").over(Window.partitionBy(*scope))
-        items = items.withColumn("_highest", highest).filter(F.col("_top").eqNullSafe(F.col("_highest")))
-    charged_zone = -F.col("_top")["_low"]
-    if zone is not None:
-        items = items.filter(charged_zone == zone)
-    sized = size_items(items)
-    return sized.select(
-        "drop_id",
-        "UnitSortable",
-        charged_zone.alias("SSZ"),
-        "DPCI",
-        *[F.col("_top")[c].alias(c) for c in ("Distro", "AllocationRequestDate", "Aisle")],
-        F.col("Total_locs").alias("_charge"),
+    parts = split(one, scope, RANK, cell_rows, paths, total)
+    return running_sum(one, scope, RANK, "_one", "rank", parts=parts).drop("_one")
+
+
+def first_distro_masked(drops: DataFrame, rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Item locations and rank on every non-pallet row, with locations kept on rank 1 only."""
+    ranked = with_item_rank(join_item_locations(drops), rank_scope, cell_rows)
+    return ranked.withColumn(
+        "Total_locs", F.when(F.col("rank") > 1, F.lit(0)).otherwise(F.col("Total_locs")).cast("bigint")
     )
 
 
-MARK = "_mark"
+def item_charges(drops: DataFrame, rank_scope: str = "all_zones", zone: int | None = None) -> DataFrame:
+    """The one row of each item that its locations are charged to: its key, where it stands in release order,
+    and ``_charge``. It is the row of rank 1, with the highest Distro; equal ones go to the lower zone.
+
+    Rows are aggregated before they move, so a hot item travels as one row a task. A maximum of texts makes
+    Spark sort its input, so that is done on few columns, apart from the sizes. ``zone`` keeps what is charged in one zone.
+    """
+    rows, scope = non_pallet(drops), RANK_SCOPES[rank_scope]
+    sized = rows
+    if zone is not None:
+        sized = rows.filter(F.col("SSZ") == zone)
+        rows = sized if rank_scope == "zone" else rows
+    row = F.struct("Distro", (-F.col("SSZ")).alias("low"), "AllocationRequestDate", "Aisle")
+    first = rows.groupBy(*scope).agg(F.max(row).alias("_top"))
+    own = {"SSZ": -F.col("_top.low")} if rank_scope == "all_zones" else {}
+    first = first.withColumns(own | {c: F.col(f"_top.{c}") for c in ("Distro", "AllocationRequestDate", "Aisle")}).drop("_top")
+    if zone is not None:
+        first = first.filter(F.col("SSZ") == zone)
+    return first.join(item_locations(sized).select(*ITEM, F.col("Total_locs").alias("_charge")), ITEM)
 
 
-def with_charges(rows: DataFrame, charges: DataFrame) -> DataFrame:
+def with_charges(rows: DataFrame, charges: DataFrame, place: list[str]) -> DataFrame:
     """Rows and, directly before its row in any order that ends with ``MARK``, each charge.
 
     A charge is one row an item, so it moves beside the rows instead of being joined with all rows of
-    the item.
+    the item. Both are dealt by ``place``, if it is given, and the union keeps that.
     """
     marked = rows.withColumns({"_charge": F.lit(None).cast("bigint"), MARK: F.lit(1)})
-    return marked.unionByName(charges.withColumn(MARK, F.lit(0)), allowMissingColumns=True)
-
-
-RANK = Order(None, None, "Distro", ("SSZ", MARK), descending=("Distro",))
-
-
-def with_item_rank(drops: DataFrame, rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Non-pallet rows with their position in the item, highest Distro first."""
-    one = non_pallet(drops).withColumns({"_one": F.lit(1).cast("bigint"), MARK: F.lit(1)})
-    return running_sum(one, RANK_SCOPES[rank_scope], RANK, "_one", "rank", cell_rows).drop("_one", MARK)
-
-
-def first_distro_masked(drops: DataFrame, rank_scope: str = "all_zones", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Rank on every non-pallet row, and the item's locations on rank 1, 0 on its others."""
-    rows = non_pallet(drops)
-    marked = with_charges(rows, item_charges(drops, rank_scope)).withColumn("_one", F.col(MARK).cast("bigint"))
-    scope = RANK_SCOPES[rank_scope]
-    parts = split(rows, scope, RANK, cell_rows)
-    ranked = running_sum(marked, scope, RANK, "_one", "rank", parts=parts, before=("_charge",)).filter(F.col(MARK) == 1)
-    charged = F.when(F.col("rank") > 1, F.lit(0)).otherwise(F.col("_last__charge"))
-    return ranked.withColumn("Total_locs", charged.cast("bigint")).drop("_one", "_charge", "_last__charge", MARK)
+    charges = charges.withColumn(MARK, F.lit(0))
+    if place:
+        marked, charges = marked.repartition(*place), charges.repartition(*place)
+    return marked.unionByName(charges, allowMissingColumns=True)

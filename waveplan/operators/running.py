@@ -9,9 +9,9 @@ Which part a row belongs to is a function of the row, looked up in the list of r
 at most ``MOST_NODES``, as each holds more than its share of the rows, so they can be broadcast.
 
 A row's running sum is the sum of the parts before its own and of the rows before it in its
-part. Sums of parts are placed by the same key as the rows, so that the rows are shuffled
-once, for the join with them and for the order inside the part. A tree without refined nodes needs no
-sums of parts: each group is one part.
+part. What comes before a part travels as one row more, which stands first in it. So rows are
+shuffled once, to their part, and nothing is joined there. A tree without refined nodes needs no
+such rows: each group is one part.
 
 Sums are of integers, so the result does not depend on the parts.
 """
@@ -30,10 +30,12 @@ CELL_ROWS = 1_000_000
 #: Refined nodes of a tree at most; ``cell_rows`` grows with the table beyond that.
 MOST_NODES = 100_000
 
-#: Part of a row inside its group, and inside the table.
-PART, SLOT = "_part", "_slot"
+#: What tells the parts of a group apart: the values and the prefix of the key, where refined.
+PLACE = ["_cell", "_within", "_prefix"]
 #: What comes before a part, and up to its end.
 BEFORE, UPTO = "_before", "_upto"
+#: Set in the row that brings what comes before its part.
+CARRY = "_carry"
 
 
 @dataclass(frozen=True)
@@ -80,31 +82,46 @@ def shared_length(a: Column, b: Column) -> Column:
     return F.size(F.filter(places, lambda n: (F.left(a, n) == F.left(b, n)) & (n <= F.length(a)) & (n <= F.length(b))))
 
 
-def _named(value: Column) -> Column:
-    """Text that no other value and no null has."""
-    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("!"))
-
-
 @dataclass
 class Parts:
-    """The refined nodes of a tree, level by level; see the module."""
+    """The refined nodes of a tree, level by level; see the module.
+
+    The first level names nodes by the keys, the others by their parent's ``_id`` and the ``_value`` below it.
+    From the level of the key on, ``_length`` is how many characters tell the children apart.
+    """
 
     keys: list[str]
     order: Order
     levels: list[DataFrame] = field(default_factory=list)
 
+    @property
+    def place(self) -> list[str]:
+        """The columns that name a part inside its group."""
+        depth, values = len(self.levels), self.order.values
+        return [*PLACE[: min(depth, len(values))], *([PLACE[2]] if depth > len(values) else [])]
+
     def label(self, rows: DataFrame, inside: bool = False) -> DataFrame:
-        """``rows`` with their part; ``inside`` keeps those of the last level's nodes only."""
-        out = rows.withColumn(PART, F.lit(""))
-        values = self.order.values
+        """``rows`` with the columns of ``place``; ``inside`` keeps those of the last level's nodes only, with its ``_node``."""
+        out, values = rows, self.order.values
         for depth, nodes in enumerate(self.levels):
             last = inside and depth == len(self.levels) - 1
-            # at most MOST_NODES of them
-            out = same_join(out, F.broadcast(nodes), [*self.keys, PART], "inner" if last else "left")
-            step = F.col(values[depth]) if depth < len(values) else F.left(F.col(self.order.key), F.col("_length"))
-            deeper = F.concat(F.col(PART), F.lit("/"), _named(step))
-            out = out.withColumn(PART, F.when(F.col("_length").isNotNull(), deeper).otherwise(F.col(PART))).drop("_length")
-        return out
+            how = "inner" if last else "left"
+            if depth == 0:
+                # at most MOST_NODES, here and below
+                out = same_join(out, F.broadcast(nodes), self.keys, how)
+            else:
+                above = F.col(values[depth - 1]) if depth <= len(values) else F.col(PLACE[2])
+                meet = (F.col("_node") == F.col("_parent")) & above.eqNullSafe(F.col("_value"))
+                out = out.join(F.broadcast(nodes), meet, how).drop("_parent", "_value", "_node")
+            out = out.withColumnRenamed("_id", "_node")
+            refined = F.col("_node").isNotNull()
+            if depth < len(values):
+                out = out.withColumn(PLACE[depth], F.when(refined, F.col(values[depth])))
+            else:
+                same = F.col(PLACE[2]) if depth > len(values) else F.lit(None)
+                out = out.withColumn(PLACE[2], F.when(refined, F.left(F.col(self.order.key), F.col("_length"))).otherwise(same))
+            out = out.drop("_length")
+        return out if inside else out.drop("_node")
 
 
 def split(
@@ -112,30 +129,43 @@ def split(
 ) -> Parts:
     """The tree of ``rows``; ``total`` is their number or more, counted if not given.
 
-    Runs a job per level that counts the rows of the nodes above it, and none below a root that is
-    small enough.
+    A root small enough ends it. Else one pass counts the rows by group and values, and a job per level
+    finds the nodes to refine in these counts; only cells that are still too large are read again, by key.
     """
-    parts = Parts(keys, order)
-    narrow = rows.select(*keys, *order.values, order.key)
+    parts, values, key = Parts(keys, order), order.values, F.col(order.key)
+    narrow = rows.select(*keys, *values, order.key)
     most = narrow.count() if total is None else total
     limit = max(cell_rows, most // MOST_NODES)
-    while most > limit:
-        labelled = parts.label(narrow, inside=True)
-        key, depth = F.col(order.key), len(parts.levels)
-        counted = labelled.groupBy(*keys, PART).agg(
-            F.count(F.lit(1)).alias("_rows"), F.min(key).alias("_low"), F.max(key).alias("_high")
-        )
-        large = counted.filter(F.col("_rows") > limit)
-        length = F.lit(0)
-        if depth >= len(order.values):
-            # a node of one key cannot be cut
-            large = large.filter(F.col("_low") != F.col("_high"))
-            digits = F.greatest(F.ceil(F.log10(F.col("_rows") / limit)), F.lit(1)).cast("int")
-            length = shared_length(F.col("_low"), F.col("_high")) + digits
-        nodes = materialize(large.select(*keys, PART, length.alias("_length"), "_rows"), "nodes", paths)
-        most = nodes.agg(F.max("_rows")).first()[0] or 0
-        if most:
-            parts.levels.append(nodes.drop("_rows"))
+    if most <= limit:
+        return parts
+
+    def refine(nodes: DataFrame) -> bool:
+        written = materialize(nodes.withColumn("_id", F.monotonically_increasing_id()), "nodes", paths)
+        if written.isEmpty():
+            return False
+        parts.levels.append(written)
+        return True
+
+    def ends(inside: DataFrame, *by: Column) -> DataFrame:
+        """Nodes by ``by`` that are too large and hold more than one key, which they can be cut by."""
+        counted = inside.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.min(key).alias("_low"), F.max(key).alias("_high"))
+        digits = F.greatest(F.ceil(F.log10(F.col("_rows") / limit)), F.lit(1)).cast("int")
+        length = (shared_length(F.col("_low"), F.col("_high")) + digits).alias("_length")
+        return counted.filter((F.col("_rows") > limit) & (F.col("_low") != F.col("_high"))).select(*counted.columns[: len(by)], length)
+
+    cells = materialize(narrow.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("_rows")), "cells", paths)
+    for depth in range(len(values) + 1):
+        names = [F.col("_node").alias("_parent"), F.col(values[depth - 1]).alias("_value")] if depth else keys
+        counted = parts.label(cells, inside=True).groupBy(*names).agg(F.sum("_rows").alias("_rows"))
+        if not refine(counted.filter(F.col("_rows") > limit).drop("_rows")):
+            return parts
+    # these have their ids already; what is missing is how to cut them
+    found = parts.levels[-1]
+    parts.levels[-1] = found.withColumn("_length", F.lit(0))
+    cut = ends(parts.label(narrow, inside=True), F.col("_node").alias("_id"))
+    parts.levels[-1] = materialize(found.join(F.broadcast(cut), "_id"), "nodes", paths)
+    while refine(ends(parts.label(narrow, inside=True), F.col("_node").alias("_parent"), F.col(PLACE[2]).alias("_value"))):
+        pass
     return parts
 
 
@@ -157,39 +187,55 @@ def running_sum(
     ``total`` names the group's sum: of ``value``, or of any column as a dict. ``parts`` is a tree of rows that
     include these, for keys that are among these; without it, one is built. ``before``: columns whose value in the
     row before is added as ``_last_<column>`` (null in the first row of a part). ``bounds`` adds, where groups are
-    cut, the part's place (``SLOT``) and for each value its sum before the part and up to its end (``BEFORE`` and ``UPTO`` + value).
+    cut, the part's place (``parts.place``) and for each value its sum before the part and up to its end (``BEFORE`` and ``UPTO`` + value).
     """
     values, names = ([value], [into]) if isinstance(value, str) else (value, into)
     totals = {values[0]: total} if isinstance(total, str) else total or {}
     parts = split(rows, keys, order, cell_rows, paths) if parts is None else parts
-    sums = list(dict.fromkeys([*values, *totals]))
-    place = keys
-    if parts.levels:
-        place = [SLOT]
-        rows = parts.label(rows).withColumn(SLOT, F.concat_ws("\x01", *[_named(F.col(k)) for k in keys], PART)).drop(PART)
-        ends = {n: F.min(n).alias(f"_at_{n}") for n in [*order.values, order.key]}
-        held = rows.groupBy(SLOT, *keys).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(f"_sum_{v}") for v in sums], *ends.values())
-        at = Order(*[f"_at_{n}" if n else None for n in (order.cell, order.within, order.key)],
-                   descending=tuple(f"_at_{n}" for n in order.descending), nulls_first=tuple(f"_at_{n}" for n in order.nulls_first))
-        group = Window.partitionBy(*keys)
-        upto = group.orderBy(*at.columns()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        offsets = held.select(
-            SLOT,
-            *[(F.sum(f"_sum_{v}").over(upto) - F.col(f"_sum_{v}")).alias(BEFORE + v) for v in values],
-            *[F.sum(f"_sum_{v}").over(upto).alias(UPTO + v) for v in values],
-            *[F.sum(f"_sum_{v}").over(group).alias(name) for v, name in totals.items()],
-        )
-        rows = rows.join(offsets, SLOT)
-    own = Window.partitionBy(*place).orderBy(*order.columns())
+    cut = bool(parts.levels)
+    columns = rows.columns
+    if cut:
+        rows = parts.label(rows).withColumn(CARRY, F.lit(0))
+        carried = _carried(rows, keys, order, parts.place, values, totals)
+        # both are dealt by part, and the union keeps that
+        rows, carried = (df.repartition(*keys, *parts.place) for df in (rows, carried))
+        rows = rows.unionByName(carried, allowMissingColumns=True)
+    group = Window.partitionBy(*keys, *(parts.place if cut else []))
+    own = group.orderBy(*([F.col(CARRY).desc()] if cut else []), *order.columns())
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new = {}
-    for v, name in zip(values, names):
-        new[name] = F.coalesce(F.sum(v).over(upto), F.lit(0))
-        if parts.levels:
-            new[name] = F.col(BEFORE + v) + new[name]
+    # the row that comes first in a part brings the sum of what is before it
+    new = {name: F.coalesce(F.sum(v).over(upto), F.lit(0)) for v, name in zip(values, names)}
     new |= {f"_last_{c}": F.lag(c).over(own) for c in before}
-    if not parts.levels:
-        new |= {name: F.sum(v).over(Window.partitionBy(*keys)) for v, name in totals.items()}
-    out = rows.withColumns(new)
-    spare = [SLOT, *[side + v for v in values for side in (BEFORE, UPTO)]]
-    return out if bounds else out.drop(*spare)
+    if not cut:
+        new |= {name: F.sum(v).over(group) for v, name in totals.items()}
+        return rows.withColumns(new)
+    brought = [*totals.values(), *([side + v for v in values for side in (BEFORE, UPTO)] if bounds else [])]
+    new |= {name: F.first(name).over(upto) for name in brought}
+    out = rows.withColumns(new).filter(F.col(CARRY) == 0)
+    return out.select(*columns, *[n for n in new if n not in columns], *(parts.place if bounds else []))
+
+
+def _carried(
+    rows: DataFrame, keys: list[str], order: Order, place: list[str], values: list[str], totals: dict[str, str]
+) -> DataFrame:
+    """A row for each part: as each value the sum of what comes before it, its bounds, and the totals of its group."""
+    sums = list(dict.fromkeys([*values, *totals]))
+    held = rows.groupBy(*keys, *place).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(f"_sum_{v}") for v in sums])
+    # where two parts differ first, both have a value or a prefix, and no prefix continues another
+    named = dict(zip([order.cell, order.within, order.key], PLACE)) if order.within else {order.cell: PLACE[0], order.key: PLACE[2]}
+    here = [
+        Order(None, None, c, descending=(c,) if n in order.descending else (), nulls_first=(c,) if n in order.nulls_first else ()).by(c)
+        for n, c in named.items()
+        if c in place
+    ]
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(*here).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = {v: F.sum(f"_sum_{v}").over(upto) for v in values}
+    return held.select(
+        *keys,
+        *place,
+        F.lit(1).alias(CARRY),
+        *[(end[v] - F.col(f"_sum_{v}")).alias(name + v) for v in values for name in ("", BEFORE)],
+        *[end[v].alias(UPTO + v) for v in values],
+        *[F.sum(f"_sum_{v}").over(group).alias(name) for v, name in totals.items()],
+    )

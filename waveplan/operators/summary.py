@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waveplan.functions.text import percent_text, wave_label
-from waveplan.operators.running import BEFORE, SLOT, UPTO
+from waveplan.operators.running import BEFORE, PLACE, UPTO
 from waveplan.schema import GROUP
 
 # Fixed value: locations added to the practical ones in the utilisation.
@@ -45,10 +45,9 @@ def carton_totals(waved: DataFrame) -> DataFrame:
     end), and the item has no pallets (``on_pallets``), which could join the wave later. For the
     others a row per wave and item (``SHARED``) is kept, so that each is counted once.
     """
-    place = []
+    place = [c for c in PLACE if c in waved.columns]
     alone = ~F.coalesce(F.col("on_pallets"), F.lit(False))
-    if SLOT in waved.columns:
-        place = [SLOT]
+    if place:
         size = F.col("carton_size")
         alone = alone & (F.col("wave_no") > F.ceil(F.col(BEFORE) / size)) & (F.col("wave_no") < F.ceil(F.col(UPTO) / size))
     wave = [*WAVE, "wave_no"]

@@ -12,12 +12,12 @@ from waveplan.functions import locations
 from waveplan.functions.text import charging_instructions
 from waveplan.operators import cartons, filters, items, pallets, quality
 from waveplan.operators.capacity import METHODS, Scenario, capacities
-from waveplan.plans.planner import WavePlan
+from waveplan.plans.planner import Rules, WavePlan
 from waveplan.plans.scenarios import all_scenarios, scenario_best, scenario_sweep
 from waveplan.schema import GROUP, ITEM
 from waveplan.sources.aisles import aisles
 from waveplan.sources.conform import conform
-from waveplan.sources.star import FAULTY_COLUMNS, drops
+from waveplan.sources.star import FAULTY_COLUMNS, STACKED_COLUMNS, drops
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,8 @@ SCENARIOS = [
     Scenario(3842, 13, 0.9, "DPCI", True),
     Scenario(3841, 7, 0.9, "Distro", True),
 ]
+#: Far below the rows of a zone at any scale.
+ROWS_OF_A_PART = 50
 # The last three cannot be planned: two pallet-only aisles, one unknown.
 LOOKUPS = [*SCENARIOS, Scenario(3840, 1), Scenario(3841, 14), Scenario(3841, 1)]
 WRITTEN = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyyMMdd")
@@ -40,8 +42,8 @@ DATES = (datetime(1996, 3, 1), datetime(1998, 9, 30))
 # is; ``plan_waves`` adds the checks for other input.
 
 
-def _plan(spark: SparkSession, sf_dir: str, scenarios: list[Scenario]) -> WavePlan:
-    return WavePlan(drops(spark, sf_dir), scenarios)
+def _plan(spark: SparkSession, sf_dir: str, scenarios: list[Scenario], **rules) -> WavePlan:
+    return WavePlan(drops(spark, sf_dir), scenarios, rules=Rules(**rules))
 
 
 def scan_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +229,23 @@ def export_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, [DEFAULT]).assigned.drop("scenario_id")
 
 
+def assigned_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with so few rows a task that zones and days are cut into parts."""
+    rows = _plan(spark, sf_dir, SCENARIOS[:2], cell_rows=ROWS_OF_A_PART).assigned
+    return rows.select("scenario_id", "Distro", *ITEM, "Total_locs", "wave_id", "Charging Instructions")
+
+
+def pallet_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final waves where some zones have no cartons, so that all their pallets trail."""
+    rows = WavePlan(drops(spark, sf_dir, STACKED_COLUMNS), SCENARIOS[:3]).assigned
+    return rows.select("scenario_id", "Distro", *ITEM, "TotalNumberofPallets", "Total_locs", "wave_id")
+
+
+def wave_summary_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary with so few rows a task that waves reach over parts."""
+    return _plan(spark, sf_dir, SCENARIOS[:2], cell_rows=ROWS_OF_A_PART).wave_summary.drop("Aisle_utilz_text")
+
+
 def wave_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, [DEFAULT]).wave_summary.drop("Aisle_utilz_text")
 
@@ -285,6 +304,9 @@ QUERIES: dict[str, Query] = {
     "charging_instructions": charging,
     "date_texts": date_texts,
     "assigned": assigned,
+    "assigned_in_parts": assigned_in_parts,
+    "pallet_zones": pallet_zones,
+    "wave_summary_in_parts": wave_summary_in_parts,
     "export_assigned": export_assigned,
     "wave_summary": wave_summary,
     "wave_summary_scenarios": wave_summary_scenarios,

@@ -9,7 +9,7 @@ from waveplan.operators.capacity import Scenario
 from waveplan.plans.catalog import DATES, DEFAULT, LOOKUPS, SCENARIOS
 from waveplan.plans.scenarios import all_scenarios
 from waveplan.sources.aisles import aisle_rows
-from waveplan.sources.star import FAULTY_COLUMNS, select_text
+from waveplan.sources.star import FAULTY_COLUMNS, STACKED_COLUMNS, select_text
 
 DROPS = f"drops AS ({select_text()})"
 KEYS = "drop_id, UnitSortable, SSZ"
@@ -326,6 +326,15 @@ ORACLES: dict[str, str] = {
         _to_plan(SCENARIOS),
         f"""SELECT scenario_id, Distro, {_ITEM_COLUMNS}, Total_locs, wave_id, "Charging Instructions" FROM rows_planned""",
     ),
+    "assigned_in_parts": _query(
+        _to_plan(SCENARIOS[:2]),
+        f"""SELECT scenario_id, Distro, {_ITEM_COLUMNS}, Total_locs, wave_id, "Charging Instructions" FROM rows_planned""",
+    ),
+    "pallet_zones": _query(
+        [f"drops AS ({select_text(STACKED_COLUMNS)})", *_to_plan(SCENARIOS[:3])[1:]],
+        f"SELECT scenario_id, Distro, {_ITEM_COLUMNS}, TotalNumberofPallets, Total_locs, wave_id FROM rows_planned",
+    ),
+    "wave_summary_in_parts": _query([*_to_plan(SCENARIOS[:2]), *SUMMARY], "SELECT * FROM summary"),
     "export_assigned": _query(_to_plan([DEFAULT]), "SELECT * EXCLUDE (scenario_id) FROM rows_planned"),
     "wave_summary": _query([*_to_plan([DEFAULT]), *SUMMARY], "SELECT * FROM summary"),
     "wave_summary_scenarios": _query([*_to_plan(SCENARIOS), *SUMMARY], "SELECT * FROM summary"),

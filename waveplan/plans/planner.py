@@ -13,7 +13,7 @@ from waveplan.functions.text import charging_instructions
 from waveplan.operators import assign, cartons, pallets, quality, summary
 from waveplan.operators.capacity import Scenario, capacities, rejected_scenarios
 from waveplan.operators.filters import non_pallet, pallet_rows
-from waveplan.operators.items import with_item_rank
+from waveplan.operators.items import item_charges, with_item_rank
 from waveplan.operators.running import CELL_ROWS, Order, Parts, split
 from waveplan.schema import DROPS, GROUP, ITEM
 from waveplan.session import materialize, release
@@ -92,8 +92,14 @@ class WavePlan:
     def _storage_parts(self) -> Parts:
         return self._split(pallet_rows(self.drops), assign.STORAGE)
 
+    @cached_property
+    def charges(self) -> DataFrame:
+        """The rows that items are charged to (see ``items.item_charges``)."""
+        return item_charges(self.drops, self.rules.rank_scope, cartons.item_zone(self.methods))
+
     @cached_property
     def pallet_running(self) -> DataFrame:
+        """Pallet items with their running locations."""
         rollup = pallets.pallet_rollup(self.drops)
         running = pallets.pallet_running(rollup, self.rules.cell_rows, self.written, self._rows_in_all)
         return materialize(running, "pallets", self.written)
@@ -104,7 +110,7 @@ class WavePlan:
         return self._running(self.drops)
 
     def _running(self, rows: DataFrame, bounds: bool = False) -> DataFrame:
-        released = cartons.release_rows(rows, self.methods, self.rules.rank_scope)
+        released = cartons.release_rows(rows, self.charges, self._release_parts)
         ran = cartons.carton_running(released, self.methods, self._release_parts, bounds)
         return cartons.by_method(ran, self.methods, bounds and bool(self._release_parts.levels))
 
@@ -162,7 +168,8 @@ class WavePlan:
 
     def _ranked(self, rows: DataFrame) -> DataFrame:
         key = [*GROUP, "DPCI", "Distro"]
-        ranks = with_item_rank(self.drops, self.rules.rank_scope, self.rules.cell_rows).select(*key, "rank")
+        ranked = with_item_rank(self.drops, self.rules.rank_scope, self.rules.cell_rows, self.written, self._rows_in_all)
+        ranks = ranked.select(*key, "rank")
         return rows.join(ranks, key, "left")
 
     @cached_property

@@ -49,6 +49,15 @@ FAULTY_COLUMNS = {
     ),
 }
 
+# A version where some zones hold pallets only: one large zone, and many with a few rows.
+STACKED_COLUMNS = {
+    **DROP_COLUMNS,
+    "SSZ": f"CASE WHEN l_suppkey % 14 = 5 THEN CAST(20 + l_orderkey % 400 AS INT) ELSE {DROP_COLUMNS['SSZ']} END",
+    "TotalNumberofPallets": (
+        f"CASE WHEN l_suppkey % 14 IN (5, 9) THEN CAST(l_quantity AS BIGINT) % 8 + 1 ELSE {DROP_COLUMNS['TotalNumberofPallets']} END"
+    ),
+}
+
 
 def select_text(columns: dict[str, str] = DROP_COLUMNS) -> str:
     """The view as SQL text over ``lineitem`` and ``part``."""
