@@ -1,7 +1,9 @@
 """Files in and out, quality checks, scenario checks, uploads."""
 
+import gzip
 import io
 from datetime import datetime
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -13,7 +15,8 @@ from waveplan.functions.text import clean_headers
 from waveplan.operators import filters, quality
 from waveplan.operators.capacity import capacities, rejected_scenarios
 from waveplan.schema import DROPS
-from waveplan.sinks import write_assigned
+from waveplan import sinks
+from waveplan.sinks import publish_assigned, write_assigned
 from waveplan.sources.aisles import aisles
 from waveplan.sources.conform import to_date, to_number
 from waveplan.sources.csv import scan_csv
@@ -288,3 +291,107 @@ def test_uploads_are_planned_as_they_arrive(spark, tmp_path):
     assert spark.read.parquet(str(outbox / "bad_files")).first()["file"].endswith("/odd.csv")
     assert spark.read.parquet(str(outbox / "rejects")).select("reject_reason").collect() == [("missing_key",)]
     assert spark.read.parquet(str(outbox / "summary")).agg(F.sum("Total_distro")).first()[0] == 3
+
+
+def test_uploads_whose_names_hold_spaces(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    write_csv(inbox / "drop 1+2%.csv", [LINE])
+    plan_uploads(spark, str(inbox), str(tmp_path / "out"), str(tmp_path / "mark"), [Scenario(3840, 2)]).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/assigned")).first().drop_id.endswith("/drop 1+2%.csv")
+
+
+def test_headers_are_read_without_the_rest_of_the_file(spark, tmp_path):
+    """A line of a wrong kind behind the first buffer is never seen, and large files cost no more than small ones."""
+    from waveplan.sources.csv import file_headers
+
+    write_csv(tmp_path / "large.csv", [LINE] * 400_000)
+    write_csv(tmp_path / "small.csv", [LINE], HEADER[::-1])
+    (tmp_path / "quoted.csv").write_text('"a\n""b",c\n1,2\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "open.csv").write_text('a,"b\nc')
+    with gzip.open(tmp_path / "packed.csv.gz", "wt") as packed:
+        packed.write("x,y\r\n1,2\r\n")
+    names = lambda found: {record: [f.split("/")[-1] for f in files] for record, files in found.items()}
+    plain = {",".join(HEADER): ["large.csv"], ",".join(HEADER[::-1]): ["small.csv"], "x,y": ["packed.csv.gz"]}
+    assert names(file_headers(spark, str(tmp_path), False)) == plain | {'"a': ["quoted.csv"], 'a,"b': ["open.csv"]}
+    assert names(file_headers(spark, str(tmp_path), True)) == plain | {'"a\n""b",c': ["quoted.csv"], 'a,"b\nc': ["open.csv"]}
+
+
+def test_records_longer_than_a_block(spark, tmp_path, monkeypatch):
+    from waveplan.sources import csv
+
+    monkeypatch.setattr(csv, "BLOCK", 4)
+    (tmp_path / "a.csv").write_text('"é\né",日本語\n1,2\n')
+    assert list(csv.file_headers(spark, str(tmp_path), True)) == ['"é\né",日本語']
+    assert csv.record_end('a,b\r\n', False) == 3 and csv.record_end("a,b", True) is None
+
+
+def published(spark, path, file_format="parquet"):
+    found = sinks.manifests(spark, path).collect()
+    back = spark.read.option("header", True).format(file_format).load(path)
+    counts = {f"drop_id={r.drop_id}": r["count"] for r in back.groupBy("drop_id").count().collect()}
+    assert counts == {r["drop"]: r["rows"] for r in found}
+    for r in found:
+        files = {p.relative_to(f"{path}/{r['drop']}").as_posix() for p in Path(f"{path}/{r['drop']}").rglob("part-*")}
+        assert {f["file"] for f in r["files"]} == files and all(f["bytes"] > 0 for f in r["files"])
+    return {r["drop"]: r["run"] for r in found}
+
+
+@pytest.mark.parametrize("file_format", ["parquet", "csv"])
+def test_a_repeated_export_leaves_one_result(spark, tmp_path, file_format):
+    path = str(tmp_path / "out")
+    rows = [sized_row(f"{d}{z}", 5, drop_id=d, SSZ=z) for d in "ab" for z in (1, 2, 3)]
+    plan = WavePlan(table(spark, rows), [Scenario(3840, 2)])
+    first = publish_assigned(plan.assigned, path, file_format)
+    assert published(spark, path, file_format) == {"drop_id=a": first, "drop_id=b": first}
+    # the drop comes again, without one of its zones; the other drop stays
+    again = publish_assigned(plan.assigned.filter("drop_id = 'a' AND SSZ < 3"), path, file_format)
+    assert published(spark, path, file_format) == {"drop_id=a": again, "drop_id=b": first}
+    assert sorted(p.name for p in (tmp_path / "out/drop_id=a").iterdir()) == ["SSZ=1", "SSZ=2"]
+    assert not list((tmp_path / "out/_staged").iterdir())
+
+
+def test_a_failed_export_changes_nothing_and_a_committed_one_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    rows = [sized_row(d, 5, drop_id=d) for d in "abc"]
+    plan = WavePlan(table(spark, rows), [Scenario(3840, 2)])
+    first = publish_assigned(plan.assigned, path)
+    write, move = sinks._Folder.write, sinks._Folder.move
+
+    def fail_to_commit(self, text, *names):
+        if names[-1] == sinks.COMMITTED:
+            raise OSError("lost")
+        write(self, text, *names)
+
+    monkeypatch.setattr(sinks._Folder, "write", fail_to_commit)
+    with pytest.raises(OSError):
+        publish_assigned(plan.assigned, path)
+    assert set(published(spark, path).values()) == {first}
+    monkeypatch.setattr(sinks._Folder, "write", write)
+    for moved in range(6):
+        done = []
+
+        def fail_to_move(self, source, target):
+            if len(done) == moved:
+                raise OSError("lost")
+            done.append(target)
+            move(self, source, target)
+
+        monkeypatch.setattr(sinks._Folder, "move", fail_to_move)
+        with pytest.raises(OSError):
+            publish_assigned(plan.assigned, path)
+        monkeypatch.setattr(sinks._Folder, "move", move)
+        sinks.finish(spark, path)
+        runs = published(spark, path)
+        assert len(set(runs.values())) == 1 and len(runs) == 3 and first not in runs.values()
+    sinks.clean_staged(spark, path)
+    assert not (tmp_path / "out/_staged").exists() and len(published(spark, path)) == 3
+
+
+def test_an_empty_export_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    plan = WavePlan(table(spark, [sized_row("a", 5)]), [Scenario(3840, 2)])
+    first = publish_assigned(plan.assigned, path)
+    publish_assigned(plan.assigned.filter("drop_id = 'none'"), path)
+    assert published(spark, path) == {"drop_id=a": first}

@@ -146,12 +146,13 @@ def test_written_tables_go(spark, small, tmp_path):
 def test_rows_are_shuffled_once_for_their_order(spark, small):
     """One exchange takes rows to their place in the zone; sums and totals are made there."""
     plan = WavePlan(drops(spark, small), [PLAN], rules=Rules(rank_scope="zone"))
-    released = cartons.release_rows(plan.drops, ["Distro"], "zone")
+    released = cartons.release_rows(plan.drops, plan.charges, plan._release_parts)
     ran = cartons.carton_running(released, ["Distro"], plan._release_parts, bounds=True).withColumn("on_pallets", F.lit(False))
     waved = cartons.carton_waves(cartons.by_method(ran, ["Distro"]), plan.capacity)
     shuffles = lambda df: text_plan(df).count("Exchange hashpartitioning")
     beside = shuffles(items.item_charges(plan.drops, "zone", 2)) + shuffles(plan.capacity)
-    assert shuffles(waved) == beside + 1 == shuffles(summary.carton_totals(waved))
+    # the rows, and beside them one row an item
+    assert shuffles(waved) == beside + 2 == shuffles(summary.carton_totals(waved))
 
 
 SHUFFLED = """
@@ -223,7 +224,7 @@ def test_scenarios_of_a_method_do_not_multiply_what_moves(stored, tmp_path):
 def test_raw_input_is_read_twice_and_split_without_loss(stored, tmp_path):
     path, rows = stored
     body = (
-        "raw = source.withColumn('SSPsinVCP', F.expr('CASE WHEN DPCI LIKE \'%7\' THEN 0 ELSE SSPsinVCP END'))\n"
+        "raw = source.withColumn('SSPsinVCP', F.when(F.col('DPCI').endswith('7'), 0).otherwise(F.col('SSPsinVCP')))\n"
         "p = plan_waves(raw, Scenario(3840, 2)); n = p.assigned.count(); m = p.rejects.count(); p.wave_summary.collect()\n"
         "assert n + m == p.counts['rows'] and m == p.counts['rejects'] > 0, (n, m, p.counts)\n"
     )
@@ -231,6 +232,17 @@ def test_raw_input_is_read_twice_and_split_without_loss(stored, tmp_path):
     assert rows <= read <= 2 * rows
 
 
+def test_headers_cost_a_block_of_each_file(spark, tmp_path, monkeypatch):
+    from waveplan.sources import csv
+
+    for n in range(3):
+        (tmp_path / f"{n}.csv").write_text("a,b\n" + "1,2\n" * 300_000)
+    asked = []
+    monkeypatch.setattr(csv, "record_end", lambda data, multi_line, end=csv.record_end: asked.append(len(data)) or end(data, multi_line))
+    assert list(map(len, csv.file_headers(spark, str(tmp_path), False).values())) == [3]
+    assert asked == [csv.BLOCK] * 3
+
+
 def test_export_writes_nothing_but_its_output(spark, small, tmp_path):
     plan = WavePlan(drops(spark, small), [PLAN])
     plan.assigned.write.parquet(str(tmp_path / "out"))

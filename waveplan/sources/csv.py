@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import re
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +17,8 @@ from waveplan.functions.text import clean_headers, clean_name
 from waveplan.schema import DROPS
 from waveplan.sources.conform import CORRUPT, DATE_FORMATS, conform
 
-# The first record of a file whose quoted fields may hold line breaks.
-FIRST_RECORD = r'^((?:"(?:[^"]|"")*"|[^"\r\n])*)'
-
+#: Bytes of a file that are read for its header, and files read at a time.
+BLOCK, READERS = 1 << 16, 16
 
 def source_file() -> Column:
     """Whole path of the row's file, which names its drop; the metadata column is percent-encoded."""
@@ -43,22 +45,51 @@ def typed_drops(raw: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> Data
     return conform(clean_headers(raw.withColumn("drop_id", source_file())), formats)
 
 
+def record_end(data: str, multi_line: bool) -> int | None:
+    """Where the first record ends, or None if it goes on; line breaks inside quotes belong to it."""
+    quotes, seen = 0, 0
+    for line_break in re.finditer("[\r\n]", data):
+        quotes += data.count('"', seen, line_break.start())
+        seen = line_break.start()
+        if not multi_line or quotes % 2 == 0:
+            return seen
+    return None
+
+
+def first_record(spark: SparkSession, file: str, multi_line: bool) -> str | None:
+    """The first record of a file, of which as many blocks are read as it needs; None for an empty file."""
+    conf = spark._jsc.hadoopConfiguration()
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    stream = path.getFileSystem(conf).open(path)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    data, decoder = "", codecs.getincrementaldecoder("utf-8")("replace")
+    try:
+        while True:
+            block = bytes(stream.readNBytes(BLOCK))
+            data += decoder.decode(block, final=len(block) < BLOCK)
+            end = record_end(data, multi_line)
+            if end is not None or len(block) < BLOCK:
+                return data[:end] if data else None
+    finally:
+        stream.close()
+
+
 def file_headers(spark: SparkSession, path: str | list[str], multi_line: bool) -> dict[str, list[str]]:
     """The files under ``path`` by their first record.
 
-    One pass over the text, which keeps one line of each file; the list of files is as long
-    as the listing that Spark itself holds on the driver.
+    Spark lists the files, without reading them; then the first block of each is read, several at a time. The
+    list of files is as long as the listing that Spark itself holds on the driver.
     """
-    lines = spark.read.text(path, wholetext=multi_line).select(
-        source_file().alias("file"),
-        "value",
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("place"),
-    )
-    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("value"))
-    record = F.regexp_extract("value", FIRST_RECORD, 1) if multi_line else F.col("value")
-    rows = first.select("file", record.alias("record")).groupBy("record").agg(F.collect_list("file").alias("files"))
-    return {r["record"]: sorted(r["files"]) for r in rows.collect()}
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    with ThreadPoolExecutor(READERS) as pool:
+        records = pool.map(lambda file: first_record(spark, file, multi_line), files)
+        headers: dict[str, list[str]] = {}
+        for file, record in zip(files, records):
+            if record is not None:
+                headers.setdefault(record, []).append(file)
+    return {record: sorted(found) for record, found in headers.items()}
 
 
 def scan_files(

@@ -7,11 +7,15 @@ so every batch holds whole drops and can be planned like any table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waveplan.operators.capacity import Scenario
 from waveplan.plans.planner import Rules, plan_waves
-from waveplan.sources.csv import scan_files, source_file
+from waveplan.sources.csv import scan_files
+
+#: A file of the inbox as the source lists it.
+FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def plan_uploads(
@@ -30,7 +34,8 @@ def plan_uploads(
     and holds up no other. A batch is written to folders named after its number, so a batch
     that is run again after a failure replaces its own output.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(inbox)
+    # only names are selected, so the contents are not read here
+    listed = spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", files_per_batch)
 
     def plan(batch: DataFrame, number: int) -> None:
         files = sorted(r["file"] for r in batch.distinct().collect())  # at most files_per_batch
@@ -47,7 +52,8 @@ def plan_uploads(
             waves.close()
 
     return (
-        lines.select(source_file().alias("file"))
+        listed.load(inbox)
+        .select(F.col("path").alias("file"))
         .writeStream.foreachBatch(plan)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
