@@ -223,47 +223,39 @@ def _verify(idf: np.ndarray, least: float):
     return verify
 
 
-def _shingle_frequencies(idf: np.ndarray):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In how many texts a slot's shingles stand."""
-        total = np.zeros(1 << RARE_BITS)
+def _weighed(idf: np.ndarray):
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles of each text with their weights."""
         for batch in batches:
             for i, j in slices(batch["text"]):
-                name, _, _ = shingles(split(batch["text"].slice(i, j - i)), idf)
-                total += np.bincount((name >> np.uint64(64 - RARE_BITS)).astype(np.int64), minlength=1 << RARE_BITS)
-        yield chunks.sliced(total)
+                part = batch.slice(i, j - i)
+                name, weight, first = shingles(split(part["text"]), idf)
+                row = pa.array(np.repeat(np.arange(j - i), np.diff(first)))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": part["id"].take(row),
+                        "label": part["label"].take(row),
+                        "shingle": name.view(np.int64),
+                        "weight": weight.astype(float),
+                    }
+                )
 
-    return count
+    return weigh
 
 
-def heads(
-    name: np.ndarray, weight: np.ndarray, first: np.ndarray, frequency: np.ndarray, least: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The head of each text: text, name, and the weight of the shingle and all that follow it.
+def heads(weighed: DataFrame, least: float) -> DataFrame:
+    """The shingles that two texts of different classes, similar by ``least``, must share one of.
 
-    Shingles are ordered by frequency, then name. What follows a head weighs less than
-    ``least`` of the text, so two texts that reach ``least`` share a shingle of both heads.
+    ``weighed`` are shingles (id, label, shingle, weight) with the total weight of their text. Those of one class
+    only come first, then the others by the number of classes they stand in, then by name; ``rest`` is the weight
+    of a shingle and all behind it. What two texts share begins at the first shared shingle in this
+    order, so in both at least ``least`` of the weight is left there.
     """
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((name, frequency[(name >> np.uint64(64 - RARE_BITS)).astype(np.int64)], text))
-    behind = np.concatenate([[0.0], np.cumsum(weight[order], dtype=float)])
-    rest = behind[first[1:]][text] - behind[:-1]
-    total = (behind[first[1:]] - behind[first[:-1]])[text]
-    at = np.flatnonzero(rest >= (least - 1e-6) * total)
-    return text[at], name[order][at], rest[at]
-
-
-def _heads(idf: np.ndarray, frequency: np.ndarray, least: float):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in slices(batch["text"]):
-                part = batch.slice(i, j - i)
-                text, name, rest = heads(*shingles(split(part["text"]), idf), frequency, least)
-                yield pa.RecordBatch.from_pydict(
-                    {"id": part["id"].take(pa.array(text, pa.int64())), "shingle": name.view(np.int64), "rest": rest}
-                )
-
-    return cut
+    classes = weighed.groupBy("shingle", "label").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count("*").alias("classes"))
+    shared = weighed.join(classes.filter("classes > 1").hint("merge"), "shingle")
+    behind = Window.partitionBy("id").orderBy(F.desc("classes"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    rest = shared.withColumn("rest", F.sum("weight").over(behind))
+    return rest.filter(F.col("rest") >= (least - 1e-6) * F.col("total")).drop("weight", "classes")
 
 
 def components(run: Run, links: DataFrame, name: str) -> DataFrame:
@@ -408,14 +400,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     mixed = several.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     left = several.join(mixed.select("band", "key"), ["band", "key"]).select("id", "label").distinct()
     left = run.keep(left.join(nodes.select(F.col("node").alias("id"), "total", "bands"), "id"), "left")
-    rest = run.keep(texts.join(left.select("id").hint("merge"), "id", "left_semi"), "rest")
-    counted = rest.select("text").mapInArrow(_shingle_frequencies(idf), chunks.SLICED)
-    frequency = chunks.summed(counted, 1 << RARE_BITS)
-    cut = rest.mapInArrow(_heads(idf, frequency, least), "id long, shingle long, rest double")
-    cut = run.keep(cut.join(left.select("id", "label", "total").hint("merge"), "id"), "cut")
-    shared = cut.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    cut = run.keep(cut.join(shared.select("shingle").hint("merge"), "shingle"), "heads")
-    run.drop("rest", "cut")
+    rest = texts.join(left.select("id", "label").hint("merge"), "id")
+    weighed = run.keep(rest.mapInArrow(_weighed(idf), "id long, label long, shingle long, weight double"), "weighed")
+    cut = heads(weighed.join(left.select("id", "total").hint("merge"), "id"), least)
+    cut = run.keep(cut, "heads")
+    run.drop("weighed")
     side = lambda n: cut.select("shingle", *[F.col(x).alias(f"{x}_{n}") for x in ("id", "label", "total", "rest")])
     enough = F.least("rest_a", "rest_b") * (1 + least) >= (least - 1e-6) * (F.col("total_a") + F.col("total_b"))
     meet = (F.col("label_a") < F.col("label_b")) & _possible(F.col("total_a"), F.col("total_b"), least) & enough
