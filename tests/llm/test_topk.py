@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 from compare import connect, same
 from pyspark.sql import functions as F
 
@@ -8,17 +9,16 @@ from waveplan.llm.topk import OP2_SQL, op2_topk, top_k
 
 
 def plain(rows, k, every):
-    best = {}
+    kept = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        v = [math.floor(64 * x) for x in v]
-        best[i] = min(best.get(i, v), v)
+        kept.append((i, [math.floor(64 * x) for x in v]))
     out = []
-    for q, a in best.items():
+    for n, (q, a) in enumerate(kept):
         if q % every:
             continue
-        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in best.items() if i != q and len(a) == len(b))
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(kept) if m != n and len(a) == len(b))
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
@@ -53,3 +53,14 @@ def test_fewer_rows_than_asked_for_and_none(spark):
 
 def test_query_equals_sql(spark, small):
     same(op2_topk(spark, small), connect(small), OP2_SQL)
+
+
+def test_rows_that_repeat_an_id_are_all_seen(spark, tmp_path):
+    rows = [(1, [1.0, 0.0]), (1, [9.0, 0.0]), (20, [64.0, 0.0]), (20, [0.0, 1.0]), (3, [0.0, 2.0])]
+    check(spark, rows, every=20)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    table.coalesce(1).write.parquet(str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("part-*")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{file}')")
+    same(top_k(table, F.col("vec_id") % 20 == 0), con, OP2_SQL)

@@ -247,15 +247,15 @@ def heads(weighed: DataFrame, least: float) -> DataFrame:
     """The shingles that two texts of different classes, similar by ``least``, must share one of.
 
     ``weighed`` are shingles (id, label, shingle, weight) with the total weight of their text. Those of one class
-    only come first, then the others by the number of classes they stand in, then by name; ``rest`` is the weight
+    only come first, then the others by the number of texts they stand in, then by name; ``rest`` is the weight
     of a shingle and all behind it. What two texts share begins at the first shared shingle in this
     order, so in both at least ``least`` of the weight is left there.
     """
-    classes = weighed.groupBy("shingle", "label").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count("*").alias("classes"))
-    shared = weighed.join(classes.filter("classes > 1").hint("merge"), "shingle")
-    behind = Window.partitionBy("id").orderBy(F.desc("classes"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = weighed.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = weighed.join(counted.filter("low < high").drop("low", "high").hint("merge"), "shingle")
+    behind = Window.partitionBy("id").orderBy(F.desc("texts"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
     rest = shared.withColumn("rest", F.sum("weight").over(behind))
-    return rest.filter(F.col("rest") >= (least - 1e-6) * F.col("total")).drop("weight", "classes")
+    return rest.filter(F.col("rest") >= (least - 1e-6) * F.col("total")).drop("weight", "texts")
 
 
 def components(run: Run, links: DataFrame, name: str) -> DataFrame:
@@ -403,19 +403,32 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rest = texts.join(left.select("id", "label").hint("merge"), "id")
     weighed = run.keep(rest.mapInArrow(_weighed(idf), "id long, label long, shingle long, weight double"), "weighed")
     cut = heads(weighed.join(left.select("id", "total").hint("merge"), "id"), least)
-    cut = run.keep(cut, "heads")
+    cut = run.keep(cut.join(left.select("id", "bands").hint("merge"), "id"), "heads")
     run.drop("weighed")
-    side = lambda n: cut.select("shingle", *[F.col(x).alias(f"{x}_{n}") for x in ("id", "label", "total", "rest")])
-    enough = F.least("rest_a", "rest_b") * (1 + least) >= (least - 1e-6) * (F.col("total_a") + F.col("total_b"))
-    meet = (F.col("label_a") < F.col("label_b")) & _possible(F.col("total_a"), F.col("total_b"), least) & enough
-    new = side("a").join(side("b").hint("merge"), "shingle").filter(meet)
-    new = run.keep(new.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "sharing")
-    one, two = (left.select(F.col("id").alias(n), F.col("bands").alias(f"bands_{n}")).hint("merge") for n in "ab")
-    new = new.join(one, "a").join(two, "b").filter(_equal(F.col("bands_a"), F.col("bands_b")) > 0)
-    new = run.keep(new.select("a", "b"), "new-rest")
-    found = verified(new, "links-rest")
+    def candidates(cut: DataFrame, name: str) -> DataFrame:
+        """Pairs of two classes that share a shingle of their heads with enough weight behind it, and a bucket."""
+        side = lambda n: cut.select("shingle", *[F.col(x).alias(f"{x}_{n}") for x in ("id", "label", "total", "rest", "bands")])
+        enough = F.least("rest_a", "rest_b") * (1 + least) >= (least - 1e-6) * (F.col("total_a") + F.col("total_b"))
+        meet = (F.col("label_a") < F.col("label_b")) & _possible(F.col("total_a"), F.col("total_b"), least) & enough
+        new = side("a").join(side("b").hint("merge"), "shingle").filter(meet & (_equal(F.col("bands_a"), F.col("bands_b")) > 0))
+        return run.keep(new.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), name)
+
+    # a large class first meets the others by two of its members for each shingle, other ones for
+    # other shingles: most of what belongs to it is found so, and then needs no pairs with the rest of it
+    member = F.struct(F.xxhash64("id", "shingle"), "id", "total", "rest", "bands")
+    some = cut.groupBy("shingle", "label").agg(F.array_distinct(F.array(F.min(member), F.max(member))).alias("some"))
+    some = some.select("shingle", "label", F.explode("some").alias("one")).select("shingle", "label", "one.id", "one.total", "one.rest", "one.bands")
+    few = candidates(some, "few")
+    found = verified(few, "links-few")
+    labels = joined(labels, found, "classes-few")
+    now = cut.drop("label").join(labels, "id")
+    shared = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    now = run.keep(now.join(shared.select("shingle").hint("merge"), "shingle"), "heads-now")
+    both = F.struct(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).alias("pair")
+    new = candidates(now, "rest").select("a", "b", both).join(few.select(both).hint("merge"), "pair", "left_anti")
+    found = verified(run.keep(new.select("a", "b"), "new-rest"), "links-rest")
     labels = joined(labels, found, "classes-rest")
-    run.drop("texts", "members", "left", "heads", "sharing", "new-rest", "links-rest")
+    run.drop("texts", "members", "left", "heads", "heads-now", "few", "rest", "new-rest", "links-few", "links-rest")
     known = nodes.select("mark1", "mark2", "node").join(labels, F.col("node") == F.col("id"), "left")
     known = known.select("mark1", "mark2", "node", F.coalesce("label", "node").alias("class"))
     out = signed.join(known, ["mark1", "mark2"], "left")
