@@ -36,17 +36,24 @@ def chunked(docs: DataFrame, columns: list[str], total: int, size: int = CHUNK_B
     return docs.select(*columns, chunk.alias("chunk"))
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """floor(key * buckets / 2 ** 64): sorted keys have sorted buckets. At most 2 ** 32 buckets."""
+    low, wide = np.uint64(32), np.uint64(buckets)
+    carry = ((keys & np.uint64(0xFFFFFFFF)) * wide) >> low
+    return (((keys >> low) * wide + carry) >> low).astype(np.int64)
+
+
 def messages(chunk: int, keys: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.Table:
-    """One row for each bucket: the keys (sorted, spread over 64 bits) and their columns."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-    rows = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-    body = [[x[cut[b] : cut[b + 1]].tobytes() for x in (keys, *columns)] for b in rows]
+    """One row for each bucket with a key: the keys (sorted, spread over 64 bits) and their columns."""
+    bucket = bucket_of(keys, buckets)
+    at = heads(bucket)
+    cut = [*at.tolist(), len(keys)]
+    body = [[x[a:b].tobytes() for x in (keys, *columns)] for a, b in zip(cut, cut[1:])]
     return pa.table(
         {
-            "bucket": pa.array(rows, pa.int64()),
-            "chunk": pa.array([chunk] * len(rows), pa.int64()),
-            "n": pa.array([cut[b + 1] - cut[b] for b in rows], pa.int64()),
+            "bucket": pa.array(bucket[at], pa.int64()),
+            "chunk": pa.array([chunk] * len(at), pa.int64()),
+            "n": pa.array(np.diff(cut), pa.int64()),
             "body": pa.array(body, pa.list_(pa.binary())),
         }
     )
@@ -94,8 +101,8 @@ _SLICES = 16
 
 
 def sliced(numbers: np.ndarray) -> pa.RecordBatch:
-    """An array of fixed size, cut up to be added to those of other tasks."""
-    parts = np.array_split(numbers.astype(np.float32).ravel(), _SLICES)
+    """Counts in an array of fixed size, cut up to be added to those of other tasks; sums are exact."""
+    parts = np.array_split(numbers.astype(np.int64).ravel(), _SLICES)
     return pa.RecordBatch.from_pydict({"slice": list(range(_SLICES)), "sums": [p.tobytes() for p in parts]})
 
 
@@ -104,7 +111,7 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, part in zip(batch["slice"].to_pylist(), batch["sums"].to_pylist()):
-            own = np.frombuffer(part, np.float32)
+            own = np.frombuffer(part, np.int64)
             sums[k] = sums[k] + own if k in sums else own
     if sums:
         yield pa.RecordBatch.from_pydict({"slice": list(sums), "sums": [x.tobytes() for x in sums.values()]})
@@ -114,5 +121,5 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
     """The sum of all tasks' arrays of ``size`` numbers (a fixed number, whatever the input)."""
     with cleaned(parts.sparkSession):
         rows = parts.repartition(_SLICES, "slice").mapInArrow(_total, SLICED).collect()
-    sums = {r["slice"]: np.frombuffer(r["sums"], np.float32) for r in rows}
-    return np.concatenate([sums[k] for k in range(_SLICES)]) if sums else np.zeros(size, np.float32)
+    sums = {r["slice"]: np.frombuffer(r["sums"], np.int64) for r in rows}
+    return np.concatenate([sums[k] for k in range(_SLICES)]) if sums else np.zeros(size, np.int64)
