@@ -176,3 +176,12 @@ def test_planted_copies_in_the_tables(spark, medium):
     for ids in members.values():
         for i in ids[1:]:
             assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in ids if j != i) > 0.7
+
+
+def test_rows_of_one_id_with_different_texts_all_stay(spark):
+    one, two, three = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, one), (1, two), (2, three), (2, three), (5, two), (4, one + " end"), (6, ""), (6, None), (None, one)]
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_first(documents(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, one), (1, two), (2, three), (6, ""), (6, None), (None, one)], key=str)
+    found = neardup.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found if r.doc_id) == [(1, 1), (1, 1), (2, 2), (2, 2), (4, 1), (5, 1), (6, 6), (6, 6)]

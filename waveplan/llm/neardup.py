@@ -6,7 +6,7 @@ changed word weighs about as much as the word it replaces. Document frequencies
 over all documents in a hashed table of fixed size. Two texts are linked if the weighted
 Jaccard similarity of their shingles, sum of minima over sum of maxima, is 0.8 or more.
 
-1. Texts with the same words form one node, kept by its smallest id; only nodes go on.
+1. Texts with the same words form one node with a number of its own; only nodes go on.
 2. Each node draws ``BANDS * ROWS`` consistent weighted samples; ROWS of them make a band's
    key, and nodes that share a band's key are candidates. At similarity 0.8, one in 1,200
    pairs shares none of the keys.
@@ -18,13 +18,14 @@ Jaccard similarity of their shingles, sum of minima over sum of maxima, is 0.8 o
 4. Pairs of a bucket that are in two classes still are compared, all of them, but for those
    that exact bounds exclude: texts this similar share one of their heads, the rarest
    shingles with more than a fifth of the text's weight, and at the first one that they
-   share, both have enough weight left.
+   share, both have enough weight left. Rarest are those that only one class has, then those of
+   few texts, by exact counts over the texts that are left. Large classes first meet the others by a few members.
 5. Classes are the connected components of the links; a class is named by its smallest id.
 
 Defined results: texts without words (null, empty, blank) are classes of their own, as are
-rows with a null id (class null); rows of one id count as one document for links, each row
-is returned; an empty table gives an empty table. Large buckets cost rows, not tasks: bucket
-minima are aggregated before the shuffle and joins split skewed keys.
+rows with a null id (class null); rows of one id with different texts are documents of their own, each row
+is returned; an empty table gives an empty table. Bucket minima are aggregated before the shuffle and
+joins split skewed keys.
 """
 
 from __future__ import annotations
@@ -50,10 +51,8 @@ IDF_BITS = 18
 CENTRES = 2
 #: Samples, of BANDS * ROWS, that are equal where texts are compared around centres.
 AGREE = 17
-#: Hashed table of how many texts a shingle stands in, which orders shingles from rare to frequent.
-RARE_BITS = 18
 _BLOCK = 1 << 14
-_SIGNED = "id long, words long, mark1 long, mark2 long, total double, bands array<long>, samples array<int>"
+_SIGNED = "id long, mark long, words long, mark1 long, mark2 long, total double, bands array<long>, samples array<int>"
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -181,6 +180,7 @@ def _sign(idf: np.ndarray):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "id": part["id"],
+                        "mark": part["mark"],
                         "words": pa.array(n),
                         "mark1": pa.array(wide[0]),
                         "mark2": pa.array(wide[1]),
@@ -303,16 +303,24 @@ def _likely(own: Column, other: Column, least: float) -> Column:
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and node_id (smallest id with the same words) of every row."""
+    return _classes(docs, least).select("doc_id", "class_id", "node_id")
+
+
+def _classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The same with ``mark``, a hash that tells the texts of one id apart, and ``class``, the number of the class;
+    null for rows that are classes of their own."""
     spark = docs.sparkSession
     run = Run(spark, "neardup")
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     counted = own.select("text").mapInArrow(_document_frequencies, chunks.SLICED)
     idf = inverse_frequencies(chunks.summed(counted, (1 << IDF_BITS) + 1))
     signed = run.keep(own.mapInArrow(_sign(idf), _SIGNED), "signed")
     some = signed.filter("id IS NOT NULL AND words > 0")
-    nodes = some.groupBy("mark1", "mark2").agg(F.min(F.struct("id", "total", "bands", "samples")).alias("one"))
-    nodes = nodes.select("mark1", "mark2", F.col("one.id").alias("node"), "one.total", "one.bands", "one.samples")
-    nodes = run.keep(nodes, "nodes")
+    nodes = some.groupBy("mark1", "mark2").agg(F.min(F.struct("id", "mark", "total", "bands", "samples")).alias("one"))
+    nodes = nodes.select("mark1", "mark2", F.col("one.id").alias("first_id"), "one.mark", "one.total", "one.bands", "one.samples")
+    # a node's number is fixed by being written
+    nodes = run.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     drawn = nodes.select(F.col("node").alias("id"), "total", "samples")
     # members of buckets with two nodes or more; a node's weight: whom it meets in all its buckets
@@ -326,8 +334,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = run.keep(members, "members")
     run.drop("met")
     # texts are joined in one way at every size: shuffled, never with a broadcast side
-    texts = own.join(members.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
-    texts = run.keep(texts, "texts")
+    chosen = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    chosen = chosen.select(F.col("first_id").alias("id"), "mark", "node").hint("merge")
+    texts = run.keep(own.join(chosen, ["id", "mark"]).select(F.col("node").alias("id"), "text"), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -429,26 +438,33 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     found = verified(run.keep(new.select("a", "b"), "new-rest"), "links-rest")
     labels = joined(labels, found, "classes-rest")
     run.drop("texts", "members", "left", "heads", "heads-now", "few", "rest", "new-rest", "links-few", "links-rest")
-    known = nodes.select("mark1", "mark2", "node").join(labels, F.col("node") == F.col("id"), "left")
-    known = known.select("mark1", "mark2", "node", F.coalesce("label", "node").alias("class"))
+    known = nodes.select("mark1", "mark2", "first_id", "node").join(labels, F.col("node") == F.col("id"), "left")
+    known = known.select("mark1", "mark2", "first_id", F.coalesce("label", "node").alias("class"))
+    known = known.join(known.groupBy("class").agg(F.min("first_id").alias("class_id")), "class")
     out = signed.join(known, ["mark1", "mark2"], "left")
     alone = F.col("id").isNull() | (F.col("words") == 0)
     return out.select(
         F.col("id").alias("doc_id"),
-        F.when(alone, F.col("id")).otherwise(F.col("class")).alias("class_id"),
-        F.when(alone, F.col("id")).otherwise(F.col("node")).alias("node_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("first_id")).alias("node_id"),
+        "mark",
+        F.when(~alone, F.col("class")).alias("class"),
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of its smallest id; rows with a null id all stay."""
-    kept = near_duplicates(docs).filter("class_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    """One row of each class, that of its smallest id; of rows that repeat id and text one stays, rows
+    of one id with different texts are in the classes of their texts, and rows with a null id all stay."""
+    found = _classes(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "class")
+    first = found.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("_id", "_mark")).alias("one")).select("one.*")
+    kept = first.union(found.filter("class IS NULL").select("_id", "_mark")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    own = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    order = [F.col("_row.text"), *[F.col(f"_row.`{c}`").cast("string") for c in docs.columns if c != "text"]]
-    place = F.row_number().over(Window.partitionBy("_id").orderBy(*order))
+    text = F.col("text").cast("string")
+    own = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_mark"))
+    order = [F.col(f"_row.`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy(*order))
     own = own.filter("_id IS NULL").unionByName(
-        own.join(kept, "_id", "left_semi").withColumn("_place", place).filter("_place = 1").drop("_place")
+        own.join(kept, ["_id", "_mark"], "left_semi").withColumn("_place", place).filter("_place = 1").drop("_place")
     )
     return own.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
