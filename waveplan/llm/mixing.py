@@ -149,9 +149,11 @@ def mix_sources(
     )
     settled, step = [], 0
     while True:
-        cells = left.groupBy("number").agg(F.ceil(F.count("*") / cell).alias("cells"))
+        # written first, so that its size is known when the join is planned
+        cells = run.keep(left.groupBy("number").agg(F.ceil(F.count("*") / cell).alias("cells")), f"cells{step}")
         where = F.coalesce(F.pmod(F.xxhash64("id", "size", F.lit(seed + step)), F.col("cells")), F.lit(0))
         dealt = left.drop("cells", "cell").join(cells, "number").withColumn("cell", where).select(*_UNIT_COLUMNS)
+        dealt = dealt.repartition("number", "cell")  # or all cells of a source share a task
         moved = run.keep(dealt.groupBy("number", "cells", "cell").applyInArrow(_settle(seed + step), _UNIT), f"units{step}")
         settled.append(moved.filter("done"))
         left, step = moved.filter("NOT done"), step + 1
@@ -178,7 +180,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     )
     taken = taken.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("_copies")))
     taken = run.keep(taken.filter("_copies > 0"), "taken")
-    run.drop("sized", "sources", *[f"units{k}" for k in range(100)])
+    run.drop("sized", "sources", *[f"{kind}{k}" for kind in ("units", "cells") for k in range(100)])
     own = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), words().alias("_size"),
