@@ -1,8 +1,10 @@
 """Deterministic sharded writer and reader of web archives (WARC 1.1, one gzip member a record).
 
-Records are range-sorted by page id into shards whose bounds depend on the data alone (ids
-picked by a hash), and each shard rolls to a new file when the next record would bring it
-over ``roll_bytes`` of compressed bytes. A file is written under a temporary name and then
+Records are range-sorted by page id into shards of about as many bytes each, whose bounds
+depend on the data alone (ids picked by a hash, with the bytes of their rows). Each shard is
+one task and rolls to a new file when the next record would bring it over ``roll_bytes`` of
+compressed bytes; a task streams its rows and holds one file, so shards may grow beyond
+``shard_bytes`` where there would be more than ``MOST_SHARDS`` of them. A file is written under a temporary name and then
 renamed; its manifest row follows. A task that runs again writes the same bytes under the
 same name, so lost executors and repeated tasks leave no other result. Readers go by the
 manifest and never see files that no manifest lists.
@@ -39,6 +41,8 @@ SHARD_BYTES = 16 << 20
 MOST_SHARDS = 1 << 16
 SAMPLE_IDS = 1 << 17
 ROLL_BYTES = 4 << 20
+#: Bytes that a record's headers count for beside its payload.
+_HEAD_BYTES = 512
 DATE = "2024-01-01T00:00:00Z"
 _READ = 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -160,9 +164,15 @@ def _bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
     if shards == 1:
         return []
     every = max(1, row["n"] // SAMPLE_IDS)
-    picked = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("page_id").distinct()
-    ids = sorted(r["page_id"] for r in picked.collect() if r["page_id"] is not None)
-    return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
+    picked = pages.filter(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0))
+    weight = F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + _HEAD_BYTES).alias("b")
+    found = sorted((r["page_id"], r["b"]) for r in picked.groupBy("page_id").agg(weight).collect())
+    if not found:
+        return []
+    ids, size = (np.array(x, np.int64) for x in zip(*found))
+    before = np.cumsum(size) - size
+    edges = int(size.sum()) * np.arange(1, shards) // shards
+    return np.unique(ids[np.minimum(np.searchsorted(before, edges), len(ids) - 1)]).tolist()
 
 
 def _shard(bounds: list[int]) -> Column:
@@ -202,7 +212,7 @@ def write_archive(
             shard.alias("shard"), "page_id", F.lit(0).alias("tag"), none("string").alias("url"), none("string").alias("html"), "sha", "first"
         )
     )
-    dealt = stream.repartition(len(bounds) + 1, "shard")
+    dealt = stream.repartitionById(len(bounds) + 1, F.col("shard").cast("int"))
     dealt = dealt.sortWithinPartitions("shard", "page_id", "tag", "url", "html")
     manifest = dealt.mapInArrow(_writer(path, roll_bytes), MANIFEST)
     manifest.write.parquet(f"{path}/manifest.parquet")
