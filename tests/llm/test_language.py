@@ -1,10 +1,13 @@
 from llm.cases import ODD_TEXTS, documents
 from pyspark.sql import functions as F
 
-from waveplan.llm.language import identify, learn, op3_language
+from waveplan.llm import language
+from waveplan.llm.language import WINDOW, cut, identify, learn, op3_language, train
 
 import zlib
 
+import numpy as np
+
 
 def test_held_out_texts_get_their_language(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
@@ -52,3 +55,23 @@ def test_nothing_to_learn(spark):
     one = documents(spark, [(1, "some text", "en"), (2, "", "fr")])
     assert [r["lang_pred"] for r in identify(one, learn(one)).orderBy("doc_id").collect()] == ["en", "und"]
     assert identify(documents(spark, []), None).collect() == []
+
+
+def test_sample_is_bounded_if_ids_repeat_or_are_null(spark, monkeypatch):
+    monkeypatch.setattr(language, "train", lambda windows, labels, languages: (len(windows), set(labels.tolist())))
+    rows = [(None if i % 2 else 5, f"text number {i}", "ab"[i % 3 == 0]) for i in range(200)]
+    assert learn(documents(spark, rows), rows=20) == (20, {0, 1})
+
+
+def test_features_equal_a_plain_convolution():
+    text = np.frombuffer(("plain words and bytes " * 30).encode(), np.uint8)
+    windows, _, length = cut(text, np.array([0, len(text)]))
+    assert len(windows) == -(-len(text) // WINDOW) and length.sum() == len(text)
+    net = train(windows, np.arange(len(windows)) % 2, ["a", "b"])
+    got, _ = net.features(windows)
+    for f in range(0, len(net.bias), 7):
+        taps = [t[:, f] for t in net.taps if t.shape[1] > f]
+        for w, window in enumerate(windows):
+            places = range(WINDOW - len(net.taps) + 1)
+            best = max(sum(t[window[k + j]] for j, t in enumerate(taps)) for k in places)
+            assert np.isclose(got[w, f], max(best + net.bias[f], 0), atol=1e-4)

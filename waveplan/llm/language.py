@@ -4,7 +4,7 @@ Filters of several widths slide over the bytes of fixed-length windows; each fil
 maximum over the window feeds a softmax. The input is one byte out of 256 at each place, so a
 filter is a table with a row for each byte and tap, and a convolution is a sum of looked-up
 rows. Training (numpy, Adam) takes windows of a bounded sample of labelled texts:
-``SAMPLE_ROWS`` documents picked by a hash of the id, ``SAMPLE_WINDOWS`` windows of each at
+``SAMPLE_ROWS`` rows picked by a hash of the id, ``SAMPLE_WINDOWS`` windows of each at
 places given by a hash. Prediction goes over every window of every whole text in Arrow
 batches and averages the log-probabilities of a text's windows, weighed by their bytes.
 
@@ -136,7 +136,9 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) ->
     # ids first, so that only the picked texts are sorted and sent
     ids = own.select("doc_id").distinct().orderBy(order, "doc_id").limit(rows)
     picked = own.join(F.broadcast(ids), own["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    found = sorted((r["lang"], r["doc_id"] or 0, r["text"]) for r in picked.distinct().collect())
+    # rows that share an id, or have none, count one by one
+    picked = picked.distinct().orderBy(order, "doc_id", F.xxhash64("text"), "lang", "text").limit(rows)
+    found = sorted((r["lang"], r["doc_id"] or 0, r["text"]) for r in picked.collect())
     languages = sorted({r[0] for r in found})
     if not languages:
         return None
