@@ -199,3 +199,42 @@ def test_pairs_of_all_training_documents_are_counted():
         kinds = {x for t in rows for x in zip(["\n", *lowered(t)], lowered(t))}
         flat = [c for b in sorted(got[chunk]) for c in got[chunk][b]]
         assert sorted(flat) == sorted(counts.get(x, 0) for x in kinds)
+
+
+def test_every_training_text_and_token_teaches(spark, monkeypatch):
+    # 2,200 texts and some 60,000 tokens; a sample of either would be smaller
+    rows = [(i, " ".join(f"w{i % 2}{(i * k) % 97}" for k in range(1, 30))) for i in range(2200)] + [(5000, ""), (5001, None)]
+    texts, tokens = [], []
+    fit, taught = scoring.fit_classes, scoring.taught
+
+    def fitted(add_up, kinds):
+        texts.append(int(add_up(scoring.moments, scoring._GROUPS**2 + scoring._GROUPS + 1)[-1]))
+        return fit(add_up, kinds)
+
+    def mixer(table, sums, total):
+        tokens.append(int(sums[-scoring._PARTS[-1] :].sum()))
+        return taught(table, sums, total)
+
+    monkeypatch.setattr(scoring, "fit_classes", fitted)
+    monkeypatch.setattr(scoring, "taught", mixer)
+    got = score_texts(documents(spark, rows)).collect()
+    assert texts == [sum(not held(i) for i, t in rows if t)]
+    assert tokens == [got[0]["train_tokens"]] == [sum(len(lowered(t)) for i, t in rows if not held(i))]
+
+
+def test_the_model_does_not_depend_on_how_rows_are_dealt():
+    import pyarrow as pa
+
+    texts = [prose(60, i, 50).replace("w", "wvx"[i % 3]) for i in range(90)]
+    alone = [own for t in texts for own in scoring.profiles(pa.array([t], pa.string()))]
+    add = lambda function, size: sum(function(own).astype(np.int64) for own in alone)
+    assert np.array_equal(scoring.fit_classes(add, 3), classes(texts, 3))
+    known = [b"the", b"then", b"th", b"a", b"other", b"\n"]
+    counts, size = np.array([50, 9, 1, 30, 2, 10]), np.array([len(w) for w in known])
+    table = tables(size, np.frombuffer(b"".join(known), np.uint8), counts)
+    one = lambda at: scoring.learn(
+        table, size[at], np.frombuffer(b"".join(known[i] for i in at), np.uint8), counts[at], counts[at], 102
+    )
+    a, b = one([0, 1, 2]), one([3, 4, 5])
+    mixer, plain = scoring.taught(table, a + b, 102), scoring.taught(table, np.zeros(len(a)), 102)
+    assert (mixer.weights != plain.weights).any() and (mixer.refine != plain.refine).any() and mixer.share != plain.share
