@@ -221,6 +221,63 @@ def test_scenarios_of_a_method_do_not_multiply_what_moves(stored, tmp_path):
     assert seven <= 1.1 * one
 
 
+def test_scenarios_of_a_method_do_not_multiply_the_pallets_that_move(stored, tmp_path):
+    path, _ = stored
+    chosen = "[Scenario(3842, a, c) for a, c in [(2, 0.9), (3, 0.9), (4, 0.9), (5, 0.8), (6, 0.9), (7, 1.0), (8, 0.9)]]"
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    body = "p = WavePlan(source, {}); p.placed_pallets.groupBy().agg(F.count('placement'), F.sum('trailing_locations')).collect()"
+    one, _ = event_log(tmp_path / "a", path, body.format("[Scenario(3842, 2)]"))
+    seven, _ = event_log(tmp_path / "b", path, body.format(chosen))
+    assert seven <= 1.1 * one
+
+
+def test_large_parts_are_found_by_the_first_value(spark, monkeypatch):
+    from waveplan.operators import running
+
+    rows = spark.range(3000).selectExpr("id % 2 AS g", "id % 3 AS d", "id % 50 AS a", "concat('k', id) AS k", "1L AS v")
+    order, written = Order("d", "a", "k"), []
+    keep = running.materialize
+    monkeypatch.setattr(running, "materialize", lambda df, name, paths=None: written.append((name, df.columns)) or keep(df, name, paths))
+    few = split(rows, ["g"], order, 600)
+    assert written[0] == ("cells", ["g", "d", "_rows"]) and len(few.levels) == 1
+    parts = split(rows, ["g"], order, 300)
+    assert [n.count() for n in parts.levels] == [2, 6]
+    monkeypatch.setattr(running, "MANY_PARTS", 1)
+    fine = split(rows, ["g"], order, 300)
+    assert written[-1][0] == "nodes" and ("cells", ["g", "d", "a", "_rows"]) in written
+    assert [n.count() for n in fine.levels] == [2, 6]
+    for tree in (parts, fine):
+        got = {r.k: r.s for r in running_sum(rows, ["g"], order, "v", "s", parts=tree).collect()}
+        place = {}
+        for g in range(2):
+            own = sorted((i % 3, i % 50, f"k{i}") for i in range(3000) if i % 2 == g)
+            place |= {k: n for n, (_, _, k) in enumerate(own, 1)}
+        assert got == place
+
+
+@pytest.mark.parametrize("cell_rows", [10**6, 40])
+def test_items_of_a_wave_are_counted_once(spark, small, cell_rows):
+    """Also where rows of size zero stand between those of an item, and items have no name."""
+    source = drops(spark, small).withColumn("DPCI", F.when(F.col("Aisle") == 7, None).otherwise(F.concat(F.lit("i"), F.col("Aisle") % 9)))
+    plan = WavePlan(source, SCENARIOS[:3], rules=Rules(cell_rows=cell_rows))
+    totals = plan.carton_totals
+    new = F.when(F.col("_item").isNull(), F.col("_items")).otherwise(F.lit(1))
+    wave = [*summary.WAVE, "wave_no"]
+    got = {tuple(r) for r in totals.groupBy(*wave, "_item").agg(F.sum("_items").alias("_items")).groupBy(*wave).agg(F.sum(new)).collect()}
+    rows = plan.carton_waves.groupBy(*wave).agg(F.countDistinct("DPCI"))
+    assert got == {tuple(r) for r in rows.collect()}
+
+
+def test_rows_alone_in_their_wave_move_as_one_row_a_wave(spark, small):
+    """Items are counted before rows meet scenarios: no aggregate there has a row an item, but for items on pallets."""
+    plan = WavePlan(drops(spark, small), SCENARIOS[:2])
+    before = summary.with_item_before(plan.running.withColumn("on_pallets", F.lit(False)))
+    totals = summary.carton_totals(cartons.carton_waves(before, plan.capacity))
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\][^\n]*_items|HashAggregate\(keys=\[([^\]]*wave_no[^\]]*)\]", text_plan(totals))
+    assert keys and not any("DPCI" in k.split("CASE")[0] for pair in keys for k in pair)
+    assert totals.count() == plan.carton_waves.select(*summary.WAVE, "wave_no").distinct().count()
+
+
 def test_raw_input_is_read_twice_and_split_without_loss(stored, tmp_path):
     path, rows = stored
     body = (

@@ -14,6 +14,7 @@ from waveplan.functions.text import wave_label
 from waveplan.operators.cartons import RUN, wave_number
 from waveplan.operators.pallets import pallet_wave_number
 from waveplan.operators.running import Order, Parts, running_sum, same_join
+from waveplan.schema import GROUP
 
 # Policy for pallets left after the last carton wave.
 OWN_WAVE_ABOVE = 50
@@ -40,16 +41,21 @@ def place_pallets(
     tree of pallet rows by zone in storage order; what trails under a scenario is summed up in it.
     """
     keys = [*RUN, "scenario_id"]
-    rows = pallets.withColumn("Method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    # zones meet rows before these are multiplied by scenarios, so what moves does not depend on their number
+    end = F.struct(*keys[len(GROUP) :], F.col("n_waves").alias("wave_no"), F.col("last_wave_fill").alias("_fill"))
+    last = ends.groupBy(*GROUP).agg(F.collect_list(end).alias("_ends"))
+    rows = parts.deal(same_join(pallets, last, GROUP, "left"))
+    rows = rows.withColumn("Method", F.explode(F.array(*[F.lit(m) for m in methods])))
     # ``capacity`` has one row per scenario passed in.
     rows = rows.join(F.broadcast(capacity), "Method").withColumn("pallet_wave_no", pallet_wave_number())
-    last = ends.select(*keys, F.col("n_waves").alias("wave_no"), F.col("last_wave_fill").alias("_fill"))
-    rows = same_join(rows, last, keys, "left").withColumn("wave_no", F.coalesce("wave_no", F.lit(0)))
+    own = F.filter("_ends", lambda e: (e["Method"] == F.col("Method")) & (e["scenario_id"] == F.col("scenario_id")))
+    rows = rows.withColumn("_end", F.get(own, F.lit(0))).drop("_ends")
+    rows = rows.withColumns({"wave_no": F.coalesce("_end.wave_no", F.lit(0)), "_fill": F.col("_end._fill")}).drop("_end")
     trailing = F.coalesce(F.col("pallet_wave_no") > F.col("wave_no"), F.lit(False))
     rows = rows.withColumns(
         {"_trails": trailing, "_left": F.when(trailing, F.col("Total_locs")), "_pallets": F.when(trailing, F.col("TotalNumberofPallets"))}
     )
-    rows = running_sum(rows, keys, STORAGE, "_left", "trailing_locations", total={"_pallets": "trailing_pallets"}, parts=parts)
+    rows = running_sum(rows, keys, STORAGE, "_left", "trailing_locations", total={"_pallets": "trailing_pallets"}, parts=parts, dealt=True)
     room = (F.col("_fill") < F.col("carton_size") * F.lit(ROOM_LEFT_BELOW)) & (F.col("UDC") == SHARING_CENTRE)
     placement = (
         F.when(~F.col("_trails"), "kept")

@@ -11,7 +11,8 @@ from waveplan.operators.running import CELL_ROWS, Order, running_sum, split
 from waveplan.schema import GROUP, ITEM
 
 # The item comes first: rows are sorted by these columns, and it tells most of them apart.
-RANK_SCOPES = {"all_zones": ["DPCI", "drop_id", "UnitSortable"], "zone": ["DPCI", *GROUP]}
+ITEM_FIRST = ["DPCI", *GROUP]
+RANK_SCOPES = {"all_zones": ["DPCI", "drop_id", "UnitSortable"], "zone": ITEM_FIRST}
 
 
 def item_rollup(drops: DataFrame) -> DataFrame:
@@ -93,7 +94,10 @@ def item_charges(drops: DataFrame, rank_scope: str = "all_zones", zone: int | No
     first = first.withColumns(own | {c: F.col(f"_top.{c}") for c in ("Distro", "AllocationRequestDate", "Aisle")}).drop("_top")
     if zone is not None:
         first = first.filter(F.col("SSZ") == zone)
-    return first.join(item_locations(sized).select(*ITEM, F.col("Total_locs").alias("_charge")), ITEM)
+    # an item of a zone is one row on either side, so no part of the hash table is larger than others;
+    # only what is charged is sized
+    sizes = size_items(first.hint("shuffle_hash").join(item_rollup(sized), ITEM_FIRST))
+    return sizes.select(*first.columns, F.col("Total_locs").alias("_charge"))
 
 
 def with_charges(rows: DataFrame, charges: DataFrame, place: list[str]) -> DataFrame:

@@ -29,6 +29,8 @@ from waveplan.session import materialize
 CELL_ROWS = 1_000_000
 #: Refined nodes of a tree at most; ``cell_rows`` grows with the table beyond that.
 MOST_NODES = 100_000
+#: Parts from which on rows are counted by all values of the order at once.
+MANY_PARTS = 10_000
 
 #: What tells the parts of a group apart: the values and the prefix of the key, where refined.
 PLACE = ["_cell", "_within", "_prefix"]
@@ -123,6 +125,10 @@ class Parts:
             out = out.drop("_length")
         return out if inside else out.drop("_node")
 
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """``rows`` moved to their part, before they are multiplied: ``running_sum`` then moves them no more."""
+        return self.label(rows).repartition(*self.keys, *self.place)
+
 
 def split(
     rows: DataFrame, keys: list[str], order: Order, cell_rows: int = CELL_ROWS, paths: list[str] | None = None, total: int | None = None
@@ -131,6 +137,7 @@ def split(
 
     A root small enough ends it. Else one pass counts the rows by group and values, and a job per level
     finds the nodes to refine in these counts; only cells that are still too large are read again, by key.
+    If parts are large, that pass counts by the first value only, and rows of nodes refined beyond it are read again.
     """
     parts, values, key = Parts(keys, order), order.values, F.col(order.key)
     narrow = rows.select(*keys, *values, order.key)
@@ -153,10 +160,12 @@ def split(
         length = (shared_length(F.col("_low"), F.col("_high")) + digits).alias("_length")
         return counted.filter((F.col("_rows") > limit) & (F.col("_low") != F.col("_high"))).select(*counted.columns[: len(by)], length)
 
-    cells = materialize(narrow.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("_rows")), "cells", paths)
+    told = values[: 1 if most // limit < MANY_PARTS else None]
+    cells = materialize(narrow.groupBy(*keys, *told).agg(F.count(F.lit(1)).alias("_rows")), "cells", paths)
     for depth in range(len(values) + 1):
         names = [F.col("_node").alias("_parent"), F.col(values[depth - 1]).alias("_value")] if depth else keys
-        counted = parts.label(cells, inside=True).groupBy(*names).agg(F.sum("_rows").alias("_rows"))
+        held = cells if depth <= len(told) else narrow.withColumn("_rows", F.lit(1).cast("bigint"))
+        counted = parts.label(held, inside=True).groupBy(*names).agg(F.sum("_rows").alias("_rows"))
         if not refine(counted.filter(F.col("_rows") > limit).drop("_rows")):
             return parts
     # these have their ids already; what is missing is how to cut them
@@ -181,6 +190,7 @@ def running_sum(
     parts: Parts | None = None,
     before: tuple[str, ...] = (),
     bounds: bool = False,
+    dealt: bool = False,
 ) -> DataFrame:
     """``rows`` with the running sum of each ``value``.
 
@@ -188,17 +198,19 @@ def running_sum(
     include these, for keys that are among these; without it, one is built. ``before``: columns whose value in the
     row before is added as ``_last_<column>`` (null in the first row of a part). ``bounds`` adds, where groups are
     cut, the part's place (``parts.place``) and for each value its sum before the part and up to its end (``BEFORE`` and ``UPTO`` + value).
+    ``dealt``: the rows come from ``parts.deal``.
     """
     values, names = ([value], [into]) if isinstance(value, str) else (value, into)
     totals = {values[0]: total} if isinstance(total, str) else total or {}
     parts = split(rows, keys, order, cell_rows, paths) if parts is None else parts
     cut = bool(parts.levels)
-    columns = rows.columns
+    columns = [c for c in rows.columns if not (dealt and c in parts.place)]
     if cut:
-        rows = parts.label(rows).withColumn(CARRY, F.lit(0))
+        rows = (rows if dealt else parts.label(rows)).withColumn(CARRY, F.lit(0))
         carried = _carried(rows, keys, order, parts.place, values, totals)
         # both are dealt by part, and the union keeps that
-        rows, carried = (df.repartition(*keys, *parts.place) for df in (rows, carried))
+        by = [*(parts.keys if dealt else keys), *parts.place]
+        rows, carried = rows if dealt else rows.repartition(*by), carried.repartition(*by)
         rows = rows.unionByName(carried, allowMissingColumns=True)
     group = Window.partitionBy(*keys, *(parts.place if cut else []))
     own = group.orderBy(*([F.col(CARRY).desc()] if cut else []), *order.columns())

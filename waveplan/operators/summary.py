@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveplan.functions.text import percent_text, wave_label
@@ -17,6 +17,7 @@ WAVE = [*GROUP, "Method", "scenario_id"]
 SUMS = ["Total_plts", "Total_plts_ssps", "Total_vcp", "Total_loose_ssp", "Total_ssp", "Total_distro", "Total_CandB_locs"]
 #: An item that is counted for itself; null in totals of items that stand in one place only.
 SHARED = "_item"
+ITEM_BEFORE = "_item_before"
 
 
 def _sums() -> list[Column]:
@@ -37,24 +38,36 @@ def _again() -> list[Column]:
     return [F.sum(name).alias(name) for name in SUMS]
 
 
+def _place(rows: DataFrame) -> list[str]:
+    return [c for c in PLACE if c in rows.columns]
+
+
+def with_item_before(running: DataFrame, *also: str) -> DataFrame:
+    """Rows with ``ITEM_BEFORE``, the running locations of their item's row before in the zone or part of it.
+
+    Waves follow from running locations, so an item's rows that come in the order of these tell where it is new in
+    a wave, under any scenario. Rows are where their zone or part is.
+    """
+    group = Window.partitionBy("DPCI", *GROUP, *_place(running), "Method", *also)
+    return running.withColumn(ITEM_BEFORE, F.lag("wave_cum_locations").over(group.orderBy("wave_cum_locations")))
+
+
 def carton_totals(waved: DataFrame) -> DataFrame:
     """Totals per carton wave, aggregated where the rows of a zone or part of it already are.
 
     An item is counted in place if all its rows of the wave must be there: the wave does not reach
     beyond the part (its number is above that of what comes before, and below that of the part's
-    end), and the item has no pallets (``on_pallets``), which could join the wave later. For the
-    others a row per wave and item (``SHARED``) is kept, so that each is counted once.
+    end), and the item has no pallets (``on_pallets``), which could join the wave later: it counts in its
+    first row of the wave (see :func:`with_item_before`). For the others a row per wave and item (``SHARED``)
+    is kept, so that each is counted once.
     """
-    place = [c for c in PLACE if c in waved.columns]
-    alone = ~F.coalesce(F.col("on_pallets"), F.lit(False))
-    if place:
-        size = F.col("carton_size")
+    waved = waved if ITEM_BEFORE in waved.columns else with_item_before(waved, "scenario_id")
+    size, alone = F.col("carton_size"), ~F.coalesce(F.col("on_pallets"), F.lit(False))
+    if _place(waved):
         alone = alone & (F.col("wave_no") > F.ceil(F.col(BEFORE) / size)) & (F.col("wave_no") < F.ceil(F.col(UPTO) / size))
-    wave = [*WAVE, "wave_no"]
-    items = waved.withColumn("_alone", alone).groupBy(*place, *wave, "_alone", "DPCI").agg(*_sums())
-    items = items.withColumn(SHARED, F.when(~F.col("_alone"), F.col("DPCI")))
-    waves = items.groupBy(*place, *wave, SHARED).agg(*_again(), F.count("DPCI").alias("_items"))
-    return waves.groupBy(*wave, SHARED).agg(*_again(), F.sum("_items").alias("_items"))
+    new = F.coalesce(F.ceil(F.col(ITEM_BEFORE) / size) < F.col("wave_no"), F.lit(True))
+    items = F.sum((alone & new & F.col("DPCI").isNotNull()).cast("bigint")).alias("_items")
+    return waved.groupBy(*WAVE, "wave_no", F.when(~alone, F.col("DPCI")).alias(SHARED)).agg(*_sums(), items)
 
 
 def carton_ends(totals: DataFrame) -> DataFrame:

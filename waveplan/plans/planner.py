@@ -13,7 +13,7 @@ from waveplan.functions.text import charging_instructions
 from waveplan.operators import assign, cartons, pallets, quality, summary
 from waveplan.operators.capacity import Scenario, capacities, rejected_scenarios
 from waveplan.operators.filters import non_pallet, pallet_rows
-from waveplan.operators.items import item_charges, with_item_rank
+from waveplan.operators.items import ITEM_FIRST, item_charges, with_item_rank
 from waveplan.operators.running import CELL_ROWS, Order, Parts, split
 from waveplan.schema import DROPS, GROUP, ITEM
 from waveplan.session import materialize, release
@@ -39,8 +39,8 @@ class Rules:
 
 @dataclass
 class WavePlan:
-    """The tables of a plan, all lazy but two that are written once to the shared folder when first used:
-    ``pallet_running``, a row per pallet item, and ``carton_totals``, a row per carton wave.
+    """The tables of a plan, all lazy but some that are written once to the shared folder when first used:
+    ``pallet_running``, a row per pallet item, ``carton_totals``, a row per carton wave, and, if zones are cut, ``charges``.
 
     ``drops`` must hold accepted rows (see ``operators.quality``). Columns the plan does
     not know travel as one struct, so that no name of theirs can clash, and come out of
@@ -94,8 +94,10 @@ class WavePlan:
 
     @cached_property
     def charges(self) -> DataFrame:
-        """The rows that items are charged to (see ``items.item_charges``)."""
-        return item_charges(self.drops, self.rules.rank_scope, cartons.item_zone(self.methods))
+        """The rows that items are charged to (see ``items.item_charges``), written if zones are cut, as
+        they are then read more than once."""
+        found = item_charges(self.drops, self.rules.rank_scope, cartons.item_zone(self.methods))
+        return materialize(found, "charges", self.written) if self._release_parts.levels else found
 
     @cached_property
     def pallet_running(self) -> DataFrame:
@@ -131,14 +133,14 @@ class WavePlan:
     def carton_totals(self) -> DataFrame:
         """Totals of each carton wave (see ``summary.carton_totals``)."""
         stacked = self.pallet_running.select(*ITEM, F.lit(True).alias("on_pallets"))
-        rows = self.drops.join(stacked, ITEM, "left")
-        waved = cartons.carton_waves(self._running(rows, bounds=True), self.capacity)
+        rows = self.drops.join(stacked, ITEM_FIRST, "left")
+        waved = cartons.carton_waves(summary.with_item_before(self._running(rows, bounds=True)), self.capacity)
         return materialize(summary.carton_totals(waved), "totals", self.written)
 
     def _placed_pallets(self, ends: DataFrame) -> DataFrame:
         rows = with_distro_locs(pallet_rows(self.drops))
         rows = rows.withColumn("Total_locs", F.coalesce("Total_locs", F.lit(1)).cast("bigint"))
-        rows = rows.join(self.pallet_running.select(*ITEM, "pallet_cum_locations"), ITEM, "left")
+        rows = rows.join(self.pallet_running.select(*ITEM, "pallet_cum_locations"), ITEM_FIRST, "left")
         return assign.place_pallets(rows, ends, self.capacity, self.methods, self._storage_parts)
 
     @cached_property
