@@ -238,3 +238,38 @@ def test_the_model_does_not_depend_on_how_rows_are_dealt():
     a, b = one([0, 1, 2]), one([3, 4, 5])
     mixer, plain = scoring.taught(table, a + b, 102), scoring.taught(table, np.zeros(len(a)), 102)
     assert (mixer.weights != plain.weights).any() and (mixer.refine != plain.refine).any() and mixer.share != plain.share
+
+
+def test_one_pass_sends_tokens_and_pairs(spark, monkeypatch):
+    # the texts are cut into tokens twice: once to send tokens and pairs, once to score; profiles cut the training texts
+    import pyarrow as pa
+
+    texts = pa.array(["B a b", None, "", "c " * 50], pa.string())
+    cuts, split = [], scoring.split
+    monkeypatch.setattr(scoring, "split", lambda *a, **k: cuts.append(1) or split(*a, **k))
+    own = pa.table({"text": texts, "held_out": [False, False, True, True]})
+    table = scoring._send(2, 3, np.zeros((1 << scoring.CLASS_BITS, 2), np.float32))((pa.scalar(7),), own)
+    assert len(cuts) == 1
+    pairs = table.filter(pa.compute.equal(table["kind"], 1)).drop_columns("kind")
+    assert pairs.equals(scoring._send_pairs(3)((pa.scalar(7),), own))
+    assert set(table["chunk"].to_pylist()) == {7} and sum(table.filter(pa.compute.equal(table["kind"], 0))["n"].to_pylist()) == 4
+
+
+def test_mixing_holds_where_a_token_has_next_to_no_probability():
+    logs, speaks = np.full((70, 4), -np.inf), np.zeros((70, 4), bool)
+    speaks[:, 0] = True
+    logs[:, 0] = np.linspace(-1, -4000, 70)
+    gate, first = np.zeros(70, np.int64), np.array([0, 0, 70, 70])
+    assert np.allclose(along(logs, speaks, gate, first), logs[:, 0])
+    speaks[::3, 1:], logs[::6, 2] = True, -1.0
+    logs[:, 0] = np.linspace(-1, -700, 70)
+    assert np.allclose(along(logs, speaks, gate, first), plain_along(logs, speaks, gate, first))
+
+
+def test_answers_in_few_bytes_are_read_like_long_ones():
+    import pyarrow as pa
+
+    small, large = np.array([[3, 1 << 30]], np.int32), np.array([[1 << 40, 2], [5, 6]], np.int64)
+    rows = {"bucket": [1, 0], "kind": [0, 0], "n": [2, 1], "body": [[b"", large.tobytes()], [b"", small.tobytes()]]}
+    _, count = scoring._replies(pa.table(rows), 0, [np.float32, (np.int32, np.int64)], 2)
+    assert count.dtype == np.int64 and count.reshape(-1, 2).tolist() == [[3, 1 << 30], [1 << 40, 2], [5, 6]]
