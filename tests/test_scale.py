@@ -397,3 +397,23 @@ def test_empty_input(spark):
     empty = table(spark, [])
     assert WavePlan(empty, [PLAN]).wave_summary.isEmpty()
     assert scenario_sweep(empty, SCENARIOS).isEmpty()
+
+
+def test_pallets_are_sorted_once_for_all_scenarios(spark, small):
+    plan = WavePlan(drops(spark, small), SCENARIOS)
+    windows = [line for line in text_plan(plan.placed_pallets).splitlines() if "Window [" in line]
+    assert windows and not any("scenario_id" in line for line in windows)
+    plan.close()
+
+
+@pytest.mark.parametrize("cell_rows", [10**6, 300])
+def test_scenarios_in_several_lots_give_the_same_summary(spark, small, monkeypatch, cell_rows):
+    from waveplan.plans import planner
+
+    found = []
+    for beside in (16, 2):
+        monkeypatch.setattr(planner, "BESIDE", beside)
+        plan = WavePlan(drops(spark, small), [*SCENARIOS[:4], Scenario(3840, 1)], rules=Rules(cell_rows=cell_rows))
+        found.append({tuple(r) for r in plan.wave_summary.collect()})
+        plan.close()
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {1, 2, 3, 4}

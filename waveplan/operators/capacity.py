@@ -17,6 +17,8 @@ LEVEL_A_NEAR = (2, 10, 163)
 LEVEL_A_FAR = (11, 14, 127)
 
 METHODS = ("Distro", "DPCI")
+#: Scenarios that stand beside each other in one row, at most.
+BESIDE = 16
 
 
 @dataclass(frozen=True)
@@ -92,6 +94,21 @@ def capacities(
     )
 
 
+def numbered(capacity: DataFrame, beside: int, keys: list[str] | None = None) -> DataFrame:
+    """Scenarios (of each of ``keys``) with ``_lot`` and ``_slot``: of a lot, at most ``beside``, each has a slot of its own."""
+    rest = [c for c in capacity.columns if c not in ("scenario_id", *(keys or []))]
+    listed = F.array_sort(F.collect_list(F.struct("scenario_id", *rest))).alias("_all")
+    every = capacity.groupBy(*(keys or [])).agg(listed).select(*(keys or []), F.posexplode("_all").alias("_place", "_one"))
+    lot, slot = F.floor(F.col("_place") / beside).cast("int"), F.col("_place") % beside
+    return every.select(*(keys or []), lot.alias("_lot"), slot.alias("_slot"), "_one.*")
+
+
+def lots(scenarios: DataFrame, beside: int, columns: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+    """One row a lot of :func:`numbered` scenarios, with what stands in each slot: ``columns`` (prefix to column) + the slot."""
+    own = [F.max(F.when(F.col("_slot") == j, F.col(c))).alias(f"{prefix}{j}") for j in range(beside) for prefix, c in columns.items()]
+    return scenarios.groupBy(*(keys or []), "_lot").agg(*own)
+
+
 def rejected_scenarios(
     spark: SparkSession, scenarios: list[Scenario], aisles: DataFrame | None = None
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waveplan.functions.locations import with_distro_locs
 from waveplan.functions.text import wave_label
+from waveplan.operators.capacity import lots
 from waveplan.operators.filters import non_pallet
 from waveplan.operators.items import MARK, item_charges, with_charges
 from waveplan.operators.running import BEFORE, CELL_ROWS, UPTO, Order, Parts, running_sum, split
@@ -55,11 +56,13 @@ def carton_running(
     return ran.withColumns(locations).drop("_row_locs", "_charge", "_charged", "_last__charged", MARK, *[f"_size_{m}" for m in methods])
 
 
-def by_method(running: DataFrame, methods: list[str], bounds: bool = False) -> DataFrame:
-    """Rows once for each method, with ``Total_locs``, ``wave_cum_locations`` and ``zone_locations``."""
+def by_method(running: DataFrame, methods: list[str], bounds: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows once for each method, with ``Total_locs``, ``wave_cum_locations`` and ``zone_locations``, and ``also`` columns
+    named by method."""
     named = {"Total_locs": "_locs_", "wave_cum_locations": "_cum_", "zone_locations": "_zone_"}
     if bounds:
         named |= {BEFORE: f"{BEFORE}_size_", UPTO: f"{UPTO}_size_"}
+    named |= {column: f"{column}_" for column in also}
     used = [column + m for m in methods for column in named.values()]
     kinds = [F.struct(F.lit(m).alias("Method"), *[F.col(c + m).alias(name) for name, c in named.items()]) for m in methods]
     return running.withColumn("_by", F.explode(F.array(*kinds))).select(
@@ -88,12 +91,12 @@ def running_cartons(
     return by_method(carton_running(release_rows(drops, charges, parts), methods, parts), methods)
 
 
-def wave_number(cumulative: str = "wave_cum_locations") -> Column:
+def wave_number(cumulative: str = "wave_cum_locations", size: str = "carton_size") -> Column:
     """Wave of a running total: a row that crosses a boundary is in the later wave.
 
     Rows of size zero before the first sized row are in wave 0.
     """
-    return F.ceil(F.col(cumulative) / F.col("carton_size"))
+    return F.ceil(F.col(cumulative) / F.col(size))
 
 
 def carton_waves(running: DataFrame, capacity: DataFrame) -> DataFrame:
@@ -103,6 +106,14 @@ def carton_waves(running: DataFrame, capacity: DataFrame) -> DataFrame:
     return waved.withColumn("wave_id", wave_label("W", F.col("wave_no")))
 
 
+def waves_beside(running: DataFrame, scenarios: DataFrame, beside: int) -> DataFrame:
+    """Carton rows once a lot of ``scenarios`` (``capacity.numbered`` by method), with size and wave in each slot (``_size_``,
+    ``_wave_``): rows do not multiply by scenarios that stand beside each other."""
+    sizes = lots(scenarios, beside, {"_size_": "carton_size"}, ["Method"])
+    waved = running.drop("zone_locations").join(F.broadcast(sizes), "Method")
+    return waved.withColumns({f"_wave_{j}": wave_number(size=f"_size_{j}") for j in range(beside)})
+
+
 def last_waves(waves: DataFrame) -> DataFrame:
     """Number and fill of the last carton wave per zone and scenario, aggregated before moving."""
     keys = [*RUN, "scenario_id"]

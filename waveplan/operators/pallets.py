@@ -44,8 +44,8 @@ def pallet_running(
     return running_sum(located, GROUP, MOST_CARTONS, "pallet_loc", "pallet_cum_locations", parts=parts)
 
 
-def pallet_wave_number() -> Column:
-    return F.ceil(F.col("pallet_cum_locations") / F.col("pallet_size"))
+def pallet_wave_number(size: str = "pallet_size") -> Column:
+    return F.ceil(F.col("pallet_cum_locations") / F.col(size))
 
 
 def pallet_waves(running: DataFrame, capacity: DataFrame, methods: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +45,17 @@ def _place(rows: DataFrame) -> list[str]:
     return [c for c in PLACE if c in rows.columns]
 
 
-def with_item_before(running: DataFrame, *also: str) -> DataFrame:
+def with_item_before(running: DataFrame, *also: str, methods: list[str] | None = None) -> DataFrame:
     """Rows with ``ITEM_BEFORE``, the running locations of their item's row before in the zone or part of it.
 
     Waves follow from running locations, so an item's rows that come in the order of these tell where it is new in
-    a wave, under any scenario. Rows are where their zone or part is.
+    a wave, under any scenario. Rows are where their zone or part is. ``methods``: rows hold the running locations
+    of each (see ``cartons.carton_running``) and get a column for each; these sums grow in one order, so rows are sorted once.
     """
+    if methods:
+        sums = [f"_cum_{m}" for m in methods]
+        order = Window.partitionBy("DPCI", *GROUP, *_place(running), *also).orderBy(*sums)
+        return running.withColumns({f"{ITEM_BEFORE}_{m}": F.lag(c).over(order) for m, c in zip(methods, sums)})
     group = Window.partitionBy("DPCI", *GROUP, *_place(running), "Method", *also)
     return running.withColumn(ITEM_BEFORE, F.lag("wave_cum_locations").over(group.orderBy("wave_cum_locations")))
 
@@ -70,6 +78,42 @@ def carton_totals(waved: DataFrame) -> DataFrame:
     return waved.groupBy(*WAVE, "wave_no", F.when(~alone, F.col("DPCI")).alias(SHARED)).agg(*_sums(), items)
 
 
+def totals_beside(waved: DataFrame, scenarios: DataFrame, beside: int) -> DataFrame:
+    """The same as :func:`carton_totals` of rows that have their wave under each scenario of a lot in a slot
+    (``cartons.waves_beside``).
+
+    Rows of a part that are in one wave under each of these scenarios are added up first, so sums, not rows, are multiplied by scenarios.
+    Items that are not counted in place under one of them stay apart there.
+    """
+    slots = range(beside)
+    stacked = F.coalesce(F.col("on_pallets"), F.lit(False))
+
+    def alone(j: int) -> Column:
+        size, wave = F.col(f"_size_{j}"), F.col(f"_wave_{j}")
+        inside = (wave > F.ceil(F.col(BEFORE) / size)) & (wave < F.ceil(F.col(UPTO) / size)) if _place(waved) else F.lit(True)
+        return F.coalesce(~stacked & inside, F.lit(True))  # an empty slot keeps nothing apart
+
+    waved = waved.withColumns({f"_alone_{j}": alone(j) for j in slots})
+    every = reduce(and_, [F.col(f"_alone_{j}") for j in slots])
+    new = [F.coalesce(F.ceil(F.col(ITEM_BEFORE) / F.col(f"_size_{j}")) < F.col(f"_wave_{j}"), F.lit(True)) for j in slots]
+    items = [F.sum((F.col(f"_alone_{j}") & new[j] & F.col("DPCI").isNotNull()).cast("bigint")).alias(f"_items_{j}") for j in slots]
+    keys = [*GROUP, *_place(waved), "Method", "_lot", *[f"{c}_{j}" for c in ("_wave", "_alone") for j in slots]]
+    added = waved.groupBy(*keys, F.when(~every, F.col("DPCI")).alias(SHARED)).agg(*_sums(), *items)
+    each = [
+        F.struct(
+            F.lit(j).alias("_slot"),
+            F.col(f"_wave_{j}").alias("wave_no"),
+            F.when(~F.col(f"_alone_{j}"), F.col(SHARED)).alias(SHARED),
+            F.col(f"_items_{j}").alias("_items"),
+        )
+        for j in slots
+    ]
+    own = [*GROUP, "Method", "_lot", *SUMS]
+    rows = added.select(*own, F.explode(F.array(*each)).alias("_of")).select(*own, "_of.*")
+    rows = rows.join(F.broadcast(scenarios.select("Method", "_lot", "_slot", "scenario_id")), ["Method", "_lot", "_slot"])
+    return rows.groupBy(*WAVE, "wave_no", SHARED).agg(*_again(), F.sum("_items").alias("_items"))
+
+
 def carton_ends(totals: DataFrame) -> DataFrame:
     """Number and fill of the last carton wave of each zone and scenario, from the totals of its waves."""
     waves = totals.groupBy(*WAVE, "wave_no").agg(F.sum("Total_CandB_locs").alias("fill"))

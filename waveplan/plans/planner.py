@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from waveplan.functions.locations import with_distro_locs
 from waveplan.functions.text import charging_instructions
 from waveplan.operators import assign, cartons, pallets, quality, summary
-from waveplan.operators.capacity import Scenario, capacities, rejected_scenarios
+from waveplan.operators.capacity import BESIDE, Scenario, capacities, numbered, rejected_scenarios
 from waveplan.operators.filters import non_pallet, pallet_rows
 from waveplan.operators.items import ITEM_FIRST, item_charges, with_item_rank
 from waveplan.operators.running import CELL_ROWS, Order, Parts, split
@@ -112,9 +113,13 @@ class WavePlan:
         return self._running(self.drops)
 
     def _running(self, rows: DataFrame, bounds: bool = False) -> DataFrame:
+        """``bounds`` adds those of parts, and where the row's item stood before."""
         released = cartons.release_rows(rows, self.charges, self._release_parts)
         ran = cartons.carton_running(released, self.methods, self._release_parts, bounds)
-        return cartons.by_method(ran, self.methods, bounds and bool(self._release_parts.levels))
+        if not bounds:
+            return cartons.by_method(ran, self.methods)
+        ran = summary.with_item_before(ran, methods=self.methods)
+        return cartons.by_method(ran, self.methods, bool(self._release_parts.levels), (summary.ITEM_BEFORE,))
 
     @cached_property
     def carton_waves(self) -> DataFrame:
@@ -134,14 +139,17 @@ class WavePlan:
         """Totals of each carton wave (see ``summary.carton_totals``)."""
         stacked = self.pallet_running.select(*ITEM, F.lit(True).alias("on_pallets"))
         rows = self.drops.join(stacked, ITEM_FIRST, "left")
-        waved = cartons.carton_waves(summary.with_item_before(self._running(rows, bounds=True)), self.capacity)
-        return materialize(summary.carton_totals(waved), "totals", self.written)
+        beside = min(BESIDE, max(Counter(s.method for s in self.scenarios).values(), default=1))
+        scenarios = numbered(self.capacity, beside, ["Method"])
+        waved = cartons.waves_beside(self._running(rows, bounds=True), scenarios, beside)
+        return materialize(summary.totals_beside(waved, scenarios, beside), "totals", self.written)
 
     def _placed_pallets(self, ends: DataFrame) -> DataFrame:
         rows = with_distro_locs(pallet_rows(self.drops))
         rows = rows.withColumn("Total_locs", F.coalesce("Total_locs", F.lit(1)).cast("bigint"))
         rows = rows.join(self.pallet_running.select(*ITEM, "pallet_cum_locations"), ITEM_FIRST, "left")
-        return assign.place_pallets(rows, ends, self.capacity, self.methods, self._storage_parts)
+        beside = min(BESIDE, max(len(self.scenarios), 1))
+        return assign.place_pallets(rows, ends, self.capacity, self._storage_parts, beside)
 
     @cached_property
     def placed_pallets(self) -> DataFrame:
