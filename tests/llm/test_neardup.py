@@ -185,3 +185,15 @@ def test_rows_of_one_id_with_different_texts_all_stay(spark):
     assert kept == sorted([(1, one), (1, two), (2, three), (6, ""), (6, None), (None, one)], key=str)
     found = neardup.near_duplicates(documents(spark, rows)).collect()
     assert sorted((r.doc_id, r.class_id) for r in found if r.doc_id) == [(1, 1), (1, 1), (2, 2), (2, 2), (4, 1), (5, 1), (6, 6), (6, 6)]
+
+
+def test_a_centre_meets_a_node_once_in_the_first_round(spark, monkeypatch):
+    from waveplan.llm import neardup
+
+    plans, keep = [], neardup.Run.keep
+    seen = lambda self, df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(self, df, name)
+    monkeypatch.setattr(neardup.Run, "keep", seen)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(w if (i * 7 + k) % 31 else f"x{k}" for i, w in enumerate(words))) for k in range(12)]
+    neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert "array_intersect" in dict(plans)["new2"]

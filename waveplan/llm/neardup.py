@@ -287,6 +287,12 @@ def _equal(own: Column, other: Column) -> Column:
     return F.size(F.filter(F.zip_with(own, other, lambda x, y: x == y), lambda x: x))
 
 
+def _twos(held: str) -> Column:
+    """A key for every two of the buckets (band, key) in an array."""
+    key = lambda x, y: F.xxhash64(x["band"], x["key"], y["band"], y["key"])
+    return F.flatten(F.transform(held, lambda x, i: F.transform(F.slice(held, i + 2, F.lit(BANDS)), lambda y: key(x, y))))
+
+
 def _possible(own: Column, other: Column, least: float) -> Column:
     """Similarity is at most the smaller total weight over the larger."""
     return F.least(own, other) >= (least - 1e-6) * F.greatest(own, other)
@@ -377,8 +383,7 @@ def _classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     mixed = several.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     held = several.join(mixed.select("band", "key"), ["band", "key"]).groupBy("id", "weight")
     held = held.agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("held"))  # at most BANDS of them
-    twos = F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.lit(BANDS)), lambda y: F.xxhash64(x["band"], x["key"], y["band"], y["key"])))
-    twos = held.select("id", "weight", F.explode(F.flatten(twos)).alias("key"))
+    twos = held.select("id", "weight", "held", F.explode(_twos("held")).alias("key"))
     own = F.struct("total", "samples").alias("own")
     open_buckets = run.keep(twos.join(drawn.select("id", own), "id"), "twos")
     tried, step = open_buckets.select("key", "id").limit(0), 1
@@ -392,7 +397,12 @@ def _classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c.weight"), "c.h", "c.id"))
         fresh = fresh.withColumn("place", place).filter(F.col("place") <= CENTRES)
         fresh = fresh.select("key", F.col("label").alias("la"), F.col("c.id").alias("centre"), F.col("c.own").alias("other"))
-        new = now.join(fresh, "key").filter("label != la").filter(_likely(F.col("own"), F.col("other"), least))
+        once = F.lit(True)
+        if "held" in now.columns:
+            # a centre of many such buckets meets a node in one of them; later, nodes have left some of theirs
+            fresh = fresh.join(fresh.groupBy("centre").agg(F.collect_set("key").alias("of_centre")), "centre")
+            once = F.col("key") == F.array_min(F.array_intersect(_twos("held"), F.col("of_centre")))
+        new = now.join(fresh, "key").filter("label != la").filter(_likely(F.col("own"), F.col("other"), least) & once)
         new = new.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
         found = verified(run.keep(new, f"new{step}"), f"links{step}")
         run.drop(f"new{step}", f"open{step - 1}", "twos")
@@ -401,7 +411,7 @@ def _classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         tried = run.keep(tried.union(fresh.select("key", F.col("centre").alias("id"))), f"tried{step}")
         labels = joined(labels, found, f"classes{step}")
         run.drop(f"links{step}", f"tried{step - 1}", f"labels-classes{step - 1}")
-        open_buckets = now.drop("label")
+        open_buckets = now.drop("label", "held")
     run.drop(f"links{step}", f"open{step}", f"tried{step - 1}")
     # all pairs of a bucket that are in two classes still, without those that can't be similar:
     # they share a shingle of their heads, with enough weight from there on in both
