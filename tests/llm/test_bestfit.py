@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm.cases import ODD_TEXTS, documents, prose
 
-from waveplan.llm.bestfit import Encoder, _Instance, _place, op12_bestfit, pack, plan, reduce, vocabulary
+from waveplan.llm.bestfit import Encoder, _Instance, _place, op12_bestfit, pack, plan, ranked, reduce, vocabulary
 
 
 def bins_of(placements):
@@ -96,6 +96,13 @@ def test_placements_do_not_grow_with_the_counts():
     assert len(few) < 20_000 and len(many) < 20_000
 
 
+def test_placements_of_alike_triples_do_not_grow_with_the_counts():
+    few, bins, fixed = plan({1500: 10**6, 200: 2 * 10**6})
+    assert len(few) < 10 and (bins, fixed) == (10**6, 10**6)
+    for counts in ({7: 5, 3: 9, 2: 4}, {6: 7, 2: 11}, {5: 4, 3: 3, 2: 20}, {12: 9, 4: 12, 3: 8}):
+        assert Counter(n for c in bins_of(plan(counts, 20)[0]) for n in c) == Counter(counts)
+
+
 def check(spark, docs, capacity, **options):
     from tokenizers import Tokenizer
 
@@ -183,6 +190,21 @@ def test_lookup_of_ranks():
     assert sorted(sorted(x for _, x in c) for c in contents.values()) == sorted(bins_of(placements))
 
 
+def test_many_lengths_outgrow_a_cell(spark):
+    """As in a large table, where most lengths have more pieces than a cell."""
+    from pyspark.sql import functions as F
+
+    lengths = 1500
+    rows = spark.range(3 * lengths).select(
+        F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+        (F.col("id") % lengths + 1).alias("length"), F.col("id").alias("ids_crc32"),
+    )
+    ranks = {}
+    for r in ranked(rows, 2).collect():
+        ranks.setdefault(r["length"], []).append(r["rank"])
+    assert len(ranks) == lengths and all(sorted(x) == [0, 1, 2] for x in ranks.values())
+
+
 def test_query_packs_all_documents(spark, small):
     rows = op12_bestfit(spark, small).collect()
     docs = spark.read.parquet(f"{small}/documents.parquet").count()

@@ -158,7 +158,7 @@ def reduce(instance: _Instance) -> None:
                 chosen = [length, *best]
             else:
                 break
-            instance.fix(chosen, instance.copies(chosen) if len(chosen) == 2 else 1)
+            instance.fix(chosen, instance.copies(chosen))
 
 
 def best_fit(instance: _Instance) -> None:
@@ -353,12 +353,10 @@ def _place(placements: list[Placement]):
 def ranked(found: DataFrame, cell: int = CELL) -> DataFrame:
     """Pieces with their rank among those of their length. A length that holds a third of all
     pieces is dealt to cells of about ``cell`` pieces; cells are numbered, then pieces in cells."""
-    counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    cells = F.lit(1).cast("long")
-    for length, count in counts.items():
-        if count > cell:
-            cells = F.when(F.col("length") == length, F.lit(-(-count // cell))).otherwise(cells)
-    dealt = found.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), cells))
+    # a row a length, ``capacity`` at most: a table, as an expression with a branch for each outgrows the driver's stack
+    cells = found.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / cell).alias("cells"))
+    dealt = found.join(F.broadcast(cells), "length")
+    dealt = dealt.select(*found.columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "cells").alias("cell"))
     sizes = dealt.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("held"))
     before = F.sum("held").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("length", "cell", F.coalesce(before, F.lit(0)).alias("before"))
