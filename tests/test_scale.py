@@ -417,3 +417,46 @@ def test_scenarios_in_several_lots_give_the_same_summary(spark, small, monkeypat
         found.append({tuple(r) for r in plan.wave_summary.collect()})
         plan.close()
     assert found[0] == found[1] and {r[0] for r in found[0]} == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("cell_rows", [60, 900])
+def test_summary_of_one_zone_in_parts_below_and_above_waves(spark, small, cell_rows):
+    source = drops(spark, small).withColumns({"drop_id": F.lit("1"), "UnitSortable": F.lit("Y"), "SSZ": F.lit(3), "DPCI": F.concat(F.lit("i"), F.col("Aisle") % 23)})
+    usual, cut = (WavePlan(source, SCENARIOS[:3], rules=Rules(cell_rows=n)) for n in (10**6, cell_rows))
+    assert cut._release_parts.levels and cut._parts_below_waves == (cell_rows < 800) and not usual._parts_below_waves
+    assert rows_of(cut.wave_summary) == rows_of(usual.wave_summary)
+    usual.close(), cut.close()
+
+
+def test_totals_of_small_parts_move_rows_for_their_order_only(stored, tmp_path):
+    """Besides the one row that each part gets, and what finds the charges."""
+    path, rows = stored
+    body = "from waveplan import Rules; s = [Scenario(3840, 2), Scenario(3840, 2, 0.9, 'DPCI')]; p = WavePlan(source, s, rules=Rules(cell_rows=50)); {}"
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    found, _ = event_log(tmp_path / "a", path, body.format("p._release_parts; p.charges.count()"))
+    all_, _ = event_log(tmp_path / "b", path, body.format("p.carton_totals.count()"))
+    assert all_ - found <= 4 * rows
+
+
+def test_shuffle_files_of_written_tables_go(spark):
+    from waveplan.session import materialize
+
+    def files() -> int:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+
+    before, paths = files(), []
+    materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "groups", paths)
+    assert files() <= before
+    release(spark, paths)
+
+
+def test_scenarios_that_cannot_be_planned_leave_their_slots_empty(spark, small, monkeypatch):
+    from waveplan.plans import planner
+
+    monkeypatch.setattr(planner, "BESIDE", 2)
+    chosen = [Scenario(3840, 1), Scenario(3840, 1), PLAN, Scenario(3840, 1), SCENARIOS[1]]
+    plan, usual = WavePlan(drops(spark, small), chosen), WavePlan(drops(spark, small), [PLAN, SCENARIOS[1]])
+    number = F.when(F.col("scenario_id") == 1, 3).otherwise(5)
+    assert rows_of(plan.placed_pallets) == rows_of(usual.placed_pallets.withColumn("scenario_id", number))
+    plan.close(), usual.close()

@@ -30,7 +30,7 @@ def place_cartons(waves: DataFrame) -> DataFrame:
     return waves.withColumn("placement", F.lit("carton"))
 
 
-def place_pallets(pallets: DataFrame, ends: DataFrame, capacity: DataFrame, parts: Parts, beside: int = BESIDE) -> DataFrame:
+def place_pallets(pallets: DataFrame, ends: DataFrame, capacity: DataFrame, parts: Parts, beside: int = BESIDE, in_all: int = 1) -> DataFrame:
     """Every pallet row with its placement facts under every scenario of its method.
 
     ``pallets`` are rows with their item's running locations, ``ends`` the last carton waves of zones.
@@ -38,7 +38,8 @@ def place_pallets(pallets: DataFrame, ends: DataFrame, capacity: DataFrame, part
     wave of their own); ``last`` (few, and the last carton wave has room) or ``extra``. A zone without
     cartons has no last wave: all its pallets trail, and there is no wave with room. ``parts`` is the
     tree of pallet rows by zone in storage order. That order serves all scenarios: what trails under each is summed up
-    in columns beside each other, ``beside`` at most in one row, and only then rows are multiplied by scenarios.
+    in columns beside each other, ``beside`` at most in one row, and only then rows are multiplied by scenarios, of which
+    there are ``in_all``, or less.
     """
     # zones meet rows before these are multiplied by scenarios, so what moves does not depend on their number
     end = F.struct("scenario_id", F.struct(F.col("n_waves").alias("wave_no"), F.col("last_wave_fill").alias("_fill")))
@@ -46,7 +47,8 @@ def place_pallets(pallets: DataFrame, ends: DataFrame, capacity: DataFrame, part
     rows = parts.deal(same_join(pallets, last, GROUP, "left"))
     # ``capacity`` has one row per scenario passed in.
     scenarios, slots = numbered(capacity, beside), range(beside)
-    rows = rows.crossJoin(F.broadcast(lots(scenarios, beside, {"_size_": "pallet_size", "_id_": "scenario_id"})))
+    rows = rows.withColumn("_lot", F.explode(F.array(*[F.lit(k) for k in range(max(1, -(-in_all // beside)))])))
+    rows = rows.join(F.broadcast(lots(scenarios, beside, {"_size_": "pallet_size", "_id_": "scenario_id"})), "_lot")
     found = {j: F.try_element_at("_ends", F.col(f"_id_{j}")) for j in slots}
     rows = rows.withColumns(
         {f"_no_{j}": F.coalesce(found[j]["wave_no"], F.lit(0)) for j in slots} | {f"_fill_{j}": found[j]["_fill"] for j in slots}

@@ -96,11 +96,16 @@ def capacities(
 
 def numbered(capacity: DataFrame, beside: int, keys: list[str] | None = None) -> DataFrame:
     """Scenarios (of each of ``keys``) with ``_lot`` and ``_slot``: of a lot, at most ``beside``, each has a slot of its own."""
-    rest = [c for c in capacity.columns if c not in ("scenario_id", *(keys or []))]
-    listed = F.array_sort(F.collect_list(F.struct("scenario_id", *rest))).alias("_all")
-    every = capacity.groupBy(*(keys or [])).agg(listed).select(*(keys or []), F.posexplode("_all").alias("_place", "_one"))
-    lot, slot = F.floor(F.col("_place") / beside).cast("int"), F.col("_place") % beside
-    return every.select(*(keys or []), lot.alias("_lot"), slot.alias("_slot"), "_one.*")
+    if not keys:
+        # the scenarios' own numbers, from 1 on; one that cannot be planned leaves its slot empty
+        place, every, columns = F.col("scenario_id") - 1, capacity, capacity.columns
+    else:
+        rest = [c for c in capacity.columns if c not in ("scenario_id", *keys)]
+        listed = F.array_sort(F.collect_list(F.struct("scenario_id", *rest))).alias("_all")
+        every = capacity.groupBy(*keys).agg(listed).select(*keys, F.posexplode("_all").alias("_place", "_one"))
+        place, columns = F.col("_place"), [*keys, "_one.*"]
+    lot, slot = F.floor(place / beside).cast("int"), place % beside
+    return every.select(lot.alias("_lot"), slot.alias("_slot"), *columns)
 
 
 def lots(scenarios: DataFrame, beside: int, columns: dict[str, str], keys: list[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waveplan.session import materialize
+from waveplan.session import cleaned, materialize
 
 #: Rows that one task sorts without being cut further.
 CELL_ROWS = 1_000_000
@@ -141,7 +141,10 @@ def split(
     """
     parts, values, key = Parts(keys, order), order.values, F.col(order.key)
     narrow = rows.select(*keys, *values, order.key)
-    most = narrow.count() if total is None else total
+    if total is None:
+        with cleaned(rows.sparkSession):
+            total = narrow.count()
+    most = total
     limit = max(cell_rows, most // MOST_NODES)
     if most <= limit:
         return parts

@@ -20,6 +20,8 @@ WAVE = [*GROUP, "Method", "scenario_id"]
 SUMS = ["Total_plts", "Total_plts_ssps", "Total_vcp", "Total_loose_ssp", "Total_ssp", "Total_distro", "Total_CandB_locs"]
 #: An item that is counted for itself; null in totals of items that stand in one place only.
 SHARED = "_item"
+#: Tasks that count the items of one wave, at most.
+SHARES = 16
 ITEM_BEFORE = "_item_before"
 
 
@@ -78,24 +80,30 @@ def carton_totals(waved: DataFrame) -> DataFrame:
     return waved.groupBy(*WAVE, "wave_no", F.when(~alone, F.col("DPCI")).alias(SHARED)).agg(*_sums(), items)
 
 
-def totals_beside(waved: DataFrame, scenarios: DataFrame, beside: int) -> DataFrame:
+def totals_beside(waved: DataFrame, scenarios: DataFrame, beside: int, apart: bool = False) -> DataFrame:
     """The same as :func:`carton_totals` of rows that have their wave under each scenario of a lot in a slot
     (``cartons.waves_beside``).
 
     Rows of a part that are in one wave under each of these scenarios are added up first, so sums, not rows, are multiplied by scenarios.
-    Items that are not counted in place under one of them stay apart there.
+    Items that are not counted in place under one of them stay apart there. ``apart``: where parts are smaller than
+    waves, no item is counted in place; its rows of one part and wave are added up there and move no more.
     """
     slots = range(beside)
-    stacked = F.coalesce(F.col("on_pallets"), F.lit(False))
+    stacked = F.lit(False) if apart else F.coalesce(F.col("on_pallets"), F.lit(False))
 
     def alone(j: int) -> Column:
+        if apart:
+            return F.lit(False)
         size, wave = F.col(f"_size_{j}"), F.col(f"_wave_{j}")
         inside = (wave > F.ceil(F.col(BEFORE) / size)) & (wave < F.ceil(F.col(UPTO) / size)) if _place(waved) else F.lit(True)
         return F.coalesce(~stacked & inside, F.lit(True))  # an empty slot keeps nothing apart
 
     waved = waved.withColumns({f"_alone_{j}": alone(j) for j in slots})
     every = reduce(and_, [F.col(f"_alone_{j}") for j in slots])
-    new = [F.coalesce(F.ceil(F.col(ITEM_BEFORE) / F.col(f"_size_{j}")) < F.col(f"_wave_{j}"), F.lit(True)) for j in slots]
+    new = [
+        F.lit(False) if apart else F.coalesce(F.ceil(F.col(ITEM_BEFORE) / F.col(f"_size_{j}")) < F.col(f"_wave_{j}"), F.lit(True))
+        for j in slots
+    ]
     items = [F.sum((F.col(f"_alone_{j}") & new[j] & F.col("DPCI").isNotNull()).cast("bigint")).alias(f"_items_{j}") for j in slots]
     keys = [*GROUP, *_place(waved), "Method", "_lot", *[f"{c}_{j}" for c in ("_wave", "_alone") for j in slots]]
     added = waved.groupBy(*keys, F.when(~every, F.col("DPCI")).alias(SHARED)).agg(*_sums(), *items)
@@ -111,6 +119,8 @@ def totals_beside(waved: DataFrame, scenarios: DataFrame, beside: int) -> DataFr
     own = [*GROUP, "Method", "_lot", *SUMS]
     rows = added.select(*own, F.explode(F.array(*each)).alias("_of")).select(*own, "_of.*")
     rows = rows.join(F.broadcast(scenarios.select("Method", "_lot", "_slot", "scenario_id")), ["Method", "_lot", "_slot"])
+    if apart:
+        return rows.select(*WAVE, "wave_no", SHARED, *SUMS, "_items")
     return rows.groupBy(*WAVE, "wave_no", SHARED).agg(*_again(), F.sum("_items").alias("_items"))
 
 
@@ -123,11 +133,20 @@ def carton_ends(totals: DataFrame) -> DataFrame:
 
 
 def wave_summary(cartons: DataFrame, pallets: DataFrame) -> DataFrame:
-    """Totals per wave from :func:`carton_totals` and assigned pallet rows; sums over nothing are 0."""
-    wave = [*WAVE, "wave_id"]
-    boxes = cartons.withColumn("wave_id", wave_label("W", F.col("wave_no"))).drop("wave_no")
+    """Totals per wave from :func:`carton_totals` and assigned pallet rows; sums over nothing are 0.
+
+    Items of cartons that are counted for themselves move without sums, once, with all of a wave to ``SHARES`` tasks at most.
+    """
+    wave, packed = [*WAVE, "wave_id"], F.struct(*SUMS).alias("_sums")
+    label = wave_label("W", F.col("wave_no")).alias("wave_id")
+    in_place = F.sum(F.when(F.col(SHARED).isNull(), F.col("_items"))).alias("_items")
+    boxes = cartons.groupBy(*WAVE, "wave_no").agg(*_again(), in_place).select(*WAVE, label, packed, "_items")
+    named = cartons.filter(F.col(SHARED).isNotNull()).select(*WAVE, label, SHARED)
     rows = pallets.groupBy(*wave, F.col("DPCI").alias(SHARED)).agg(*_sums(), F.count("DPCI").alias("_items"))
-    items = boxes.unionByName(rows).groupBy(*wave, SHARED).agg(*_again(), F.sum("_items").alias("_items"))
+    moved = rows.select(*wave, SHARED, packed, "_items").unionByName(boxes, True).unionByName(named, True)
+    moved = moved.withColumn("_share", F.pmod(F.xxhash64(SHARED), F.lit(SHARES))).repartition(*wave, "_share")
+    again = [F.sum(f"_sums.{name}").alias(name) for name in SUMS]
+    items = moved.groupBy(*wave, "_share", SHARED).agg(*again, F.sum("_items").alias("_items"))
     number = F.when(F.col(SHARED).isNull(), F.col("_items")).otherwise(F.lit(1))
     return items.groupBy(*wave).agg(*_again(), F.sum(number).alias("Total_dpci")).drop("Method")
 

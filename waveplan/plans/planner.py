@@ -17,7 +17,7 @@ from waveplan.operators.filters import non_pallet, pallet_rows
 from waveplan.operators.items import ITEM_FIRST, item_charges, with_item_rank
 from waveplan.operators.running import CELL_ROWS, Order, Parts, split
 from waveplan.schema import DROPS, GROUP, ITEM
-from waveplan.session import materialize, release
+from waveplan.session import cleaned, materialize, release
 
 RESULTS = ["scenario_id", "Total_locs", "wave_id", "Charging Instructions", "rank"]
 EXTRAS = "_extras"
@@ -80,7 +80,10 @@ class WavePlan:
 
     @cached_property
     def _rows_in_all(self) -> int:
-        return self.counts["rows"] - self.counts["rejects"] if self.counts else self.drops.count()
+        if self.counts:
+            return self.counts["rows"] - self.counts["rejects"]
+        with cleaned(self.drops.sparkSession):
+            return self.drops.count()
 
     def _split(self, rows: DataFrame, order: Order) -> Parts:
         return split(rows, GROUP, order, self.rules.cell_rows, self.written, self._rows_in_all)
@@ -112,12 +115,12 @@ class WavePlan:
         """Carton rows once for each method with their running locations."""
         return self._running(self.drops)
 
-    def _running(self, rows: DataFrame, bounds: bool = False) -> DataFrame:
-        """``bounds`` adds those of parts, and where the row's item stood before."""
+    def _running(self, rows: DataFrame, bounds: bool = False, apart: bool = False) -> DataFrame:
+        """``bounds`` adds those of parts, and where the row's item stood before, but not with ``apart``."""
         released = cartons.release_rows(rows, self.charges, self._release_parts)
         ran = cartons.carton_running(released, self.methods, self._release_parts, bounds)
-        if not bounds:
-            return cartons.by_method(ran, self.methods)
+        if not bounds or apart:
+            return cartons.by_method(ran, self.methods, bounds)
         ran = summary.with_item_before(ran, methods=self.methods)
         return cartons.by_method(ran, self.methods, bool(self._release_parts.levels), (summary.ITEM_BEFORE,))
 
@@ -134,22 +137,33 @@ class WavePlan:
         """Where the cartons of each zone end under each scenario."""
         return cartons.zone_ends(self.running, self.capacity)
 
+    @cached_property
+    def _parts_below_waves(self) -> bool:
+        """Have parts fewer rows than a wave has locations? Then waves reach over parts, as a row takes about a location."""
+        if not self._release_parts.levels:
+            return False
+        sizes = [r.carton_size for r in self.capacity.select("carton_size").collect()]  # at most one a scenario
+        return self.rules.cell_rows < max(sizes, default=0)
+
     @cached_property
     def carton_totals(self) -> DataFrame:
-        """Totals of each carton wave (see ``summary.carton_totals``)."""
-        stacked = self.pallet_running.select(*ITEM, F.lit(True).alias("on_pallets"))
-        rows = self.drops.join(stacked, ITEM_FIRST, "left")
+        """Totals of each carton wave (see ``summary.carton_totals``), of small parts by part and item: these rows move for
+        their order only, and meet the pallets' items in the summary."""
+        apart, rows = self._parts_below_waves, self.drops
+        if not apart:
+            stacked = self.pallet_running.select(*ITEM, F.lit(True).alias("on_pallets"))
+            rows = rows.join(stacked, ITEM_FIRST, "left")
         beside = min(BESIDE, max(Counter(s.method for s in self.scenarios).values(), default=1))
         scenarios = numbered(self.capacity, beside, ["Method"])
-        waved = cartons.waves_beside(self._running(rows, bounds=True), scenarios, beside)
-        return materialize(summary.totals_beside(waved, scenarios, beside), "totals", self.written)
+        waved = cartons.waves_beside(self._running(rows, True, apart), scenarios, beside)
+        return materialize(summary.totals_beside(waved, scenarios, beside, apart), "totals", self.written)
 
     def _placed_pallets(self, ends: DataFrame) -> DataFrame:
         rows = with_distro_locs(pallet_rows(self.drops))
         rows = rows.withColumn("Total_locs", F.coalesce("Total_locs", F.lit(1)).cast("bigint"))
         rows = rows.join(self.pallet_running.select(*ITEM, "pallet_cum_locations"), ITEM_FIRST, "left")
         beside = min(BESIDE, max(len(self.scenarios), 1))
-        return assign.place_pallets(rows, ends, self.capacity, self._storage_parts, beside)
+        return assign.place_pallets(rows, ends, self.capacity, self._storage_parts, beside, len(self.scenarios))
 
     @cached_property
     def placed_pallets(self) -> DataFrame:
